@@ -227,6 +227,15 @@ def contamination(documents: DataFrame, benchmark: DataFrame, least: int = 20, k
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(least) * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """Those ``documents`` that aren't contaminated."""
+    row = {"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__digest": F.xxhash64("text")}
+    given = documents.withColumns(row)
+    found = contamination(given.select("doc_id", "text", *row), benchmark, keep=tuple(row), **options)
+    gone = stored(found.where("contaminated").select(*row).distinct())
+    return given.join(gone, list(row), "left_anti").select(*documents.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of all ``documents`` by all of ``benchmark``."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")

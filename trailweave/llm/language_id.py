@@ -132,17 +132,28 @@ def predict(documents: DataFrame, profiles: dict[str, np.ndarray], size: int = 3
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(*held.value)
         for batch in batches:
-            found = [model.nearest(text.as_py()) for text in batch.column("__text")]
+            found = [model.nearest(text.as_py()) for text in batch.column(name)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(keep))), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 [*keep, "lang_pred", "score"],
             )
 
-    given = documents.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    name = "text" if "text" in keep else "__text"
+    given = documents.select(*keep, *([] if name in keep else [F.col("text").alias(name)]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(keep)])
     return given.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def recognised(documents: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.3) -> DataFrame:
+    """Those ``documents`` whose language isn't ``und`` and whose ``score`` is at least ``least``: near enough to some profile."""
+    keep = tuple(documents.columns)
+    if {"lang_pred", "score"} & set(keep):
+        found = predict(documents.select("doc_id", "text", F.struct("*").alias("__row")), profiles, keep=("__row", "text"))
+        return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("__row.*")
+    found = predict(documents, profiles, keep=keep)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*keep)
+
+
 def fold(column: str, parts: int) -> F.Column:
     """crc32 of an id as text, modulo ``parts``; a null id is an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts

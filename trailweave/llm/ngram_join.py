@@ -228,6 +228,19 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, tr
     return ids.join(named, "key", "left").select("doc_id", "key", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("group_doc")).alias("group_doc"), "group_key")
 
 
+def one_of_each(documents: DataFrame, **options) -> DataFrame:
+    """Those ``documents`` that have the least id of their group (see ``near_duplicates``), one of rows that are the same."""
+    row = {"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__key": F.xxhash64("text")}
+    groups = stored(near_duplicates(documents, **options).withColumn("__doc", row["__doc"]))
+    stays = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("group_doc")) & (F.col("key") == F.col("group_key")))
+    gone = groups.where(~stays).select("__doc", F.col("key").alias("__key")).distinct()
+    left = documents.withColumns(row).join(gone, ["__doc", "__key"], "left_anti")
+    twice = groups.where(F.col("key").isNotNull() & stays & (F.col("copies") > 1)).groupBy("__doc", F.col("key").alias("__key")).count().where("count > 1")
+    if not twice.isEmpty():
+        left = left.dropDuplicates(["__doc", "__key"])
+    return left.select(*documents.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all ``documents``: ``class_id`` is the least doc_id of the group."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

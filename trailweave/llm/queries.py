@@ -1,10 +1,11 @@
 """Queries of this subpackage, by name."""
 
-from . import decontamination, language_id, line_dedup, ngram_join
+from . import decontamination, language_id, line_dedup, mixing, ngram_join
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op6_ngram_join": ngram_join.query,
+    "op7_mixing": mixing.query,
     "op9_line_dedup": line_dedup.query,
     "op10_language_id": language_id.query,
 }
