@@ -1,13 +1,15 @@
 """Queries of this subpackage, by name."""
 
-from . import decontamination, language_id, line_dedup, mixing, ngram_join
+from . import chat_format, decontamination, language_id, line_dedup, media, mixing, ngram_join
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op5_chat_format": chat_format.query,
     "op6_ngram_join": ngram_join.query,
     "op7_mixing": mixing.query,
+    "op8_media": media.query,
     "op9_line_dedup": line_dedup.query,
     "op10_language_id": language_id.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat_format.ORACLE_SQL}
