@@ -1,9 +1,10 @@
 """Queries of this subpackage, by name."""
 
-from . import chat_format, decontamination, language_id, line_dedup, media, mixing, ngram_join
+from . import chat_format, decontamination, html_text, language_id, line_dedup, media, mixing, ngram_join
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op2_html_text": html_text.query,
     "op5_chat_format": chat_format.query,
     "op6_ngram_join": ngram_join.query,
     "op7_mixing": mixing.query,
