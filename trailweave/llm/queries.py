@@ -1,10 +1,11 @@
 """Queries of this subpackage, by name."""
 
-from . import chat_format, decontamination, html_text, language_id, line_dedup, media, mixing, ngram_join, quality
+from . import chat_format, decontamination, html_text, language_id, line_dedup, lm_score, media, mixing, ngram_join, quality
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_html_text": html_text.query,
+    "op3_lm_score": lm_score.query,
     "op4_quality": quality.query,
     "op5_chat_format": chat_format.query,
     "op6_ngram_join": ngram_join.query,
