@@ -253,7 +253,8 @@ def pair_up(rows: pa.Table, threshold: Threshold, limit: int, probes: np.ndarray
 
 def candidates(rows: DataFrame, threshold: Threshold, limit: int, probes: DataFrame | None = None) -> DataFrame:
     """Pairs (``later``, ``earlier``) of classes that pass all filters in the group of some word; ``cut``: there may be more."""
-    if probes is not None:
+    some = probes is not None
+    if some:
         rows = rows.join(probes.withColumn("probe", F.lit(True)), "cls", "left")
     else:
         rows = rows.withColumn("probe", F.lit(True))
@@ -262,7 +263,7 @@ def candidates(rows: DataFrame, threshold: Threshold, limit: int, probes: DataFr
         held: list[pa.RecordBatch] = []
 
         def out(rows: pa.Table) -> pa.RecordBatch:
-            only = None if probes is None else np.unique(np.asarray(rows.filter(rows.column("probe").fill_null(False)).column("cls").combine_chunks()))
+            only = None if not some else np.unique(np.asarray(rows.filter(rows.column("probe").fill_null(False)).column("cls").combine_chunks()))
             x, y, cut = pair_up(rows, threshold, limit, only)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(cut)], ["later", "earlier", "cut"])
 

@@ -1,0 +1 @@
+"""Queries over the driver's tables, each beside its SQL for DuckDB."""
