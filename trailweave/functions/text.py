@@ -119,7 +119,7 @@ def escape_html(text: Column) -> Column:
 
 
 def split_ids(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def fixed1(number: Column) -> Column:
@@ -145,3 +145,12 @@ def published_day(text: Column) -> Column:
 
 def unique_sorted(texts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(texts, squeezed), lambda x: x != "")))
+
+
+def path_mermaid(names: Column, most: int = 30) -> Column:
+    """A chain of labels as a diagram, from right to left; a longer label is cut at ``most`` and marked."""
+    label = lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
+    node = lambda x, i: F.concat(F.lit("\n  N"), i.cast("string"), F.lit("["), label(x), F.lit("]"))
+    arrow = lambda i: F.when(i > 0, F.concat(F.lit("\n  N"), (i - 1).cast("string"), F.lit(" --> N"), i.cast("string"))).otherwise("")
+    lines = F.array_join(F.transform(names, lambda x, i: F.concat(node(x, i), arrow(i))), "")
+    return F.concat(F.lit("graph RL"), F.when(F.size(names) > 0, lines).otherwise("\n  A[No path]"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.graph_fixture import Graph
+from ..sources.tables import written
 from . import lookups as L
 from . import paths as P
 
@@ -83,8 +84,8 @@ def without_future(found: DataFrame, paper: DataFrame, target: str, include_targ
     """
     keyed = found.withColumn("path_key", F.array_join("keys", "|"))
     nodes = keyed.select("path_key", F.posexplode("route").alias("place", "id")).join(paper.select("id", "published_date"), "id", "left")
-    day = paper.where(F.col("id") == target).select(F.max("published_date")).scalar()
-    late = F.coalesce(F.col("published_date") > day, F.lit(False)) if exclude_future else F.lit(False)
+    nodes = nodes.withColumn("day", paper.where(F.col("id") == target).select(F.max("published_date")).scalar())
+    late = F.coalesce(F.col("published_date") > F.col("day"), F.lit(False)) if exclude_future else F.lit(False)
     stays = ~late if include_target else ~late & (F.col("id") != target)
     kept = nodes.groupBy("path_key").agg(F.array_sort(F.collect_list(F.when(stays, F.struct("place", "id")))).alias("kept"))
     return keyed.join(kept.withColumn("kept", F.transform("kept", lambda x: x["id"])), "path_key").drop("path_key")
@@ -289,9 +290,9 @@ LINES = {"paths": paths_lines, "mermaid": mermaid_lines, "triples": triples_line
 
 
 def context_lines(graph: Graph, target: str, k: int, options: Options | None = None) -> DataFrame:
-    """The context as lines with ``section`` and ``ord`` to sort by."""
+    """The context as lines with ``section`` and ``ord`` to sort by.  The paths are found once and written, as each section reads them."""
     options = options or Options()
-    return LINES[options.graph_format](prepared(graph, target, k, options), graph, options)
+    return LINES[options.graph_format](written(prepared(graph, target, k, options)), graph, options)
 
 
 def render(lines: DataFrame, graph_format: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: How much a relationship adds to a path's score; other types add nothing.
 RELATION_WEIGHTS = {"MENTIONS": 3.0, "USES": 8.0, "EXTENDS": 10.0, "COMPARES": 7.0, "ENABLES": 9.0, "IMPROVES": 8.0, "ADDRESSES": 6.0}
 CITATION_WEIGHTS = {"EXTENDS": 20.0, "COMPARES": 15.0, "USES": 12.0}
@@ -112,11 +114,24 @@ def rank_order() -> list[F.Column]:
     return [F.desc("score"), F.desc("is_paper"), F.desc("presort"), F.asc("hops"), F.asc(F.array_join("keys", "|"))]
 
 
+def ranked_by(rows: DataFrame, *order: F.Column | str) -> DataFrame:
+    """Adds ``rank`` from 1 to all rows, without bringing them into one task.
+
+    Rows are dealt out by ranges of the order and written once; each range is numbered by itself, after the counts of
+    the ranges before it.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return dealt.withColumn("place", place).join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.col("place")).drop("range", "before", "place")
+
+
 def ranked(paths: DataFrame, order: list[F.Column], top: int | None = None) -> DataFrame:
     """Adds ``rank`` from 1.  With ``top``, Spark sorts only that many rows of each task; give it wherever not all ranks are needed."""
-    if top is not None:
-        paths = paths.orderBy(*order).limit(max(top, 0))
-    return paths.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if top is None:
+        return ranked_by(paths, *order).withColumn("rank", F.col("rank").cast("int"))
+    return paths.orderBy(*order).limit(max(top, 0)).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def totals(paths: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import paths as P
 from ..sources import graph_fixture
+from ..sources.tables import written
 from ._registry import Registry
 
 TARGET, K = "P1", 3
@@ -17,6 +18,11 @@ def _all(spark, d, k=K):
     return P.candidates(P.expand(graph_fixture.load(spark, d).edge, TARGET, k))
 
 
+def _once(spark, d, k=K):
+    """The paths, written, for queries that read them more than once."""
+    return written(_all(spark, d, k))
+
+
 def _flat(df, *more):
     return df.select(F.array_join("keys", "|").alias("path"), "node", "node_label", F.col("hops").cast("bigint").alias("hops"), *more)
 
@@ -83,7 +89,7 @@ def path_score(spark, d):
 @R.add("path_totals", walk() + """SELECT count(*) AS total_paths, count(*) FILTER (WHERE is_paper) AS total_paper_paths, count(*) FILTER (WHERE NOT is_paper) AS total_entity_paths,
 CAST(sum(hops) AS BIGINT) AS total_edges, (SELECT count(DISTINCT id) FROM (SELECT unnest(route) AS id FROM ranked)) AS total_nodes FROM ranked""")
 def path_totals(spark, d):
-    return P.totals(_all(spark, d))
+    return P.totals(_once(spark, d))
 
 
 @R.add("rank_candidates", walk() + f"SELECT CAST(rank AS INTEGER) AS rank, {_ROW}, score FROM ranked")
@@ -107,7 +113,7 @@ def response_limit(spark, d):
 @R.add("topn_paths", walk() + f"""SELECT * FROM (SELECT 'entity' AS class, {_ROW}, presort FROM found WHERE cite_count = 0 AND entity_count > 0 ORDER BY presort DESC, hops, path LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 'paper', {_ROW}, presort FROM found WHERE cite_count > 0 ORDER BY cite_importance DESC, hops, path LIMIT 5)""")
 def topn_paths(spark, d):
-    found = _all(spark, d)
+    found = _once(spark, d)
     papers = found.where("is_paper").orderBy(*P.paper_order()).limit(5)
     entities = found.where("not is_paper").orderBy(*P.entity_order()).limit(5)
     return _flat(entities, "presort").withColumn("class", F.lit("entity")).unionByName(_flat(papers, "presort").withColumn("class", F.lit("paper")))
@@ -115,7 +121,7 @@ def topn_paths(spark, d):
 
 @R.add("union_path_classes", walk() + "SELECT CASE WHEN is_paper THEN 'paper' ELSE 'entity' END AS class, count(*) AS paths, sum(score) AS score FROM ranked GROUP BY 1")
 def union_path_classes(spark, d):
-    found = _all(spark, d)
+    found = _once(spark, d)
     both = found.where("is_paper").withColumn("class", F.lit("paper")).unionByName(found.where("not is_paper").withColumn("class", F.lit("entity")))
     return both.groupBy("class").agg(F.count("*").alias("paths"), F.sum("score").alias("score"))
 
@@ -144,7 +150,7 @@ def first_appearance_dedupe(spark, d):
 def _firsts(best, limit):
     places = best.select("rank", F.posexplode("route").alias("place", "id"))
     firsts = places.groupBy("id").agg(F.min(F.struct("rank", "place")).alias("first")).orderBy("first").limit(limit)
-    return P.ranked(firsts, [F.asc("first")]).select("id", F.col("rank").alias("position"))
+    return P.ranked(firsts, [F.asc("first")], limit).select("id", F.col("rank").alias("position"))
 
 
 @R.add("merge_edges_first", walk() + """, best AS (SELECT * FROM ranked WHERE rank <= 50), places AS (SELECT rank, keys[i] AS key, i FROM best, unnest(range(1, len(keys) + 1)) AS t(i)),
@@ -153,13 +159,13 @@ def merge_edges_first(spark, d):
     best = P.ranked(_all(spark, d), P.rank_order(), top=50)
     rows = best.select("rank", "route", F.posexplode("rels").alias("place", "rel")).select("rank", "place", F.get("route", F.col("place")).alias("from_id"), F.get("route", F.col("place") + 1).alias("to_id"), "rel.*")
     firsts = rows.groupBy("from_id", "to_id", "type").agg(F.min(F.struct("rank", "place", "importance", "citation")).alias("first"))
-    return P.ranked(firsts, [F.asc("first.rank"), F.asc("first.place")]).select("from_id", "to_id", "type", F.col("first.importance").alias("importance_score"), F.col("first.citation").alias("citation_type"), F.col("rank").alias("position"))
+    return P.ranked(firsts, [F.asc("first.rank"), F.asc("first.place")], 50 * K).select("from_id", "to_id", "type", F.col("first.importance").alias("importance_score"), F.col("first.citation").alias("citation_type"), F.col("rank").alias("position"))
 
 
 @R.add("graph_summary", walk() + """, best AS (SELECT * FROM ranked WHERE rank <= 50) SELECT count(*) AS paths, (SELECT count(DISTINCT id) FROM (SELECT unnest(route) AS id FROM best)) AS unique_nodes,
 (SELECT count(DISTINCT key) FROM (SELECT unnest(keys) AS key FROM best)) AS unique_edges FROM best""")
 def graph_summary(spark, d):
-    best = P.ranked(_all(spark, d), P.rank_order(), top=50)
+    best = written(P.ranked(_all(spark, d), P.rank_order(), top=50))
     nodes = best.select(F.explode("route").alias("id")).agg(F.countDistinct("id").alias("unique_nodes"))
     edges = best.select(F.explode("keys").alias("key")).agg(F.countDistinct("key").alias("unique_edges"))
     return best.agg(F.count("*").alias("paths")).withColumns({"unique_nodes": nodes.scalar(), "unique_edges": edges.scalar()})
@@ -180,7 +186,7 @@ def grounding_topk(spark, d):
 @R.add("prompt_defaults", walk() + "SELECT greatest(1, count(*)) AS max_paths, greatest(1, (SELECT count(DISTINCT id) FROM (SELECT unnest(route) AS id FROM ranked))) AS max_nodes, CAST(greatest(1, sum(hops)) AS BIGINT) AS max_edges, CAST(3 AS BIGINT) AS neighbor_k FROM ranked")
 def prompt_defaults(spark, d):
     one = F.lit(1).cast("bigint")
-    t = P.totals(_all(spark, d))
+    t = P.totals(_once(spark, d))
     return t.select(F.greatest("total_paths", one).alias("max_paths"), F.greatest("total_nodes", one).alias("max_nodes"), F.greatest("total_edges", one).alias("max_edges"), F.greatest(F.lit(K).cast("bigint"), one).alias("neighbor_k"))
 
 
@@ -188,7 +194,7 @@ def prompt_defaults(spark, d):
 UNION SELECT DISTINCT 'edge', split_part(key, '>', 2) FROM (SELECT unnest(keys) AS key FROM ranked)) SELECT kind, name, CAST(row_number() OVER (PARTITION BY kind ORDER BY name <> 'Paper', name) AS INTEGER) AS position FROM t""")
 def type_collect(spark, d):
     g = graph_fixture.load(spark, d)
-    found = _all(spark, d)
+    found = _once(spark, d)
     nodes = found.select(F.explode("route").alias("id")).distinct().join(g.entity.select("id", "type"), "id", "left").select(F.lit("node").alias("kind"), F.coalesce("type", F.lit("Paper")).alias("name"))
     edges = found.select(F.explode("rels").alias("r")).select(F.lit("edge").alias("kind"), F.col("r.type").alias("name"))
     order = Window.partitionBy("kind").orderBy(F.col("name") != "Paper", "name")
