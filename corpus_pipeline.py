@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm import decontamination, language_id, line_dedup, mixing, ngram_join
+from trailweave.llm._columns import shielded
 from trailweave.llm._store import stored
 
 
@@ -17,8 +18,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup (9): takes later matching lines out of the texts; every document stays."""
-    done = line_dedup.dedup_lines(docs)
-    return done.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    kind = docs.schema["n_chars"].dataType
+    return shielded(docs, lambda given: line_dedup.dedup_lines(given).withColumn("n_chars", F.length("text").cast(kind)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._columns import shielded
 from ._store import drop, stored
 from ._text import WORDS, flat, list_array, owners, pieces, word_hashes
 
@@ -228,12 +229,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, least: int = 20, k
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Those ``documents`` that aren't contaminated."""
+    """Those ``documents`` that aren't contaminated; rows of one id and text share their fate, and all columns pass."""
     row = {"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__digest": F.xxhash64("text")}
-    given = documents.withColumns(row)
-    found = contamination(given.select("doc_id", "text", *row), benchmark, keep=tuple(row), **options)
-    gone = stored(found.where("contaminated").select(*row).distinct())
-    return given.join(gone, list(row), "left_anti").select(*documents.columns)
+
+    def run(documents: DataFrame) -> DataFrame:
+        given = documents.withColumns(row)
+        found = contamination(given.select("doc_id", "text", *row), benchmark, keep=tuple(row), **options)
+        gone = stored(found.where("contaminated").select(*row).distinct())
+        return given.join(gone, list(row), "left_anti")
+
+    return shielded(documents, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

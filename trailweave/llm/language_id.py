@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._columns import shielded
+
 UNDETERMINED = "und"
 _PAD = 1  # stands for the end of a word; no letter has this code point
 _BITS = 21  # of a code point
@@ -65,7 +67,7 @@ def top(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:size]]
 
 
-def train_profiles(documents: DataFrame, size: int = 300, max_languages: int = 10_000) -> dict[str, np.ndarray]:
+def train_profiles(documents: DataFrame, size: int = 300, max_languages: int = 10_000, merge_at: int = 500_000) -> dict[str, np.ndarray]:
     """The ``size`` most frequent n-grams of each non-null ``lang``, best first, counted over all texts given.
 
     Tasks count what they read; only their totals for each language and n-gram are shuffled.  The profiles are
@@ -74,14 +76,28 @@ def train_profiles(documents: DataFrame, size: int = 300, max_languages: int = 1
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        new: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held = 0
+
+        def merge() -> None:
+            for lang, found in new.items():
+                found = [*found, *([total[lang]] if lang in total else [])]
+                codes, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+                total[lang] = codes, np.bincount(where, np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
+            new.clear()
+
         for batch in batches:
-            by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                by.setdefault(lang, []).append(ngram_counts(text.as_py()))
-            for lang, found in by.items():
-                codes, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([n for _, n in found]), minlength=len(codes)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["lang", "code", "n"])
+                one = ngram_counts(text.as_py())
+                new.setdefault(lang, []).append(one)
+                held += len(one[0])
+                if held > merge_at:
+                    merge()
+                    held = 0
+        merge()
+        for lang, (codes, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
     known = documents.where(F.col("lang").isNotNull()).select("lang", "text")
     counts = known.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -146,12 +162,12 @@ def predict(documents: DataFrame, profiles: dict[str, np.ndarray], size: int = 3
 
 def recognised(documents: DataFrame, profiles: dict[str, np.ndarray], least: float = 0.3) -> DataFrame:
     """Those ``documents`` whose language isn't ``und`` and whose ``score`` is at least ``least``: near enough to some profile."""
-    keep = tuple(documents.columns)
-    if {"lang_pred", "score"} & set(keep):
-        found = predict(documents.select("doc_id", "text", F.struct("*").alias("__row")), profiles, keep=("__row", "text"))
-        return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("__row.*")
-    found = predict(documents, profiles, keep=keep)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*keep)
+
+    def run(given: DataFrame) -> DataFrame:
+        found = predict(given, profiles, keep=tuple(given.columns))
+        return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+
+    return shielded(documents, run)
 
 
 def fold(column: str, parts: int) -> F.Column:

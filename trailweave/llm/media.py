@@ -190,8 +190,9 @@ def sniff(data: bytes) -> list[Found]:
 
 
 def to_wav(samples: bytes, rate: int = RATE) -> bytes:
-    """Mono WAV with 8 bits a sample; the number of samples must be even."""
-    return b"RIFF" + struct.pack("<I", 36 + len(samples)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate, 1, 8) + b"data" + struct.pack("<I", len(samples)) + samples
+    """Mono WAV with 8 bits a sample; a chunk of an odd number is padded."""
+    pad = bytes(len(samples) % 2)
+    return b"RIFF" + struct.pack("<I", 36 + len(samples) + len(pad)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate, 1, 8) + b"data" + struct.pack("<I", len(samples)) + samples + pad
 
 
 def wav_samples(data: bytes) -> tuple[int, bytes]:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._columns import shielded
 from ._components import components
 from ._store import drop, release, stored
 from ._text import mix, pieces, windows, word_hashes
@@ -230,6 +231,10 @@ def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, tr
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
     """Those ``documents`` that have the least id of their group (see ``near_duplicates``), one of rows that are the same."""
+    return shielded(documents, lambda given: _one_of_each(given, **options))
+
+
+def _one_of_each(documents: DataFrame, **options) -> DataFrame:
     row = {"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__key": F.xxhash64("text")}
     groups = stored(near_duplicates(documents, **options).withColumn("__doc", row["__doc"]))
     stays = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("group_doc")) & (F.col("key") == F.col("group_key")))
@@ -237,8 +242,8 @@ def one_of_each(documents: DataFrame, **options) -> DataFrame:
     left = documents.withColumns(row).join(gone, ["__doc", "__key"], "left_anti")
     twice = groups.where(F.col("key").isNotNull() & stays & (F.col("copies") > 1)).groupBy("__doc", F.col("key").alias("__key")).count().where("count > 1")
     if not twice.isEmpty():
-        left = left.dropDuplicates(["__doc", "__key"])
-    return left.select(*documents.columns)
+        left = left.where("text is null").unionAll(left.where("text is not null").dropDuplicates(["__doc", "__key"]))
+    return left
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
