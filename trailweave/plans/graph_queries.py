@@ -105,20 +105,20 @@ def _best_nodes(spark, d, g):
 
 @R.add("node_details", _SHOWN + " SELECT s.id, CASE WHEN p.id IS NULL THEN 'Entity' ELSE 'Paper' END AS label, coalesce(p.title, e.name) AS name, e.type AS entity_type, p.title, p.summary, e.description FROM shown s LEFT JOIN paper p USING (id) LEFT JOIN entity e USING (id)")
 def node_details(spark, d):
-    g = graph_fixture.load(spark, d)
+    g = graph_fixture.load_for_paths(spark, d)
     return L.node_details(_best_nodes(spark, d, g), L.names(g))
 
 
 @R.add("edge_endpoint_check", _SHOWN + " SELECT key FROM edge WHERE src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown)")
 def edge_endpoint_check(spark, d):
-    g = graph_fixture.load(spark, d)
+    g = graph_fixture.load_for_paths(spark, d)
     return L.endpoints_in(g.edge, _best_nodes(spark, d, g)).select("key")
 
 
 @R.add("path_highlight_match", walk() + f""", names AS (SELECT * FROM {NAMES}), hit AS (SELECT n.id, n.name FROM names n JOIN (SELECT DISTINCT unnest(route) AS id FROM ranked WHERE rank <= 3) USING (id))
 SELECT n.id, n.name FROM names n WHERE EXISTS (SELECT 1 FROM hit h WHERE h.id = n.id OR contains(lower(n.name), lower(h.name)) OR contains(lower(h.name), lower(n.name)))""")
 def path_highlight_match(spark, d):
-    g = graph_fixture.load(spark, d)
+    g = graph_fixture.load_for_paths(spark, d)
     best = P.candidates(P.expand(g.edge, "P1", 3)).orderBy(*P.rank_order()).limit(3)
     hit = best.select(F.explode("route").alias("id")).distinct().join(L.names(g), "id")
     return L.highlight(L.names(g).select("id", "name"), hit)
@@ -144,7 +144,7 @@ _LATE = """, late AS (SELECT list(p.id) AS ids FROM paper p, (SELECT published_d
 
 @R.add("future_paper_filter", walk() + _LATE + " SELECT path, array_to_string([x FOR x IN route IF NOT list_contains(ids, x)], '>') AS kept FROM ranked, late")
 def future_paper_filter(spark, d):
-    g = graph_fixture.load(spark, d)
+    g = graph_fixture.load_for_paths(spark, d)
     kept = C.without_future(P.candidates(P.expand(g.edge, "P1", 3)), g.paper, "P1")
     return kept.select(F.array_join("keys", "|").alias("path"), F.array_join("kept", ">").alias("kept"))
 
@@ -166,27 +166,27 @@ def _options(name, **more):
 
 @R.add("path_filter", _KEPT + "SELECT CAST(idx AS INTEGER) AS idx, array_to_string(nodes, '<') AS nodes, array_to_string(keys, '|') AS edges, score FROM kept")
 def path_filter(spark, d):
-    found = C.prepared(graph_fixture.load(spark, d), "P1", 3, _options("paths"))
+    found = C.prepared(graph_fixture.load_for_paths(spark, d), "P1", 3, _options("paths"))
     edges = F.transform("edges", lambda e: F.concat_ws(">", e["from_id"], e["type"], e["to_id"]))
     return found.select("idx", F.array_join(F.transform("nodes", lambda n: n["id"]), "<").alias("nodes"), F.array_join(edges, "|").alias("edges"), "score")
 
 
 @R.add("select_paths", walk() + "SELECT 0 AS part, CAST(rank AS INTEGER) AS rank, path FROM ranked WHERE rank <= 25 UNION ALL SELECT * FROM (SELECT 1, CAST(row_number() OVER (ORDER BY hops, path) AS INTEGER) AS rank, path FROM found2 ORDER BY rank LIMIT 25)".replace("found2", "(WITH RECURSIVE w AS (SELECT 'P1' AS node, 0 AS hops, CAST([] AS VARCHAR[]) AS keys UNION ALL SELECT e.dst, hops + 1, list_append(keys, e.key) FROM w JOIN edge e ON e.src = w.node WHERE hops < 1 AND NOT list_contains(keys, e.key)) SELECT hops, array_to_string(keys, '|') AS path FROM w WHERE hops > 0)"))
 def select_paths(spark, d):
-    found = C.select_paths(graph_fixture.load(spark, d), "P1", 3, C.Options(scope="path_plus_k_hop", max_paths=25, neighbor_k=1))
+    found = C.select_paths(graph_fixture.load_for_paths(spark, d), "P1", 3, C.Options(scope="path_plus_k_hop", max_paths=25, neighbor_k=1))
     return found.select("part", "rank", F.array_join("keys", "|").alias("path"))
 
 
 @R.add("merge_nodes", _KEPT + "SELECT CAST(number AS INTEGER) AS number, id, label, name, CASE label WHEN 'Paper' THEN 'Summary=' || summary ELSE 'Type=' || kind END AS details FROM nodes")
 def merge_nodes(spark, d):
-    g = graph_fixture.load(spark, d)
+    g = graph_fixture.load_for_paths(spark, d)
     found = C.merged_nodes(C.prepared(g, "P1", 3, _options("paths")), g, _options("paths"))
     return found.withColumn("details", F.array_join(F.transform("details", lambda x: F.concat_ws("=", x["k"], x["v"])), ";"))
 
 
 @R.add("max_edges_trunc", _KEPT + "SELECT CAST(number AS INTEGER) AS number, src AS from_id, dst AS to_id, type FROM edges ORDER BY number LIMIT 20")
 def max_edges_trunc(spark, d):
-    g = graph_fixture.load(spark, d)
+    g = graph_fixture.load_for_paths(spark, d)
     o = _options("paths")
     paths = C.prepared(g, "P1", 3, o)
     return C.kept_edges(C.merged_edges(paths, o), C.merged_nodes(paths, g, o), 20).select("number", "from_id", "to_id", "type")
@@ -197,7 +197,7 @@ said AS (SELECT idx, string_agg(name || CASE WHEN label IS NULL THEN '' ELSE ' <
 SELECT 0 AS section, 0 AS ord, '### Graph Paths' AS line UNION ALL SELECT 1, CAST(idx AS INTEGER), idx || '. ' || body FROM said UNION ALL SELECT 2, 0, '' UNION ALL SELECT 2, 1, '### Node Details'
 UNION ALL SELECT 3, CAST(number AS INTEGER), '- ' || name || ' (' || label || ')' || chr(10) || '  - ' || CASE label WHEN 'Paper' THEN 'Summary: ' || summary ELSE 'Type: ' || kind END FROM nodes""")
 def ctx_paths(spark, d):
-    return C.context_lines(graph_fixture.load(spark, d), "P1", 3, _options("paths"))
+    return C.context_lines(graph_fixture.load_for_paths(spark, d), "P1", 3, _options("paths"))
 
 
 @R.add("ctx_triples", _KEPT + """SELECT 0 AS section, 0 AS ord, '## Relationships' AS line UNION ALL
@@ -205,19 +205,19 @@ SELECT 1, CAST(e.number AS INTEGER), '(' || a.name || ', ' || e.type || coalesce
 UNION ALL SELECT 2, 0, '' UNION ALL SELECT 2, 1, '## Node Attributes' UNION ALL SELECT 3, CAST(number AS INTEGER), '(' || name || ', is_a, ' || label || ')' || chr(10) || '(' || name || ', ' || CASE label WHEN 'Paper' THEN 'summary, "' || summary ELSE 'type, "' || kind END || '")' FROM nodes
 UNION ALL SELECT 4, 0, '' UNION ALL SELECT 4, 1, '## Ranked Paths' UNION ALL SELECT 5, CAST(k.idx AS INTEGER), 'Path[score=' || k.score || ']: ' || r.route FROM kept k JOIN (SELECT idx, string_agg(name, ' -> ' ORDER BY i) AS route FROM spots JOIN nodes USING (id) GROUP BY idx) r USING (idx)""")
 def ctx_triples(spark, d):
-    return C.context_lines(graph_fixture.load(spark, d), "P1", 3, _options("triples"))
+    return C.context_lines(graph_fixture.load_for_paths(spark, d), "P1", 3, _options("triples"))
 
 
 @R.add("ctx_mermaid")
 def ctx_mermaid(spark, d):
-    return C.context_lines(graph_fixture.load(spark, d), "P1", 3, _options("mermaid"))
+    return C.context_lines(graph_fixture.load_for_paths(spark, d), "P1", 3, _options("mermaid"))
 
 
 @R.add("ctx_narrative")
 def ctx_narrative(spark, d):
-    return C.context_lines(graph_fixture.load(spark, d), "P1", 3, _options("narrative"))
+    return C.context_lines(graph_fixture.load_for_paths(spark, d), "P1", 3, _options("narrative"))
 
 
 @R.add("ctx_json_graph")
 def ctx_json_graph(spark, d):
-    return C.context_lines(graph_fixture.load(spark, d), "P1", 3, _options("json_graph"))
+    return C.context_lines(graph_fixture.load_for_paths(spark, d), "P1", 3, _options("json_graph"))

@@ -15,7 +15,7 @@ R = Registry()
 
 
 def _all(spark, d, k=K):
-    return P.candidates(P.expand(graph_fixture.load(spark, d).edge, TARGET, k))
+    return P.candidates(P.expand(graph_fixture.load_for_paths(spark, d).edge, TARGET, k))
 
 
 def _once(spark, d, k=K):
@@ -50,7 +50,7 @@ _ROW = "path, node, node_label, CAST(hops AS BIGINT) AS hops"
 
 @R.add("multihop_paths", walk() + f"SELECT {_ROW}, weight FROM found")
 def multihop_paths(spark, d):
-    return _flat(P.expand(graph_fixture.load(spark, d).edge, TARGET, K), "weight")
+    return _flat(P.expand(graph_fixture.load_for_paths(spark, d).edge, TARGET, K), "weight")
 
 
 @R.add("paper_paths", walk() + f"SELECT {_ROW}, cite_importance, CAST(row_number() OVER (ORDER BY cite_importance DESC, hops, path) AS INTEGER) AS rank FROM found WHERE cite_count > 0")
@@ -65,18 +65,18 @@ def entity_paths(spark, d):
 
 @R.add("k_hop_paths", walk(2, back=True) + f", best AS (SELECT *, sum(hops) OVER (ORDER BY hops, path ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT * FROM found ORDER BY hops, path LIMIT 200)) SELECT {_ROW}, CAST(0 AS DOUBLE) AS score FROM best WHERE used <= 300")
 def k_hop_paths(spark, d):
-    return _flat(P.k_hop(graph_fixture.load(spark, d).edge, TARGET, 2, max_paths=200, max_edges=300), "score")
+    return _flat(P.k_hop(graph_fixture.load_for_paths(spark, d).edge, TARGET, 2, max_paths=200, max_edges=300), "score")
 
 
 @R.add("edge_budget_prefix", walk(2, back=True) + f", best AS (SELECT *, sum(hops) OVER (ORDER BY hops, path ROWS UNBOUNDED PRECEDING) AS used FROM found) SELECT {_ROW}, CAST(used AS BIGINT) AS edges_used FROM best WHERE used <= 100")
 def edge_budget_prefix(spark, d):
-    found = P.expand(graph_fixture.load(spark, d).edge, TARGET, 2, return_to_start=True)
+    found = P.expand(graph_fixture.load_for_paths(spark, d).edge, TARGET, 2, return_to_start=True)
     return _flat(P.within_edge_budget(found, [F.asc("hops"), F.asc(F.array_join("keys", "|"))], 100), "edges_used")
 
 
 @R.add("undirected_khop", walk(2, edge=BOTH, back=True) + f"SELECT {_ROW} FROM found ORDER BY hops, path LIMIT 50")
 def undirected_khop(spark, d):
-    found = P.expand(P.both_ways(graph_fixture.load(spark, d).edge), TARGET, 2, return_to_start=True)
+    found = P.expand(P.both_ways(graph_fixture.load_for_paths(spark, d).edge), TARGET, 2, return_to_start=True)
     return _flat(found.orderBy("hops", F.array_join("keys", "|")).limit(50))
 
 
@@ -129,8 +129,8 @@ def union_path_classes(spark, d):
 @R.add("union_scopes", walk() + f""", near AS (SELECT {_ROW} FROM found WHERE hops <= 2)
 SELECT 'path' AS part, {_ROW} FROM (SELECT * FROM ranked ORDER BY rank LIMIT 30) UNION ALL SELECT 'k_hop', * FROM (SELECT * FROM near ORDER BY hops, path LIMIT 30)""")
 def union_scopes(spark, d):
-    edge = graph_fixture.load(spark, d).edge
-    best = _all(spark, d).orderBy(*P.rank_order()).limit(30)
+    edge = graph_fixture.load_for_paths(spark, d).edge
+    best = P.candidates(P.expand(edge, TARGET, K)).orderBy(*P.rank_order()).limit(30)
     near = P.expand(edge, TARGET, 2).orderBy("hops", F.array_join("keys", "|")).limit(30)
     return _flat(best).withColumn("part", F.lit("path")).unionByName(_flat(near).withColumn("part", F.lit("k_hop")))
 

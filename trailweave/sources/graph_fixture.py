@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import written
+
 PAPER, ENTITY = "Paper", "Entity"
 
 
@@ -60,6 +62,12 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(paper, entity, edge)
 
 
+def load_for_paths(spark: SparkSession, sf_dir: str) -> Graph:
+    """As ``load``, with the edges written once, as each hop of a path reads them."""
+    graph = load(spark, sf_dir)
+    return replace(graph, edge=written(graph.edge))
+
+
 #: What a line's flags stand for; other flags have no citation type.
 CITATION_TYPES = {"AF": "EXTENDS", "AO": "COMPARES", "NF": "USES", "NO": "BACKGROUND", "RF": "MENTIONS"}
 
