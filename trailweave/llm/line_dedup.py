@@ -23,7 +23,7 @@ def merged_counts(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return keys, np.bincount(where, np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
 
 
-def word_counts(documents: DataFrame, table: np.ndarray = WORDS, flush: int = 4_000_000) -> DataFrame:
+def word_counts(documents: DataFrame, table: np.ndarray = WORDS, flush: int = 1_000_000) -> DataFrame:
     """Occurrences ``n`` of each word (its hash as ``word``) in all texts; tasks add up before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +164,21 @@ class Threshold:
         return self.least(total, self.t / (1 + self.t))
 
 
-ROW = "word bigint, salt bigint, place int, size int, cls bigint, doc bigint, line int, bits0 bigint, bits1 bigint"
+#: Columns of what prefixes emit, each an array's bytes: one value for each row.
+ROW = {"word": np.int64, "salt": np.int64, "place": np.int32, "size": np.int32, "cls": np.int64, "doc": np.int64, "line": np.int32, "bits0": np.uint64, "bits1": np.uint64}
 
 
-def prefixes(documents: DataFrame, rarity, threshold: Threshold, group: int) -> DataFrame:
-    """A row (see ``ROW``) for each word in the prefix of each distinct line, with a 128-bit parity signature of its words.
+def _groups(word: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """One number for each group.  Should two ever get the same, their lines meet for nothing; none are missed."""
+    return mix(word.view(np.uint64) + mix(salt.view(np.uint64)))
 
-    A word of more than ``group`` occurrences is dealt out by pairs of blocks of lines, so that no group gets more
-    than two blocks of about that size, and every two lines still meet.
+
+def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, group: int, wanted=None) -> DataFrame:
+    """Rows (see ``ROW``) for each word in the prefix of each distinct line, with a 128-bit parity signature of its words.
+
+    They are dealt to buckets by group, and what a piece of texts has for a bucket is one row of ``bucket`` and packed
+    columns.  A word of more than ``group`` occurrences is dealt out by pairs of blocks of lines, so that no group gets
+    more than two blocks of about that size, and every two lines still meet.  ``wanted`` is a bitmap of the words asked for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +194,13 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, group: int) ->
                 size = np.diff(ends)
                 bit = np.uint64(1) << (words & np.uint64(63))
                 low = (words & np.uint64(64)) == 0
-                bits = [np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), ends[:-1]).view(np.int64) for x in (low, ~low)]
+                bits = [np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), ends[:-1]) for x in (low, ~low)]
                 of = owners(ends)
                 place = np.arange(len(words)) - ends[of]
-                some = np.flatnonzero((place < threshold.probe(size)[of]) & (order.at_most(words) > 1))
+                some = place < threshold.probe(size)[of]
+                if wanted is not None:
+                    some &= in_bitmap(wanted.value, words.view(np.int64))
+                some = np.flatnonzero(some & (order.at_most(words) > 1))
                 n = -(-order.at_most(words[some]) // group)
                 salt = np.zeros(len(some), np.int64)
                 if (n > 1).any():
@@ -202,35 +212,39 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, group: int) ->
                     salt = np.minimum(own, other) * times[rows] + np.maximum(own, other)
                     some = some[rows]
                 at = of[some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (words[some].view(np.int64), salt, place[some].astype(np.int32), size[at].astype(np.int32), lines.cls[at].view(np.int64), doc[lines.row[at]], lines.number[at].astype(np.int32), bits[0][at], bits[1][at])],
-                    [x.split()[0] for x in ROW.split(", ")],
-                )
+                word = words[some].view(np.int64)
+                bucket = (_groups(word, salt) % np.uint64(buckets)).astype(np.int32)
+                sort = np.argsort(bucket, kind="stable")
+                some_buckets, starts = np.unique(bucket[sort], return_index=True)
+                starts = np.append(starts, len(sort))
+                columns = (word, salt, place[some], size[at], lines.cls[at].view(np.int64), doc[lines.row[at]], lines.number[at], bits[0][at], bits[1][at])
+                packed = [pa.array(some_buckets)]
+                for values, kind in zip(columns, ROW.values(), strict=True):
+                    data = np.ascontiguousarray(values[sort], kind)
+                    packed.append(pa.Array.from_buffers(pa.binary(), len(some_buckets), [None, pa.py_buffer((starts * data.itemsize).astype(np.int32)), pa.py_buffer(data)]))
+                yield pa.RecordBatch.from_arrays(packed, ["bucket", *ROW])
 
-    return documents.select("doc_id", "text").mapInArrow(run, ROW)
+    return documents.select("doc_id", "text").mapInArrow(run, "bucket int, " + ", ".join(f"{name} binary" for name in ROW))
 
 
-def pair_up(rows: pa.Table, threshold: Threshold, limit: int, probes: np.ndarray | None = None) -> list[np.ndarray]:
-    """Candidates among rows sorted by (word, salt, doc, line): for each later line up to ``limit`` earlier ones, nearest first.
+def pair_up(rows: dict[str, np.ndarray], threshold: Threshold, limit: int, probes: np.ndarray | None = None) -> list[np.ndarray]:
+    """Candidates among the rows of some groups: for each later line up to ``limit`` earlier ones, nearest first.
 
-    Returns the later line's class, the earlier one's, and whether the limit may have left some out.
+    Returns the later line's class, the earlier one's, whether the limit may have left some out, and the word they share.
     """
-    col = lambda name: np.asarray(rows.column(name).combine_chunks())
-    word, salt, place, size, cls, doc, line = (col(x) for x in ("word", "salt", "place", "size", "cls", "doc", "line"))
-    bits = [col("bits0").view(np.uint64), col("bits1").view(np.uint64)]
-    fresh = (np.diff(word, prepend=~word[:1]) != 0) | (np.diff(salt, prepend=-1) != 0)
-    key = np.cumsum(fresh)
-    order = np.lexsort((line, doc, cls, key))  # one row of each class, its first
-    order = order[(np.diff(key[order], prepend=-1) != 0) | (np.diff(cls[order], prepend=~cls[order[:1]]) != 0)]
-    order = order[np.lexsort((cls[order], line[order], doc[order], key[order]))]
-    key, place, size, cls = key[order], place[order].astype(np.int64), size[order].astype(np.int64), cls[order]
-    bits = [b[order] for b in bits]
-    first = np.searchsorted(key, key)
+    order = np.lexsort((rows["line"], rows["doc"], key := _groups(rows["word"], rows["salt"])))
+    key, cls = key[order], rows["cls"][order]
+    _, first = np.unique(mix(key + mix(cls.view(np.uint64))), return_index=True)  # one row of each class in a group, its first
+    first.sort()
+    order, key, cls = order[first], key[first], cls[first]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
+    later = np.flatnonzero(~fresh) if probes is None else np.flatnonzero(~fresh & np.isin(cls, probes))
+    place, size = rows["place"][order].astype(np.int64), rows["size"][order].astype(np.int64)
+    bits = [rows[x][order] for x in ("bits0", "bits1")]
     count = np.zeros(len(key), np.int64)
-    probe = threshold.probe(size)
-    index = threshold.index(size)
-    least = threshold.least(size, threshold.t)
-    later = np.flatnonzero(np.arange(len(key)) > first) if probes is None else np.flatnonzero((np.arange(len(key)) > first) & np.isin(cls, probes))
+    probe, index, least = threshold.probe(size), threshold.index(size), threshold.least(size, threshold.t)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     k = 1
     while len(later):
@@ -240,52 +254,51 @@ def pair_up(rows: pa.Table, threshold: Threshold, limit: int, probes: np.ndarray
         ok = (np.minimum(sx, sy) >= np.where(small, least[y], least[x])) & np.where(small, (px < index[x]) & (py < probe[y]), (py < index[y]) & (px < probe[x]))
         x, y = x[ok], y[ok]
         need = threshold.overlap(size[x] + size[y])
-        ok = 1 + np.minimum(size[x] - place[x], size[y] - place[y]) - 1 >= need
+        ok = np.minimum(size[x] - place[x], size[y] - place[y]) >= need
         ok &= np.bitwise_count(bits[0][x] ^ bits[0][y]).astype(np.int64) + np.bitwise_count(bits[1][x] ^ bits[1][y]) <= size[x] + size[y] - 2 * need
         x, y = x[ok], y[ok]
         out.append((x, y))
         count[x] += 1
         k += 1
-        later = later[(later - k >= first[later]) & (count[later] < limit)]
+        later = later[(later - k >= begin[later]) & (count[later] < limit)]
     x, y = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-    return [cls[x], cls[y], count[x] >= limit]
+    return [cls[x], cls[y], count[x] >= limit, rows["word"][order][x]]
 
 
-def candidates(rows: DataFrame, threshold: Threshold, limit: int, probes: DataFrame | None = None) -> DataFrame:
-    """Pairs (``later``, ``earlier``) of classes that pass all filters in the group of some word; ``cut``: there may be more."""
-    some = probes is not None
-    if some:
-        rows = rows.join(probes.withColumn("probe", F.lit(True)), "cls", "left")
-    else:
-        rows = rows.withColumn("probe", F.lit(True))
+def candidates(packed: DataFrame, threshold: Threshold, limit: int, probes: DataFrame | None = None, most_probes: int = 2_000_000) -> DataFrame:
+    """Pairs (``later``, ``earlier``) of classes that pass all filters in the group of some ``word``; ``cut``: there may be more.
+
+    With ``probes``, only their classes count as later; up to ``most_probes`` go to all tasks, and more are found by a join afterwards.
+    """
+    held = None
+    if probes is not None and probes.count() <= most_probes:
+        held = packed.sparkSession.sparkContext.broadcast(np.asarray(probes.select("cls").toArrow().column("cls").combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        name: int | None = None
+        parts: list[pa.RecordBatch] = []
 
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            only = None if not some else np.unique(np.asarray(rows.filter(rows.column("probe").fill_null(False)).column("cls").combine_chunks()))
-            x, y, cut = pair_up(rows, threshold, limit, only)
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(cut)], ["later", "earlier", "cut"])
+        def out() -> pa.RecordBatch:
+            rows = {c: np.concatenate([np.frombuffer(x.as_buffer(), kind) for part in parts for x in part.column(c)]) for c, kind in ROW.items()}
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pair_up(rows, threshold, limit, None if held is None else held.value)], ["later", "earlier", "cut", "word"])
 
-        n = 0
         for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            n += len(batch)
-            if n < 100_000:
-                continue
-            word, salt = (np.asarray(batch.column(x)) for x in ("word", "salt"))
-            cut = int(np.flatnonzero((word != word[-1]) | (salt != salt[-1])).max(initial=-1)) + 1
-            if cut:  # all but the last group, which may go on
-                yield out(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
-                held, n = [batch.slice(cut)], len(batch) - cut
-        if n:
-            yield out(pa.Table.from_batches(held))
-
-    dealt = rows.repartition("word", "salt").sortWithinPartitions("word", "salt", "doc", "line")
-    found = dealt.mapInArrow(run, "later bigint, earlier bigint, cut boolean")
-    return found.groupBy("later", "earlier").agg(F.max("cut").alias("cut"))
+            bucket = np.asarray(batch.column("bucket"))
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if parts and name != bucket[i]:
+                    yield out()
+                    parts = []
+                name = bucket[i]
+                parts.append(batch.slice(i, j - i))
+        if parts:
+            yield out()
+
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(run, "later bigint, earlier bigint, cut boolean, word bigint")
+    if probes is not None and held is None:
+        found = found.join(probes.withColumnRenamed("cls", "later"), "later", "left_semi")
+    return found
 
 
 def class_bitmap(classes: DataFrame) -> np.ndarray:
@@ -322,37 +335,44 @@ def word_sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return found.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words"))
 
 
-def similar_classes(documents: DataFrame, threshold: float = 0.8, table_words: int = 2_000_000, group: int = 1_000_000) -> DataFrame:
+def similar_classes(documents: DataFrame, threshold: float = 0.8, table_words: int = 2_000_000, group: int = 200_000, bucket_words: int = 1_200_000) -> DataFrame:
     """Classes (``cls``) of lines of which an earlier line of another class has a Jaccard similarity of ``threshold`` or more.
 
     A class is the lines with the same words in the same order (a 64-bit hash); its place is that of its first line.
+    The first round looks at the two nearest candidates in each group; for the few lines whose candidates all fail
+    where there may be more, the next rounds read only the groups in which that was so, with a higher limit.
     """
     spark = documents.sparkSession
     limits = Threshold(Fraction(str(threshold)))
     counts = stored(word_counts(documents))
     rarity = spark.sparkContext.broadcast(Rarity.of(counts, table_words))
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // bucket_words))
     drop(counts)
     release(spark)
     done: list[DataFrame] = []
-    probes, limit = None, 2
+    probes, wanted, limit = None, None, 2
     while True:
-        pairs = stored(candidates(prefixes(documents, rarity, limits, group), limits, limit, probes))
+        raw = stored(candidates(prefixes(documents, rarity, limits, buckets, group, wanted), limits, limit, probes))
         release(spark)
-        asked = pairs.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct()
+        pairs = raw.select("later", "earlier").distinct()
+        asked = stored(raw.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct())
         sets = stored(word_sets(documents, asked))
         a, b = sets.toDF("later", "a"), sets.toDF("earlier", "b")
         common = F.size(F.array_intersect("a", "b"))
         part, whole = limits.t.numerator, limits.t.denominator
         true = (whole * common >= part * (F.size("a") + F.size("b") - common)).alias("similar")
-        seen = pairs.join(a, "later").join(b, "earlier").select("later", "cut", true)
-        seen = stored(seen.groupBy("later").agg(F.max("similar").alias("similar"), F.max("cut").alias("cut")))
-        drop(pairs, sets)
-        release(spark)
+        seen = pairs.join(a, "later").join(b, "earlier").select("later", true)
+        seen = stored(seen.groupBy("later").agg(F.max("similar").alias("similar")))
         done.append(seen.where("similar").select(F.col("later").alias("cls")))
-        probes = seen.where("cut and not similar").select(F.col("later").alias("cls"))
-        if probes.isEmpty():
+        left = stored(raw.where("cut").select("later", "word").distinct().join(seen.where("not similar").select("later"), "later", "left_semi"))
+        drop(raw, sets, asked)
+        release(spark)
+        probes = left.select(F.col("later").alias("cls")).distinct()
+        if left.isEmpty():
             break
-        limit *= 16
+        wanted = spark.sparkContext.broadcast(class_bitmap(left.select(F.col("word").alias("cls"))))
+        limit *= 32
     found = done[0]
     for more in done[1:]:
         found = found.unionAll(more)
@@ -397,12 +417,13 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8, **options) -> Data
     lower-cased, and lines match when the Jaccard similarity of their sets of words is ``threshold`` or more.
     Earlier means the smaller ``doc_id`` (null last), then the smaller line number.  Lines without words always stay.
     Null texts stay null with 0 lines; a document that loses all its lines keeps its row with an empty text.  Repeated
-    rows (same id and text) are one document and keep the same lines.  Other columns pass through.
+    rows (same id and text) are one document and keep the same lines.  Other columns pass through, but for those
+    that are called ``n_lines`` and ``n_removed``.
     """
     gone = removals(documents, threshold, **options).withColumnsRenamed({"doc": "__doc", "hash": "__hash", "lines": "__lines"})
     given = documents.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__hash": F.xxhash64("text")})
     joined = given.join(gone, ["__doc", "__hash"], "left")
-    names = documents.columns
+    names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,7 +441,7 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8, **options) -> Data
             columns = {name: batch.column(name) for name in names} | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(out, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
     return joined.select(*names, "__lines").mapInArrow(run, f"{schema}, n_lines bigint, n_removed bigint")
 
 
