@@ -76,8 +76,8 @@ def swap_bias(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("metric").agg(F.count("*").alias("games"), F.avg(F.col("consistent").cast("int")).alias("agreement"), F.avg(first).alias("first_twice"))
 
 
-def sources_of(ideas: DataFrame, sources: DataFrame, known: tuple[str, ...] = ("ideagraph", "coi", "target_paper")) -> DataFrame:
-    """Adds each idea's ``source`` by ``idx`` (unknown ones are ideagraph) and whether it ``is_target``."""
+def sources_of(ideas: DataFrame, sources: DataFrame, known: tuple[str, ...] = ("graph", "coi", "target_paper")) -> DataFrame:
+    """Adds each idea's ``source`` by ``idx`` (unknown ones are the first of ``known``) and whether it ``is_target``."""
     both = ideas.join(sources.select("idx", F.col("source").alias("given")), "idx", "left")
     source = F.when(F.col("given").isin(*known), F.col("given")).otherwise(known[0])
     return both.withColumn("source", source).withColumn("is_target", F.col("source") == "target_paper").drop("given")

@@ -103,7 +103,7 @@ def report_single(spark, d):
     return M.single_report(ranked, scored)
 
 
-@R.add("proposal_source_map", f"WITH {SQL} SELECT idx, idea, CASE WHEN p_size % 4 = 1 THEN 'coi' WHEN p_size % 4 = 2 THEN 'target_paper' ELSE 'ideagraph' END AS source, p_size % 4 = 2 AS is_target FROM ideas")
+@R.add("proposal_source_map", f"WITH {SQL} SELECT idx, idea, CASE WHEN p_size % 4 = 1 THEN 'coi' WHEN p_size % 4 = 2 THEN 'target_paper' ELSE 'graph' END AS source, p_size % 4 = 2 AS is_target FROM ideas")
 def proposal_source_map(spark, d):
     ideas = _ideas(spark, d)
     given = F.when(F.col("size") % 4 == 1, "coi").when(F.col("size") % 4 == 2, "target_paper").otherwise("unheard of")
