@@ -20,6 +20,7 @@ _BITS = 20  # of a class of words
 _MASK = (1 << _BITS) - 1
 _ROW = 2 * _BITS  # a pair of classes is below this bit
 CONTEXTS = 48  # buckets of a context's frequency, by powers of two
+PIECE = 2 << 20  # bytes of text that are scored together
 _STEP = 0.02  # of log10, to which held-out probabilities are rounded while weights are learned
 
 
@@ -90,7 +91,7 @@ def _dealt(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return order, some, np.append(starts, len(codes))
 
 
-def pair_counts(documents: DataFrame, words, buckets: int, flush: int = 3_000_000) -> DataFrame:
+def pair_counts(documents: DataFrame, words, buckets: int, flush: int = 1_000_000) -> DataFrame:
     """Counts of pairs in training and in held-out texts, dealt to buckets: rows of arrays ``pair``, ``train`` and ``held``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def pair_counts(documents: DataFrame, words, buckets: int, flush: int = 3_000_00
             return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), list_array(codes[order], starts), list_array(train[order].astype(np.int32), starts), list_array(held[order].astype(np.int32), starts)], ["bucket", "pair", "train", "held"])
 
         for batch in batches:
-            for i, j in pieces(batch.column("text")):
+            for i, j in pieces(batch.column("text"), PIECE):
                 part = Part.of(batch.column("text").slice(i, j - i), words.value)
                 held = np.asarray(batch.column("held_out").slice(i, j - i).cast(pa.int8())).astype(bool)[part.row]
                 for k, some in enumerate((~held, held)):
@@ -210,7 +211,7 @@ class Model:
 
 
 _META = "array<struct<{id}, held_out: boolean, n_tokens: bigint>>"
-_SUMS = "base array<double>, score array<double>, known array<bigint>"
+_SUMS = "at array<int>, base array<double>, score array<double>, known array<bigint>"
 
 
 def _partial(documents: DataFrame, model, buckets: int) -> DataFrame:
@@ -225,7 +226,7 @@ def _partial(documents: DataFrame, model, buckets: int) -> DataFrame:
         v = m.words
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for i, j in pieces(batch.column("text")):
+            for i, j in pieces(batch.column("text"), PIECE):
                 given = batch.slice(i, j - i)
                 size = len(given)
                 part = Part.of(given.column("text"), v)
@@ -249,6 +250,7 @@ def _partial(documents: DataFrame, model, buckets: int) -> DataFrame:
                 meta = pa.StructArray.from_arrays([given.column("doc_id"), given.column("held_out"), pa.array(n_tokens)], ["doc_id", "held_out", "n_tokens"])
                 one = np.array([0, size])
                 rest = len(some)
+                every = np.arange(size, dtype=np.int32)
                 none = lambda kind: pa.nulls(rest, pa.list_(kind))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -258,19 +260,21 @@ def _partial(documents: DataFrame, model, buckets: int) -> DataFrame:
                         list_array((2 * rows + ~held[rows])[order].astype(np.int32), np.append(starts, starts[-1])),
                         list_array(times[order].astype(np.int32), np.append(starts, starts[-1])),
                         pa.concat_arrays([none(meta.type), pa.ListArray.from_arrays(pa.array(one.astype(np.int32)), meta)]),
-                        *(pa.concat_arrays([none(pa.from_numpy_dtype(x.dtype)), list_array(x, one)]) for x in (base, score, known.astype(np.int64))),
-                        pa.array(np.full(rest + 1, size, np.int32)),
+                        *(pa.concat_arrays([none(pa.from_numpy_dtype(x.dtype)), list_array(x, one)]) for x in (every, base.astype(np.float64), score.astype(np.float64), known.astype(np.int64))),
                     ],
-                    ["bucket", "chunk", "code", "row", "times", "meta", "base", "score", "known", "size"],
+                    ["bucket", "chunk", "code", "row", "times", "meta", "at", "base", "score", "known"],
                 )
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     meta = _META.format(id=f"doc_id: {kind}")
-    return documents.select("doc_id", "held_out", "text").mapInArrow(run, f"bucket int, chunk bigint, code array<bigint>, row array<int>, times array<int>, meta {meta}, {_SUMS}, size int")
+    return documents.select("doc_id", "held_out", "text").mapInArrow(run, f"bucket int, chunk bigint, code array<bigint>, row array<int>, times array<int>, meta {meta}, {_SUMS}")
 
 
 def _looked_up(partial: DataFrame, model) -> DataFrame:
-    """Sums for each piece of texts of what each bucket counts; rows with ``meta`` pass."""
+    """Sums of what each bucket counts, for each piece of texts: of its texts numbered ``at``, which have something in the bucket.
+
+    Rows with ``meta`` pass with their own sums.  There are no more sums than codes, however many buckets there are.
+    """
     kind = partial.schema["meta"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,21 +293,15 @@ def _looked_up(partial: DataFrame, model) -> DataFrame:
             score[is_pair] = m.log10(found[is_pair], n[is_pair])
             base = np.where(is_pair, 0.0, v.base(n))
             known = np.where(is_pair, 0, n > 0)
-            sizes = np.asarray(rows.column("size"))
-            begin = np.concatenate(([0], np.cumsum(sizes)))
-            place = (row >> 1) + np.repeat(begin[:-1], np.diff(ends))
-            sums = [np.bincount(place, x[at] * times, begin[-1]) for x in (base, score, known)]
-            sums[2] = np.round(sums[2]).astype(np.int64)
-            meta = rows.column("meta")
-            own = np.asarray(meta.is_valid())
-            arrays = []
-            for name, x in zip(("base", "score", "known"), sums, strict=True):
-                if own.any():
-                    given, cut = flat(rows.column(name).take(pa.array(np.flatnonzero(own))))
-                    x[np.concatenate([np.arange(begin[k], begin[k + 1]) for k in np.flatnonzero(own)])] += given
-                arrays.append(list_array(x, begin))
-            yield pa.RecordBatch.from_arrays([rows.column("chunk"), meta, *arrays], ["chunk", "meta", "base", "score", "known"])
-
+            of = (owners(ends) << 32) | (row >> 1)
+            some, where = np.unique(of, return_inverse=True)
+            sums = [np.bincount(where, x[at] * times, len(some)).astype(np.float64) for x in (base, score, known)]
+            cuts = np.searchsorted(some >> 32, np.arange(len(ends)))
+            place = (some & 0xFFFFFFFF).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([rows.column("chunk"), pa.nulls(rows.num_rows, rows.column("meta").type), *(list_array(x, cuts) for x in (place, sums[0], sums[1], np.round(sums[2]).astype(np.int64)))], names)
+            yield pa.RecordBatch.from_arrays([rows.column(c) for c in names], names).filter(rows.column("meta").is_valid())
+
+    names = ["chunk", "meta", "at", "base", "score", "known"]
     dealt = partial.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, f"chunk bigint, meta {kind}, {_SUMS}")
 
@@ -316,15 +314,16 @@ def _texts(sums: DataFrame, tokens: int) -> DataFrame:
         meta = next(x for x in rows.column("meta") if x.is_valid).values
         total = [np.zeros(len(meta)), np.zeros(len(meta)), np.zeros(len(meta), np.int64)]
         for k, name in enumerate(("base", "score", "known")):
-            for x in rows.column(name):
-                total[k] += np.asarray(x.values)
+            for at, x in zip(rows.column("at"), rows.column(name), strict=True):
+                if len(x):
+                    total[k][np.asarray(at.values)] += np.asarray(x.values)
         columns = {"doc_id": meta.field("doc_id"), "held_out": meta.field("held_out"), "n_tokens": meta.field("n_tokens"), "n_known": pa.array(total[2]), "train_tokens": pa.array(np.full(len(meta), tokens)), "base_score": pa.array(total[0]), "score": pa.array(total[1])}
         return pa.table(columns)
 
     return sums.groupBy("chunk").applyInArrow(run, f"doc_id {id_kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def score(documents: DataFrame, size: int = 1_000_000, frequent_pairs: int = 1_000_000, bucket_tokens: int = 1_500_000) -> DataFrame:
+def score(documents: DataFrame, size: int = 1_000_000, frequent_pairs: int = 1_000_000, bucket_tokens: int = 750_000) -> DataFrame:
     """Scores whole texts (``doc_id``, ``text``, ``held_out``) by a model of those that aren't ``held_out``; its weights come from those that are.
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+`` after A-Z is lower-cased, and one end of each text; a null text is
