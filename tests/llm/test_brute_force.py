@@ -177,6 +177,14 @@ def test_lm_probabilities_sum_to_one(spark):
     assert got[100] > got[103]
 
 
+def test_lm_learns_nothing_from_held_out_texts(spark):
+    rng = random.Random(3)
+    train = [(i, prose(rng, 60, 40), False) for i in range(40)]
+    folds = [[], [(100 + i, prose(rng, 60, 40), True) for i in range(20)], [(100 + i, train[i][1], True) for i in range(20)]]
+    first, *others = ({r["doc_id"]: r["score"] for r in lm_score.score(spark.createDataFrame(train + fold, "doc_id bigint, text string, held_out boolean")).collect() if r["doc_id"] < 100} for fold in folds)
+    assert all(abs(first[d] - other[d]) < 1e-9 for other in others for d in first)
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -21,7 +21,18 @@ _MASK = (1 << _BITS) - 1
 _ROW = 2 * _BITS  # a pair of classes is below this bit
 CONTEXTS = 48  # buckets of a context's frequency, by powers of two
 PIECE = 2 << 20  # bytes of text that are scored together
-_STEP = 0.02  # of log10, to which held-out probabilities are rounded while weights are learned
+_STEP = 0.02  # of log10, to which deleted probabilities are rounded while weights are learned
+
+
+def context_bucket(count: np.ndarray) -> np.ndarray:
+    return np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1))), 0).astype(np.int64)
+
+
+def log_step(n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The rounded probability n / of; 1023 where it is 0."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = np.where((n > 0) & (of > 0), np.log10(n / of), -np.inf)
+    return np.where(np.isinf(p), 1023, np.minimum(np.round(-p / _STEP), 1022)).astype(np.int64)
 
 
 @dataclass
@@ -44,7 +55,7 @@ class Vocabulary:
         k = len(self.word)
         self.other, self.end, self.start = k, k + 1, k + 2
         self.count = np.concatenate((self.n, [self.tokens - self.texts - self.n.sum(), self.texts, self.texts]))
-        self.bucket = np.where(self.count > 0, 1 + np.floor(np.log2(np.maximum(self.count, 1))), 0).astype(np.int64)
+        self.bucket = context_bucket(self.count)
         self.spread = 1 / (max(self.types - (self.texts > 0) - k, 0) + 1)  # of each word in the class of others, one for the unseen
 
     def classes(self, h: np.ndarray) -> np.ndarray:
@@ -91,34 +102,27 @@ def _dealt(codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return order, some, np.append(starts, len(codes))
 
 
-def pair_counts(documents: DataFrame, words, buckets: int, flush: int = 1_000_000) -> DataFrame:
-    """Counts of pairs in training and in held-out texts, dealt to buckets: rows of arrays ``pair``, ``train`` and ``held``."""
+def pair_counts(train: DataFrame, words, buckets: int, flush: int = 1_000_000) -> DataFrame:
+    """Counts of pairs in training texts, dealt to buckets: rows of arrays ``pair`` and ``n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            (a, n), (b, m) = (merged_counts(f) if f else none for f in found)
-            for f in found:
-                f.clear()
-            codes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-            train, held = (np.bincount(i, w, len(codes)).astype(np.int64) for i, w in ((at[: len(a)], n), (at[len(a) :], m)))
+            codes, n = merged_counts(found)
+            found.clear()
             order, some, starts = _dealt(codes, buckets)
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), list_array(codes[order], starts), list_array(train[order].astype(np.int32), starts), list_array(held[order].astype(np.int32), starts)], ["bucket", "pair", "train", "held"])
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), list_array(codes[order], starts), list_array(n[order].astype(np.int32), starts)], ["bucket", "pair", "n"])
 
         for batch in batches:
             for i, j in pieces(batch.column("text"), PIECE):
-                part = Part.of(batch.column("text").slice(i, j - i), words.value)
-                held = np.asarray(batch.column("held_out").slice(i, j - i).cast(pa.int8())).astype(bool)[part.row]
-                for k, some in enumerate((~held, held)):
-                    found[k].append(np.unique(part.pair[some], return_counts=True))
-                if sum(len(x) for f in found for x, _ in f) > flush:
+                found.append(np.unique(Part.of(batch.column("text").slice(i, j - i), words.value).pair, return_counts=True))
+                if sum(len(x) for x, _ in found) > flush:
                     yield out()
-        if any(found):
+        if found:
             yield out()
 
-    return documents.select("text", "held_out").mapInArrow(run, "bucket int, pair array<bigint>, train array<int>, held array<int>")
+    return train.select("text").mapInArrow(run, "bucket int, pair array<bigint>, n array<int>")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -141,7 +145,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def pair_statistics(counted: DataFrame, words, frequent: int) -> DataFrame:
     """From ``pair_counts``, rows of two kinds: ``code`` >= 0 is a pair that has more than ``frequent`` training tokens, with ``n`` of them.
 
-    Else -1 - code holds a bucket of context frequency and the rounded probabilities of held-out tokens, ``n`` in all.
+    Else -1 - code holds a bucket of context frequency and rounded probabilities of training tokens, ``n`` in all, each
+    estimated from all training tokens but that one: of its class after the one before, and of its class alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,18 +155,12 @@ def pair_statistics(counted: DataFrame, words, frequent: int) -> DataFrame:
             rows = rows.combine_chunks()
             column = lambda name: flat(rows.column(name).chunk(0))[0]
             pair, at = np.unique(column("pair"), return_inverse=True)
-            train, held = (np.bincount(at, column(x), len(pair)).astype(np.int64) for x in ("train", "held"))
-            often = train > frequent
-            yield pa.RecordBatch.from_arrays([pa.array(pair[often]), pa.array(train[often])], ["code", "n"])
-            some = held > 0
-            h, w = pair[some] >> _BITS, pair[some] & _MASK
-            logs = []
-            for a, b in ((train[some], v.count[h]), (v.count[w], np.full(len(w), v.tokens))):
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    p = np.where((a > 0) & (b > 0), np.log10(a / b), -np.inf)
-                logs.append(np.where(np.isinf(p), 1023, np.minimum(np.round(-p / _STEP), 1022)).astype(np.int64))
-            code, at = np.unique((v.bucket[h] << 20) | (logs[0] << 10) | logs[1], return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - code), pa.array(np.bincount(at, held[some], len(code)).astype(np.int64))], ["code", "n"])
+            n = np.bincount(at, column("n"), len(pair)).astype(np.int64)
+            often = n > frequent
+            yield pa.RecordBatch.from_arrays([pa.array(pair[often]), pa.array(n[often])], ["code", "n"])
+            h, w = v.count[pair >> _BITS], v.count[pair & _MASK]
+            code, at = np.unique((context_bucket(h - 1) << 20) | (log_step(n - 1, h - 1) << 10) | log_step(w - 1, np.full(len(w), v.tokens - 1)), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - code), pa.array(np.bincount(at, n, len(code)).astype(np.int64))], ["code", "n"])
 
     dealt = counted.repartition("bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(run, "code bigint, n bigint")
@@ -169,9 +168,9 @@ def pair_statistics(counted: DataFrame, words, frequent: int) -> DataFrame:
 
 
 def learn(code: np.ndarray, n: np.ndarray, classes: int, rounds: int = 100, tolerance: float = 1e-7) -> np.ndarray:
-    """Mixture weights (bigram, unigram, uniform) for each bucket of context frequency, by EM on held-out counts.
+    """Mixture weights (bigram, unigram, uniform) for each bucket of context frequency, by EM on leave-one-out counts.
 
-    Buckets without held-out tokens get those learned for all together; bucket 0, of unseen contexts, has no bigrams.
+    Buckets without tokens get those learned for all together; bucket 0, of unseen contexts, has no bigrams.
     """
     bucket, logs = code >> 20, ((code >> 10) & 1023, code & 1023)
     p = np.column_stack([np.where(x == 1023, 0.0, 10.0 ** (-_STEP * x)) for x in logs] + [np.full(len(code), 1 / classes)])
@@ -189,6 +188,7 @@ def learn(code: np.ndarray, n: np.ndarray, classes: int, rounds: int = 100, tole
 
     general = em(p, n) if len(n) else np.full(3, 1 / 3)
     weights = np.tile(general, (CONTEXTS, 1))
+    weights[0] = np.array([0, *general[1:]]) / general[1:].sum()
     for b in np.unique(bucket):
         weights[b] = em(p[bucket == b], n[bucket == b])
     return weights
@@ -324,13 +324,14 @@ def _texts(sums: DataFrame, tokens: int) -> DataFrame:
 
 
 def score(documents: DataFrame, size: int = 1_000_000, frequent_pairs: int = 1_000_000, bucket_tokens: int = 750_000) -> DataFrame:
-    """Scores whole texts (``doc_id``, ``text``, ``held_out``) by a model of those that aren't ``held_out``; its weights come from those that are.
+    """Scores whole texts (``doc_id``, ``text``, ``held_out``) by a model of those that aren't ``held_out``, which have no part in it.
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+`` after A-Z is lower-cased, and one end of each text; a null text is
     empty.  The model is one of bigrams over classes: the ``size`` most frequent words are a class each, and the
     rarer ones share one and its probability evenly.  A token's probability mixes maximum-likelihood estimates for
     its class after the one before, for the class alone, and a uniform one, with weights for the context's
-    frequency; ``score`` sums log10 of it.  ``base_score`` and ``n_known`` use every word's own count.
+    frequency; these are learned on the training tokens, each deleted from all counts that predict it.  ``score`` sums
+    log10 of the probabilities.  ``base_score`` and ``n_known`` use every word's own count.
 
     What is counted is dealt to buckets by hash, as many as the corpus takes; pairs that have more than one in
     ``frequent_pairs`` training tokens are looked up in a broadcast table (no more than so many can be) and never
@@ -346,11 +347,11 @@ def score(documents: DataFrame, size: int = 1_000_000, frequent_pairs: int = 1_0
     drop(counts)
     shared = spark.sparkContext.broadcast(words)
     buckets = max(1, -(-words.tokens // bucket_tokens))
-    statistics = stored(pair_statistics(pair_counts(given, shared, buckets), shared, words.tokens // frequent_pairs))
+    statistics = stored(pair_statistics(pair_counts(train, shared, buckets), shared, words.tokens // frequent_pairs))
     release(spark)
-    held = statistics.where("code < 0").toArrow()
+    deleted = statistics.where("code < 0").toArrow()
     often = statistics.where("code >= 0").toArrow()
-    code, n = (np.asarray(held.column(x).combine_chunks()) for x in ("code", "n"))
+    code, n = (np.asarray(deleted.column(x).combine_chunks()) for x in ("code", "n"))
     pair, times = (np.asarray(often.column(x).combine_chunks()) for x in ("code", "n"))
     order = np.argsort(pair)
     drop(statistics)
