@@ -185,6 +185,40 @@ def test_lm_learns_nothing_from_held_out_texts(spark):
     assert all(abs(first[d] - other[d]) < 1e-9 for other in others for d in first)
 
 
+def test_lm_of_all_words(spark):
+    rng = random.Random(4)
+    texts = {i: " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(80))) for i in range(120)}
+    docs = spark.createDataFrame([(i, t, i % 7 == 2) for i, t in texts.items()], "doc_id bigint, text string, held_out boolean")
+    pairs = {i: list(zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True)) for i, t in texts.items()}
+    both = Counter(p for i, x in pairs.items() if i % 7 != 2 for p in x)
+    before, own = Counter(), Counter()
+    for (h, w), n in both.items():
+        before[h] += n
+        own[w] += n
+    total, bucket = sum(own.values()), lambda n: n.bit_length()
+
+    def parts(n, h, w, total):
+        return (n / h if h else 0, w / total, 1 / (len(own) + 1))
+
+    weights = {}
+    for b in {bucket(before[h] - 1) for h, _ in both}:
+        rows = [(n, parts(n - 1, before[h] - 1, own[w] - 1, total - 1)) for (h, w), n in both.items() if bucket(before[h] - 1) == b]
+        weight = [1 / 3] * 3
+        for _ in range(100):
+            sums = [0.0] * 3
+            for n, p in rows:
+                mass = sum(x * y for x, y in zip(weight, p, strict=True))
+                for k in range(3):
+                    sums[k] += n * weight[k] * p[k] / mass
+            weight = [x / sum(sums) for x in sums]
+        weights[b] = weight
+    got = [{r["doc_id"]: r["score"] for r in lm_score.score(docs, size=k, bucket_tokens=500).collect()} for k in (1_000_000, 20, 0)]
+    for i, x in pairs.items():
+        want = sum(math.log10(sum(a * b for a, b in zip(weights[bucket(before[h])], parts(both[h, w], before[h], own[w], total), strict=True))) for h, w in x)
+        assert abs(got[0][i] - want) < 0.01 * abs(want)  # probabilities are rounded while weights are learned
+        assert all(abs(other[i] - got[0][i]) < 1e-6 for other in got[1:])
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
