@@ -145,6 +145,16 @@ def test_links_in_blocks(spark):
     assert {r["n"] for r in found.collect()} == {39} and found.count() == 40
 
 
+def test_links_in_more_blocks_than_texts(spark):
+    base = prose(random.Random(6), 200, 5000)
+    df = spark.createDataFrame([(k, f"{base} x{k}") for k in range(4)], "doc_id bigint, text string")
+    texts = ngram_join.labels(df, 5, 4, 4)
+    group = texts.select(F.col("key").alias("node"), F.lit(1).cast("bigint").alias("root"))
+    for shingles in (100, 50, 20):
+        found = ngram_join.links(df, texts, group, 5, 0.8, shingles=shingles).groupBy("key").agg(F.sum("links").alias("n"))
+        assert [r["n"] for r in found.collect()] == [3] * 4
+
+
 def test_lm_base(spark, docs):
     def tokens(text):
         return [t for t in fold_case(text or "").translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32}).split(" ") if t]

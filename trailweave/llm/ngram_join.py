@@ -113,10 +113,10 @@ def forest_edges(texts: DataFrame, trees: int, longest: int, depth: int) -> Data
     return found.where("bound is null").select("u", "v").unionAll(bounds.join(meet, "bound").select("u", F.col("least").alias("v"))).where("u != v").distinct()
 
 
-def verify(keys: np.ndarray, part: np.ndarray, shingles: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+def verify(keys: np.ndarray, part: np.ndarray, apart: bool, shingles: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Of some texts, how many others each is similar to, and the least key that it is linked with (by any path).
 
-    Compares the texts of part 0 with those of part 1, or, if there is but one part, each with each.  Shingles that
+    Compares the texts of part 0 with those of part 1 if ``apart`` (there may be none of either), else each with each.  Shingles that
     two texts share are counted by products of matrices, some thousand columns at a time.
     """
     size = np.array([len(s) for s in shingles])
@@ -138,7 +138,7 @@ def verify(keys: np.ndarray, part: np.ndarray, shingles: list[np.ndarray], t: Fr
     both = size[:, None] + size[None, :] - common
     linked = t.denominator * common >= t.numerator * both
     np.fill_diagonal(linked, False)
-    if part.any():
+    if apart:
         linked &= part[:, None] != part[None, :]
     root = keys.copy()
     while True:
@@ -175,7 +175,7 @@ def links(documents: DataFrame, texts: DataFrame, groups: DataFrame, n: int, thr
         name, keys, part, found = None, [], [], []
 
         def out() -> pa.RecordBatch:
-            count, root = verify(np.array(keys), np.array(part), found, t)
+            count, root = verify(np.array(keys), np.array(part), name[1] != name[2], found, t)
             some = count > 0
             return pa.RecordBatch.from_arrays([pa.array(np.array(keys)[some]), pa.array(count[some].astype(np.int64)), pa.array(root[some])], ["key", "links", "root"])
 
