@@ -229,6 +229,13 @@ def test_lm_of_all_words(spark):
         assert all(abs(other[i] - got[0][i]) < 1e-6 for other in got[1:])
 
 
+def test_labels_of_absent_documents_take_no_places(spark):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text", "en", "web", 9) for i in range(40)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id bigint, quality int")
+    model, same = (quality.train(docs, labels.where(f"doc_id < {n}"), "quality", size=40) for n in (4000, 40))
+    assert model is not None and (model.combine == same.combine).all()
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -182,11 +182,12 @@ def _sample(documents: DataFrame, ids: DataFrame, size: int) -> list[pa.Table]:
 def train(documents: DataFrame, labels: DataFrame, target: str, size: int = 8000, pool: int = 4000) -> Model | None:
     """Fits on a bounded sample: up to ``size`` labelled documents and ``pool`` unlabelled ones, those with the least hashes of ids.
 
-    Labels of a document that differ count by their mean.  Without labels of both classes there is no model.
+    Labels of a document that differ count by their mean, and those of absent documents not at all.  Without labels of both classes there is no model.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("y"))
-    known = known.withColumn("held", fold("doc_id", 4) == 2)
-    unknown = documents.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left_anti").withColumns({"y": F.lit(-1), "held": F.lit(False)})
+    given = documents.select("doc_id").where("doc_id is not null").distinct()
+    known = known.join(given, "doc_id", "left_semi").withColumn("held", fold("doc_id", 4) == 2)
+    unknown = given.join(known, "doc_id", "left_anti").withColumns({"y": F.lit(-1), "held": F.lit(False)})
     parts = [_sample(documents, known, size), _sample(documents, unknown, pool)]
     rows, found, y, held, n = [], [[], []], [], [], 0
     for features, ids in parts:
