@@ -15,3 +15,9 @@ def shielded(documents: DataFrame, run: Callable[[DataFrame], DataFrame]) -> Dat
     given = documents.columns
     names = [c if c in OWN else f"extra column {k}" for k, c in enumerate(given)]
     return run(documents.toDF(*names)).select(*(f"`{c}`" for c in names)).toDF(*given)
+
+
+def free_names(documents: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that ``documents`` doesn't have, whatever the case of its own."""
+    taken = {c.lower() for c in documents.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := f"own_{name}{'_' * k}") not in taken) for name in names]

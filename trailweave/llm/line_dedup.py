@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._columns import free_names
 from ._store import drop, release, stored
-from ._text import WORDS, _power, buffers, flat, hashes, list_array, mix, owners, pieces, spans, word_hashes
+from ._text import WORDS, _power, buffers, hashes, mix, owners, pieces, spans, word_hashes
 
 _LAST = np.iinfo(np.int64).max
 _BITS = 27  # of the bitmap of classes that are candidates: 16 MB
@@ -88,11 +89,12 @@ class Rarity:
 
 @dataclass
 class Lines:
-    """Lines of some texts that have words: row, number within the row, class, and where each one's words begin."""
+    """Lines of some texts that have words: row, number within the row, class (128 bits: ``cls`` and ``sub``), and where each one's words begin."""
 
     row: np.ndarray
     number: np.ndarray
     cls: np.ndarray
+    sub: np.ndarray
     ends: np.ndarray
     hash: np.ndarray
 
@@ -111,15 +113,15 @@ class Lines:
         number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[row])
         ends = np.concatenate((begin, [len(first)])).astype(np.int64)
         place = np.arange(len(h)) - np.repeat(begin, counts)
-        power = _power(int(counts.max(initial=0)) + 1)[0]
-        total = np.add.reduceat(h * power[place], begin) if len(begin) else np.zeros(0, np.uint64)
-        return cls(row, number, mix(total + counts.astype(np.uint64)), ends, h)
+        powers = _power(int(counts.max(initial=0)) + 1)
+        both = [mix(np.add.reduceat(x * power[place], begin) + counts.astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64) for x, power in zip((h, mix(h)), powers, strict=True)]
+        return cls(row, number, *both, ends, h)
 
     def take(self, lines: np.ndarray) -> Lines:
         counts = np.diff(self.ends)[lines]
         ends = np.concatenate(([0], np.cumsum(counts)))
         words = np.arange(ends[-1]) + np.repeat(self.ends[:-1][lines] - ends[:-1], counts)
-        return Lines(self.row[lines], self.number[lines], self.cls[lines], ends, self.hash[words])
+        return Lines(self.row[lines], self.number[lines], self.cls[lines], self.sub[lines], ends, self.hash[words])
 
     def sets(self, rarity: Rarity | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct words of each line, rarest first, and the lines' offsets among them."""
@@ -141,7 +143,7 @@ def _order(batch: pa.RecordBatch) -> np.ndarray:
 def _firsts(lines: Lines, doc: np.ndarray) -> Lines:
     """The first line of each class among some lines."""
     order = np.lexsort((lines.number, doc[lines.row]))
-    _, at = np.unique(lines.cls[order], return_index=True)
+    _, at = np.unique((lines.cls ^ mix(lines.sub))[order], return_index=True)
     return lines.take(np.sort(order[at]))
 
 
@@ -165,7 +167,7 @@ class Threshold:
 
 
 #: Columns of what prefixes emit, each an array's bytes: one value for each row.
-ROW = {"word": np.int64, "salt": np.int64, "place": np.int32, "size": np.int32, "cls": np.int64, "doc": np.int64, "line": np.int32, "bits0": np.uint64, "bits1": np.uint64}
+ROW = {"word": np.int64, "salt": np.int64, "place": np.int32, "size": np.int32, "cls": np.int64, "sub": np.int64, "doc": np.int64, "line": np.int32, "bits0": np.uint64, "bits1": np.uint64}
 
 
 def _groups(word: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -217,7 +219,7 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, g
                 sort = np.argsort(bucket, kind="stable")
                 some_buckets, starts = np.unique(bucket[sort], return_index=True)
                 starts = np.append(starts, len(sort))
-                columns = (word, salt, place[some], size[at], lines.cls[at].view(np.int64), doc[lines.row[at]], lines.number[at], bits[0][at], bits[1][at])
+                columns = (word, salt, place[some], size[at], lines.cls[at].view(np.int64), lines.sub[at].view(np.int64), doc[lines.row[at]], lines.number[at], bits[0][at], bits[1][at])
                 packed = [pa.array(some_buckets)]
                 for values, kind in zip(columns, ROW.values(), strict=True):
                     data = np.ascontiguousarray(values[sort], kind)
@@ -227,52 +229,109 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, g
     return documents.select("doc_id", "text").mapInArrow(run, "bucket int, " + ", ".join(f"{name} binary" for name in ROW))
 
 
-def pair_up(rows: dict[str, np.ndarray], threshold: Threshold, limit: int, probes: np.ndarray | None = None) -> list[np.ndarray]:
-    """Candidates among the rows of some groups: for each later line up to ``limit`` earlier ones, nearest first.
+def _expanded(low: np.ndarray, high: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (row, place) with ``low`` <= place < ``high`` of each row, in parts of about ``most``."""
+    ends = np.cumsum(np.maximum(high - low, 0))
+    i = 0
+    while i < len(low):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        n = np.maximum(high[i:j] - low[i:j], 0)
+        row = np.repeat(np.arange(i, j), n)
+        yield row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n - low[i:j], n)
+        i = j
 
-    Returns the later line's class, the earlier one's, whether the limit may have left some out, and the word they share.
+
+def pair_up(rows: dict[str, np.ndarray], threshold: Threshold, limit: int, doubtful: int = 16, probes: np.ndarray | None = None, near: int = 8, most: int = 1 << 20) -> list[np.ndarray]:
+    """Candidates among the rows of some groups: pairs of a later line and an earlier one that pass all filters.
+
+    Of a later line, no more are looked for once it has ``limit`` whose signatures leave little doubt, or ``doubtful`` of
+    any kind.  The ``near`` nearest lines of a group are looked at first, so that lines with many copies are soon done; the rest meet
+    those of a fitting size alone, the prefix of the smaller line being its shorter one (see ``Threshold.index``).
+    Returns numbers of rows, later and earlier, and whether there may be more for that line in that group.
     """
-    order = np.lexsort((rows["line"], rows["doc"], key := _groups(rows["word"], rows["salt"])))
-    key, cls = key[order], rows["cls"][order]
-    _, first = np.unique(mix(key + mix(cls.view(np.uint64))), return_index=True)  # one row of each class in a group, its first
+    key = _groups(rows["word"], rows["salt"])
+    mark = rows["cls"].view(np.uint64) ^ mix(rows["sub"].view(np.uint64))
+    order = np.lexsort((rows["line"], rows["doc"], key))
+    key, mark = key[order], mark[order]
+    _, first = np.unique(mix(key + mix(mark)), return_index=True)  # one row of each class in a group, its first
     first.sort()
-    order, key, cls = order[first], key[first], cls[first]
-    fresh = np.ones(len(key), bool)
+    order, key, mark = order[first], key[first], mark[first]
+    n = len(key)
+    fresh = np.ones(n, bool)
     fresh[1:] = key[1:] != key[:-1]
-    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-    later = np.flatnonzero(~fresh) if probes is None else np.flatnonzero(~fresh & np.isin(cls, probes))
+    group = np.cumsum(fresh) - 1
+    begin = np.flatnonzero(fresh)[group] if n else group
     place, size = rows["place"][order].astype(np.int64), rows["size"][order].astype(np.int64)
     bits = [rows[x][order] for x in ("bits0", "bits1")]
-    count = np.zeros(len(key), np.int64)
     probe, index, least = threshold.probe(size), threshold.index(size), threshold.least(size, threshold.t)
+    sure, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    k = 1
-    while len(later):
-        x, y = later, later - k
-        sx, sy, px, py = size[x], size[y], place[x], place[y]
-        small = sx < sy
-        ok = (np.minimum(sx, sy) >= np.where(small, least[y], least[x])) & np.where(small, (px < index[x]) & (py < probe[y]), (py < index[y]) & (px < probe[x]))
-        x, y = x[ok], y[ok]
+
+    def passed(x: np.ndarray, y: np.ndarray) -> None:
+        """Keeps the pairs (later, earlier) that pass the positional filter and that of signatures."""
         need = threshold.overlap(size[x] + size[y])
         ok = np.minimum(size[x] - place[x], size[y] - place[y]) >= need
-        ok &= np.bitwise_count(bits[0][x] ^ bits[0][y]).astype(np.int64) + np.bitwise_count(bits[1][x] ^ bits[1][y]) <= size[x] + size[y] - 2 * need
-        x, y = x[ok], y[ok]
+        x, y, need = x[ok], y[ok], need[ok]
+        apart = np.bitwise_count(bits[0][x] ^ bits[0][y]).astype(np.int64) + np.bitwise_count(bits[1][x] ^ bits[1][y])
+        room = size[x] + size[y] - 2 * need
+        ok = apart <= room
+        x, y, good = x[ok], y[ok], (2 * apart <= room)[ok]
         out.append((x, y))
-        count[x] += 1
-        k += 1
-        later = later[(later - k >= begin[later]) & (count[later] < limit)]
+        np.add.at(seen, x, 1)
+        np.add.at(sure, x[good], 1)
+
+    def open_rows(x: np.ndarray) -> np.ndarray:
+        return x[(sure[x] < limit) & (seen[x] < doubtful)]
+
+    later = np.flatnonzero(~fresh) if probes is None else np.flatnonzero(~fresh & np.isin(mark, probes))
+    for k in range(1, near + 1):
+        later = open_rows(later[later - k >= begin[later]])
+        x, y = later, later - k
+        small = size[x] < size[y]
+        ok = (np.minimum(size[x], size[y]) >= np.where(small, least[y], least[x])) & np.where(small, (place[x] < index[x]) & (place[y] < probe[y]), (place[y] < index[y]) & (place[x] < probe[x]))
+        passed(x[ok], y[ok])
+    later = open_rows(later[later - near > begin[later]])
+
+    by_size = np.lexsort((size, group))
+    sized = (group << 32 | size)[by_size]
+    small_side = place[by_size] < index[by_size]
+    # Earlier lines that are no larger than the later one, then larger ones: of each pair the smaller line is within its shorter prefix.
+    for smaller in (True, False):
+        some = np.flatnonzero(small_side) if smaller else np.flatnonzero(place[by_size] < probe[by_size])
+        lines, sizes = by_size[some], sized[some]
+        x = later[place[later] < (probe if smaller else index)[later]]
+        low_size, high_size = (least[x], size[x]) if smaller else (size[x] + 1, size[x] * threshold.t.denominator // threshold.t.numerator)
+        low, high = np.searchsorted(sizes, group[x] << 32 | low_size), np.searchsorted(sizes, group[x] << 32 | high_size, "right")
+        for start in range(0, len(x), 1 << 16):  # rows that are done meanwhile are left out
+            part = np.arange(start, min(start + (1 << 16), len(x)))
+            step = 256
+            while len(part := part[low[part] < high[part]]):
+                part = part[(sure[x[part]] < limit) & (seen[x[part]] < doubtful)]
+                stop = np.minimum(low[part] + step, high[part])
+                for row, at in _expanded(low[part], stop, most):
+                    a, b = x[part][row], lines[at]
+                    ok = b < a - near  # ranks by document and line; the nearest are done
+                    passed(a[ok], b[ok])
+                low[part] = stop
+                step *= 8
     x, y = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-    return [cls[x], cls[y], count[x] >= limit, rows["word"][order][x]]
+    return [order[x], order[y], (sure[x] >= limit) | (seen[x] >= doubtful)]
 
 
-def candidates(packed: DataFrame, threshold: Threshold, limit: int, probes: DataFrame | None = None, most_probes: int = 2_000_000) -> DataFrame:
-    """Pairs (``later``, ``earlier``) of classes that pass all filters in the group of some ``word``; ``cut``: there may be more.
+_PAIR = {"later": "cls", "later_sub": "sub", "earlier": "cls", "earlier_sub": "sub"}
+
+
+def candidates(packed: DataFrame, threshold: Threshold, limit: int, buckets: int, doubtful: int = 16, probes: DataFrame | None = None, most_probes: int = 2_000_000, most_tasks: int = 20_000) -> DataFrame:
+    """Pairs of classes, ``later`` and ``earlier`` (each with ``_sub``), that pass all filters in the group of some ``word``; ``cut``: there may be more.
 
     With ``probes``, only their classes count as later; up to ``most_probes`` go to all tasks, and more are found by a join afterwards.
     """
+    spark = packed.sparkSession
     held = None
     if probes is not None and probes.count() <= most_probes:
-        held = packed.sparkSession.sparkContext.broadcast(np.asarray(probes.select("cls").toArrow().column("cls").combine_chunks()))
+        found = probes.toArrow()
+        cls, sub = (np.asarray(found.column(c).combine_chunks()).view(np.uint64) for c in ("cls", "sub"))
+        held = spark.sparkContext.broadcast(cls ^ mix(sub))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name: int | None = None
@@ -280,7 +339,9 @@ def candidates(packed: DataFrame, threshold: Threshold, limit: int, probes: Data
 
         def out() -> pa.RecordBatch:
             rows = {c: np.concatenate([np.frombuffer(x.as_buffer(), kind) for part in parts for x in part.column(c)]) for c, kind in ROW.items()}
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in pair_up(rows, threshold, limit, None if held is None else held.value)], ["later", "earlier", "cut", "word"])
+            x, y, cut = pair_up(rows, threshold, limit, doubtful, None if held is None else held.value)
+            pair = [pa.array(rows[c][at]) for c, at in zip(_PAIR.values(), (x, x, y, y), strict=True)]
+            return pa.RecordBatch.from_arrays([*pair, pa.array(cut), pa.array(rows["word"][x])], [*_PAIR, "cut", "word"])
 
         for batch in batches:
             bucket = np.asarray(batch.column("bucket"))
@@ -294,10 +355,11 @@ def candidates(packed: DataFrame, threshold: Threshold, limit: int, probes: Data
         if parts:
             yield out()
 
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(run, "later bigint, earlier bigint, cut boolean, word bigint")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, most_tasks))
+    dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in _PAIR) + ", cut boolean, word bigint")
     if probes is not None and held is None:
-        found = found.join(probes.withColumnRenamed("cls", "later"), "later", "left_semi")
+        found = found.join(probes.toDF("later", "later_sub"), ["later", "later_sub"], "left_semi")
     return found
 
 
@@ -317,30 +379,41 @@ def in_bitmap(bitmap: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return (bitmap[low // 32768, at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1
 
 
-def word_sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct words of lines, one row for each class; a fixed bitmap of the classes asked for keeps most others out."""
+def described(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """All lines with words: ``doc`` to order by, the text's ``hash``, the line's number ``line``, its class (``cls``, ``sub``).
+
+    Lines of the ``classes`` asked for also have their distinct ``words``, once for each piece of texts; so have a few others, as
+    these are told by a bitmap of fixed size.
+    """
     held = documents.sparkSession.sparkContext.broadcast(class_bitmap(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = held.value
         for batch in batches:
             for i, j in pieces(batch.column("text")):
-                lines = Lines.of(batch.column("text").slice(i, j - i))
-                _, at = np.unique(lines.cls, return_index=True)
-                lines = lines.take(at[in_bitmap(bitmap, lines.cls[at].view(np.int64))])
-                words, ends = lines.sets()
-                yield pa.RecordBatch.from_arrays([pa.array(lines.cls.view(np.int64)), list_array(words.view(np.int64), ends)], ["cls", "words"])
+                part = batch.slice(i, j - i)
+                lines = Lines.of(part.column("text"))
+                _, at = np.unique(lines.cls ^ mix(lines.sub), return_index=True)
+                at = np.sort(at[in_bitmap(bitmap, lines.cls[at].view(np.int64))])
+                words, ends = lines.take(at).sets()
+                has = np.zeros(len(lines.cls), bool)
+                has[at] = True
+                sets = pa.ListArray.from_arrays(pa.array(np.append(ends[np.cumsum(has) - has], ends[-1]).astype(np.int32), mask=np.append(~has, False)), pa.array(words.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_order(part)[lines.row]), part.column("hash").take(pa.array(lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(lines.cls.view(np.int64)), pa.array(lines.sub.view(np.int64)), sets],
+                    ["doc", "hash", "line", "cls", "sub", "words"],
+                )
 
-    found = documents.select("text").mapInArrow(run, "cls bigint, words array<bigint>")
-    return found.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("words").alias("words"))
+    given = documents.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    return given.mapInArrow(run, "doc bigint, hash bigint, line int, cls bigint, sub bigint, words array<bigint>")
 
 
-def similar_classes(documents: DataFrame, threshold: float = 0.8, table_words: int = 2_000_000, group: int = 200_000, bucket_words: int = 1_200_000) -> DataFrame:
-    """Classes (``cls``) of lines of which an earlier line of another class has a Jaccard similarity of ``threshold`` or more.
+def similar_classes(documents: DataFrame, threshold: float = 0.8, table_words: int = 2_000_000, group: int = 200_000, bucket_words: int = 1_000_000, doubtful: int = 16) -> tuple[DataFrame, DataFrame]:
+    """All lines (see ``described``), and the classes of which an earlier line of another class has a Jaccard similarity of ``threshold`` or more.
 
-    A class is the lines with the same words in the same order (a 64-bit hash); its place is that of its first line.
-    The first round looks at the two nearest candidates in each group; for the few lines whose candidates all fail
-    where there may be more, the next rounds read only the groups in which that was so, with a higher limit.
+    A class is the lines with the same words in the same order (a 128-bit hash of the words' 64-bit ones); its place is
+    that of its first line.  The first round looks at few candidates for each line in each group; for the lines whose
+    candidates all fail where there may be more, further rounds read only the groups in which that was so, with higher limits.
     """
     spark = documents.sparkSession
     limits = Threshold(Fraction(str(threshold)))
@@ -351,63 +424,60 @@ def similar_classes(documents: DataFrame, threshold: float = 0.8, table_words: i
     drop(counts)
     release(spark)
     done: list[DataFrame] = []
-    probes, wanted, limit = None, None, 2
+    lines, probes, wanted, limit = None, None, None, 2
+    later, earlier = list(_PAIR)[:2], list(_PAIR)[2:]
     while True:
-        raw = stored(candidates(prefixes(documents, rarity, limits, buckets, group, wanted), limits, limit, probes))
+        raw = stored(candidates(prefixes(documents, rarity, limits, buckets, group, wanted), limits, limit, buckets, doubtful, probes))
         release(spark)
-        pairs = raw.select("later", "earlier").distinct()
-        asked = stored(raw.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct())
-        sets = stored(word_sets(documents, asked))
-        a, b = sets.toDF("later", "a"), sets.toDF("earlier", "b")
+        pairs = raw.select(*_PAIR).distinct()
+        asked = raw.select(F.explode(F.array(*(F.struct(F.col(a).alias("cls"), F.col(b).alias("sub")) for a, b in (later, earlier)))).alias("asked"))
+        asked = stored(asked.select("asked.*").distinct())
+        found = described(documents, asked)
+        if lines is None:
+            found = lines = stored(found)
+        sets = found.where("words is not null").select("cls", "sub", "words").join(asked, ["cls", "sub"], "left_semi")
+        sets = stored(sets.groupBy("cls", "sub").agg(F.first("words").alias("words")))
+        a, b = sets.toDF(*later, "a"), sets.toDF(*earlier, "b")
         common = F.size(F.array_intersect("a", "b"))
         part, whole = limits.t.numerator, limits.t.denominator
         true = (whole * common >= part * (F.size("a") + F.size("b") - common)).alias("similar")
-        seen = pairs.join(a, "later").join(b, "earlier").select("later", true)
-        seen = stored(seen.groupBy("later").agg(F.max("similar").alias("similar")))
-        done.append(seen.where("similar").select(F.col("later").alias("cls")))
-        left = stored(raw.where("cut").select("later", "word").distinct().join(seen.where("not similar").select("later"), "later", "left_semi"))
+        seen = pairs.join(a, later).join(b, earlier).select(*later, true)
+        seen = stored(seen.groupBy(*later).agg(F.max("similar").alias("similar")))
+        done.append(seen.where("similar").select(*later).toDF("cls", "sub"))
+        left = stored(raw.where("cut").select(*later, "word").distinct().join(seen.where("not similar").select(*later), later, "left_semi"))
         drop(raw, sets, asked)
         release(spark)
-        probes = left.select(F.col("later").alias("cls")).distinct()
+        probes = left.select(*later).distinct().toDF("cls", "sub")
         if left.isEmpty():
             break
         wanted = spark.sparkContext.broadcast(class_bitmap(left.select(F.col("word").alias("cls"))))
-        limit *= 32
+        limit, doubtful = limit * 32, doubtful * 32
     found = done[0]
     for more in done[1:]:
         found = found.unionAll(more)
-    return found
-
-
-def occurrences(documents: DataFrame) -> DataFrame:
-    """All lines with words: ``doc_id``, the text's ``hash``, the line's number ``line``, its class ``cls``, and ``doc`` to order by."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j in pieces(batch.column("text")):
-                part = batch.slice(i, j - i)
-                lines = Lines.of(part.column("text"))
-                at = pa.array(lines.row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("hash").take(at), pa.array(_order(part)[lines.row]), pa.array(lines.number.astype(np.int32)), pa.array(lines.cls.view(np.int64))],
-                    ["hash", "doc", "line", "cls"],
-                )
-
-    return documents.select("doc_id", "hash", "text").mapInArrow(run, "hash bigint, doc bigint, line int, cls bigint")
+    return lines, found
 
 
-def removals(documents: DataFrame, threshold: float = 0.8, **options) -> DataFrame:
+def removals(documents: DataFrame, threshold: float = 0.8, frequent: int = 1000, **options) -> DataFrame:
     """For each document with such lines, by (``doc``, ``hash``): ``lines``, the numbers of those to be removed.
 
     A line goes if it isn't the first of its class, or if its class has an earlier one at ``threshold`` or more,
-    whether that one stays or not; so the result doesn't depend on the order of the work.
+    whether that one stays or not; so the result doesn't depend on the order of the work.  Classes with more than one in
+    ``frequent`` lines are fewer than that and broadcast, so that no task gets all lines of one.
     """
-    later = similar_classes(documents, threshold, **options)
-    lines = stored(occurrences(documents.withColumn("hash", F.xxhash64("text"))))
-    first = lines.groupBy("cls").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
-    fate = first.join(later.withColumn("late", F.lit(True)), "cls", "left").where("late or n > 1")
-    gone = lines.join(fate, "cls").where(F.col("late").isNotNull() | (F.struct("doc", "line") != F.col("first")))
-    return gone.groupBy("doc", "hash").agg(F.collect_set("line").alias("lines"))
+    lines, later = similar_classes(documents, threshold, **options)
+    first = lines.groupBy("cls", "sub").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"))
+    fate = stored(first.join(later.withColumn("late", F.lit(True)), ["cls", "sub"], "left").where("late or n > 1"))
+    often = F.col("n") * frequent > lines.count()
+    hot = F.broadcast(fate.where(often))
+    own = lines.select("doc", "hash", "line", "cls", "sub")
+    rest = own.join(hot.select("cls", "sub"), ["cls", "sub"], "left_anti").join(fate.where(~often), ["cls", "sub"])
+    gone = own.join(hot, ["cls", "sub"]).unionByName(rest)
+    gone = gone.where(F.col("late").isNotNull() | (F.struct("doc", "line") != F.col("first")))
+    found = stored(gone.groupBy("doc", "hash").agg(F.collect_set("line").alias("lines")))
+    drop(lines, fate)
+    release(documents.sparkSession)
+    return found
 
 
 def dedup_lines(documents: DataFrame, threshold: float = 0.8, **options) -> DataFrame:
@@ -415,20 +485,22 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8, **options) -> Data
 
     Lines are what newlines separate; a line's words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is
     lower-cased, and lines match when the Jaccard similarity of their sets of words is ``threshold`` or more.
-    Earlier means the smaller ``doc_id`` (null last), then the smaller line number.  Lines without words always stay.
+    Earlier means the smaller ``doc_id`` (null last), then the smaller line number; of different texts of the same id, lines
+    of the same number are none earlier than the other.  Lines without words always stay.
     Null texts stay null with 0 lines; a document that loses all its lines keeps its row with an empty text.  Repeated
     rows (same id and text) are one document and keep the same lines.  Other columns pass through, but for those
     that are called ``n_lines`` and ``n_removed``.
     """
-    gone = removals(documents, threshold, **options).withColumnsRenamed({"doc": "__doc", "hash": "__hash", "lines": "__lines"})
-    given = documents.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__hash": F.xxhash64("text")})
-    joined = given.join(gone, ["__doc", "__hash"], "left")
+    doc, digest, numbers = free_names(documents, "doc", "hash", "lines")
+    gone = removals(documents, threshold, **options).toDF(doc, digest, numbers)
+    given = documents.withColumns({doc: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), digest: F.xxhash64("text")})
+    joined = given.join(gone, [doc, digest], "left")
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n, out = [], [], []
-            for text, lines in zip(batch.column("text").to_pylist(), batch.column("__lines"), strict=True):
+            for text, lines in zip(batch.column("text").to_pylist(), batch.column(numbers), strict=True):
                 all_lines = text.split("\n") if text is not None else []
                 n.append(len(all_lines))
                 gone = np.asarray(lines.values) if lines.is_valid else ()
@@ -442,7 +514,7 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8, **options) -> Data
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
-    return joined.select(*names, "__lines").mapInArrow(run, f"{schema}, n_lines bigint, n_removed bigint")
+    return joined.select(*(f"`{c}`" for c in names), numbers).mapInArrow(run, f"{schema}, n_lines bigint, n_removed bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
