@@ -6,7 +6,9 @@ import random
 import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,25 +136,47 @@ def test_near_duplicates(spark, docs):
     assert kept == {d for d, _ in rows if least[d] == d}
 
 
-def test_links_in_blocks(spark):
-    rng = random.Random(4)
-    base = prose(rng, 200, 5000).split()
-    rows = [(k, " ".join([*base[:-1], f"x{k}"])) for k in range(40)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    texts = ngram_join.labels(df, 5, 4, 4)
-    group = texts.select(F.col("key").alias("node"), F.lit(1).cast("bigint").alias("root"))
-    found = ngram_join.links(df, texts, group, 5, 0.8, members=7).groupBy("key").agg(F.sum("links").alias("n"))
-    assert {r["n"] for r in found.collect()} == {39} and found.count() == 40
-
-
-def test_links_in_more_blocks_than_texts(spark):
-    base = prose(random.Random(6), 200, 5000)
-    df = spark.createDataFrame([(k, f"{base} x{k}") for k in range(4)], "doc_id bigint, text string")
-    texts = ngram_join.labels(df, 5, 4, 4)
-    group = texts.select(F.col("key").alias("node"), F.lit(1).cast("bigint").alias("root"))
-    for shingles in (100, 50, 20):
-        found = ngram_join.links(df, texts, group, 5, 0.8, shingles=shingles).groupBy("key").agg(F.sum("links").alias("n"))
-        assert [r["n"] for r in found.collect()] == [3] * 4
+@pytest.mark.parametrize("options", [{"members": 7}, {"shingles": 100}, {"shingles": 20}, {"trees": 6, "longest": 3}])
+def test_links_in_blocks(spark, options):
+    base = prose(random.Random(4), 200, 5000).split()
+    for n in (40, 4):
+        df = spark.createDataFrame([(k, " ".join([*base[:-1], f"x{k}"])) for k in range(n)], "doc_id bigint, text string")
+        assert [r["n_links"] for r in ngram_join.near_duplicates(df, **options).collect()] == [n - 1] * n
+
+
+def test_chains_of_candidates(spark):
+    """Each text shares half its shingles with the next: candidates form one chain, links none, and no text goes to more tasks than it has partners."""
+    rng = random.Random(8)
+    parts = [prose(rng, 60, 10**6) for _ in range(201)]
+    df = spark.createDataFrame([(k, f"{parts[k]} {parts[k]} {parts[k + 1]}") for k in range(200)], "doc_id bigint, text string")
+    assert {(r["n_links"], r["group_doc"] == r["doc_id"]) for r in ngram_join.near_duplicates(df, members=16).collect()} == {(0, True)}
+    texts = ngram_join.labels(df, 5, Fraction(4, 5), 24, 6, 0.99999).withColumn("id", F.monotonically_increasing_id())
+    texts = ngram_join.stored(texts)
+    runs = ngram_join.forest_runs(texts, 24, 6, 1)
+    assert ngram_join.partners(runs, texts, 6, 0.0, 16, 10**6).count() <= 4 * 200
+
+
+def test_recall_near_the_threshold(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        text = prose(rng, rng.choice([12, 30, 100, 300]), 10**6).split()
+        other = list(text)
+        at = rng.randrange(len(text))
+        other[at : at + max(1, len(text) // rng.choice([14, 17, 20, 30]))] = [f"new{k}"]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    links, least = groups_of(rows)
+    got = {r["doc_id"]: (r["n_links"], r["group_doc"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(links.values()) > 200 and got == {d: (links[t], least[d]) for d, t in rows}
+
+
+def test_prefixes_are_shortened_by_text():
+    t = Fraction(4, 5)
+    least = ngram_join.least_similarity(np.array([1, 3, 4, 6, 7, 8, 1000]), t)
+    assert [round(float(x), 3) for x in least] == [1, 1, 0.8, 0.833, 0.857, 0.8, 0.8]
+    depth = ngram_join.depths(np.array([1, 7, 6, 1000]), t, 24, 6, 0.99999)
+    assert depth.tolist() == [6, 6, 5, 4]
+    assert ngram_join.depths(np.array([1000]), t, 4, 6, 0.99999).tolist() == [1]
 
 
 def test_lm_base(spark, docs):

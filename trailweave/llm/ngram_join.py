@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -20,16 +21,29 @@ _LAST = np.iinfo(np.int64).max
 _BYTES = 2  # of each MinHash value in a label
 
 
-def prefix_depth(threshold: float, trees: int, longest: int, recall: float) -> int:
-    """Shortens the matched prefix from ``longest`` until a pair at the threshold meets in some tree with probability ``recall``."""
-    depth = longest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
+def least_similarity(shingles: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """For sets of some sizes, the least Jaccard similarity at ``threshold`` or more that another set can have with them."""
+    size, inverse = np.unique(shingles, return_inverse=True)
+    out = np.full(len(size), float(threshold))
+    for k, m in enumerate(size.tolist()):
+        if m >= 100:
+            break  # so near the threshold that it makes no difference
+        found = [Fraction(c, m + other - c) for other in range(1, 2 * m + 1) for c in range(1, min(m, other) + 1)]
+        out[k] = float(min(x for x in found if x >= threshold)) if m else 1.0
+    return out[inverse]
+
+
+def depths(shingles: np.ndarray, threshold: Fraction, trees: int, longest: int, recall: float) -> np.ndarray:
+    """For each text, the prefix to match: from ``longest`` values, it is shortened until the least similar partner that the text can have meets it in some tree with probability ``recall``."""
+    least = least_similarity(shingles, threshold)
+    depth = np.full(len(shingles), longest)
+    while (short := (depth > 1) & (1 - (1 - least**depth) ** trees < recall)).any():
+        depth[short] -= 1
     return depth
 
 
-def labels(documents: DataFrame, n: int, trees: int, longest: int) -> DataFrame:
-    """Distinct texts by ``key``: the least ``doc_id``, ``copies``, how many shingles, and the labels of all trees, side by side.
+def labels(documents: DataFrame, n: int, threshold: Fraction, trees: int, longest: int, recall: float) -> DataFrame:
+    """Distinct texts by ``key``: the least ``doc_id``, ``copies``, how many shingles, the labels of all trees, side by side, and the ``depth`` to match.
 
     A label is ``longest`` MinHash values of the text's shingles of ``n`` words.  Texts without words have no labels.
     """
@@ -39,7 +53,7 @@ def labels(documents: DataFrame, n: int, trees: int, longest: int) -> DataFrame:
         for batch in batches:
             for i, j in pieces(batch.column("text")):
                 part = batch.slice(i, j - i)
-                key = np.asarray(part.column("key"))
+                key = np.array(part.column("key").to_pylist(), object)
                 _, first, where = np.unique(key, return_index=True, return_inverse=True)
                 doc = np.full(len(first), _LAST)
                 np.minimum.at(doc, where, np.asarray(part.column("doc_id").cast(pa.int64()).fill_null(_LAST)))
@@ -59,88 +73,106 @@ def labels(documents: DataFrame, n: int, trees: int, longest: int) -> DataFrame:
                 has[some] = True
                 text_labels = [packed[r * width : (r + 1) * width] if has[r] else None for r in range(len(first))]
                 shingles = np.bincount(of, minlength=len(first))
+                distinct = np.bincount(of[np.sort(np.unique(mix(h + mix(of.astype(np.uint64))), return_index=True)[1])], minlength=len(first)) if len(h) else shingles
+                depth = depths(distinct, threshold, trees, longest, recall)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[first]), pa.array(doc), pa.array(np.bincount(where, minlength=len(first))), pa.array(shingles), pa.array(text_labels, pa.binary())],
-                    ["key", "doc", "copies", "shingles", "labels"],
+                    [part.column("key").take(pa.array(first)), pa.array(doc), pa.array(np.bincount(where, minlength=len(first))), pa.array(shingles), pa.array(text_labels, pa.binary()), pa.array(depth.astype(np.int32))],
+                    ["key", "doc", "copies", "shingles", "labels", "depth"],
                 )
 
-    found = documents.select("doc_id", F.xxhash64("text").alias("key"), "text").where(F.col("text").isNotNull())
-    found = found.mapInArrow(run, "key bigint, doc bigint, copies bigint, shingles bigint, labels binary")
-    return found.groupBy("key").agg(F.min("doc").alias("doc"), F.sum("copies").alias("copies"), F.first("shingles").alias("shingles"), F.first("labels").alias("labels"))
+    found = documents.where(F.col("text").isNotNull()).select("doc_id", text_key().alias("key"), "text")
+    found = found.mapInArrow(run, "key binary, doc bigint, copies bigint, shingles bigint, labels binary, depth int")
+    return found.groupBy("key").agg(F.min("doc").alias("doc"), F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in ("shingles", "labels", "depth")))
 
 
-def forest_edges(texts: DataFrame, trees: int, longest: int, depth: int) -> DataFrame:
-    """Edges (``u``, ``v``) between texts that share a prefix of ``depth`` values in some tree.
+def text_key() -> F.Column:
+    """A text's name: 128 bits of a digest."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
-    The tries are the labels of all trees, sorted over all partitions; texts under one prefix are neighbours there.
-    Each is linked to the first of them in its partition, and these across the bounds of partitions.  The sort
-    goes on by the whole label and the text's key, so that a hot prefix, too, is dealt out over many tasks.
+
+def forest_runs(texts: DataFrame, trees: int, longest: int, shallow: int) -> DataFrame:
+    """Texts (``id``) that share a prefix of ``shallow`` values, the shortest that any text matches, with others in some ``tree``.
+
+    The tries are the labels of all trees, sorted over all partitions, with texts under one prefix as neighbours.  The
+    sort goes on by the whole label and the text's id, so that a hot prefix, too, is dealt out over many tasks;
+    the first and last run of each partition are kept even if they have one text there.
     """
     width = longest * _BYTES
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    rows = texts.where(F.col("labels").isNotNull()).select("key", "labels", tree.alias("tree"))
-    rows = rows.select("key", "tree", F.expr(f"substring(labels, tree * {width} + 1, {width})").alias("label"))
+    rows = texts.where(F.col("labels").isNotNull()).select("id", "labels", tree.alias("tree"))
+    rows = rows.select("id", "tree", F.expr(f"substring(labels, tree * {width} + 1, {width})").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None  # (prefix, leader) of the partition's first run
-        prefix, leader = None, 0
+        before, alone = None, None  # the last prefix, and its text if it has been the only one so far
         for batch in batches:
             if not len(batch):
                 continue
-            key = np.asarray(batch.column("key"))
-            text = np.frombuffer(batch.column("label").buffers()[2], np.uint8)[: len(batch) * width] if batch.column("label").offset == 0 else np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8)
-            full = np.column_stack((np.asarray(batch.column("tree")).astype(np.uint8), text.reshape(-1, width)[:, : depth * _BYTES]))
-            fresh = np.ones(len(key), bool)
+            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(-1, width)
+            full = np.ascontiguousarray(np.column_stack((np.asarray(batch.column("tree")).astype(np.uint8), label[:, : shallow * _BYTES])))
+            fresh = np.ones(len(full), bool)
             fresh[1:] = (full[1:] != full[:-1]).any(axis=1)
-            if prefix == full[0].tobytes():
-                fresh[0] = False
-            at = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
-            lead = np.where(at < 0, leader, key[at])
-            prefix, leader = full[-1].tobytes(), int(lead[-1])
-            if head is None:
-                head = (full[0].tobytes(), int(lead[0]))
-            other = lead != key
-            u, v = key[other], lead[other]
-            both = np.unique(np.column_stack((u, v)), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.binary())], ["u", "v", "bound"])
-        if head:
-            yield pa.RecordBatch.from_arrays([pa.array([head[1], leader]), pa.array([head[1], leader]), pa.array([head[0], prefix], pa.binary())], ["u", "v", "bound"])
-
-    dealt = rows.repartitionByRange("tree", "label", "key").sortWithinPartitions("tree", "label", "key")
-    found = stored(dealt.mapInArrow(run, "u bigint, v bigint, bound binary"))
-    bounds = found.where("bound is not null")  # two rows for each partition
-    meet = bounds.groupBy("bound").agg(F.min("u").alias("least"))
-    return found.where("bound is null").select("u", "v").unionAll(bounds.join(meet, "bound").select("u", F.col("least").alias("v"))).where("u != v").distinct()
-
-
-def verify(keys: np.ndarray, part: np.ndarray, apart: bool, shingles: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Of some texts, how many others each is similar to, and the least key that it is linked with (by any path).
-
-    Compares the texts of part 0 with those of part 1 if ``apart`` (there may be none of either), else each with each.  Shingles that
-    two texts share are counted by products of matrices, some thousand columns at a time.
+            fresh[0] = before != full[0].tobytes()
+            keep = ~fresh
+            keep[:-1] |= ~fresh[1:]
+            keep[0] |= before is None
+            keep[-1] = True  # the next batch may go on with it
+            out = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([out.column("id"), out.column("tree"), pa.array([x.tobytes() for x in full[keep][:, 1:]], pa.binary())], ["id", "tree", "prefix"])
+            before = full[-1].tobytes()
+
+    dealt = rows.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
+    return dealt.mapInArrow(run, "id bigint, tree int, prefix binary")
+
+
+def met(labels: np.ndarray, depth: np.ndarray, tree: int, longest: int, least: float) -> np.ndarray:
+    """Which two texts of a run meet in ``tree``, and in no tree before, under the longer of the prefixes that they match.
+
+    Two texts of which too few values agree (less than the share ``least``) are left out.
+    """
+    values = labels.reshape(len(labels), -1, longest)
+    need = np.maximum(depth[:, None], depth[None, :])
+    out = np.zeros(need.shape, bool)
+    agree = np.zeros(need.shape, np.int32)
+    earlier = np.zeros(need.shape, bool)
+    for k in range(values.shape[1]):
+        common, together = np.ones(need.shape, bool), np.zeros(need.shape, np.int32)
+        for level in range(longest):
+            same = values[:, None, k, level] == values[None, :, k, level]
+            agree += same
+            common &= same
+            together += common
+        if k < tree:
+            earlier |= together >= need
+        elif k == tree:
+            out = together >= need
+    return out & ~earlier & (agree >= least * labels.shape[1])
+
+
+def verify(ids: np.ndarray, allowed: np.ndarray, shingles: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Of some texts, how many others each is similar to among the pairs ``allowed``, and the least id that it is linked with (by any path).
+
+    Shingles that two texts share are counted by products of matrices, some thousand columns at a time.
     """
     size = np.array([len(s) for s in shingles])
     flat = np.concatenate(shingles)
     _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(keys)), size)
+    row = np.repeat(np.arange(len(ids)), size)
     shared = times[column] > 1
     number = np.cumsum(times > 1) - 1
     row, column = row[shared], number[column[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((len(keys), len(keys)), np.float32)
+    common = np.zeros((len(ids), len(ids)), np.float32)
     step = 8192
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         i, j = np.searchsorted(column, (start, start + step))
-        part_of = np.zeros((len(keys), min(step, int(column[j - 1]) - start + 1)), np.float32)
+        part_of = np.zeros((len(ids), min(step, int(column[j - 1]) - start + 1)), np.float32)
         part_of[row[i:j], column[i:j] - start] = 1
         common += part_of @ part_of.T
     both = size[:, None] + size[None, :] - common
-    linked = t.denominator * common >= t.numerator * both
+    linked = allowed & (t.denominator * common >= t.numerator * both)
     np.fill_diagonal(linked, False)
-    if apart:
-        linked &= part[:, None] != part[None, :]
-    root = keys.copy()
+    root = ids.copy()
     while True:
         after = np.minimum(root, np.where(linked, root[None, :], _LAST).min(axis=1))
         if (after == root).all():
@@ -148,94 +180,153 @@ def verify(keys: np.ndarray, part: np.ndarray, apart: bool, shingles: list[np.nd
         root = after
 
 
-def links(documents: DataFrame, texts: DataFrame, groups: DataFrame, n: int, threshold: float, members: int = 512, shingles: int = 1_500_000) -> DataFrame:
-    """For each text (``key``) with any: ``links``, to how many other texts, and ``root``, a text of the same group.
+@dataclass
+class Group:
+    """Texts of a task: those of one run, or of two blocks of a large run."""
 
-    Every two texts of a candidate group are compared.  A group of more than ``members`` texts or ``shingles`` is cut
-    by hash into blocks of about that size, and each two blocks meet in a task of their own.
-    """
-    t = Fraction(str(threshold))
-    given = texts.join(groups.select(F.col("node").alias("key"), F.col("root").alias("grp")), "key").select("key", "grp", "shingles")
-    sizes = given.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("shingles") / shingles)).cast("int").alias("blocks"))
-    given = given.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    held = documents.sparkSession.sparkContext.broadcast(class_bitmap(given.select(F.col("key").alias("cls"))))
+    name: tuple  # tree, prefix, blocks a and b
+    rows: list[tuple]  # id, block, depth, labels, and what else there is
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = np.asarray(batch.column("key"))
-            at = np.unique(key, return_index=True)[1]
-            yield batch.take(pa.array(at[in_bitmap(held.value, key[at])]))
+    def allowed(self, longest: int, least: float) -> np.ndarray:
+        tree, _, a, b = self.name
+        label = np.frombuffer(b"".join(r[3] for r in self.rows), np.uint16).reshape(len(self.rows), -1)
+        out = met(label, np.array([r[2] for r in self.rows]), tree, longest, least)
+        if a != b:
+            block = np.array([r[1] for r in self.rows])
+            out &= block[:, None] != block[None, :]
+        np.fill_diagonal(out, False)
+        return out
+
+
+_GROUP = ("tree", "prefix", "a", "b")
+_MEMBER = ("id", "block", "depth", "labels")
 
-    asked = documents.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("key"), "text").mapInArrow(pick, "key bigint, text string")
-    asked = asked.join(given, "key").dropDuplicates(["key"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = asked.withColumn("other", other).select("key", "text", "grp", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block")
+
+def _groups(batches: Iterator[pa.RecordBatch], extra: Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, list]]]) -> Iterator[Group]:
+    """The groups one after another, from rows sorted by group; ``extra`` gives parts of a batch with one more value for each row."""
+    open_group = None
+    for batch in batches:
+        for part, values in extra(batch):
+            for row in zip(*(part.column(c).to_pylist() for c in (*_GROUP, *_MEMBER)), values, strict=True):
+                if open_group is None or open_group.name != row[:4]:
+                    if open_group is not None:
+                        yield open_group
+                    open_group = Group(row[:4], [])
+                open_group.rows.append(row[4:])
+    if open_group is not None:
+        yield open_group
+
+
+def partners(runs: DataFrame, texts: DataFrame, longest: int, least: float, members: int, shingles: int) -> DataFrame:
+    """Those texts of each run (or two blocks of it) that meet another one there first, with what tells whom (see ``met``).
+
+    A run of more than ``members`` texts or ``shingles`` is cut by hash into blocks of about that size, and each two blocks
+    meet in a task of their own.
+    """
+    sizes = runs.join(texts.select("id", "shingles"), "id").groupBy("tree", "prefix")
+    sizes = sizes.agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("shingles") / shingles)).cast("int").alias("blocks"))
+    sizes = stored(sizes.where("n > 1").drop("n"))
+    given = runs.join(sizes, ["tree", "prefix"]).join(texts.select("id", "depth", "labels"), "id")
+    given = given.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    given = given.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    given = given.select("tree", "prefix", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), *_MEMBER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, keys, part, found = None, [], [], []
+        for group in _groups(batches, lambda batch: [(batch, [None] * len(batch))]):
+            if len(group.rows) > 1:
+                some = np.flatnonzero(group.allowed(longest, least).any(axis=1))
+                rows = [group.rows[k] for k in some]
+                if rows:
+                    same = [pa.array([x] * len(rows), kind) for x, kind in zip(group.name, (pa.int32(), pa.binary(), pa.int32(), pa.int32()), strict=True)]
+                    own = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([*same, *own], [*_GROUP, *_MEMBER])
+
+    dealt = given.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInArrow(run, "tree int, prefix binary, a int, b int, id bigint, block int, depth int, labels binary")
+
+
+def links(documents: DataFrame, texts: DataFrame, met_texts: DataFrame, n: int, threshold: Fraction, longest: int, least: float) -> DataFrame:
+    """For each text (``id``) with any: ``links``, to how many other texts, and ``root``, a text of the same group.
 
-        def out() -> pa.RecordBatch:
-            count, root = verify(np.array(keys), np.array(part), name[1] != name[2], found, t)
-            some = count > 0
-            return pa.RecordBatch.from_arrays([pa.array(np.array(keys)[some]), pa.array(count[some].astype(np.int64)), pa.array(root[some])], ["key", "links", "root"])
+    Each two texts that met are compared by all their shingles, in the run where they met first.
+    """
+    asked = texts.join(met_texts.select("id").distinct(), "id", "left_semi").select("id", "key")
+    asked = stored(asked)
+    held = documents.sparkSession.sparkContext.broadcast(class_bitmap(asked.select(F.xxhash64("key").alias("cls"))))
 
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            mark = np.asarray(batch.column("mark"))
+            at = np.unique(mark, return_index=True)[1]
+            yield batch.take(pa.array(at[in_bitmap(held.value, mark[at])])).select(["key", "text"])
+
+    given = documents.where(F.col("text").isNotNull()).select(text_key().alias("key"), "text").withColumn("mark", F.xxhash64("key"))
+    given = given.mapInArrow(pick, "key binary, text string").join(asked, "key").dropDuplicates(["id"]).select("id", "text")
+    dealt = met_texts.join(given, "id").select(*_GROUP, *_MEMBER, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def extra(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
             for i, j in pieces(batch.column("text")):
                 rows = batch.slice(i, j - i)
                 h, of = windows(*word_hashes(rows.column("text")), n)
                 order = np.argsort(of, kind="stable")
-                sets = np.split(h[order], np.searchsorted(of[order], np.arange(1, len(rows))))
-                for key, grp, a, b, block, text in zip(*(rows.column(x).to_pylist() for x in ("key", "grp", "a", "b", "block")), sets, strict=True):
-                    if name is not None and name != (grp, a, b):
-                        if len(keys) > 1:
-                            yield out()
-                        keys, part, found = [], [], []
-                    name = (grp, a, b)
-                    keys.append(key)
-                    part.append(block != a)
-                    found.append(np.unique(text))
-        if len(keys) > 1:
-            yield out()
-
-    dealt = dealt.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b")
-    return dealt.mapInArrow(run, "key bigint, links bigint, root bigint")
-
-
-def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 24, longest: int = 6, recall: float = 0.99999) -> DataFrame:
+                yield rows, [np.unique(x) for x in np.split(h[order], np.searchsorted(of[order], np.arange(1, len(rows))))]
+
+        for group in _groups(batches, extra):
+            if len(group.rows) > 1:
+                ids = np.array([r[0] for r in group.rows])
+                count, root = verify(ids, group.allowed(longest, least), [r[4] for r in group.rows], threshold)
+                some = count > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some].astype(np.int64)), pa.array(root[some])], ["id", "links", "root"])
+
+    dealt = dealt.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInArrow(run, "id bigint, links bigint, root bigint")
+
+
+def near_duplicates(documents: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 24, longest: int = 6, recall: float = 0.99999, members: int = 512, shingles: int = 1_500_000) -> DataFrame:
     """One row for each row of ``documents``: ``doc_id``, ``key`` (of its text), ``copies``, ``n_links``, ``group_doc`` and ``group_key``.
 
     Texts are compared by the Jaccard similarity of their sets of ``n``-word shingles (all words, if fewer);
     ``n_links`` counts the other different texts at ``threshold`` or more, ``copies`` the rows with the very same
     text.  A group is what links and copies connect; ``group_doc`` and ``group_key`` name its document with the least
-    id (null last).  Texts without words have copies but no links; null texts are each a group of their own.
-    A text is named by a 64-bit hash.
+    id (null last), of several the one with the least key.  Texts without words have copies but no links; null texts are each a group of their own.
+
+    Candidates are texts that meet in some tree of a forest of MinHash labels.  Each text shortens the prefix that it
+    matches until a partner of the least similarity that it can have meets it with probability ``recall``, so that
+    short texts, whose similarities are few, keep long ones; two texts meet under the longer prefix of both.
+    Pairs whose labels agree in far too few values (a chance of 1e-7 at the threshold) aren't compared, all others that met are, once.
     """
     spark = documents.sparkSession
-    texts = stored(labels(documents, n, trees, longest))
-    edges = forest_edges(texts, trees, longest, prefix_depth(threshold, trees, longest, recall))
-    candidates = stored(components(edges))
+    t = Fraction(str(threshold))
+    texts = labels(documents, n, t, trees, longest, recall)
+    texts = stored(texts.withColumn("id", F.monotonically_increasing_id()))
+    shallow = int(depths(np.array([1000]), t, trees, longest, recall)[0])
+    least = max(0.0, threshold - float(np.sqrt(np.log(1e7) / (2 * trees * longest))))
+    runs = stored(forest_runs(texts, trees, longest, shallow))
+    release(spark)
+    pairs = stored(partners(runs, texts, longest, least, members, shingles))
     release(spark)
-    found = stored(links(documents, texts, candidates, n, threshold))
+    found = stored(links(documents, texts, pairs, n, t, longest, least))
     release(spark)
-    roots = stored(components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))))
-    counts = found.groupBy("key").agg(F.sum("links").alias("n_links"))
-    named = texts.drop("labels", "shingles").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = stored(components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))))
+    counts = found.groupBy("id").agg(F.sum("links").alias("n_links"))
+    named = texts.select("id", "key", "doc", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     best = named.groupBy("root").agg(F.min(F.struct("doc", "key")).alias("best"))
-    named = named.join(best, "root").join(counts, "key", "left")
+    named = named.join(best, "root").join(counts, "id", "left")
     named = stored(named.select("key", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.expr("nullif(best.doc, 9223372036854775807)").alias("group_doc"), F.col("best.key").alias("group_key")))
-    drop(texts, candidates, found, roots)
+    drop(texts, runs, pairs, found, roots)
     release(spark)
-    ids = documents.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("key"))
+    ids = documents.select("doc_id", F.when(F.col("text").isNotNull(), text_key()).alias("key"))
     return ids.join(named, "key", "left").select("doc_id", "key", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("group_doc")).alias("group_doc"), "group_key")
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """Those ``documents`` that have the least id of their group (see ``near_duplicates``), one of rows that are the same."""
+    """Those ``documents`` that have the least id of their group (see ``near_duplicates``), one of rows that are the same; null texts all stay."""
     return shielded(documents, lambda given: _one_of_each(given, **options))
 
 
 def _one_of_each(documents: DataFrame, **options) -> DataFrame:
-    row = {"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__key": F.xxhash64("text")}
+    row = {"__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__key": text_key()}
     groups = stored(near_duplicates(documents, **options).withColumn("__doc", row["__doc"]))
     stays = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("group_doc")) & (F.col("key") == F.col("group_key")))
     gone = groups.where(~stays).select("__doc", F.col("key").alias("__key")).distinct()
