@@ -84,7 +84,7 @@ def test_line_dedup(spark):
                 seen.append(w)
         want[doc] = "\n".join(kept)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    for options in ({}, {"group": 3, "bucket_words": 50}, {"table_words": 10}):
+    for options in ({}, {"group": 3, "bucket_words": 50, "limit": 1}, {"table_words": 10, "limit": 1}):
         assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, **options).collect()} == want
 
 

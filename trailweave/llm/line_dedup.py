@@ -167,7 +167,7 @@ class Threshold:
 
 
 #: Columns of what prefixes emit, each an array's bytes: one value for each row.
-ROW = {"word": np.int64, "salt": np.int64, "place": np.int32, "size": np.int32, "cls": np.int64, "sub": np.int64, "doc": np.int64, "line": np.int32, "bits0": np.uint64, "bits1": np.uint64}
+ROW = {"word": np.int64, "salt": np.int64, "place": np.int32, "size": np.int32, "cls": np.int64, "doc": np.int64, "line": np.int32, "bits0": np.uint64, "bits1": np.uint64}
 
 
 def _groups(word: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -180,8 +180,10 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, g
 
     They are dealt to buckets by group, and what a piece of texts has for a bucket is one row of ``bucket`` and packed
     columns.  A word of more than ``group`` occurrences is dealt out by pairs of blocks of lines, so that no group gets
-    more than two blocks of about that size, and every two lines still meet.  ``wanted`` is a bitmap of the words asked for.
+    more than two blocks of about that size, and every two lines still meet.  ``wanted`` is a bitmap of the words asked
+    for; then the rows have the class's other half ``sub`` and all words of the line (``sets``), too.
     """
+    names = ["bucket", *ROW, *(("sub", "sets") if wanted is not None else ())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rarity.value
@@ -189,7 +191,11 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, g
             for i, j in pieces(batch.column("text")):
                 part = batch.slice(i, j - i)
                 doc = _order(part)
-                lines = _firsts(Lines.of(part.column("text")), doc)
+                lines = Lines.of(part.column("text"))
+                if wanted is not None and len(lines.cls):  # keys end with the same bits
+                    hit = in_bitmap(wanted.value, (lines.hash >> np.uint64(8)).view(np.int64))
+                    lines = lines.take(np.flatnonzero(np.logical_or.reduceat(hit, lines.ends[:-1])))
+                lines = _firsts(lines, doc)
                 if not len(lines.cls):
                     continue
                 words, ends = lines.sets(order)
@@ -202,8 +208,10 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, g
                 some = place < threshold.probe(size)[of]
                 if wanted is not None:
                     some &= in_bitmap(wanted.value, words.view(np.int64))
-                some = np.flatnonzero(some & (order.at_most(words) > 1))
-                n = -(-order.at_most(words[some]) // group)
+                some = np.flatnonzero(some)
+                often = order.at_most(words[some])
+                some, often = some[often > 1], often[often > 1]
+                n = -(-often // group)
                 salt = np.zeros(len(some), np.int64)
                 if (n > 1).any():
                     block = (lines.cls[of[some]] % n.astype(np.uint64)).astype(np.int64)
@@ -219,14 +227,22 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, g
                 sort = np.argsort(bucket, kind="stable")
                 some_buckets, starts = np.unique(bucket[sort], return_index=True)
                 starts = np.append(starts, len(sort))
-                columns = (word, salt, place[some], size[at], lines.cls[at].view(np.int64), lines.sub[at].view(np.int64), doc[lines.row[at]], lines.number[at], bits[0][at], bits[1][at])
+                at = at[sort]
+                columns = [word[sort], salt[sort], place[some][sort], size[at], lines.cls[at].view(np.int64), doc[lines.row[at]], lines.number[at], bits[0][at], bits[1][at]]
+                kinds, cuts = list(ROW.values()), [starts] * len(ROW)
+                if wanted is not None:
+                    n_words = size[at]
+                    which = np.arange(n_words.sum()) + np.repeat(ends[at] - np.cumsum(n_words) + n_words, n_words)
+                    columns += [lines.sub[at].view(np.int64), words[which].view(np.int64)]
+                    kinds += [np.int64, np.int64]
+                    cuts = [*cuts, starts, np.concatenate(([0], np.cumsum(n_words)))[starts]]
                 packed = [pa.array(some_buckets)]
-                for values, kind in zip(columns, ROW.values(), strict=True):
-                    data = np.ascontiguousarray(values[sort], kind)
-                    packed.append(pa.Array.from_buffers(pa.binary(), len(some_buckets), [None, pa.py_buffer((starts * data.itemsize).astype(np.int32)), pa.py_buffer(data)]))
-                yield pa.RecordBatch.from_arrays(packed, ["bucket", *ROW])
+                for values, kind, cut in zip(columns, kinds, cuts, strict=True):
+                    data = np.ascontiguousarray(values, kind)
+                    packed.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some_buckets), [None, pa.py_buffer((cut * data.itemsize).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays(packed, names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "bucket int, " + ", ".join(f"{name} binary" for name in ROW))
+    return documents.select("doc_id", "text").mapInArrow(run, "bucket int, " + ", ".join(f"{name} binary" for name in names[1:]))
 
 
 def _expanded(low: np.ndarray, high: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -241,16 +257,15 @@ def _expanded(low: np.ndarray, high: np.ndarray, most: int) -> Iterator[tuple[np
         i = j
 
 
-def pair_up(rows: dict[str, np.ndarray], threshold: Threshold, limit: int, doubtful: int = 16, probes: np.ndarray | None = None, near: int = 8, most: int = 1 << 20) -> list[np.ndarray]:
-    """Candidates among the rows of some groups: pairs of a later line and an earlier one that pass all filters.
+def pair_up(rows: dict[str, np.ndarray], threshold: Threshold, limit: int | None, probes: np.ndarray | None = None, near: int = 8, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates among the rows of some groups: pairs of a later line and an earlier one that pass all filters, up to ``limit`` of each later line.
 
-    Of a later line, no more are looked for once it has ``limit`` whose signatures leave little doubt, or ``doubtful`` of
-    any kind.  The ``near`` nearest lines of a group are looked at first, so that lines with many copies are soon done; the rest meet
-    those of a fitting size alone, the prefix of the smaller line being its shorter one (see ``Threshold.index``).
-    Returns numbers of rows, later and earlier, and whether there may be more for that line in that group.
+    The ``near`` nearest lines of a group are looked at first, so that lines with many copies are soon done; the rest
+    meet those of a fitting size alone, the prefix of the smaller line being its shorter one (see ``Threshold.index``).
+    With ``probes``, only lines of these classes count as later.  Returns numbers of rows, later and earlier, and
+    whether the limit may have left some out for that line in that group.
     """
-    key = _groups(rows["word"], rows["salt"])
-    mark = rows["cls"].view(np.uint64) ^ mix(rows["sub"].view(np.uint64))
+    key, mark = _groups(rows["word"], rows["salt"]), rows["cls"].view(np.uint64)
     order = np.lexsort((rows["line"], rows["doc"], key))
     key, mark = key[order], mark[order]
     _, first = np.unique(mix(key + mix(mark)), return_index=True)  # one row of each class in a group, its first
@@ -264,7 +279,7 @@ def pair_up(rows: dict[str, np.ndarray], threshold: Threshold, limit: int, doubt
     place, size = rows["place"][order].astype(np.int64), rows["size"][order].astype(np.int64)
     bits = [rows[x][order] for x in ("bits0", "bits1")]
     probe, index, least = threshold.probe(size), threshold.index(size), threshold.least(size, threshold.t)
-    sure, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    seen, limit = np.zeros(n, np.int64), n if limit is None else limit
     out: list[tuple[np.ndarray, np.ndarray]] = []
 
     def passed(x: np.ndarray, y: np.ndarray) -> None:
@@ -273,94 +288,122 @@ def pair_up(rows: dict[str, np.ndarray], threshold: Threshold, limit: int, doubt
         ok = np.minimum(size[x] - place[x], size[y] - place[y]) >= need
         x, y, need = x[ok], y[ok], need[ok]
         apart = np.bitwise_count(bits[0][x] ^ bits[0][y]).astype(np.int64) + np.bitwise_count(bits[1][x] ^ bits[1][y])
-        room = size[x] + size[y] - 2 * need
-        ok = apart <= room
-        x, y, good = x[ok], y[ok], (2 * apart <= room)[ok]
+        ok = apart <= size[x] + size[y] - 2 * need
+        x, y = x[ok], y[ok]
+        rank = np.arange(len(x)) - np.searchsorted(x, x)  # the rows of a line are together, in order
+        ok = seen[x] + rank < limit
+        x, y = x[ok], y[ok]
         out.append((x, y))
         np.add.at(seen, x, 1)
-        np.add.at(sure, x[good], 1)
-
-    def open_rows(x: np.ndarray) -> np.ndarray:
-        return x[(sure[x] < limit) & (seen[x] < doubtful)]
 
     later = np.flatnonzero(~fresh) if probes is None else np.flatnonzero(~fresh & np.isin(mark, probes))
     for k in range(1, near + 1):
-        later = open_rows(later[later - k >= begin[later]])
+        later = later[(later - k >= begin[later]) & (seen[later] < limit)]
         x, y = later, later - k
         small = size[x] < size[y]
         ok = (np.minimum(size[x], size[y]) >= np.where(small, least[y], least[x])) & np.where(small, (place[x] < index[x]) & (place[y] < probe[y]), (place[y] < index[y]) & (place[x] < probe[x]))
         passed(x[ok], y[ok])
-    later = open_rows(later[later - near > begin[later]])
+    later = later[(later - near > begin[later]) & (seen[later] < limit)]
 
     by_size = np.lexsort((size, group))
     sized = (group << 32 | size)[by_size]
-    small_side = place[by_size] < index[by_size]
     # Earlier lines that are no larger than the later one, then larger ones: of each pair the smaller line is within its shorter prefix.
     for smaller in (True, False):
-        some = np.flatnonzero(small_side) if smaller else np.flatnonzero(place[by_size] < probe[by_size])
+        some = np.flatnonzero(place[by_size] < (index if smaller else probe)[by_size])
         lines, sizes = by_size[some], sized[some]
         x = later[place[later] < (probe if smaller else index)[later]]
         low_size, high_size = (least[x], size[x]) if smaller else (size[x] + 1, size[x] * threshold.t.denominator // threshold.t.numerator)
         low, high = np.searchsorted(sizes, group[x] << 32 | low_size), np.searchsorted(sizes, group[x] << 32 | high_size, "right")
-        for start in range(0, len(x), 1 << 16):  # rows that are done meanwhile are left out
-            part = np.arange(start, min(start + (1 << 16), len(x)))
-            step = 256
-            while len(part := part[low[part] < high[part]]):
-                part = part[(sure[x[part]] < limit) & (seen[x[part]] < doubtful)]
+        for start in range(0, len(x), 1 << 16):  # lines that are done meanwhile are left out
+            part, step = np.arange(start, min(start + (1 << 16), len(x))), 256
+            while len(part := part[(low[part] < high[part]) & (seen[x[part]] < limit)]):
                 stop = np.minimum(low[part] + step, high[part])
                 for row, at in _expanded(low[part], stop, most):
                     a, b = x[part][row], lines[at]
-                    ok = b < a - near  # ranks by document and line; the nearest are done
+                    ok = b < a - near  # by document and line; the nearest are done
                     passed(a[ok], b[ok])
                 low[part] = stop
                 step *= 8
     x, y = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-    return [order[x], order[y], (sure[x] >= limit) | (seen[x] >= doubtful)]
+    return order[x], order[y], seen[x] >= limit
 
 
-_PAIR = {"later": "cls", "later_sub": "sub", "earlier": "cls", "earlier_sub": "sub"}
+def similar(x: np.ndarray, y: np.ndarray, size: np.ndarray, sets: np.ndarray, t: Fraction, most: int = 1 << 20) -> np.ndarray:
+    """Whether the sets of rows ``x`` and ``y`` have a Jaccard similarity of ``t`` or more; ``sets`` has all rows' words one after another."""
+    ends = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(len(x), bool)
+    total = np.cumsum(size[x] + size[y])
+    i = 0
+    while i < len(x):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        both = np.concatenate((x[i:j], y[i:j]))
+        pair = np.repeat(np.tile(np.arange(j - i), 2), size[both])
+        n = size[both]
+        word = sets[np.arange(n.sum()) + np.repeat(ends[both] - np.cumsum(n) + n, n)]
+        order = np.lexsort((word, pair))
+        pair, word = pair[order], word[order]
+        common = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (word[1:] == word[:-1])], minlength=j - i)
+        out[i:j] = t.denominator * common >= t.numerator * (size[x[i:j]] + size[y[i:j]] - common)
+        i = j
+    return out
 
 
-def candidates(packed: DataFrame, threshold: Threshold, limit: int, buckets: int, doubtful: int = 16, probes: DataFrame | None = None, most_probes: int = 2_000_000, most_tasks: int = 20_000) -> DataFrame:
-    """Pairs of classes, ``later`` and ``earlier`` (each with ``_sub``), that pass all filters in the group of some ``word``; ``cut``: there may be more.
+def _by_bucket(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of one bucket after the other, from packed columns sorted by bucket."""
+    name: int | None = None
+    parts: list[pa.RecordBatch] = []
 
-    With ``probes``, only their classes count as later; up to ``most_probes`` go to all tasks, and more are found by a join afterwards.
-    """
-    spark = packed.sparkSession
-    held = None
-    if probes is not None and probes.count() <= most_probes:
-        found = probes.toArrow()
-        cls, sub = (np.asarray(found.column(c).combine_chunks()).view(np.uint64) for c in ("cls", "sub"))
-        held = spark.sparkContext.broadcast(cls ^ mix(sub))
+    def rows() -> dict[str, np.ndarray]:
+        return {c: np.concatenate([np.frombuffer(x.as_buffer(), kind) for part in parts for x in part.column(c)]) for c, kind in kinds.items()}
+
+    for batch in batches:
+        bucket = np.asarray(batch.column("bucket"))
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if parts and name != bucket[i]:
+                yield rows()
+                parts = []
+            name = bucket[i]
+            parts.append(batch.slice(i, j - i))
+    if parts:
+        yield rows()
+
+
+def _by_task(packed: DataFrame, buckets: int, most_tasks: int = 20_000) -> DataFrame:
+    """Deals buckets to as many tasks as there are, up to a number that Spark can plan; a task reads its buckets one by one."""
+    tasks = max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, most_tasks))
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+
+
+def candidates(packed: DataFrame, threshold: Threshold, limit: int, buckets: int) -> DataFrame:
+    """Pairs (``later``, ``earlier``) of classes that pass all filters in the group of some ``word``; ``cut``: there may be more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name: int | None = None
-        parts: list[pa.RecordBatch] = []
+        for rows in _by_bucket(batches, ROW):
+            x, y, cut = pair_up(rows, threshold, limit)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["cls"][x]), pa.array(rows["cls"][y]), pa.array(cut), pa.array(rows["word"][x])], ["later", "earlier", "cut", "word"])
 
-        def out() -> pa.RecordBatch:
-            rows = {c: np.concatenate([np.frombuffer(x.as_buffer(), kind) for part in parts for x in part.column(c)]) for c, kind in ROW.items()}
-            x, y, cut = pair_up(rows, threshold, limit, doubtful, None if held is None else held.value)
-            pair = [pa.array(rows[c][at]) for c, at in zip(_PAIR.values(), (x, x, y, y), strict=True)]
-            return pa.RecordBatch.from_arrays([*pair, pa.array(cut), pa.array(rows["word"][x])], [*_PAIR, "cut", "word"])
+    return _by_task(packed, buckets).mapInArrow(run, "later bigint, earlier bigint, cut boolean, word bigint")
 
-        for batch in batches:
-            bucket = np.asarray(batch.column("bucket"))
-            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else []
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if parts and name != bucket[i]:
-                    yield out()
-                    parts = []
-                name = bucket[i]
-                parts.append(batch.slice(i, j - i))
-        if parts:
-            yield out()
 
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, most_tasks))
-    dealt = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in _PAIR) + ", cut boolean, word bigint")
-    if probes is not None and held is None:
-        found = found.join(probes.toDF("later", "later_sub"), ["later", "later_sub"], "left_semi")
-    return found
+def settled(packed: DataFrame, threshold: Threshold, asked: DataFrame, buckets: int, most_asked: int = 2_000_000) -> DataFrame:
+    """Those classes (``cls``, ``sub``) of the ones ``asked`` that have an earlier similar one, of all that pass the filters in any group.
+
+    The rows have whole sets, so that pairs are verified where they meet.  Up to ``most_asked`` classes go to all tasks;
+    of more, every line looks for earlier ones, and a join keeps those asked for.
+    """
+    held = None
+    if asked.count() <= most_asked:
+        held = packed.sparkSession.sparkContext.broadcast(np.asarray(asked.select("cls").toArrow().column("cls").combine_chunks()).view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches, ROW | {"sub": np.int64, "sets": np.int64}):
+            x, y, _ = pair_up(rows, threshold, None, None if held is None else held.value)
+            x = x[similar(x, y, rows["size"].astype(np.int64), rows["sets"], threshold.t)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows["cls"][x]), pa.array(rows["sub"][x])], ["cls", "sub"])
+
+    found = _by_task(packed, buckets).mapInArrow(run, "cls bigint, sub bigint")
+    return found.join(asked, ["cls", "sub"], "left_semi").distinct()
 
 
 def class_bitmap(classes: DataFrame) -> np.ndarray:
@@ -408,12 +451,13 @@ def described(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "doc bigint, hash bigint, line int, cls bigint, sub bigint, words array<bigint>")
 
 
-def similar_classes(documents: DataFrame, threshold: float = 0.8, table_words: int = 2_000_000, group: int = 200_000, bucket_words: int = 1_000_000, doubtful: int = 16) -> tuple[DataFrame, DataFrame]:
+def similar_classes(documents: DataFrame, threshold: float = 0.8, table_words: int = 2_000_000, group: int = 200_000, bucket_words: int = 1_000_000, limit: int = 2) -> tuple[DataFrame, DataFrame]:
     """All lines (see ``described``), and the classes of which an earlier line of another class has a Jaccard similarity of ``threshold`` or more.
 
     A class is the lines with the same words in the same order (a 128-bit hash of the words' 64-bit ones); its place is
-    that of its first line.  The first round looks at few candidates for each line in each group; for the lines whose
-    candidates all fail where there may be more, further rounds read only the groups in which that was so, with higher limits.
+    that of its first line.  At first each line has up to ``limit`` candidates in each group, and their sets are compared.
+    For the few lines whose candidates all fail where there may be more, the groups in which that was so are read
+    again, with whole sets and no limit.
     """
     spark = documents.sparkSession
     limits = Threshold(Fraction(str(threshold)))
@@ -423,38 +467,28 @@ def similar_classes(documents: DataFrame, threshold: float = 0.8, table_words: i
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // bucket_words))
     drop(counts)
     release(spark)
-    done: list[DataFrame] = []
-    lines, probes, wanted, limit = None, None, None, 2
-    later, earlier = list(_PAIR)[:2], list(_PAIR)[2:]
-    while True:
-        raw = stored(candidates(prefixes(documents, rarity, limits, buckets, group, wanted), limits, limit, buckets, doubtful, probes))
-        release(spark)
-        pairs = raw.select(*_PAIR).distinct()
-        asked = raw.select(F.explode(F.array(*(F.struct(F.col(a).alias("cls"), F.col(b).alias("sub")) for a, b in (later, earlier)))).alias("asked"))
-        asked = stored(asked.select("asked.*").distinct())
-        found = described(documents, asked)
-        if lines is None:
-            found = lines = stored(found)
-        sets = found.where("words is not null").select("cls", "sub", "words").join(asked, ["cls", "sub"], "left_semi")
-        sets = stored(sets.groupBy("cls", "sub").agg(F.first("words").alias("words")))
-        a, b = sets.toDF(*later, "a"), sets.toDF(*earlier, "b")
-        common = F.size(F.array_intersect("a", "b"))
-        part, whole = limits.t.numerator, limits.t.denominator
-        true = (whole * common >= part * (F.size("a") + F.size("b") - common)).alias("similar")
-        seen = pairs.join(a, later).join(b, earlier).select(*later, true)
-        seen = stored(seen.groupBy(*later).agg(F.max("similar").alias("similar")))
-        done.append(seen.where("similar").select(*later).toDF("cls", "sub"))
-        left = stored(raw.where("cut").select(*later, "word").distinct().join(seen.where("not similar").select(*later), later, "left_semi"))
-        drop(raw, sets, asked)
-        release(spark)
-        probes = left.select(*later).distinct().toDF("cls", "sub")
-        if left.isEmpty():
-            break
+    raw = stored(candidates(prefixes(documents, rarity, limits, buckets, group), limits, limit, buckets))
+    release(spark)
+    asked = stored(raw.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct())
+    lines = stored(described(documents, asked))
+    sets = lines.where("words is not null").select("cls", "sub", "words").join(asked, "cls", "left_semi")
+    sets = stored(sets.groupBy("cls", "sub").agg(F.first("words").alias("words")))
+    a, b = sets.toDF("later", "sub", "a"), sets.select(F.col("cls").alias("earlier"), F.col("words").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    part, whole = limits.t.numerator, limits.t.denominator
+    true = (whole * common >= part * (F.size("a") + F.size("b") - common)).alias("similar")
+    seen = raw.select("later", "earlier").distinct().join(a, "later").join(b, "earlier").select(F.col("later").alias("cls"), "sub", true)
+    seen = stored(seen.groupBy("cls", "sub").agg(F.max("similar").alias("similar")))
+    found = seen.where("similar").select("cls", "sub")
+    left = raw.where("cut").select(F.col("later").alias("cls"), "word").distinct().join(seen.where("not similar").select("cls", "sub"), "cls")
+    left = stored(left)
+    drop(raw, sets, asked)
+    release(spark)
+    if not left.isEmpty():
         wanted = spark.sparkContext.broadcast(class_bitmap(left.select(F.col("word").alias("cls"))))
-        limit, doubtful = limit * 32, doubtful * 32
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionAll(more)
+        more = prefixes(documents, rarity, limits, buckets, group, wanted)
+        found = found.unionAll(stored(settled(more, limits, left.select("cls", "sub").distinct(), buckets)))
+        release(spark)
     return lines, found
 
 
