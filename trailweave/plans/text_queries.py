@@ -51,9 +51,9 @@ def title_from_reference(spark, d):
     return _table(spark, d, "part").select("p_partkey", T.title_from_reference(entry).alias("title"))
 
 
-@R.add("looks_like_citation", "SELECT doc_id, coalesce(length(t) >= 140 OR regexp_matches(lower(t), 'arxiv|proceedings|journal|doi') OR (regexp_matches(t, '\\b(19|20)\\d{2}\\b') AND (length(t) - length(replace(t, ',', '')) >= 2 OR length(t) - length(replace(t, '.', '')) >= 4)), false) AS is_citation FROM (SELECT doc_id, trim(regexp_replace(coalesce(text[1:200], ''), '\\s+', ' ', 'g')) AS t FROM documents)")
+@R.add("looks_like_citation", "SELECT doc_id, coalesce(length(t) >= 140 OR regexp_matches(lower(t), 'arxiv|proceedings|journal|doi') OR (regexp_matches(t, '\\b(19|20)\\d{2}\\b') AND (length(t) - length(replace(t, ',', '')) >= 2 OR length(t) - length(replace(t, '.', '')) >= 4)), false) AS is_citation FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents)")
 def looks_like_citation(spark, d):
-    return _table(spark, d, "documents").select("doc_id", T.looks_like_citation(F.substring("text", 1, 200)).alias("is_citation"))
+    return _table(spark, d, "documents").select("doc_id", T.looks_like_citation(F.col("text")).alias("is_citation"))
 
 
 @R.add("safe_id", "SELECT page_id, replace(replace(url, '/', '_'), ':', '_') AS id FROM pages")
