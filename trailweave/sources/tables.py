@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,30 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; without that setting (tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; in local mode (tests) it may be unset, and is a temporary one."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
-    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="trailweave-"))
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if "dir" not in _own:
+        folder = tempfile.mkdtemp(prefix="trailweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own["dir"] = f"file://{folder}"
+    return _own["dir"]
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what reads it recomputes nothing, even if executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written; results that read them can't be computed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
