@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -12,16 +14,22 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; without that setting (tests), a temporary one of this process."""
+    """The folder of ``spark.checkpoint.dir``, or in local mode (tests), where it may be unset, a temporary one of this process."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
-    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="trailweave-"))
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if "dir" not in _own:
+        folder = tempfile.mkdtemp(prefix="trailweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own["dir"] = f"file://{folder}"
+    return _own["dir"]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet and reads it back, so that a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
