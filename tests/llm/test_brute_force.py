@@ -9,6 +9,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,19 +254,85 @@ def test_lm_of_all_words(spark):
         assert all(abs(other[i] - got[0][i]) < 1e-6 for other in got[1:])
 
 
-def test_labels_of_absent_documents_take_no_places(spark):
-    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text", "en", "web", 9) for i in range(40)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id bigint, quality int")
-    model, same = (quality.train(docs, labels.where(f"doc_id < {n}"), "quality", size=40) for n in (4000, 40))
-    assert model is not None and (model.combine == same.combine).all()
+DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def test_quality_on_held_out_labels(spark):
+def test_labels_of_absent_documents_take_no_places(spark):
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} text {i % 7}", "en", "web", 9) for i in range(40)], DOCUMENT)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id bigint, quality int")
+    some, same = ({r["doc_id"]: r["quality_score"] for r in quality.quality(docs, labels.where(f"doc_id < {n}"), ("quality",), size=40).collect()} for n in (4000, 40))
+    assert some == same and all((score > 0.5) == (d % 2 == 1) for d, score in some.items())
+
+
+def plain_co_training(docs, labels, lots, rounds, share):
+    """Scores of all rows, with features from the library and all else in loops over rows."""
+    batch = pa.RecordBatch.from_pylist(docs, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]))
+    found = quality.views(batch)
+    features = [[sorted(f[1][f[0] == r].tolist()) for r in range(len(docs))] for f in found]
+    y = [labels.get(d["doc_id"]) for d in docs]
+    held = [v is not None and zlib.crc32(str(d["doc_id"]).encode()) % 4 == 2 for d, v in zip(docs, y, strict=True)]
+    own = [r for r in range(len(docs)) if y[r] is not None and not held[r]]
+    known = np.array([float(y[r]) for r in own])
+    taught, n_taught = [np.zeros((2, 1 << quality.BITS), np.int64) for _ in range(2)], [0, 0]
+
+    def fit(v):
+        pairs = [(k, b) for k, r in enumerate(own) for b in features[v][r]]
+        return quality.Linear.fit(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), known, taught[v], len(own) / max(len(own), n_taught[v]))
+
+    def logit(m, v, r):
+        return float(m.weight[features[v][r]].sum() + m.bias)
+
+    models = [fit(0), fit(1)]
+    for k in range(1, rounds + 1):
+        new, said = [np.zeros_like(taught[0]) for _ in range(2)], ([], [])
+        for v in range(2):
+            free = [r for r in range(len(docs)) if y[r] is None]
+            take = int(min(1.0, k * share) * len(free))
+            ones = int(round(take * known.mean()))
+            bins = {r: int(quality._bin(np.array([logit(models[v], v, r)]))[0]) for r in free}
+            for label, n, order in ((0, take - ones, 1), (1, ones, -1)):
+                ranked = sorted(order * b for b in bins.values())
+                for r in free if n else ():
+                    b = order * bins[r]
+                    before, same = sum(x < b for x in ranked), ranked.count(b)
+                    if before + same < n or before < n and lots[docs[r]["doc_id"]] % 2**64 / 2**64 < (n - before) / same:
+                        new[1 - v][label][features[1 - v][r]] += 1
+                        said[v].append(r)
+            n_taught[1 - v] = len(said[v])
+            assert len(set(said[v])) == len(said[v])  # else neither class counts, which this version leaves out
+        taught = new
+        models = [fit(0), fit(1)]
+    z = np.array([[logit(models[v], v, r) for v in range(2)] for r in range(len(docs))])
+    use = [r for r in range(len(docs)) if held[r]]
+    combine = quality.calibrate(z[use], np.array([float(y[r]) for r in use]))
+    return 1 / (1 + np.exp(-(z @ combine[:-1] + combine[-1])))
+
+
+def test_co_training(spark):
+    rng = random.Random(12)
+    docs = []
+    for d in range(160):
+        good = rng.random() < 0.5
+        own = " ".join(f"{'g' if good != (rng.random() < 0.1) else 'b'}{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(5, 60)))
+        docs.append({"doc_id": d, "text": own, "lang": rng.choice(["en", "de"]), "source": f"{'a' if good != (rng.random() < 0.2) else 'b'}{rng.randrange(60)}", "n_chars": rng.randrange(5000), "good": good})
+    labels = {d["doc_id"]: int(d["good"]) for d in docs if d["doc_id"] % 2}
+    df = spark.createDataFrame([(d["doc_id"], d["text"], d["lang"], d["source"], d["n_chars"]) for d in docs], DOCUMENT)
+    given = spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int")
+    one, many = ({r["doc_id"]: r["quality_score"] for r in quality.quality(df.repartition(n), given, ("quality",), rounds=2, share=0.2).collect()} for n in (1, 5))
+    assert max(abs(one[d] - many[d]) for d in one) < 1e-9
+    lots = {r["doc_id"]: r["lot"] for r in quality.featured(df).collect()}
+    want = plain_co_training(docs, labels, lots, 2, 0.2)
+    assert max(abs(one[d["doc_id"]] - want[k]) for k, d in enumerate(docs)) < 1e-6
+    assert quality.quality(df, given.where("false"), ("quality",)).where("quality_score is not null").count() == 0
+
+
+def test_quality_on_labels_not_given(spark):
     sf = "/root/testdata/sf0.1"
-    labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["doc_id"]: r for r in labels.where("doc_id % 5 = 0").collect()}
+    rows = [r for r in quality.quality(docs, labels.where("doc_id % 5 != 0")).collect() if r["doc_id"] in kept]
     for target in ("quality", "toxic"):
-        rows = [r for r in quality.query(spark, sf).collect() if r["doc_id"] in labels and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
-        ones, zeros = ([r[f"{target}_score"] for r in rows if labels[r["doc_id"]][target] == y] for y in (1, 0))
+        ones, zeros = ([r[f"{target}_score"] for r in rows if kept[r["doc_id"]][target] == y] for y in (1, 0))
         wins = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros)
         assert wins / (len(ones) * len(zeros)) > 0.9
 
@@ -358,20 +425,48 @@ def test_html(html, text):
     assert html_text.page_text(html) == text
 
 
+def plain_raking(rows, targets, rounds=2000):
+    """Probabilities of rows (source, lang, topic, tokens), scaling them to one dimension's target after the other."""
+    total, weight = sum(r[3] for r in rows), [1.0] * len(rows)
+    wanted = []
+    for k, name in enumerate(mixing.DIMENSIONS):
+        sums = Counter()
+        for r in rows:
+            sums[r[k]] += r[3]
+        raw = {v: targets[name].get(v, 0.0) if isinstance(targets[name], dict) else n ** targets[name] for v, n in sums.items() if n}
+        wanted.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    for _ in range(rounds):
+        for k in range(3):
+            now = Counter()
+            for r, w in zip(rows, weight, strict=True):
+                now[r[k]] += r[3] * w / total
+            weight = [w * wanted[k].get(r[k], 0.0) / now[r[k]] if now[r[k]] else 0.0 for r, w in zip(rows, weight, strict=True)]
+    top = max(w for w, r in zip(weight, rows, strict=True) if r[3])
+    return [w / top if r[3] else 0.0 for w, r in zip(weight, rows, strict=True)]
+
+
 def test_raking(spark):
     rng = random.Random(1)
-    rows = [(d, prose(rng, rng.choice([5, 50, 900])), rng.choice(["en", "de", None]), rng.choice(["web", "web", "books"]), 1) for d in range(300)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    targets = {"source": {"web": 0.5, "books": 0.5}, "lang": 0.5, "topic": 1.0}
+    words = [[f"{t}{k}" for k in range(40)] for t in "abc"]
+    rows = [(d, " ".join(rng.choices(rng.choice(words), k=rng.choice([5, 50, 300]))), rng.choice(["en", "de", None]), rng.choice(["web", "web", "books"]), 1) for d in range(300)] + [(900, "", "en", "web", 0), (901, None, "en", "web", 0)]
+    df = spark.createDataFrame(rows, DOCUMENT)
+    targets = {"source": {"web": 0.5, "books": 0.5}, "lang": 0.5, "topic": 0.3}
     for driver_cells in (100_000, 0):
-        out = mixing.calibrated(df, targets, driver_cells=driver_cells).collect()
-        mass = Counter()
-        for r in out:
-            mass[r["source"]] += r["tokens"] * r["probability"]
-        assert abs(mass["web"] / sum(mass.values()) - 0.5) < 1e-6
-        assert max(r["probability"] for r in out) == pytest.approx(1)
+        out = mixing.calibrated(df, targets, topics=3, driver_cells=driver_cells, rounds=40).collect()
+        want = plain_raking([(r["source"], r["lang"], r["topic"], r["tokens"]) for r in out], targets, 40)
+        assert max(abs(r["probability"] - w) for r, w in zip(out, want, strict=True)) < 1e-6
+        assert all(r["tokens"] == len((r["text"] or "").split()) for r in out)
+        assert len({(r["topic"], (r["text"] or "-")[0]) for r in out if r["tokens"] != 5}) == 4  # each kind of words is a topic, and no words are
     got = {d: s for d, s in ((r["doc_id"], r["sampled"]) for r in mixing.calibrated(df.repartition(3), targets).collect())}
     assert got == {d: s for d, s in ((r["doc_id"], r["sampled"]) for r in mixing.calibrated(df, targets).collect())}
+    kept = sum(len(r["text"].split()) for r in mixing.sample(df, targets=targets).collect())
+    assert abs(kept - sum(r["probability"] * r["tokens"] for r in mixing.calibrated(df, targets).collect())) < 0.2 * kept
+
+
+def test_targets_that_no_weights_meet(spark):
+    df = spark.createDataFrame([(1, "x y", "en", "web", 3), (2, "x y", "de", "books", 3)], DOCUMENT)
+    with pytest.warns(UserWarning, match="no weights meet"):
+        mixing.calibrated(df, {"source": {"web": 0.9, "books": 0.1}, "lang": {"en": 0.1, "de": 0.9}, "topic": 1.0}, rounds=20)
 
 
 def test_pipeline(spark):
@@ -408,7 +503,7 @@ def test_pipeline(spark):
             clean.append((d, t))
     meta = {r["doc_id"]: r for r in docs.collect()}
     left = spark.createDataFrame([(d, t, meta[d]["lang"], meta[d]["source"], len(t)) for d, t in clean], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    want = {(r["doc_id"], r["text"]) for r in mixing.calibrated(left).where("sampled").collect()}
+    want = {(r["doc_id"], r["text"]) for r in mixing.sample(left).collect()}
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 

@@ -15,7 +15,7 @@ def score_lm(docs, _):
 
 def score_quality(docs, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (7, 0), (None, 1), (99, 1), (10, None)], "doc_id bigint, quality int")
-    return quality.score(docs, {"quality": quality.train(docs, labels, "quality")})
+    return quality.quality(docs, labels, ("quality",))
 
 
 ROWS = {

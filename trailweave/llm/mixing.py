@@ -2,32 +2,129 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import stored
+from ._columns import free_names, shielded
+from ._store import drop, stored
+from ._text import TOKENS, buffers, owners, pieces, spans, word_hashes
 
 DIMENSIONS = ("source", "lang", "topic")
 
-#: Topics by what a text looks like; the first condition that holds names it, ``prose`` if none does.
-TOPICS = {
-    "empty": "coalesce(text, '') = ''",
-    "table": "instr(text, ' | ') > 0",
-    "shouting": "instr(text, '!! ') > 0",
-    "symbols": "text rlike '[#$%&*]{3}'",
-    "article": "length(text) >= 4000",
-}
-
 #: For each dimension its target shares by value, or a power: shares go with the tokens to that power.
-TARGETS: dict[str, dict[str, float] | float] = {"source": 0.7, "lang": 0.7, "topic": 1.0}
+TARGETS: dict[str, dict[str, float] | float] = {"source": 0.7, "lang": 0.7, "topic": 0.5}
+NO_TOPIC = "none"  # of texts without words
+WIDTH = 128  # of the vectors by which texts are clustered
+_SCALE = 1000  # of centres, which are whole numbers, so that nothing depends on the order of sums
+
+
+def text_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A vector of small whole numbers for each text, by its words' hashes and the roots of their sums, and its number of tokens."""
+    h, offsets = word_hashes(column)
+    row, place = owners(offsets), (h >> np.uint64(64 - 7)).astype(np.int64)
+    sums = np.bincount(row * WIDTH + place, 1.0 - 2.0 * (h & np.uint64(1)), len(column) * WIDTH).reshape(-1, WIDTH)
+    sums = np.sign(sums) * np.sqrt(np.abs(sums))
+    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    vectors = np.rint(127 * np.divide(sums, length, out=np.zeros_like(sums), where=length > 0)).astype(np.int8)
+    data, ends = buffers(column)
+    first, _ = spans(TOKENS[data], ends)
+    return vectors, np.diff(np.searchsorted(first, ends))
+
+
+def _packed(vectors: np.ndarray) -> pa.Array:
+    ends = (np.arange(len(vectors) + 1) * WIDTH).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(vectors))])
+
+
+def _vectors_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, WIDTH).astype(np.float64)
+
 
+def described(documents: DataFrame) -> DataFrame:
+    """``source``, ``lang``, ``tokens`` and ``vector`` of all rows."""
 
-def topic(rules: dict[str, str] | None = None, other: str = "prose") -> F.Column:
-    case = F.lit(other)
-    for name, condition in reversed((TOPICS if rules is None else rules).items()):
-        case = F.when(F.expr(condition), name).otherwise(case)
-    return case
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in pieces(batch.column("text")):
+                part = batch.slice(i, j - i)
+                vectors, tokens = text_vectors(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("source"), part.column("lang"), pa.array(tokens), _packed(vectors)], ["source", "lang", "tokens", "vector"])
+
+    kinds = {c: documents.schema[c].dataType.simpleString() for c in ("source", "lang")}
+    return documents.select("source", "lang", "text").mapInArrow(run, f"source {kinds['source']}, lang {kinds['lang']}, tokens bigint, vector binary")
+
+
+def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of the centre with the largest product, the first if tied; -1 of vectors without words.  Products are whole numbers, so exact."""
+    if not len(centres):
+        return np.full(len(vectors), -1)
+    return np.where(vectors.any(axis=1), np.argmax(vectors @ centres.T, axis=1), -1)
+
+
+def learn_topics(rows: DataFrame, topics: int = 8, rounds: int = 6, seeds: int = 256) -> np.ndarray:
+    """Centres of ``topics`` clusters of all vectors (spherical k-means): each round adds up, in Spark, the vectors nearest to each centre.
+
+    It starts from those of ``seeds`` vectors, the ones with the least hashes, that are farthest from each other.
+    """
+    words = rows.where(F.col("vector") != F.lit(bytes(WIDTH)))
+    first = words.select("vector", F.xxhash64("vector").alias("place")).distinct().orderBy("place", "vector").limit(seeds).select("vector").toArrow()
+    if not first.num_rows:
+        return np.zeros((0, WIDTH))
+    some = _vectors_of(first.column("vector").combine_chunks())
+    chosen = [0]
+    near = some @ some[0]
+    while len(chosen) < min(topics, len(some)):
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, some @ some[chosen[-1]])
+    centres = some[chosen]
+    for _ in range(rounds):
+        held = rows.sparkSession.sparkContext.broadcast(centres)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(held.value.shape)
+            for batch in batches:
+                vectors = _vectors_of(batch.column("vector"))
+                at = nearest(vectors, held.value)
+                for k in np.unique(at[at >= 0]):
+                    sums[k] += vectors[at == k].sum(axis=0)
+            number = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(sums.ravel()[number].astype(np.int64))], ["at", "n"])
+
+        found = rows.select("vector").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        sums = np.zeros(centres.size)
+        sums[[r["at"] for r in found]] = [float(r["n"]) for r in found]
+        sums = sums.reshape(centres.shape)
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        after = np.rint(_SCALE * np.divide(sums, length, out=np.zeros_like(sums), where=length > 0))
+        if (after == centres).all():
+            break
+        centres = after
+    return centres
+
+
+def topic_names(at: np.ndarray) -> pa.Array:
+    return pa.array([NO_TOPIC if k < 0 else f"topic {k}" for k in at.tolist()], pa.string())
+
+
+def with_topics(documents: DataFrame, centres: np.ndarray, topic: str, tokens: str) -> DataFrame:
+    """Adds to ``documents`` each text's topic and number of tokens, under these names."""
+    held = documents.sparkSession.sparkContext.broadcast(centres)
+    names = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in pieces(batch.column("text")):
+                part = batch.slice(i, j - i)
+                vectors, n = text_vectors(part.column("text"))
+                yield pa.RecordBatch.from_arrays([*part.columns, topic_names(nearest(vectors.astype(np.float64), held.value)), pa.array(n)], [*names, topic, tokens])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
+    return documents.mapInArrow(run, f"{schema}, `{topic}` string, `{tokens}` bigint")
 
 
 def _cell(name: str) -> F.Column:
@@ -35,9 +132,18 @@ def _cell(name: str) -> F.Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
 
 
-def cells(documents: DataFrame) -> DataFrame:
-    """Sums of ``tokens`` by ``DIMENSIONS`` (as keys); tasks add up before anything is shuffled."""
-    return documents.groupBy(*(_cell(name).alias(name) for name in DIMENSIONS)).agg(F.sum("tokens").alias("tokens"))
+def cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Sums of ``tokens`` of described rows by ``DIMENSIONS`` (as keys); tasks add up before anything is shuffled."""
+    held = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topic = topic_names(nearest(_vectors_of(batch.column("vector")), held.value))
+            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("lang"), topic, batch.column("tokens")], [*DIMENSIONS, "tokens"])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("source", "lang")}
+    named = rows.mapInArrow(run, f"source {kinds['source']}, lang {kinds['lang']}, topic string, tokens bigint")
+    return named.groupBy(*(_cell(name).alias(name) for name in DIMENSIONS)).agg(F.sum("tokens").alias("tokens"))
 
 
 def shares(sums: dict[str, float], target: dict[str, float] | float) -> dict[str, float]:
@@ -51,8 +157,8 @@ def shares(sums: dict[str, float], target: dict[str, float] | float) -> dict[str
     return {k: v / total for k, v in raw.items()} if total else dict.fromkeys(raw, 0.0)
 
 
-def rake_local(rows: list[tuple], targets: dict, rounds: int = 200, tolerance: float = 1e-9) -> list[float]:
-    """Weights of cells (value of each dimension, ..., tokens) for which weighted sums of tokens have the target shares."""
+def rake_local(rows: list[tuple], targets: dict, rounds: int = 1000, tolerance: float = 1e-9) -> tuple[list[float], float]:
+    """Weights of cells (value of each dimension, ..., tokens) for which weighted sums of tokens have the target shares, and how far off any share was in the last round."""
     tokens = np.array([row[-1] for row in rows], np.float64)
     weight = np.ones(len(rows))
     dims = []
@@ -62,7 +168,7 @@ def rake_local(rows: list[tuple], targets: dict, rounds: int = 200, tolerance: f
         at = np.array([number[row[k]] for row in rows], np.int64)
         wanted = shares(dict(zip(values, np.bincount(at, tokens, len(values)), strict=True)), targets[name])
         dims.append((at, np.array([wanted.get(v, 0.0) for v in values])))
-    total = tokens.sum()
+    total, worst = tokens.sum(), 0.0
     for _ in range(rounds):
         worst = 0.0
         for at, wanted in dims:
@@ -72,17 +178,17 @@ def rake_local(rows: list[tuple], targets: dict, rounds: int = 200, tolerance: f
             weight = weight * factor[at]
         if worst < tolerance:
             break
-    return weight.tolist()
+    return weight.tolist(), float(worst)
 
 
-def rake_spark(table: DataFrame, targets: dict, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+def rake_spark(table: DataFrame, targets: dict, rounds: int = 1000, tolerance: float = 1e-9) -> tuple[DataFrame, float]:
     """As ``rake_local``, for tables of cells too large for the driver: adds ``weight``.
 
     A weight is the product of one factor for each dimension's value.  Every step computes one dimension's factors
     from the cells and the other factors, and writes them, so that plans and lineage stay as short as at first.
     """
     total = float(table.agg(F.sum("tokens")).first()[0] or 0)
-    factors, wanted = {}, {}
+    factors, wanted, written = {}, {}, {}
     for name in DIMENSIONS:
         sums = table.groupBy(name).agg(F.sum("tokens").alias("n")).where("n > 0")
         if isinstance(targets[name], dict):
@@ -102,6 +208,7 @@ def rake_spark(table: DataFrame, targets: dict, rounds: int = 200, tolerance: fl
             out = out.join(factors[name], name)
         return out
 
+    worst = 0.0
     for _ in range(rounds):
         worst = 0.0
         for name in DIMENSIONS:
@@ -110,46 +217,62 @@ def rake_spark(table: DataFrame, targets: dict, rounds: int = 200, tolerance: fl
             factor = F.when(F.col("now") > 0, F.col("f") * F.col("wanted") / F.col("now")).otherwise(0.0)
             step = stored(step.select(name, factor.alias(f"f_{name}"), "away"))
             worst = max(worst, step.agg(F.max("away")).first()[0] or 0.0)
-            factors[name] = step.drop("away")
+            if name in written:
+                drop(written[name])
+            factors[name], written[name] = step.drop("away"), step
         if worst < tolerance:
             break
-    return with_factors().select(*table.columns, weight.alias("weight"))
+    return with_factors().select(*table.columns, weight.alias("weight")), worst
+
 
+def weights(table: DataFrame, targets: dict, driver_cells: int = 100_000, rounds: int = 1000, off: float = 1e-6) -> tuple[DataFrame, bool]:
+    """The table of cells with ``weight``, and whether it is proven small: up to ``driver_cells`` rows are raked on the driver, more by Spark, with the same steps.
 
-def weights(table: DataFrame, targets: dict, driver_cells: int = 100_000) -> tuple[DataFrame, bool]:
-    """The table of cells with ``weight``, and whether it is proven small: up to ``driver_cells`` rows are raked on the driver."""
+    Targets that no weights of these cells meet (a share of more than ``off`` is missing after all rounds) are told by a warning.
+    """
     spark = table.sparkSession
     table = stored(table.where("tokens > 0"))
-    if table.count() > driver_cells:
-        return rake_spark(table, targets), False
-    rows = [tuple(row) for row in table.select(*DIMENSIONS, "tokens").collect()]
-    found = rake_local(rows, targets) if rows else []
-    schema = ", ".join(f"{name} string" for name in DIMENSIONS) + ", weight double"
-    return spark.createDataFrame([(*row[:-1], w) for row, w in zip(rows, found, strict=True)], schema), True
+    if small := table.count() <= driver_cells:
+        rows = [tuple(row) for row in table.select(*DIMENSIONS, "tokens").collect()]
+        found, worst = rake_local(rows, targets, rounds) if rows else ([], 0.0)
+        schema = ", ".join(f"{name} string" for name in DIMENSIONS) + ", weight double"
+        out = spark.createDataFrame([(*row[:-1], w) for row, w in zip(rows, found, strict=True)], schema)
+    else:
+        out, worst = rake_spark(table, targets, rounds)
+    if worst > off:
+        warnings.warn(f"no weights meet the targets: after {rounds} rounds a share is off by {worst:.3g}", stacklevel=2)
+    return out, small
 
 
-def calibrated(documents: DataFrame, targets: dict | None = None, rules: dict[str, str] | None = None, seed: int = 0, driver_cells: int = 100_000) -> DataFrame:
-    """Adds to ``documents`` its ``topic``, ``tokens``, ``probability`` to be sampled, and ``sampled``.
+def calibrated(documents: DataFrame, targets: dict | None = None, seed: int = 0, topics: int = 8, **options) -> DataFrame:
+    """Adds to ``documents`` its ``topic``, ``tokens``, ``probability`` to be sampled, and ``sampled``; columns of these names are replaced.
 
-    Cells are all combinations of ``source``, ``lang`` and topic.  Raking gives each a weight such that weighted tokens
-    have the target shares of every dimension; the probability is the weight over the largest, so that expected
+    Topics are clusters of all texts by their words (see ``learn_topics``).  Cells are all combinations of ``source``, ``lang`` and topic.
+    Raking gives each a weight such that weighted tokens have the target shares of every dimension; the probability is the weight over the largest, so that expected
     tokens have those shares, too.  Whether a document is sampled is a hash of seed, id and text against it: it
     holds however often a task runs, and repeated rows share their fate.  Null values are a cell's value like any
-    other; texts that are null or without tokens get probability 0, and rows and columns stay as they are.
+    other; texts that are null or without tokens get probability 0, and rows and other columns stay as they are.
     """
     targets = TARGETS if targets is None else targets
-    own = {"__topic": topic(rules), "__tokens": F.coalesce(F.regexp_count("text", F.lit("\\S+")), F.lit(0)).cast("bigint")}
-    counted = documents.select(*(name for name in DIMENSIONS[:2]), own["__topic"].alias("topic"), own["__tokens"].alias("tokens"))
-    table, small = weights(cells(counted), targets, driver_cells)
+    rows = stored(described(documents))
+    centres = learn_topics(rows, topics)
+    table, small = weights(cells(rows, centres), targets, **options)
+    drop(rows)
     largest = table.agg(F.max("weight")).first()[0] or 1.0
-    keys = {"__source": _cell("source"), "__lang": _cell("lang"), "__cell_topic": F.concat(F.lit("="), F.col("__topic"))}
-    table = table.toDF(*keys, "__weight") if small else table.select(*(F.col(a).alias(b) for a, b in zip(DIMENSIONS, keys, strict=True)), F.col("weight").alias("__weight"))
-    given = documents.withColumns(own).withColumns(keys)
-    given = given.join(F.broadcast(table) if small else table, list(keys), "left")
-    chance = F.when(F.col("__tokens") > 0, F.coalesce(F.col("__weight"), F.lit(0.0)) / largest).otherwise(0.0)
+    topic, tokens, weight, *keys = free_names(documents, "topic", "tokens", "weight", "source", "lang", "cell")
+    table = table.select(*(F.col(a).alias(b) for a, b in zip(DIMENSIONS, keys, strict=True)), F.col("weight").alias(weight))
+    given = with_topics(documents, centres, topic, tokens)
+    given = given.withColumns(dict(zip(keys, (_cell("source"), _cell("lang"), _cell(topic)), strict=True)))
+    given = given.join(F.broadcast(table) if small else table, keys, "left")
+    chance = F.when(F.col(tokens) > 0, F.coalesce(F.col(weight), F.lit(0.0)) / largest).otherwise(0.0)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11)).cast("double") / float(1 << 53)
-    out = {"topic": F.col("__topic"), "tokens": F.col("__tokens"), "probability": chance, "sampled": uniform < chance}
-    return given.select(*(c for c in documents.columns if c not in out), *(v.alias(k) for k, v in out.items()))
+    out = {"topic": F.col(topic), "tokens": F.col(tokens), "probability": chance, "sampled": uniform < chance}
+    return given.select(*(f"`{c}`" for c in documents.columns if c not in out), *(v.alias(k) for k, v in out.items()))
+
+
+def sample(documents: DataFrame, **options) -> DataFrame:
+    """Those ``documents`` that are sampled (see ``calibrated``), with all their columns, whatever they are called."""
+    return shielded(documents, lambda given: calibrated(given, **options).where("sampled"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

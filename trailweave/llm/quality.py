@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import stored
 from ._text import WORDS, buffers, mix, owners, pieces, word_hashes
 from .language_id import fold
 
@@ -82,26 +83,30 @@ class Linear:
         return np.bincount(rows, self.weight[buckets], minlength=n) + self.bias
 
     @classmethod
-    def fit(cls, rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, steps: int = 100, decay: float = 1e-4, rate: float = 0.3, prior: float = 4.0) -> Linear:
-        """Full-batch AdaGrad over features scaled by their smoothed log-odds, so that rare but telling ones count; others get weight 0."""
-        used, at, times = np.unique(buckets, return_inverse=True, return_counts=True)
-        often = times > 1  # what one row alone has tells nothing of others
-        rows, at, used = rows[often[at]], (np.cumsum(often) - 1)[at[often[at]]], used[often]
+    def fit(cls, rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, taught: np.ndarray, share: float, steps: int = 100, decay: float = 1e-4, rate: float = 0.3, prior: float = 4.0) -> Linear:
+        """Full-batch AdaGrad on labelled rows, over features scaled by their smoothed log-odds, so that rare but telling ones count.
+
+        The odds also count the rows that the other view has labelled: ``taught`` has those of class 0 and 1 by bucket, of ``share`` a row each.
+        Features of one row alone tell nothing of others and get weight 0.
+        """
+        zeros, ones = (np.bincount(buckets[y[rows] == k], minlength=1 << BITS) + share * taught[k] for k in (0, 1))
+        used = np.flatnonzero(np.bincount(buckets, minlength=1 << BITS) + taught.sum(axis=0) > 1)
         base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-        ones = np.bincount(at, y[rows], minlength=len(used))
-        zeros = np.bincount(at, minlength=len(used)) - ones
-        odds = np.log((ones + prior * base) / (zeros + prior * (1 - base))) - np.log(base / (1 - base))
-        weight, bias = np.full(len(used), 0.1), np.log(base / (1 - base))
-        past, past_bias = np.full(len(used), 1e-8), 1e-8
+        odds = np.zeros(1 << BITS)
+        odds[used] = np.log((ones[used] + prior * base) / (zeros[used] + prior * (1 - base))) - np.log(base / (1 - base))
+        known, at = np.unique(buckets, return_inverse=True)
+        scale = odds[known]
+        weight, bias = np.full(len(known), 0.1), np.log(base / (1 - base))
+        past, past_bias = np.full(len(known), 1e-8), 1e-8
         for _ in range(steps):
-            error = sigmoid(np.bincount(rows, (weight * odds)[at], minlength=len(y)) + bias) - y
-            grad = np.bincount(at, error[rows], minlength=len(used)) * odds / len(y) + decay * weight
+            error = sigmoid(np.bincount(rows, (weight * scale)[at], minlength=len(y)) + bias) - y
+            grad = np.bincount(at, error[rows], minlength=len(known)) * scale / len(y) + decay * weight
             past += grad * grad
             weight -= rate * grad / np.sqrt(past)
             past_bias += error.mean() ** 2
             bias -= 0.1 * error.mean() / np.sqrt(past_bias)
-        full = np.zeros(1 << BITS)
-        full[used] = weight * odds
+        full = 0.1 * odds  # of features that no labelled row has
+        full[known] = weight * scale
         return cls(full, float(bias))
 
 
@@ -127,106 +132,216 @@ class Model:
         return sigmoid(z @ self.combine[:-1] + self.combine[-1])
 
 
-def _rows(found: tuple[np.ndarray, np.ndarray], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    number = np.cumsum(keep) - 1
-    some = keep[found[0]]
-    return number[found[0][some]], found[1][some]
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) pairs of a column of packed buckets."""
+    data = [np.frombuffer(x.as_buffer(), np.int32) for x in column]
+    return np.repeat(np.arange(len(data)), [len(x) for x in data]), np.concatenate([*data, np.zeros(0, np.int32)]).astype(np.int64)
 
 
-def co_train(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, held: np.ndarray, rounds: int = 3, share: float = 0.05) -> Model:
-    """Two classifiers that teach each other.  y: 1, 0, or -1 where unlabelled; held: labelled rows kept for calibration.
+def featured(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of all rows, and the buckets of both views as packed numbers; ``lot``, a hash of the row's features, and how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in pieces(batch.column("text")):
+                part = batch.slice(i, j - i)
+                packed, size, lot = [], np.zeros(len(part), np.int64), np.zeros(len(part), np.uint64)
+                for k, (rows, buckets) in enumerate(views(part)):
+                    ends = np.searchsorted(rows, np.arange(len(part) + 1))
+                    packed.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(buckets.astype(np.int32))]))
+                    size += np.diff(ends)
+                    np.add.at(lot, rows, mix(buckets.astype(np.uint64) + np.uint64(k << BITS)))
+                yield pa.RecordBatch.from_arrays([*(part.column(f"own_{k}") for k in range(len(keep))), *packed, pa.array(mix(lot).view(np.int64)), pa.array(size)], [*keep, *VIEWS, "lot", "size"])
+
+    given = documents.select(*(F.col(c).alias(f"own_{k}") for k, c in enumerate(keep)), "text", "lang", "source", "n_chars")
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
+    return given.mapInArrow(run, f"{schema}, text binary, metadata binary, lot bigint, size bigint")
+
+
+def marked(rows: DataFrame, labels: DataFrame, targets: tuple[str, ...]) -> DataFrame:
+    """Adds to featured rows a column ``y_`` for each target: 1, 0, or null without a label.  Labels of an id that differ count by their mean."""
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*((F.avg(t) >= 0.5).cast("int").alias(f"y_{t}") for t in targets))
+    return rows.join(known, "doc_id", "left")
+
+
+@dataclass
+class Sample:
+    """Labelled rows on the driver: their buckets by view, classes, and which of them are kept for calibration."""
+
+    found: list[tuple[np.ndarray, np.ndarray]]
+    y: np.ndarray
+    held: np.ndarray
+
+    @classmethod
+    def of(cls, rows: DataFrame, target: str, size: int, features: int) -> Sample:
+        order = [F.xxhash64("doc_id"), "doc_id", "lot"]
+        some = rows.where(F.col(f"y_{target}").isNotNull())
+        first = some.select(F.xxhash64("doc_id").alias("place"), "doc_id", "lot", F.col("size")).orderBy(*order).limit(size).toArrow()
+        fit = int(np.searchsorted(np.cumsum(np.asarray(first.column("size").combine_chunks())), features, "right"))
+        most = max(fit, min(1, first.num_rows))
+        table = some.select(*VIEWS, F.col(f"y_{target}").alias("y"), (fold("doc_id", 4) == 2).alias("held"), "doc_id", "lot").orderBy(*order).limit(most).select(*VIEWS, "y", "held").toArrow().combine_chunks()
+        columns = {name: (table.column(name).chunk(0) if table.num_rows else pa.array([], table.schema.field(name).type)) for name in table.schema.names}
+        return cls([_unpacked(columns[v]) for v in VIEWS], np.asarray(columns["y"]).astype(np.int64), np.asarray(columns["held"].cast(pa.int8())).astype(bool))
+
+    def training(self, view: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, buckets = self.found[view]
+        number = np.cumsum(~self.held) - 1
+        some = ~self.held[rows]
+        return number[rows[some]], buckets[some], self.y[~self.held].astype(float)
+
+    def both_classes(self) -> bool:
+        return len(set(self.y[~self.held].tolist())) == 2
+
+
+BINS = 4096  # of logits from -40 to 40, for the histograms by which confident rows are chosen
 
-    In each round each view labels the unlabelled rows it is surest of, ``share`` of them, by the labelled rows' share
-    of classes, and these join the other view's training rows.  Then the held rows calibrate the views together.
-    """
-    own = [np.where(held, -1, y) for _ in VIEWS]
-    base = float(y[(y >= 0) & ~held].mean())
-    models: list[Linear] = []
-    for k in range(rounds + 1):
-        models = [Linear.fit(*_rows(f, t >= 0), t[t >= 0].astype(float)) for f, t in zip(found, own, strict=True)]
-        if k == rounds:
-            break
-        for i, j in ((0, 1), (1, 0)):
-            z = models[i].logits(*found[i], len(y))
-            free = np.flatnonzero((own[j] < 0) & ~held)
-            take = int(share * len(free))
-            order = free[np.argsort(z[free], kind="stable")]
-            ones = int(round(take * base))
-            own[j][order[: take - ones]] = 0
-            if ones:
-                own[j][order[-ones:]] = 1
-    z = np.column_stack([m.logits(*f, len(y)) for m, f in zip(models, found, strict=True)])
-    use = held if len(set(y[held].tolist())) > 1 else y >= 0
-    return Model(models, calibrate(z[use], y[use].astype(float)))
-
-
-def _sample(documents: DataFrame, ids: DataFrame, size: int) -> list[pa.Table]:
-    """The features of up to ``size`` documents, those of ``ids`` with the least hashes; the ids are few enough to broadcast."""
-    ids = ids.select("doc_id", *[c for c in ids.columns if c != "doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+
+def _bin(z: np.ndarray) -> np.ndarray:
+    return ((np.clip(z, -40, 40) + 40) * ((BINS - 1) / 80)).astype(np.int64)
+
+
+@dataclass
+class Confident:
+    """The rows that a view is surest of: whole bins of logits beyond a bound, and a share of the rows, by lot, in the bin at the bound."""
+
+    low: int
+    low_share: float
+    high: int
+    high_share: float
+
+    @classmethod
+    def of(cls, histogram: np.ndarray, zeros: int, ones: int) -> Confident:
+        def bound(counts: np.ndarray, take: int) -> tuple[int, float]:
+            sums = np.cumsum(counts)
+            at = int(np.searchsorted(sums, take))
+            return (at, (take - (sums[at] - counts[at])) / counts[at]) if at < len(counts) and counts[at] else (at, 0.0)
+
+        low, low_share = bound(histogram, zeros)
+        high, high_share = bound(histogram[::-1], ones)
+        return cls(low, low_share, len(histogram) - 1 - high, high_share)
+
+    def label(self, z: np.ndarray, lot: np.ndarray) -> np.ndarray:
+        """1, 0, or -1 where the view isn't sure."""
+        at, draw = _bin(z), lot.view(np.uint64) / 2.0**64
+        zero = (at < self.low) | ((at == self.low) & (draw < self.low_share))
+        one = (at > self.high) | ((at == self.high) & (draw < self.high_share))
+        return np.where(one & ~zero, 1, np.where(zero & ~one, 0, -1))
+
+
+def _summed(rows: DataFrame, targets: list[str], values: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of what ``values`` gives for each batch, (key, count) pairs of a bounded number of keys; tasks add up first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            lists = []
-            for rows, buckets in views(batch):
-                ends = np.searchsorted(rows, np.arange(len(batch) + 1)).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", *VIEWS])
+            found = [(keys, counts), *values(batch)]
+            keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    given = documents.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    found = given.mapInArrow(run, f"doc_id {kind}, text array<int>, metadata array<int>").toArrow()
-    labels = ids.toArrow()
-    return [found, labels]
+    given = rows.select(*VIEWS, "lot", *(f"y_{t}" for t in targets))
+    table = given.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return np.asarray(table.column("key").combine_chunks()), np.asarray(table.column("n").combine_chunks())
 
 
-def train(documents: DataFrame, labels: DataFrame, target: str, size: int = 8000, pool: int = 4000) -> Model | None:
-    """Fits on a bounded sample: up to ``size`` labelled documents and ``pool`` unlabelled ones, those with the least hashes of ids.
+def co_train(rows: DataFrame, targets: tuple[str, ...], size: int = 8000, features: int = 16_000_000, rounds: int = 3, share: float = 0.05) -> dict[str, Model | None]:
+    """For each target, two classifiers that teach each other over all rows (see ``marked``), and the weights that combine them.
 
-    Labels of a document that differ count by their mean, and those of absent documents not at all.  Without labels of both classes there is no model.
-    """
-    known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("y"))
-    given = documents.select("doc_id").where("doc_id is not null").distinct()
-    known = known.join(given, "doc_id", "left_semi").withColumn("held", fold("doc_id", 4) == 2)
-    unknown = given.join(known, "doc_id", "left_anti").withColumns({"y": F.lit(-1), "held": F.lit(False)})
-    parts = [_sample(documents, known, size), _sample(documents, unknown, pool)]
-    rows, found, y, held, n = [], [[], []], [], [], 0
-    for features, ids in parts:
-        named = dict(zip(ids.column("doc_id").to_pylist(), zip(ids.column("y").to_pylist(), ids.column("held").to_pylist(), strict=True), strict=True))
-        features = features.sort_by("doc_id")
-        for doc, text, metadata in zip(*(features.column(c).to_pylist() for c in ("doc_id", *VIEWS)), strict=True):
-            for k, buckets in enumerate((text, metadata)):
-                found[k].append((np.full(len(buckets), n), np.array(buckets, np.int64)))
-            y.append(named[doc][0])
-            held.append(named[doc][1])
-            n += 1
-    y, held = np.array(y, np.int64), np.array(held, bool)
-    if not n or len(set(y[(y >= 0) & ~held].tolist())) < 2:
-        return None
-    return co_train([tuple(np.concatenate(x) for x in zip(*f, strict=True)) for f in found], y, held)
-
-
-def score(documents: DataFrame, models: dict[str, Model | None], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds to the ``keep`` columns of all rows a score, the probability of class 1, for each target; null without a model.
-
-    Texts are scored whole; null texts and null metadata are values that the models may know or not.
+    The classifiers are fitted on a bounded sample of labelled rows: up to ``size`` of them and ``features`` features in
+    all, those with the least hashes of ids.  All else is counted over the whole table.  In round k each view scores
+    all unlabelled rows, labels those that it is surest of, k times ``share`` of them in the labelled rows' proportion of classes, and
+    their features, added up by Spark, count for the other view as much as the labelled rows do.  Then labelled rows
+    kept apart calibrate the views together.  Without labelled rows of both classes a target has no model.
     """
-    held = documents.sparkSession.sparkContext.broadcast(models)
+    spark = rows.sparkSession
+    samples = {t: s for t in targets if (s := Sample.of(rows, t, size, features)).both_classes()}
+    names = list(samples)
+    taught = {(t, v): np.zeros((2, 1 << BITS), np.int64) for t in names for v in range(2)}
+    taught_rows = dict.fromkeys(taught, 0)
+
+    def fitted() -> dict[tuple[str, int], Linear]:
+        found = {}
+        for t, v in taught:
+            own = samples[t].training(v)
+            found[t, v] = Linear.fit(*own, taught[t, v], len(own[2]) / max(len(own[2]), taught_rows[t, v]))
+        return found
+
+    models = fitted()
+    for k in range(1, rounds + 1 if names else 1):
+        held = spark.sparkContext.broadcast(models)
+
+        def scored(batch: pa.RecordBatch, held=held) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, list]]:
+            found = [_unpacked(batch.column(v)) for v in VIEWS]
+            for i, t in enumerate(names):
+                free = np.asarray(batch.column(f"y_{t}").is_null())
+                for v in range(2):
+                    yield 2 * i + v, t, free, held.value[t, v].logits(*found[v], len(batch)), found
+
+        def histograms(batch: pa.RecordBatch, scored=scored) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for number, _, free, z, _ in scored(batch):
+                yield np.unique(number * BINS + _bin(z[free]), return_counts=True)
+
+        keys, counts = _summed(rows, names, histograms)
+        histogram = np.zeros(2 * len(names) * BINS, np.int64)
+        histogram[keys] = counts
+        chosen = []
+        for number, own in enumerate(histogram.reshape(-1, BINS)):
+            y = samples[names[number // 2]].y[~samples[names[number // 2]].held]
+            take = int(min(1.0, k * share) * own.sum())
+            ones = int(round(take * y.mean()))
+            chosen.append(Confident.of(own, take - ones, ones))
+
+        def counted(batch: pa.RecordBatch, scored=scored, chosen=chosen) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            lot = np.asarray(batch.column("lot"))
+            for number, _, free, z, found in scored(batch):
+                label = np.where(free, chosen[number].label(z, lot), -1)
+                of, buckets = found[1 - number % 2]  # this view's labels teach the other one
+                some = label[of] >= 0
+                base = 2 * number << BITS + 1
+                yield np.unique(base + (label[of[some]] << BITS + 1) + buckets[some], return_counts=True)
+                yield base + (np.array([0, 1]) << BITS + 1) + (1 << BITS), np.array([(label == 0).sum(), (label == 1).sum()])
+
+        keys, counts = _summed(rows, names, counted)
+        sums = np.zeros((2 * len(names), 2, 2 << BITS), np.int64)
+        sums.reshape(-1)[keys] = counts
+        for number in range(2 * len(names)):
+            to = names[number // 2], 1 - number % 2
+            taught[to], taught_rows[to] = sums[number][:, : 1 << BITS], int(sums[number][:, 1 << BITS].sum())
+        models = fitted()
+    out: dict[str, Model | None] = dict.fromkeys(targets)
+    for t, s in samples.items():
+        z = np.column_stack([models[t, v].logits(*s.found[v], len(s.y)) for v in range(2)])
+        use = s.held if len(set(s.y[s.held].tolist())) > 1 else np.ones(len(s.y), bool)
+        out[t] = Model([models[t, v] for v in range(2)], calibrate(z[use], s.y[use].astype(float)))
+    return out
+
+
+def scored(rows: DataFrame, models: dict[str, Model | None], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of featured rows and a score, the probability of class 1, for each target; null without a model."""
+    held = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in pieces(batch.column("text")):
-                part = batch.slice(i, j - i)
-                found = views(part)
-                scores = [pa.nulls(len(part), pa.float64()) if m is None else pa.array(m.scores(found, len(part))) for m in held.value.values()]
-                yield pa.RecordBatch.from_arrays([*(part.column(f"__keep{k}") for k in range(len(keep))), *scores], [*keep, *(f"{x}_score" for x in models)])
+            found = [_unpacked(batch.column(v)) for v in VIEWS]
+            scores = [pa.nulls(len(batch), pa.float64()) if m is None else pa.array(m.scores(found, len(batch))) for m in held.value.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *scores], [*keep, *(f"{x}_score" for x in models)])
 
-    given = documents.select(*(F.col(c).alias(f"__keep{k}") for k, c in enumerate(keep)), "text", "lang", "source", "n_chars")
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return given.mapInArrow(run, f"{schema}, " + ", ".join(f"{x}_score double" for x in models))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(*(f"`{c}`" for c in keep), *VIEWS).mapInArrow(run, f"{schema}, " + ", ".join(f"{x}_score double" for x in models))
+
+
+def quality(documents: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), **options) -> DataFrame:
+    """``doc_id`` of all ``documents`` and, for each target that ``labels`` has a column of, its score (see ``co_train``).
+
+    Texts count whole; null texts and null metadata are values that the models may know or not.  Repeated rows are
+    scored, counted and, if labelled, sampled like any others.  Labels that are null, of a null id, or of absent
+    documents count nothing.
+    """
+    rows = stored(marked(featured(documents), labels, targets))
+    return scored(rows, co_train(rows, targets, **options))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all ``documents`` for both kinds of ``labels``."""
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    models = {target: train(documents, labels, target) for target in ("quality", "toxic")}
-    return score(documents, models).withColumns({t: F.col(f"{t}_score") >= 0.5 for t in models})
+    return quality(documents, labels).withColumns({t: F.col(f"{t}_score") >= 0.5 for t in ("quality", "toxic")})
