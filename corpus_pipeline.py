@@ -34,7 +34,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights (7): samples documents by calibrated probabilities."""
-    return mixing.calibrated(docs).where("sampled").drop("sampled")
+    return mixing.sample(docs)
 
 
 STAGES = [
