@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -380,15 +381,42 @@ def test_chat_layouts_and_escapes(spark):
     assert {(r["n_turns"], r["turns_sha256"], r["loss_chars"]) for r in chat_format.read_back(formatted).collect()} == {(2, digest, 2)}
 
 
+def read_medium(data):
+    """Kind and payload of a stored form, read by plain struct and zlib calls."""
+    if data.startswith(b"Content-Type"):
+        data = data.partition(b"\r\n\r\n")[2][:-4]
+    if data[:4] == b"RIFF":
+        return "wav", data[44 : 44 + struct.unpack_from("<I", data, 40)[0]]
+    if data[:2] == b"BM":
+        return "bmp", data[struct.unpack_from("<I", data, 10)[0] :]
+    plain = zlib.decompress(data[41 : 41 + struct.unpack_from(">I", data, 33)[0]])
+    return "png", b"".join(plain[k + 1 : k + 65] for k in range(0, len(plain), 65))
+
+
 def test_media(spark, docs):
     got = {r["doc_id"]: r for r in media.query(spark, SF).collect()}
+    stored = {r["doc_id"]: r for r in media.corrected(media.stored_media(spark.read.parquet(f"{SF}/documents.parquet"))).collect()}
+    kinds = set()
     for d, text, *_ in docs:
         raw = (text or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
-        wav = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
-        r = got[d]
+        r, data = got[d], bytes(stored[d]["media"])
+        kind, inside = read_medium(data)
+        kinds.add((kind, stored[d]["kind"], stored[d]["wrong"]))
+        assert inside == payload and (stored[d]["kind"] == media.UNKNOWN) == data.startswith(b"Content") and stored[d]["wrong"] == (stored[d]["declared"] != stored[d]["kind"])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert (r["media_bytes"], r["media_sha256"]) == (len(wav), hashlib.sha256(wav).hexdigest()) and r["feature"].startswith("audio/wav")
+        assert (r["media_bytes"], r["media_sha256"]) == (len(data), hashlib.sha256(data).hexdigest()) and f"/{kind}@" in r["feature"]
+    assert len(kinds) >= 7  # right and wrong declarations of each form, and carved ones
+
+
+@pytest.mark.parametrize(
+    "data",
+    [b"fLaC\x00\x00\x00\x22" + bytes(34) + b"\x80\x00\x00\x00", b"%PDF-1", b"%PDF-1 startxref %%EOF", b"PK\x03\x04", b"\xff\xd8\xff\xda\x00\x02", b"GIF89a" + bytes(7) + b"!\xf9\xff", b"\x00\x00\x00\x10ftypmp42mdat", b"RIFF\x04\x00\x00\x00WAVE", b"\x89PNG\r\n\x1a\n\x00\x00\x00\x00IHDR"],
+)
+def test_hostile_media_take_time_in_proportion(data):
+    began = time.process_time()
+    found = media.sniff(data * (400_000 // len(data)) + b"PK\x05\x06" + bytes(18))
+    assert time.process_time() - began < 8 and sum(f.length for f in media.outermost(found)) <= 400_100
 
 
 def png():
@@ -399,13 +427,18 @@ def png():
 def test_carving(spark):
     image = png()
     gif = b"GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02scan\xff\x00more\xff\xd9"
+    mp4 = b"\x00\x00\x00\x0cftypmp42\x00\x00\x00\x0amdatxx"
+    pdf = b"%PDF-1.4 x startxref 9 %%EOF"
     broken = image[:-5] + b"xxxxx"
-    values = [(1, image, "image/jpeg"), (2, b"junk" + image + b"more" + gif, "image/png"), (3, broken, "image/png"), (4, None, "image/gif"), (5, b"", None), (6, media.to_wav(b"ab" + image), "audio/wav")]
-    got = {r["id"]: r for r in media.corrected(spark.createDataFrame(values, "id int, media binary, declared string")).collect()}
+    values = [(1, image, "image/jpeg"), (2, b"junk" + image + b"more" + gif + jpeg + mp4 + pdf + pdf, "image/png"), (3, broken, "image/png"), (4, None, "image/gif"), (5, b"", None), (6, media.to_wav(b"ab" + image), "audio/wav")]
+    rows = media.corrected(spark.createDataFrame(values, "id int, media binary, declared string"))
+    got = {r["id"]: r for r in rows.collect()}
+    cut = {k: [(r["kind"], bytes(r["bytes"])) for r in media.carved(rows, ("id",)).where(f"id = {k}").orderBy("start").collect()] for k in (2, 6)}
     assert (got[1]["kind"], got[1]["wrong"]) == ("image/png", True)
-    assert [(e["kind"], bytes(e["bytes"])) for e in got[2]["embedded"]] == [("image/png", image), ("image/gif", gif)] and got[2]["kind"] == media.UNKNOWN
+    assert cut[2] == [("image/png", image), ("image/gif", gif), ("image/jpeg", jpeg), ("video/mp4", mp4), ("application/pdf", pdf), ("application/pdf", pdf)] and got[2]["kind"] == media.UNKNOWN
     assert got[3]["kind"] == got[4]["kind"] == got[5]["kind"] == media.UNKNOWN
-    assert (got[6]["kind"], got[6]["wrong"], bytes(got[6]["embedded"][0]["bytes"])) == ("audio/wav", False, image)
+    assert (got[6]["kind"], got[6]["wrong"], cut[6]) == ("audio/wav", False, [("image/png", image)])
 
 
 @pytest.mark.parametrize(

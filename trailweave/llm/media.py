@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import ahocorasick
 import numpy as np
@@ -36,8 +37,57 @@ MAGIC = (
 )
 
 
-def wav_length(data: bytes, at: int) -> int | None:
+class Structures:
+    """Bytes whose formats are checked: what checks at many places would look up again and again is found once."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self._chains: dict[str, dict[int, tuple | None]] = {}
+
+    def places(self, mark: bytes) -> list[int]:
+        """Where a mark is, ascending."""
+        found, at = [], self.data.find(mark)
+        while at >= 0:
+            found.append(at)
+            at = self.data.find(mark, at + 1)
+        return found
+
+    @cached_property
+    def zip_ends(self) -> list[int]:
+        return self.places(b"PK\x05\x06")
+
+    @cached_property
+    def pdf_starts(self) -> list[int]:
+        return self.places(b"%PDF-")
+
+    @cached_property
+    def jpeg_marks(self) -> np.ndarray:
+        """Markers that end a scan: neither stuffed bytes nor restarts."""
+        data = np.frombuffer(self.data, np.uint8)
+        at = np.flatnonzero(data[:-1] == 0xFF)
+        after = data[at + 1]
+        return at[(after != 0) & ((after < 0xD0) | (after > 0xD7))]
+
+    def chain(self, name: str, at: int, step: Callable[[int], tuple[int | None, tuple | None]]) -> tuple | None:
+        """What a chain of blocks comes to.  ``step`` gives the next block's place, or None and the outcome; chains that meet go on as one, so that no block is read twice."""
+        known = self._chains.setdefault(name, {})
+        passed = []
+        while at not in known:
+            passed.append(at)
+            after, outcome = step(at)
+            if after is None:
+                known[at] = outcome
+                break
+            at = after
+        outcome = known[at]
+        for p in passed:
+            known[p] = outcome
+        return outcome
+
+
+def wav_length(found: Structures, at: int) -> int | None:
     """RIFF/WAVE: a format chunk before the data chunk, and chunks that fill the length the header gives."""
+    data = found.data
     if len(data) < at + 12 or data[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
@@ -49,111 +99,138 @@ def wav_length(data: bytes, at: int) -> int | None:
     return end - at if p == end and b"data" in seen and b"fmt " in seen[: seen.index(b"data")] else None
 
 
-def png_length(data: bytes, at: int) -> int | None:
+def png_length(found: Structures, at: int) -> int | None:
     """PNG: chunks with right checksums, from IHDR to IEND."""
-    p, first = at + 8, True
-    while p + 12 <= len(data):
+    data = found.data
+
+    def step(p: int) -> tuple[int | None, tuple | None]:
+        if p + 12 > len(data):
+            return None, None
         size, kind = struct.unpack_from(">I", data, p)[0], data[p + 4 : p + 8]
-        if p + 12 + size > len(data) or first != (kind == b"IHDR"):
-            return None
-        if zlib.crc32(data[p + 4 : p + 8 + size]) != struct.unpack_from(">I", data, p + 8 + size)[0]:
-            return None
-        p, first = p + 12 + size, False
-        if kind == b"IEND":
-            return p - at
-    return None
+        if p + 12 + size > len(data) or zlib.crc32(memoryview(data)[p + 4 : p + 8 + size]) != struct.unpack_from(">I", data, p + 8 + size)[0]:
+            return None, None
+        return (None, (p + 12 + size,)) if kind == b"IEND" else (p + 12 + size, None)
+
+    if data[at + 12 : at + 16] != b"IHDR":
+        return None
+    end = found.chain("png", at + 8, step)
+    return end[0] - at if end else None
 
 
-def jpeg_length(data: bytes, at: int) -> int | None:
+def jpeg_length(found: Structures, at: int) -> int | None:
     """JPEG: segments with lengths up to the scan, then the end marker."""
-    p, scan = at + 2, False
-    while p + 4 <= len(data) and data[p] == 0xFF:
-        kind = data[p + 1]
-        if kind == 0xD9:
-            return p + 2 - at if scan else None
-        p += 2 + struct.unpack_from(">H", data, p + 2)[0]
-        if kind == 0xDA:
-            scan = True
-            while (p := data.find(b"\xff", p)) >= 0 and p + 1 < len(data) and (data[p + 1] == 0 or 0xD0 <= data[p + 1] <= 0xD7):
-                p += 2
-            if p < 0:
-                return None
-            if data[p : p + 2] == b"\xff\xd9":
-                return p + 2 - at
-    return None
-
-
-def gif_length(data: bytes, at: int) -> int | None:
-    """GIF: screen descriptor, then blocks up to the trailer."""
+    data = found.data
+
+    def step(p: int) -> tuple[int | None, tuple | None]:
+        """From a segment: a scan goes on to the next marker that ends it; the outcome is whether there was a scan."""
+        if p + 4 > len(data) or data[p] != 0xFF or data[p + 1] == 0xD9:
+            return None, (p + 2, False) if p + 2 <= len(data) and data[p : p + 2] == b"\xff\xd9" else None
+        after = p + 2 + struct.unpack_from(">H", data, p + 2)[0]
+        if data[p + 1] == 0xDA:
+            k = int(np.searchsorted(found.jpeg_marks, after))
+            if k == len(found.jpeg_marks):
+                return None, None
+            after = int(found.jpeg_marks[k])
+            if data[after + 1] == 0xD9:
+                return None, (after + 2, True)
+        return after, None
+
+    end = found.chain("jpeg", at + 2, step)
+    return end[0] - at if end and end[1] else None
+
+
+def gif_length(found: Structures, at: int) -> int | None:
+    """GIF: screen descriptor, then images or extensions up to the trailer."""
+    data = found.data
     if len(data) < at + 13:
         return None
 
     def table(flags: int) -> int:
         return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
 
-    p, images = at + 13 + table(data[at + 10]), 0
-    while p < len(data):
-        if data[p] == 0x3B:
-            return p + 1 - at if images else None
+    def block(p: int) -> tuple[int | None, tuple | None]:
+        if p >= len(data):
+            return None, None
+        return (p + 1 + data[p], None) if data[p] else (None, (p + 1,))
+
+    def part(p: int) -> tuple[int | None, tuple | None]:
+        """Place after an image or an extension, or the end after the trailer."""
+        if p >= len(data) or data[p] == 0x3B:
+            return None, (p + 1,) if p < len(data) else None
         if data[p] == 0x2C and p + 10 < len(data):
-            p += 11 + table(data[p + 9])
-            images += 1
+            blocks = p + 11 + table(data[p + 9])
         elif data[p] == 0x21:
-            p += 2
+            blocks = p + 2
         else:
-            return None
-        while p < len(data) and data[p]:
-            p += 1 + data[p]
-        p += 1
-    return None
+            return None, None
+        after = found.chain("gif blocks", blocks, block)
+        return (after[0], None) if after else (None, None)
 
+    first = at + 13 + table(data[at + 10])
+    end = found.chain("gif", first, part)
+    return end[0] - at if end and end[0] > first + 1 else None
 
-def bmp_length(data: bytes, at: int) -> int | None:
+
+def bmp_length(found: Structures, at: int) -> int | None:
     """BMP: length in the header, a known header size, and pixels within."""
+    data = found.data
     if len(data) < at + 26:
         return None
     size, reserved, pixels, header = struct.unpack_from("<IIII", data, at + 2)
     return size if not reserved and header in (12, 40, 52, 56, 108, 124) and 14 + header <= pixels <= size <= len(data) - at else None
 
 
-def pdf_length(data: bytes, at: int) -> int | None:
-    """PDF: a version, and the last end mark after a cross-reference start."""
+def pdf_length(found: Structures, at: int) -> int | None:
+    """PDF: a version, and the last end mark before the next PDF begins, after a cross-reference start."""
+    data = found.data
     if not data[at + 5 : at + 6].isdigit():
         return None
-    end = data.rfind(b"%%EOF", at)
+    k = bisect_right(found.pdf_starts, at)
+    stop = found.pdf_starts[k] if k < len(found.pdf_starts) else len(data)
+    end = data.rfind(b"%%EOF", at, stop)
     return end + 5 - at if end > 0 and data.rfind(b"startxref", at, end) > 0 else None
 
 
-def zip_length(data: bytes, at: int) -> int | None:
+def zip_length(found: Structures, at: int) -> int | None:
     """ZIP: an end record whose central directory lies between the first file and itself."""
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
+    data, k = found.data, bisect_right(found.zip_ends, at)
+    if k == len(found.zip_ends) or (end := found.zip_ends[k]) + 22 > len(data):
         return None
     size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
     return end + 22 + comment - at if at + offset + size == end and end + 22 + comment <= len(data) and data[at + offset : at + offset + 4] in (b"PK\x01\x02", b"PK\x05\x06") else None
 
 
-def flac_length(data: bytes, at: int) -> int | None:
+def flac_length(found: Structures, at: int) -> int | None:
     """FLAC: a stream description first, and metadata blocks within the data; frames go on to the end."""
-    p, last, first = at + 4, False, True
-    while not last and p + 4 <= len(data):
-        last, kind, size = bool(data[p] & 0x80), data[p] & 0x7F, int.from_bytes(data[p + 1 : p + 4])
-        if first and (kind, size) != (0, 34):
-            return None
-        p, first = p + 4 + size, False
-    return len(data) - at if last and p <= len(data) else None
+    data = found.data
+
+    def step(p: int) -> tuple[int | None, tuple | None]:
+        if p + 4 > len(data):
+            return None, None
+        after = p + 4 + int.from_bytes(data[p + 1 : p + 4])
+        return (None, (after,) if after <= len(data) else None) if data[p] & 0x80 else (after, None)
 
+    if len(data) < at + 8 or data[at + 4] & 0x7F or int.from_bytes(data[at + 5 : at + 8]) != 34:
+        return None
+    return len(data) - at if found.chain("flac", at + 4, step) else None
 
-def mp4_length(data: bytes, at: int) -> int | None:
+
+def mp4_length(found: Structures, at: int) -> int | None:
     """MP4: boxes one after another, with a movie or its data among them."""
-    p, kinds = at, set()
-    while p + 8 <= len(data):
-        size, kind = struct.unpack_from(">I", data, p)[0], data[p + 4 : p + 8]
+    data = found.data
+    known = found._chains.setdefault("mp4", {})  # of each box: where the boxes end, and whether a movie is among them
+    p, passed = at, []
+    while p not in known:
+        size, kind = struct.unpack_from(">I", data, p)[0] if p + 8 <= len(data) else 0, data[p + 4 : p + 8]
         if size < 8 or p + size > len(data) or not kind.isalnum():
+            known[p] = (p, False)
             break
-        kinds.add(kind)
+        passed.append((p, kind))
         p += size
-    return p - at if b"ftyp" in kinds and kinds & {b"moov", b"mdat"} else None
+    end = known[p]
+    for q, kind in reversed(passed):
+        end = known[q] = (end[0], end[1] or kind in (b"moov", b"mdat"))
+    return end[0] - at if end[1] else None
 
 
 VALID = {"audio/wav": wav_length, "image/png": png_length, "image/jpeg": jpeg_length, "image/gif": gif_length, "image/bmp": bmp_length, "application/pdf": pdf_length, "application/zip": zip_length, "audio/flac": flac_length, "video/mp4": mp4_length}
@@ -180,15 +257,25 @@ class Found:
 
 def sniff(data: bytes) -> list[Found]:
     """Media in some bytes, by start: magic bytes anywhere, confirmed by the format's structure; those within others too."""
-    found = []
+    found, structures = [], Structures(data)
     for last, kinds in _automaton().iter(data.decode("latin-1")):
         for kind, size, before in kinds:
             start = last + 1 - size - before
-            if start >= 0 and (length := VALID[kind](data, start)):
+            if start >= 0 and (length := VALID[kind](structures, start)):
                 found.append(Found(kind, start, length))
     return sorted(found, key=lambda f: (f.start, -f.length, f.kind))
 
 
+def outermost(found: list[Found]) -> list[Found]:
+    """Those of some media, by start, that don't begin within one before; so they don't overlap."""
+    out, end = [], 0
+    for f in found:
+        if f.start >= end:
+            out.append(f)
+            end = f.start + f.length
+    return out
+
+
 def to_wav(samples: bytes, rate: int = RATE) -> bytes:
     """Mono WAV with 8 bits a sample; a chunk of an odd number is padded."""
     pad = bytes(len(samples) % 2)
@@ -207,52 +294,129 @@ def wav_samples(data: bytes) -> tuple[int, bytes]:
         p += 8 + size + size % 2
 
 
+def to_png(samples: bytes, width: int = BLOCK) -> bytes:
+    """Greyscale PNG with 8 bits a pixel; the number of samples is a multiple of the width."""
+    rows = np.frombuffer(samples, np.uint8).reshape(-1, width)
+    plain = np.zeros((len(rows), width + 1), np.uint8)  # each row after its filter, none
+    plain[:, 1:] = rows
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(plain.tobytes(), 1)) + chunk(b"IEND", b"")
+
+
+def png_samples(data: bytes) -> bytes | None:
+    """Pixels of a valid greyscale PNG with 8 bits a pixel and rows without filters, else None."""
+    width, height, *kind = struct.unpack_from(">IIBBBBB", data, 16)
+    if kind != [8, 0, 0, 0, 0]:
+        return None
+    p, body = 8, []
+    while p < len(data):
+        size = struct.unpack_from(">I", data, p)[0]
+        if data[p + 4 : p + 8] == b"IDAT":
+            body.append(data[p + 8 : p + 8 + size])
+        p += 12 + size
+    rows = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(height, width + 1)
+    return None if rows[:, 0].any() else rows[:, 1:].tobytes()
+
+
+def to_bmp(samples: bytes, width: int = BLOCK) -> bytes:
+    """Greyscale BMP with 8 bits a pixel and its first row on top; the number of samples is a multiple of the width, and that of 4."""
+    head = struct.pack("<IiiHHIIiiII", 40, width, -(len(samples) // width), 1, 8, 0, len(samples), 0, 0, 256, 0)
+    palette = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(-1, 4)
+    palette[:, 3] = 0
+    start = 14 + len(head) + 1024
+    return b"BM" + struct.pack("<III", start + len(samples), 0, start) + head + palette.tobytes() + samples
+
+
+def bmp_samples(data: bytes) -> bytes | None:
+    """Pixels of a valid BMP with 8 bits a pixel, rows from the top and no padding, else None."""
+    start, header, width, height, _, depth, packing = struct.unpack_from("<IIiiHHI", data, 10)
+    size = -height * width
+    return data[start : start + size] if header == 40 and depth == 8 and not packing and height < 0 and width % 4 == 0 and len(data) == start + size else None
+
+
+def samples_of(kind: str, data: bytes) -> tuple[int, bytes]:
+    """Rate (of sound) and samples of a medium; the bytes themselves of one that isn't read here."""
+    if kind == "audio/wav":
+        return wav_samples(data)
+    found = png_samples(data) if kind == "image/png" else bmp_samples(data) if kind == "image/bmp" else None
+    return 0, data if found is None else found
+
+
 def padded(payload: bytes) -> bytes:
     """Zeros up to a positive multiple of ``BLOCK`` bytes."""
     return payload + bytes(max(BLOCK, -(-len(payload) // BLOCK) * BLOCK) - len(payload))
 
 
+#: Stored forms, and what is declared of them: right, wrong, unknown or nothing.  The last is a medium within other bytes.
+FORMS = (to_wav, to_png, to_bmp, lambda samples: b"Content-Type: image/bmp\r\n\r\n" + to_bmp(samples) + b"\r\n--")
+DECLARED = ("audio/wav", "image/png", "image/gif", UNKNOWN, None)
+
+
 def stored_media(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Stores each whole text, as UTF-8 and padded, in a ``media`` column of WAV bytes, ``declared`` as unknown.  A null text is empty."""
+    """Stores each whole text, as UTF-8 and padded, losslessly in a ``media`` column, in one of ``FORMS`` and ``declared`` as something, both by the text's checksum.  A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in pieces(batch.column("__text")):
+            for i, j in pieces(batch.column("own_text")):
                 part = batch.slice(i, j - i)
-                texts = [(x or "").encode() for x in part.column("__text").to_pylist()]
-                media = pa.array([to_wav(padded(x)) for x in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(map(len, texts), pa.int64()), media, pa.array([UNKNOWN] * len(texts))], [*keep, "n_bytes", "media", "declared"])
-
-    given = documents.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+                texts = [(x or "").encode() for x in part.column("own_text").to_pylist()]
+                marks = [zlib.crc32(x) for x in texts]
+                media = pa.array([FORMS[m % len(FORMS)](padded(x)) for m, x in zip(marks, texts, strict=True)], pa.binary())
+                declared = pa.array([DECLARED[m // len(FORMS) % len(DECLARED)] for m in marks], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(map(len, texts), pa.int64()), media, declared], [*keep, "n_bytes", "media", "declared"])
+
+    given = documents.select(*(F.col(c).alias(f"own_{k}") for k, c in enumerate(keep)), F.col("text").alias("own_text"))
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     return given.mapInArrow(run, f"{schema}, n_bytes bigint, media binary, declared string")
 
 
+EMBEDDED = "array<struct<kind: string, start: bigint, length: bigint>>"
+
+
 def corrected(media: DataFrame) -> DataFrame:
-    """Adds to rows with ``media`` and ``declared``: ``kind``, the confirmed type of the whole value (else unknown), whether it was ``wrong``, and ``embedded``, the media carved out of it.
+    """Adds to rows with ``media`` and ``declared``: ``kind``, the confirmed type of the whole value (else unknown), whether it was ``wrong``, and ``embedded``, where other media are in it.
 
     A value is of a type if one of that type starts at its first byte.  Embedded media that lie in another one of
-    the list are listed as well.  Null media are unknown, with nothing embedded.
+    the list are listed as well.  Null media are unknown, with nothing embedded.  Columns of these three names are replaced.
     """
+    keep = [c for c in media.columns if c not in ("kind", "wrong", "embedded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("bytes", pa.binary())]))
+        kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
         for batch in batches:
             kinds, wrong, embedded = [], [], []
             for media, declared in zip(batch.column("media"), batch.column("declared").to_pylist(), strict=True):
-                data = media.as_py() or b""
-                found = sniff(data)
+                found = sniff(media.as_py() or b"")
                 kinds.append(found[0].kind if found and not found[0].start else UNKNOWN)
                 wrong.append(kinds[-1] != declared)
-                embedded.append([{"kind": f.kind, "start": f.start, "bytes": data[f.start : f.start + f.length]} for f in found if f.start])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds), pa.array(wrong), pa.array(embedded, kind_of)], [*batch.schema.names, "kind", "wrong", "embedded"])
+                embedded.append([{"kind": f.kind, "start": f.start, "length": f.length} for f in found if f.start])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds), pa.array(wrong), pa.array(embedded, kind_of)], [*keep, "kind", "wrong", "embedded"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*(f"`{c}`" for c in keep)).schema.fields)
+    return media.select(*(f"`{c}`" for c in keep)).mapInArrow(run, f"{schema}, kind string, wrong boolean, embedded {EMBEDDED}")
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
-    return media.mapInArrow(run, f"{schema}, kind string, wrong boolean, embedded array<struct<kind: string, start: bigint, bytes: binary>>")
+def carved(media: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The media embedded in corrected rows, each with its ``kind``, ``start`` and ``bytes``; of those within one another the outermost, so that no byte is cut out twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                data = batch.column("media")[row].as_py() or b""
+                found = outermost([Found(**x) for x in batch.column("embedded")[row].as_py() or []])
+                same = pa.array([row] * len(found), pa.int64())
+                columns = [*(batch.column(k).take(same) for k in range(len(keep))), pa.array([f.kind for f in found], pa.string()), pa.array([f.start for f in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([data[f.start : f.start + f.length] for f in found], pa.binary())], [*keep, "kind", "start", "bytes"])
+
+    schema = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep)
+    return media.select(*(F.col(c).alias(f"own_{k}") for k, c in enumerate(keep)), "media", "embedded").mapInArrow(run, f"{schema}, kind string, start bigint, bytes binary")
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Replaces ``media`` and ``embedded`` by what is read from the stored bytes: the payload's digests and a ``feature`` of the samples."""
+    """Replaces ``media`` and ``embedded`` by what is read from the stored bytes: the payload's digests and a ``feature`` of the samples.
+
+    The payload is that of the value itself or, if its type is unknown, of the first medium carved out of it.
+    """
     keep = [c for c in media.columns if c not in ("media", "declared", "kind", "wrong", "embedded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,10 +424,12 @@ def features(media: DataFrame) -> DataFrame:
             rows = []
             for value, kind, inside in zip(batch.column("media"), batch.column("kind").to_pylist(), batch.column("embedded"), strict=True):
                 data = value.as_py() or b""
-                rate, payload = wav_samples(data) if kind == "audio/wav" else (0, data)
+                within = outermost([Found(**x) for x in inside.as_py() or []])
+                f = Found(kind, 0, len(data)) if kind != UNKNOWN or not within else within[0]
+                rate, payload = samples_of(f.kind, data[f.start : f.start + f.length])
                 samples = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
                 level = f"{samples.min(initial=0)}/{samples.max(initial=0)}/{samples.sum()}/{(samples * samples).sum()}/{np.count_nonzero(np.diff(samples >= 0))}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), f"{kind};{rate}Hz;{level};embedded={len(inside)}"))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), f"{kind}>{f.kind}@{f.start};{rate}Hz;{level};embedded={len(within)}"))
             columns = [pa.array([row[k] for row in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *(x.split()[0] for x in OUT)])
 
