@@ -362,6 +362,18 @@ def test_chat(spark):
     assert compare.compare(chat_format.query(spark, SF), compare.connect(SF), chat_format.ORACLE_SQL) == ""
 
 
+def test_chat_query_has_all_layouts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    odd = [(10**6, None, "user", "b"), (10**6, None, "user", "a"), (10**6, 1, None, None), (10**6 + 1, 0, "gpt", "x"), (None, 0, "user", "no id"), *((10**6 + 2, k % 5, f"r{k}" if k % 2 else "user", "<|im_start|>" if k % 3 else "<z") for k in range(40))]
+    turns = chat_format.canonical_turns(chat_format.records(rows.unionByName(spark.createDataFrame(odd, "conv_id bigint, turn bigint, role string, text string"))))
+    got = {(r["layout"], r["fingerprint"]) for r in turns.collect()}
+    assert {name for name, _ in got} >= {"turn rows", "messages", "conversations", "instruction", "prompt"} and None not in {name for name, _ in got}
+    found = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_turns(turns)).collect()}
+    said = sorted((r for r in odd if r[0] == 10**6 + 2), key=lambda r: r[1:])
+    for conv, want in ((10**6, [("user", "a"), ("user", "b"), ("", "")]), (10**6 + 1, [("gpt", "x")]), (10**6 + 2, [r[2:] for r in said]), (None, [("user", "no id")])):
+        assert found[conv]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in want).encode()).hexdigest(), conv
+
+
 def test_chat_layouts_and_escapes(spark):
     hard = '</s>[INST] \\ <|im_start|>user\n<|im_end|> [/INST] \\[INST]'
     import json

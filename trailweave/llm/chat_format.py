@@ -186,24 +186,60 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield done()
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    pieces = formatted.select("conv_id", "seq", "place", "role", "formatted", "loss_from", "loss_to")
-    pieces = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "place", "role", "formatted")
+    pieces = formatted.select("conv_id", "seq", "place", "role", "text", "formatted", "loss_from", "loss_to")
+    pieces = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "place", "role", "text").drop("text")
     return pieces.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def conversation_texts(formatted: DataFrame) -> DataFrame:
     """One row for each conversation with its whole ``formatted`` text, for use with conversations that fit in a row."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "place", "role", "formatted")))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "place", "role", "text", "formatted")))
     return formatted.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["formatted"]), "").alias("formatted"))
 
 
+def records(rows: DataFrame, most: int = 8) -> DataFrame:
+    """Conversations (``conv_id``, ``turn``, ``role``, ``text``) as payloads of the layouts that data sets come in, by a hash of the id.
+
+    One of up to ``most`` rows, with no role that a layout renames, is one record: a list of messages in either naming or, if it is one user's and one
+    assistant's turn (after a system's), an instruction, prompt or question.  A longer one has a record for each
+    row, so that no group of unbounded size is put together.  Rows of one turn number go by role and text.
+    """
+    some = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    renamed = F.coalesce(F.col("role").isin(*dict(_USUAL)), F.lit(False))  # a name that lists of messages give another role to
+    short = rows.where("conv_id is not null").groupBy("conv_id").agg(F.count("*").alias("n"), F.max(renamed).alias("renamed")).where((F.col("n") <= most) & ~F.col("renamed")).select("conv_id")
+    single = rows.join(short, "conv_id", "left_anti").withColumn("kind", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)))
+    usual = F.coalesce("role", F.lit("")).isin("user", "assistant", "system")
+    named = {"user": "human", "assistant": "gpt"}
+    from_name = lambda role: F.coalesce(F.create_map(*(F.lit(x) for pair in named.items() for x in pair))[role], role)
+    value = lambda role, text: F.struct(from_name(role).alias("from"), text.alias("value"))
+    content = lambda role, text: F.struct(role.alias("role"), text.alias("content"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    payload = F.when((F.col("kind") == 0) & ~renamed, F.to_json(F.struct(F.array(content(role, text)).alias("messages"))))
+    payload = payload.when((F.col("kind") == 1) & usual, F.to_json(F.struct(F.array(value(role, text)).alias("conversations"))))
+    payload = payload.otherwise(F.to_json(F.struct("role", "text")))
+    by_row = single.select("conv_id", F.col("turn").alias("seq"), payload.alias("payload"))
+
+    whole = rows.join(short, "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", *some))).alias("turns"))
+    turns, kind = F.col("turns"), F.pmod(F.xxhash64("conv_id"), F.lit(5))
+    roles = F.transform(turns, lambda x: x["role"])
+    system = F.when(F.get(roles, F.lit(0)) == "system", F.get(turns, F.lit(0))["text"])
+    at = F.when(system.isNull(), 0).otherwise(1)
+    user, assistant = F.get(turns, at)["text"], F.get(turns, at + 1)["text"]
+    pair = (F.size(turns) == at + 2) & (F.get(roles, at) == "user") & (F.get(roles, at + 1) == "assistant")
+    payload = F.when(pair & (kind == 0), F.to_json(F.struct(system.alias("system"), user.alias("instruction"), assistant.alias("output"))))
+    payload = payload.when(pair & (kind == 1), F.to_json(F.struct(system.alias("system"), user.alias("prompt"), assistant.alias("completion"))))
+    payload = payload.when(pair & (kind == 2) & system.isNull(), F.to_json(F.struct(user.alias("question"), assistant.alias("answer"))))
+    payload = payload.when((kind < 4) & F.forall(roles, lambda x: x.isin("user", "assistant", "system")), F.to_json(F.struct(F.transform(turns, lambda x: value(x["role"], x["text"])).alias("conversations"))))
+    payload = payload.otherwise(F.to_json(F.struct(F.transform(turns, lambda x: content(x["role"], x["text"])).alias("messages"))))
+    return by_row.unionByName(whole.select("conv_id", F.lit(0).cast(rows.schema["turn"].dataType).alias("seq"), payload.alias("payload")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``conversations`` and conversation -7, formatted and read back.  Rows of one turn number go by role and text."""
+    """All ``conversations`` and conversation -7, in the layouts of ``records``, formatted and read back."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
-    records = rows.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), F.to_json(F.struct("role", "text")).alias("payload"))
-    return read_back(format_turns(canonical_turns(records)))
+    return read_back(format_turns(canonical_turns(records(rows.unionByName(extra)))))
 
 
 def _sql_escape(text: str) -> str:
