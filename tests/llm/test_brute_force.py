@@ -138,7 +138,7 @@ def test_near_duplicates(spark, docs):
     assert kept == {d for d, _ in rows if least[d] == d}
 
 
-@pytest.mark.parametrize("options", [{"members": 7}, {"shingles": 100}, {"shingles": 20}, {"trees": 6, "longest": 3}])
+@pytest.mark.parametrize("options", [{"members": 7}, {"shingles": 20, "trees": 6, "longest": 3}])
 def test_links_in_blocks(spark, options):
     base = prose(random.Random(4), 200, 5000).split()
     for n in (40, 4):

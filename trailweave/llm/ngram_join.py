@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,23 @@ _LAST = np.iinfo(np.int64).max
 _BYTES = 2  # of each MinHash value in a label
 
 
+@cache
+def _least(size: int, threshold: Fraction) -> float:
+    found = []
+    for other in range(1, 2 * size + 1):
+        common = ceil(threshold * (size + other) / (1 + threshold))
+        if common <= min(size, other):
+            found.append(Fraction(common, size + other - common))
+    return float(min(found, default=1))
+
+
 def least_similarity(shingles: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """For sets of some sizes, the least Jaccard similarity at ``threshold`` or more that another set can have with them."""
+    """For sets of some sizes, the least Jaccard similarity at ``threshold`` or more that another set can have with them.
+
+    For large sets, it is so near the threshold that it makes no difference.
+    """
     size, inverse = np.unique(shingles, return_inverse=True)
-    out = np.full(len(size), float(threshold))
-    for k, m in enumerate(size.tolist()):
-        if m >= 100:
-            break  # so near the threshold that it makes no difference
-        found = [Fraction(c, m + other - c) for other in range(1, 2 * m + 1) for c in range(1, min(m, other) + 1)]
-        out[k] = float(min(x for x in found if x >= threshold)) if m else 1.0
-    return out[inverse]
+    return np.array([_least(m, threshold) if m < 100 else float(threshold) for m in size.tolist()])[inverse]
 
 
 def depths(shingles: np.ndarray, threshold: Fraction, trees: int, longest: int, recall: float) -> np.ndarray:
@@ -73,7 +82,9 @@ def labels(documents: DataFrame, n: int, threshold: Fraction, trees: int, longes
                 has[some] = True
                 text_labels = [packed[r * width : (r + 1) * width] if has[r] else None for r in range(len(first))]
                 shingles = np.bincount(of, minlength=len(first))
-                distinct = np.bincount(of[np.sort(np.unique(mix(h + mix(of.astype(np.uint64))), return_index=True)[1])], minlength=len(first)) if len(h) else shingles
+                few = np.flatnonzero(shingles[of] < 100)  # of other texts, the size makes no difference
+                distinct = shingles.copy()
+                distinct[of[few]] = np.bincount(of[few][np.unique(mix(h[few] + mix(of[few].astype(np.uint64))), return_index=True)[1]], minlength=len(first))[of[few]]
                 depth = depths(distinct, threshold, trees, longest, recall)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key").take(pa.array(first)), pa.array(doc), pa.array(np.bincount(where, minlength=len(first))), pa.array(shingles), pa.array(text_labels, pa.binary()), pa.array(depth.astype(np.int32))],
@@ -124,59 +135,79 @@ def forest_runs(texts: DataFrame, trees: int, longest: int, shallow: int) -> Dat
     return dealt.mapInArrow(run, "id bigint, tree int, prefix binary")
 
 
-def met(labels: np.ndarray, depth: np.ndarray, tree: int, longest: int, least: float) -> np.ndarray:
-    """Which two texts of a run meet in ``tree``, and in no tree before, under the longer of the prefixes that they match.
+def met(labels: np.ndarray, depth: np.ndarray, sides: tuple[np.ndarray, np.ndarray], tree: int, longest: int, least: float) -> np.ndarray:
+    """Which text of one side meets which of the other in ``tree``, and in no tree before, under the longer of the prefixes that they match.
 
-    Two texts of which too few values agree (less than the share ``least``) are left out.
+    Two texts of which too few values agree (less than the share ``least``) are left out; a text doesn't meet itself.
     """
-    values = labels.reshape(len(labels), -1, longest)
-    need = np.maximum(depth[:, None], depth[None, :])
-    out = np.zeros(need.shape, bool)
-    agree = np.zeros(need.shape, np.int32)
-    earlier = np.zeros(need.shape, bool)
-    for k in range(values.shape[1]):
-        common, together = np.ones(need.shape, bool), np.zeros(need.shape, np.int32)
-        for level in range(longest):
-            same = values[:, None, k, level] == values[None, :, k, level]
-            agree += same
-            common &= same
-            together += common
-        if k < tree:
-            earlier |= together >= need
-        elif k == tree:
-            out = together >= need
-    return out & ~earlier & (agree >= least * labels.shape[1])
-
-
-def verify(ids: np.ndarray, allowed: np.ndarray, shingles: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Of some texts, how many others each is similar to among the pairs ``allowed``, and the least id that it is linked with (by any path).
+    x, y = sides
+    used = np.unique(depth)
+    longer = np.maximum(depth[x][:, None], depth[y][None, :]) if len(used) > 1 else None
+
+    def same(k: int) -> np.ndarray:
+        out = None
+        for d in used:
+            prefix = np.ascontiguousarray(labels[:, k * longest : k * longest + d]).view(f"V{2 * d}").ravel()
+            number = np.unique(prefix, return_inverse=True)[1].astype(np.int32)
+            equal = number[x][:, None] == number[y][None, :]
+            if longer is None:
+                return equal
+            equal &= longer == d
+            out = equal if out is None else out | equal
+        return out
+
+    out = same(tree) & (x[:, None] != y[None, :])
+    for k in range(tree):
+        if not out.any():
+            return out
+        out &= ~same(k)
+    bound = least * labels.shape[1]
+    if np.count_nonzero(out) < out.size / 8:
+        a, b = np.nonzero(out)
+        for start in range(0, len(a), 1 << 14):
+            part = slice(start, start + (1 << 14))
+            out[a[part], b[part]] = (labels[x[a[part]]] == labels[y[b[part]]]).sum(axis=1) >= bound
+        return out
+    columns, agree = np.ascontiguousarray(labels.T), np.zeros(out.shape, np.uint16)
+    for c in columns:
+        agree += c[x][:, None] == c[y][None, :]
+    return out & (agree >= bound)
+
+
+def verify(ids: np.ndarray, sides: tuple[np.ndarray, np.ndarray], allowed: np.ndarray, shingles: list[np.ndarray], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Of some texts, how many others each is similar to among the pairs ``allowed`` of both sides, and the least id that it is linked with (by any path).
 
     Shingles that two texts share are counted by products of matrices, some thousand columns at a time.
     """
+    x, y = sides
     size = np.array([len(s) for s in shingles])
-    flat = np.concatenate(shingles)
-    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    _, column, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(ids)), size)
     shared = times[column] > 1
     number = np.cumsum(times > 1) - 1
     row, column = row[shared], number[column[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((len(ids), len(ids)), np.float32)
+    common = np.zeros(allowed.shape, np.float32)
     step = 8192
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, step):
         i, j = np.searchsorted(column, (start, start + step))
         part_of = np.zeros((len(ids), min(step, int(column[j - 1]) - start + 1)), np.float32)
         part_of[row[i:j], column[i:j] - start] = 1
-        common += part_of @ part_of.T
-    both = size[:, None] + size[None, :] - common
+        common += part_of[x] @ part_of[y].T
+    both = size[x][:, None] + size[y][None, :] - common
     linked = allowed & (t.denominator * common >= t.numerator * both)
-    np.fill_diagonal(linked, False)
+    count = np.zeros(len(ids), np.int64)
+    count[x] = linked.sum(axis=1)
+    if x is not y:
+        count[y] = linked.sum(axis=0)
     root = ids.copy()
     while True:
-        after = np.minimum(root, np.where(linked, root[None, :], _LAST).min(axis=1))
+        after = root.copy()
+        after[x] = np.minimum(root[x], np.where(linked, root[y][None, :], _LAST).min(axis=1, initial=_LAST))
+        after[y] = np.minimum(after[y], np.where(linked, root[x][:, None], _LAST).min(axis=0, initial=_LAST))
         if (after == root).all():
-            return linked.sum(axis=1), root
+            return count, root
         root = after
 
 
@@ -187,15 +218,14 @@ class Group:
     name: tuple  # tree, prefix, blocks a and b
     rows: list[tuple]  # id, block, depth, labels, and what else there is
 
-    def allowed(self, longest: int, least: float) -> np.ndarray:
+    def pairs(self, longest: int, least: float) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """The two sides whose texts are compared (the same one within a block), and which of them meet."""
         tree, _, a, b = self.name
-        label = np.frombuffer(b"".join(r[3] for r in self.rows), np.uint16).reshape(len(self.rows), -1)
-        out = met(label, np.array([r[2] for r in self.rows]), tree, longest, least)
-        if a != b:
-            block = np.array([r[1] for r in self.rows])
-            out &= block[:, None] != block[None, :]
-        np.fill_diagonal(out, False)
-        return out
+        labels = np.frombuffer(b"".join(r[3] for r in self.rows), np.uint16).reshape(len(self.rows), -1)
+        block = np.array([r[1] for r in self.rows])
+        x = np.flatnonzero(block == a)
+        sides = (x, x if a == b else np.flatnonzero(block == b))
+        return sides, met(labels, np.array([r[2] for r in self.rows]), sides, tree, longest, least)
 
 
 _GROUP = ("tree", "prefix", "a", "b")
@@ -234,7 +264,8 @@ def partners(runs: DataFrame, texts: DataFrame, longest: int, least: float, memb
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, lambda batch: [(batch, [None] * len(batch))]):
             if len(group.rows) > 1:
-                some = np.flatnonzero(group.allowed(longest, least).any(axis=1))
+                (x, y), meet = group.pairs(longest, least)
+                some = np.union1d(x[meet.any(axis=1)], y[meet.any(axis=0)])
                 rows = [group.rows[k] for k in some]
                 if rows:
                     same = [pa.array([x] * len(rows), kind) for x, kind in zip(group.name, (pa.int32(), pa.binary(), pa.int32(), pa.int32()), strict=True)]
@@ -275,7 +306,7 @@ def links(documents: DataFrame, texts: DataFrame, met_texts: DataFrame, n: int,
         for group in _groups(batches, extra):
             if len(group.rows) > 1:
                 ids = np.array([r[0] for r in group.rows])
-                count, root = verify(ids, group.allowed(longest, least), [r[4] for r in group.rows], threshold)
+                count, root = verify(ids, *group.pairs(longest, least), [r[4] for r in group.rows], threshold)
                 some = count > 0
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some].astype(np.int64)), pa.array(root[some])], ["id", "links", "root"])
 
