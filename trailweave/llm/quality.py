@@ -139,7 +139,7 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def featured(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of all rows, and the buckets of both views as packed numbers; ``lot``, a hash of the row's features, and how many there are."""
+    """The ``keep`` columns of all rows, and the buckets of both views as packed numbers; ``mark`` and ``lot``, hashes of the row's id and features, and how many these are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,37 +151,43 @@ def featured(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
                     packed.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(buckets.astype(np.int32))]))
                     size += np.diff(ends)
                     np.add.at(lot, rows, mix(buckets.astype(np.uint64) + np.uint64(k << BITS)))
-                yield pa.RecordBatch.from_arrays([*(part.column(f"own_{k}") for k in range(len(keep))), *packed, pa.array(mix(lot).view(np.int64)), pa.array(size)], [*keep, *VIEWS, "lot", "size"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f"own_{k}") for k in range(len(keep))), *packed, part.column("mark"), pa.array(mix(lot).view(np.int64)), pa.array(size)], [*keep, *VIEWS, "mark", "lot", "size"])
 
-    given = documents.select(*(F.col(c).alias(f"own_{k}") for k, c in enumerate(keep)), "text", "lang", "source", "n_chars")
+    given = documents.select(*(F.col(c).alias(f"own_{k}") for k, c in enumerate(keep)), F.xxhash64("doc_id").alias("mark"), "text", "lang", "source", "n_chars")
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return given.mapInArrow(run, f"{schema}, text binary, metadata binary, lot bigint, size bigint")
+    return given.mapInArrow(run, f"{schema}, text binary, metadata binary, mark bigint, lot bigint, size bigint")
 
 
-def marked(rows: DataFrame, labels: DataFrame, targets: tuple[str, ...]) -> DataFrame:
-    """Adds to featured rows a column ``y_`` for each target: 1, 0, or null without a label.  Labels of an id that differ count by their mean."""
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*((F.avg(t) >= 0.5).cast("int").alias(f"y_{t}") for t in targets))
-    return rows.join(known, "doc_id", "left")
+def labelled(rows: DataFrame, labels: DataFrame, target: str, size: int) -> DataFrame:
+    """Up to ``size`` ids of featured rows that have a label, those with the least hashes: ``doc_id``, class ``y``, and whether it is ``held`` for calibration.
+
+    Labels of an id that differ count by their mean, those of absent documents not at all.
+    """
+    known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(target) >= 0.5).cast("int").alias("y"))
+    known = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    return known.withColumn("held", fold("doc_id", 4) == 2)
 
 
 @dataclass
 class Sample:
-    """Labelled rows on the driver: their buckets by view, classes, and which of them are kept for calibration."""
+    """Labelled rows on the driver: their buckets by view, classes, which of them are kept for calibration, and the marks (see ``featured``) of their ids."""
 
     found: list[tuple[np.ndarray, np.ndarray]]
     y: np.ndarray
     held: np.ndarray
+    marks: np.ndarray
 
     @classmethod
-    def of(cls, rows: DataFrame, target: str, size: int, features: int) -> Sample:
-        order = [F.xxhash64("doc_id"), "doc_id", "lot"]
-        some = rows.where(F.col(f"y_{target}").isNotNull())
-        first = some.select(F.xxhash64("doc_id").alias("place"), "doc_id", "lot", F.col("size")).orderBy(*order).limit(size).toArrow()
-        fit = int(np.searchsorted(np.cumsum(np.asarray(first.column("size").combine_chunks())), features, "right"))
-        most = max(fit, min(1, first.num_rows))
-        table = some.select(*VIEWS, F.col(f"y_{target}").alias("y"), (fold("doc_id", 4) == 2).alias("held"), "doc_id", "lot").orderBy(*order).limit(most).select(*VIEWS, "y", "held").toArrow().combine_chunks()
+    def of(cls, rows: DataFrame, labels: DataFrame, target: str, size: int, features: int) -> Sample:
+        ids = labelled(rows, labels, target, size).toArrow()  # bounded by size
+        some = rows.join(F.broadcast(rows.sparkSession.createDataFrame(ids)), "doc_id")
+        order = ["mark", "doc_id", "lot"]
+        sizes = some.select(*order, "size").orderBy(*order).limit(size).toArrow()
+        most = int(np.searchsorted(np.cumsum(np.asarray(sizes.column("size").combine_chunks())), features, "right"))
+        table = some.orderBy(*order).limit(max(most, min(1, sizes.num_rows))).select(*VIEWS, "y", "held", "mark").toArrow().combine_chunks()
         columns = {name: (table.column(name).chunk(0) if table.num_rows else pa.array([], table.schema.field(name).type)) for name in table.schema.names}
-        return cls([_unpacked(columns[v]) for v in VIEWS], np.asarray(columns["y"]).astype(np.int64), np.asarray(columns["held"].cast(pa.int8())).astype(bool))
+        marks = np.unique(np.asarray(columns["mark"]))
+        return cls([_unpacked(columns[v]) for v in VIEWS], np.asarray(columns["y"]).astype(np.int64), np.asarray(columns["held"].cast(pa.int8())).astype(bool), marks)
 
     def training(self, view: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, buckets = self.found[view]
@@ -228,7 +234,7 @@ class Confident:
         return np.where(one & ~zero, 1, np.where(zero & ~one, 0, -1))
 
 
-def _summed(rows: DataFrame, targets: list[str], values: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
+def _summed(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
     """Sums of what ``values`` gives for each batch, (key, count) pairs of a bounded number of keys; tasks add up first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,22 +245,21 @@ def _summed(rows: DataFrame, targets: list[str], values: Callable[[pa.RecordBatc
             counts = np.bincount(at, np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
-    given = rows.select(*VIEWS, "lot", *(f"y_{t}" for t in targets))
-    table = given.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    table = rows.select(*VIEWS, "mark", "lot").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     return np.asarray(table.column("key").combine_chunks()), np.asarray(table.column("n").combine_chunks())
 
 
-def co_train(rows: DataFrame, targets: tuple[str, ...], size: int = 8000, features: int = 16_000_000, rounds: int = 3, share: float = 0.05) -> dict[str, Model | None]:
-    """For each target, two classifiers that teach each other over all rows (see ``marked``), and the weights that combine them.
+def co_train(rows: DataFrame, labels: DataFrame, targets: tuple[str, ...], size: int = 8000, features: int = 16_000_000, rounds: int = 3, share: float = 0.05) -> dict[str, Model | None]:
+    """For each target, two classifiers that teach each other over all rows (see ``featured``), and the weights that combine them.
 
     The classifiers are fitted on a bounded sample of labelled rows: up to ``size`` of them and ``features`` features in
     all, those with the least hashes of ids.  All else is counted over the whole table.  In round k each view scores
-    all unlabelled rows, labels those that it is surest of, k times ``share`` of them in the labelled rows' proportion of classes, and
+    all rows beyond the sample, whether labelled or not, labels those that it is surest of, k times ``share`` of them in the labelled rows' proportion of classes, and
     their features, added up by Spark, count for the other view as much as the labelled rows do.  Then labelled rows
     kept apart calibrate the views together.  Without labelled rows of both classes a target has no model.
     """
     spark = rows.sparkSession
-    samples = {t: s for t in targets if (s := Sample.of(rows, t, size, features)).both_classes()}
+    samples = {t: s for t in targets if (s := Sample.of(rows, labels, t, size, features)).both_classes()}
     names = list(samples)
     taught = {(t, v): np.zeros((2, 1 << BITS), np.int64) for t in names for v in range(2)}
     taught_rows = dict.fromkeys(taught, 0)
@@ -268,20 +273,20 @@ def co_train(rows: DataFrame, targets: tuple[str, ...], size: int = 8000, featur
 
     models = fitted()
     for k in range(1, rounds + 1 if names else 1):
-        held = spark.sparkContext.broadcast(models)
+        held = spark.sparkContext.broadcast((models, {t: s.marks for t, s in samples.items()}))
 
         def scored(batch: pa.RecordBatch, held=held) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, list]]:
             found = [_unpacked(batch.column(v)) for v in VIEWS]
             for i, t in enumerate(names):
-                free = np.asarray(batch.column(f"y_{t}").is_null())
+                free = ~np.isin(np.asarray(batch.column("mark")), held.value[1][t])
                 for v in range(2):
-                    yield 2 * i + v, t, free, held.value[t, v].logits(*found[v], len(batch)), found
+                    yield 2 * i + v, t, free, held.value[0][t, v].logits(*found[v], len(batch)), found
 
         def histograms(batch: pa.RecordBatch, scored=scored) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for number, _, free, z, _ in scored(batch):
                 yield np.unique(number * BINS + _bin(z[free]), return_counts=True)
 
-        keys, counts = _summed(rows, names, histograms)
+        keys, counts = _summed(rows, histograms)
         histogram = np.zeros(2 * len(names) * BINS, np.int64)
         histogram[keys] = counts
         chosen = []
@@ -301,7 +306,7 @@ def co_train(rows: DataFrame, targets: tuple[str, ...], size: int = 8000, featur
                 yield np.unique(base + (label[of[some]] << BITS + 1) + buckets[some], return_counts=True)
                 yield base + (np.array([0, 1]) << BITS + 1) + (1 << BITS), np.array([(label == 0).sum(), (label == 1).sum()])
 
-        keys, counts = _summed(rows, names, counted)
+        keys, counts = _summed(rows, counted)
         sums = np.zeros((2 * len(names), 2, 2 << BITS), np.int64)
         sums.reshape(-1)[keys] = counts
         for number in range(2 * len(names)):
@@ -337,8 +342,8 @@ def quality(documents: DataFrame, labels: DataFrame, targets: tuple[str, ...] =
     scored, counted and, if labelled, sampled like any others.  Labels that are null, of a null id, or of absent
     documents count nothing.
     """
-    rows = stored(marked(featured(documents), labels, targets))
-    return scored(rows, co_train(rows, targets, **options))
+    rows = stored(featured(documents))
+    return scored(rows, co_train(rows, labels, targets, **options))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
