@@ -126,17 +126,17 @@ def test_dates_and_citations(spark, small):
 
 
 def test_elo_against_a_fold(spark):
-    ideas = spark.createDataFrame([(i, f"i{i}") for i in range(4)], "idx int, idea string")
+    ideas = spark.createDataFrame([(t, i, f"i{i}") for t in "xy" for i in range(4)], "tournament string, idx int, idea string")
     rng = random.Random(1)
     games = [(s, "novelty", f"i{a}", f"i{b}", rng.choice([0.0, 0.5, 1.0])) for s, (a, b) in enumerate((a, b) for a in range(4) for b in range(a + 1, 4))]
     ratings = {f"i{i}": 1000.0 for i in range(4)}
     for _, _, a, b, score in games:
         expected = 1 / (1 + 10 ** ((ratings[b] - ratings[a]) / 400))
         ratings[a], ratings[b] = ratings[a] + 32 * (score - expected), ratings[b] - 32 * (score - expected)
-    got = tournament.elo_ratings(ideas, spark.createDataFrame(games, "seq int, metric string, idea_a string, idea_b string, score double"))
-    assert {r["idea"]: round(r["rating"], 9) for r in got.where("metric = 'novelty'").collect()} == {k: round(v, 9) for k, v in ratings.items()}
-    assert got.where("rating = 1000 and metric <> 'novelty'").count() == 16
-    assert [tuple(r) for r in tournament.all_pairs(ideas).orderBy("seq").collect()][:2] == [(0, "i0", "i1"), (1, "i0", "i2")]
+    got = tournament.elo_ratings(ideas, spark.createDataFrame([("x", *g) for g in games], "tournament string, seq int, metric string, idea_a string, idea_b string, score double"))
+    assert {r["idea"]: round(r["rating"], 9) for r in got.where("metric = 'novelty' and tournament = 'x'").collect()} == {k: round(v, 9) for k, v in ratings.items()}
+    assert got.where("rating = 1000 and (metric <> 'novelty' or tournament = 'y')").count() == 36
+    assert [tuple(r) for r in tournament.all_pairs(ideas).orderBy("tournament", "seq").collect()][:2] == [("x", 0, "i0", "i1"), ("x", 1, "i0", "i2")]
 
 
 def test_swap(spark):

@@ -1,6 +1,6 @@
 """Graph context for prompts: selects, filters and renders the paths around a paper as text in five formats.
 
-Every step is a DataFrame over the selected paths, whose number the options bound; ``render`` alone brings lines together.
+Every step is a DataFrame over the selected paths, numbered by ranges of their order; ``render`` alone brings lines together.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -104,11 +104,13 @@ def select_paths(graph: Graph, target: str, k: int, options: Options) -> DataFra
     return parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
 
 
-def with_nodes(selected: DataFrame, graph: Graph) -> DataFrame:
-    """Turns routes into ``nodes`` (id, label, name, entity_type) and ``edges`` (type, from_id, to_id, importance, citation, context)."""
+def with_nodes(selected: DataFrame, graph: Graph, target: str) -> DataFrame:
+    """Turns routes into ``nodes`` (id, label, name, entity_type, and whether it is ``late``r than the target) and ``edges`` (type, from_id, to_id, importance, citation, context)."""
     places = selected.select("part", "rank", F.posexplode("route").alias("place", "id"))
     named = places.join(L.display_names(L.names(graph)).select("id", "label", F.col("shown").alias("name"), "entity_type"), "id")
-    nodes = named.groupBy("part", "rank").agg(F.array_sort(F.collect_list(F.struct("place", "id", "label", "name", "entity_type"))).alias("nodes"))
+    day = graph.paper.where(F.col("id") == target).select(F.max("published_date")).scalar()
+    named = named.join(graph.paper.select("id", "published_date"), "id", "left").withColumn("late", F.coalesce(F.col("published_date") > day, F.lit(False)))
+    nodes = named.groupBy("part", "rank").agg(F.array_sort(F.collect_list(F.struct("place", "id", "label", "name", "entity_type", "late"))).alias("nodes"))
     joined = selected.join(nodes, ["part", "rank"])
     cites = lambda r, name: F.when(r["type"] == "CITES", r[name])
     edges = F.transform(F.sequence(F.lit(0), F.size("rels") - 1), lambda i: F.struct(
@@ -118,46 +120,43 @@ def with_nodes(selected: DataFrame, graph: Graph) -> DataFrame:
     return joined.select("part", "rank", "score", F.transform("nodes", lambda n: n.dropFields("place")).alias("nodes"), edges.alias("edges"))
 
 
-def filter_paths(paths: DataFrame, graph: Graph, target: str, options: Options) -> DataFrame:
+def filter_paths(paths: DataFrame, target: str, options: Options) -> DataFrame:
     """Drops nodes that are later than the target, the target, and types that aren't shown; then relationships without both ends.
 
     A path keeps two nodes or more and as many relationships less one, else it goes; in the mermaid format, its nodes stay.
     """
-    day = graph.paper.where(F.col("id") == target).select(F.max("published_date")).scalar()
-    if options.exclude_future_papers:
-        used = paths.select(F.explode("nodes").alias("n")).select("n.id").distinct()
-        late = used.join(graph.paper.select("id", "published_date"), "id").where(F.col("published_date") > day)
-        # As many as there are nodes in the selected paths, at most.
-        paths = paths.withColumn("late", F.coalesce(late.agg(F.collect_list("id")).scalar(), F.array().cast("array<string>")))
-    else:
-        paths = paths.withColumn("late", F.array().cast("array<string>"))
-    stays = lambda n: ~F.array_contains("late", n["id"]) & _shows_node(options, n) & (F.lit(True) if options.include_target_paper else n["id"] != target)
-    paths = paths.withColumn("nodes", F.filter("nodes", stays)).where(F.size("nodes") >= 2)
+    late = lambda n: n["late"] if options.exclude_future_papers else F.lit(False)
+    stays = lambda n: ~late(n) & _shows_node(options, n) & (F.lit(True) if options.include_target_paper else n["id"] != target)
+    paths = paths.withColumn("nodes", F.transform(F.filter("nodes", stays), lambda n: n.dropFields("late"))).where(F.size("nodes") >= 2)
     paths = paths.withColumn("ids", F.transform("nodes", lambda n: n["id"]))
     whole = lambda e: shows(options.edge_type_fields, e["type"]) & F.array_contains("ids", e["from_id"]) & F.array_contains("ids", e["to_id"])
-    paths = paths.withColumn("edges", F.filter("edges", whole)).drop("ids", "late")
+    paths = paths.withColumn("edges", F.filter("edges", whole)).drop("ids")
     linear = F.size("edges") == F.size("nodes") - 1
     if options.graph_format == "mermaid":
         return paths.withColumn("edges", F.when(linear, F.col("edges")).otherwise(F.slice("edges", 1, 0)))
     return paths.where(linear)
 
 
+def numbered(rows: DataFrame, name: str, *order: str, top: int | None = None) -> DataFrame:
+    """Adds the number of each row in order, from 1; with ``top``, of the first rows alone."""
+    given = rows.withColumnRenamed("rank", "given_rank")
+    return P.ranked(given, [F.asc("given_rank" if c == "rank" else c) for c in order], top).withColumnRenamed("rank", name)
+
+
 def prepared(graph: Graph, target: str, k: int, options: Options) -> DataFrame:
     """Selected, filtered and reversed paths with their number ``idx``."""
-    paths = filter_paths(with_nodes(select_paths(graph, target, k, options), graph), graph, target, options)
+    paths = filter_paths(with_nodes(select_paths(graph, target, k, options), graph, target), target, options)
     if options.reverse_paths:
         paths = paths.withColumns({"nodes": F.reverse("nodes"), "edges": F.reverse("edges")})
-    return paths.withColumn("idx", F.row_number().over(Window.orderBy("part", "rank"))).select("idx", "nodes", "edges", "score")
+    return numbered(paths, "idx", "part", "rank").select("idx", "nodes", "edges", "score")
 
 
 def first_nodes(paths: DataFrame, max_nodes: int | None) -> DataFrame:
     """Distinct nodes by first appearance, numbered from 1 as ``position``."""
     rows = paths.select("idx", F.posexplode("nodes").alias("place", "n"))
     firsts = rows.groupBy(F.col("n.id").alias("id")).agg(F.min(F.struct("idx", "place", "n")).alias("first"))
-    numbered = firsts.withColumn("position", F.row_number().over(Window.orderBy("first.idx", "first.place")))
-    if max_nodes is not None:
-        numbered = numbered.where(F.col("position") <= max_nodes)
-    return numbered.select("position", "first.n.*")
+    found = numbered(firsts, "position", "first.idx", "first.place", top=max_nodes)
+    return found.select("position", "first.n.*")
 
 
 def merged_nodes(paths: DataFrame, graph: Graph, options: Options) -> DataFrame:
@@ -170,7 +169,7 @@ def merged_nodes(paths: DataFrame, graph: Graph, options: Options) -> DataFrame:
     entity = F.array(pair("entity_type", "Type", F.col("entity_type")), pair("entity_description", "Description", F.col("description")))
     details = F.filter(F.when(F.col("label") == "Paper", paper).otherwise(entity), lambda x: x.isNotNull())
     kept = full.where(_shows_node(options, node)).withColumn("details", details)
-    return kept.withColumn("number", F.row_number().over(Window.orderBy("position"))).select("number", "id", "label", "name", "details")
+    return numbered(kept, "number", "position").select("number", "id", "label", "name", "details")
 
 
 def edge_details(edge: F.Column, options: Options) -> F.Column:
@@ -184,8 +183,7 @@ def merged_edges(paths: DataFrame, options: Options) -> DataFrame:
     """Distinct relationships by (from, to, type) in order of first appearance, with the details they first have."""
     rows = paths.where(F.size("edges") == F.size("nodes") - 1).select("idx", F.posexplode("edges").alias("place", "e"))
     firsts = rows.groupBy("e.from_id", "e.to_id", "e.type").agg(F.min(F.struct("idx", "place", "e")).alias("first"))
-    numbered = firsts.withColumn("number", F.row_number().over(Window.orderBy("first.idx", "first.place")))
-    return numbered.select("number", "from_id", "to_id", "type", edge_details(F.col("first.e"), options).alias("details"))
+    return numbered(firsts, "number", "first.idx", "first.place").select("number", "from_id", "to_id", "type", edge_details(F.col("first.e"), options).alias("details"))
 
 
 def kept_edges(edges: DataFrame, nodes: DataFrame, max_edges: int | None) -> DataFrame:
@@ -224,7 +222,7 @@ def paths_lines(paths: DataFrame, graph: Graph, options: Options) -> DataFrame:
 
 def mermaid_lines(paths: DataFrame, graph: Graph, options: Options) -> DataFrame:
     """A diagram: nodes with safe labels, then relationships."""
-    nodes = merged_nodes(paths, graph, options)
+    nodes = written(merged_nodes(paths, graph, options))
     edges = kept_edges(merged_edges(paths, options), nodes, options.max_edges)
     label = lambda parts: F.array_join(F.filter(F.transform(parts, T.mermaid_sanitize), lambda x: x != ""), "<br/>")
     pairs = F.transform("details", lambda x: F.concat_ws("=", x["k"], x["v"]))
@@ -240,7 +238,7 @@ def mermaid_lines(paths: DataFrame, graph: Graph, options: Options) -> DataFrame
 
 def triples_lines(paths: DataFrame, graph: Graph, options: Options) -> DataFrame:
     """Relationships, attributes of nodes, and ranked paths as triples."""
-    nodes = merged_nodes(paths, graph, options)
+    nodes = written(merged_nodes(paths, graph, options))
     edges = kept_edges(merged_edges(paths, options), nodes, options.max_edges)
     attrs = F.array_compact(F.array(F.concat(F.lit("importance="), _value("details", "importance_score")), F.concat(F.lit("type="), _value("details", "citation_type"))))
     predicate = F.concat(F.col("type"), F.when(F.size(attrs) > 0, F.concat(F.lit("["), F.array_join(attrs, ","), F.lit("]"))).otherwise(""))
@@ -255,7 +253,7 @@ def triples_lines(paths: DataFrame, graph: Graph, options: Options) -> DataFrame
 
 def narrative_lines(paths: DataFrame, graph: Graph, options: Options) -> DataFrame:
     """A paragraph for each path, and a summary; a relationship's details are those of the last type between its ends."""
-    nodes, edges = merged_nodes(paths, graph, options), merged_edges(paths, options)
+    nodes, edges = written(merged_nodes(paths, graph, options)), written(merged_edges(paths, options))
     inline = F.array_compact(F.array(*(F.concat(F.lit(f"{k}: "), _value("details", k)) for k in ("Summary", "Claims", "Description"))))
     described = F.concat(F.coalesce(_value("details", "Type"), F.col("label")), F.lit(' "'), F.col("name"), F.lit('"'), F.when(F.size(inline) > 0, F.concat(F.lit(" ("), F.array_join(inline, "; "), F.lit(")"))).otherwise(""))
     say = nodes.select("id", described.alias("said"))
@@ -277,7 +275,7 @@ def narrative_lines(paths: DataFrame, graph: Graph, options: Options) -> DataFra
 
 def json_rows(paths: DataFrame, graph: Graph, options: Options) -> DataFrame:
     """Nodes (section 0), relationships (1) and paths (2), each a JSON object in a line."""
-    nodes = merged_nodes(paths, graph, options)
+    nodes = written(merged_nodes(paths, graph, options))
     edges = kept_edges(merged_edges(paths, options), nodes, options.max_edges)
     claims = F.split(_value("details", "Claims"), ", ")
     node = F.to_json(F.struct("id", F.col("label").alias("type"), "name", _value("details", "Summary").alias("summary"), claims.alias("claims"), _value("details", "Type").alias("subtype"), _value("details", "Description").alias("description")))

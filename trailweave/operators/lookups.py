@@ -97,12 +97,15 @@ def endpoints_in(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     return src.join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
 
 
-def highlight(nodes: DataFrame, path: DataFrame) -> DataFrame:
+def highlight(nodes: DataFrame, path: DataFrame, most: int = 1000) -> DataFrame:
     """Nodes (id, name) that a path's nodes (id, name) match by id, or by lower-cased name as a part of the other.
 
-    The path's side is a list of some tens of names, checked by its limit, that goes to every task.
+    The path's side is a list of some tens of names that goes to every task; more than ``most`` are an error.
     """
-    few = F.broadcast(path.select(F.col("id").alias("p_id"), F.lower("name").alias("p_name")).limit(1000))
+    found = path.select(F.col("id").alias("p_id"), F.lower("name").alias("p_name")).limit(most + 1).toArrow()
+    if found.num_rows > most:
+        raise ValueError(f"a path of more than {most} nodes")
+    few = F.broadcast(nodes.sparkSession.createDataFrame(found))
     name = F.lower("name")
     return nodes.join(few, (F.col("id") == F.col("p_id")) | F.contains(name, F.col("p_name")) | F.contains(F.col("p_name"), name), "left_semi")
 

@@ -38,7 +38,7 @@ def expand(edge: DataFrame, start: str, k: int, label: str = "Paper", return_to_
     Columns: node, node_label, hops, route (node ids), labels, keys (of relationships), rels (type, importance,
     citation type and context of each), weight (sum of ``edge_weight``).  Unless ``return_to_start``, no path comes back
     to its first node.  Each hop is an equi-join on a node id; which paths to drop is decided hop by hop, and only ids
-    and what scores need is carried along.
+    and what scores need is carried along.  Paths of 2 hops and more that go on are written, so that none is found twice.
     """
     rel = F.struct(F.col("type"), F.col("importance_score").alias("importance"), F.col("citation_type").alias("citation"), F.col("context"))
     hop = edge.select("src", "dst", "dst_label", "key", rel.alias("rel"), edge_weight(F.col("type"), F.col("importance_score"), F.col("citation_type")).alias("w"))
@@ -57,6 +57,8 @@ def expand(edge: DataFrame, start: str, k: int, label: str = "Paper", return_to_
             F.col("dst").alias("node"), F.col("dst_label").alias("node_label"), (F.col("hops") + 1).alias("hops"), F.array_append("route", F.col("dst")).alias("route"), F.array_append("labels", F.col("dst_label")).alias("labels"),
             F.array_append("keys", F.col("key")).alias("keys"), F.array_append("rels", F.col("rel")).alias("rels"), (F.col("weight") + F.col("w")).alias("weight"),
         ))
+        if 2 <= len(levels) < k:  # read by the next hop and with the rest
+            levels[-1] = written(levels[-1])
     out = levels[0]
     for more in levels[1:]:
         out = out.unionAll(more)
@@ -127,6 +129,15 @@ def ranked_by(rows: DataFrame, *order: F.Column | str) -> DataFrame:
     return dealt.withColumn("place", place).join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.col("place")).drop("range", "before", "place")
 
 
+def running_sum(rows: DataFrame, value: str, name: str, *order: F.Column | str) -> DataFrame:
+    """Adds ``name``, the sum of ``value`` up to each row in order: by range, as in ``ranked_by``, after the sums of the ranges before it."""
+    dealt = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy("range").agg(F.sum(value).alias("sum"))  # a row for each range
+    before = sums.select("range", (F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).alias("before"))
+    own = F.sum(value).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("own", own).join(F.broadcast(before), "range").withColumn(name, F.col("before") + F.col("own")).drop("range", "before", "own")
+
+
 def ranked(paths: DataFrame, order: list[F.Column], top: int | None = None) -> DataFrame:
     """Adds ``rank`` from 1.  With ``top``, Spark sorts only that many rows of each task; give it wherever not all ranks are needed."""
     if top is None:
@@ -148,8 +159,7 @@ def within_edge_budget(paths: DataFrame, order: list[F.Column], max_edges: int |
     """The first paths in order whose edges, added up, stay within a budget."""
     if max_edges is None:
         return paths
-    used = F.sum("hops").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return paths.withColumn("edges_used", used).where(F.col("edges_used") <= max_edges)
+    return running_sum(paths, "hops", "edges_used", *order).where(F.col("edges_used") <= max_edges)
 
 
 def k_hop(edge: DataFrame, start: str, k: int, max_paths: int | None = None, max_edges: int | None = None) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Pairwise tournaments and absolute scores of ideas: pairs, swap test, ELO ratings, ranks and reports."""
+"""Pairwise tournaments and absolute scores of ideas: pairs, swap test, ELO ratings, ranks and reports.
+
+All tables have a column ``tournament``: many of them run side by side, dealt out by it.
+"""
 
 from __future__ import annotations
 
@@ -13,11 +16,11 @@ START, K_FACTOR = 1000.0, 32.0
 
 
 def all_pairs(ideas: DataFrame) -> DataFrame:
-    """Each two ideas (idx, idea) once, the smaller ``idx`` first, numbered in order from 0: a round robin has n(n-1)/2 games by definition."""
-    a, b = ideas.select(F.col("idx").alias("a_idx"), F.col("idea").alias("idea_a")), ideas.select(F.col("idx").alias("b_idx"), F.col("idea").alias("idea_b"))
-    n = ideas.agg(F.count("*")).scalar()
-    seq = (F.col("a_idx") * (2 * n - F.col("a_idx") - 1) / 2 + F.col("b_idx") - F.col("a_idx") - 1).cast("bigint")
-    return a.join(b, F.col("a_idx") < F.col("b_idx")).select(seq.alias("seq"), "idea_a", "idea_b")
+    """Each two ideas (tournament, idx from 0, idea) of a tournament once, the smaller ``idx`` first, numbered in order from 0: a round robin has n(n-1)/2 games by definition."""
+    a, b = (ideas.select("tournament", F.col("idx").alias(f"{x}_idx"), F.col("idea").alias(f"idea_{x}")) for x in "ab")
+    n = ideas.groupBy("tournament").agg(F.count("*").alias("n"))
+    seq = (F.col("a_idx") * (2 * F.col("n") - F.col("a_idx") - 1) / 2 + F.col("b_idx") - F.col("a_idx") - 1).cast("bigint")
+    return a.join(n, "tournament").join(b, "tournament").where("a_idx < b_idx").select("tournament", seq.alias("seq"), "idea_a", "idea_b")
 
 
 def swap_resolved(raw: DataFrame) -> DataFrame:
@@ -36,72 +39,82 @@ def swap_resolved(raw: DataFrame) -> DataFrame:
 
 
 def elo_ratings(ideas: DataFrame, results: DataFrame, start: float = START, k_factor: float = K_FACTOR) -> DataFrame:
-    """Ratings by metric after all games (seq, metric, idea_a, idea_b, score), one after the other.
+    """Ratings by tournament and metric after all games (tournament, seq, metric, idea_a, idea_b, score), one after the other.
 
-    Each game depends on those before, so a metric's games are read as a sorted stream by one task, which holds no
+    Each game depends on those before, so the games of a tournament's metric are read as a sorted stream by one task, which holds no
     more than the ratings of its ideas.  Ideas without a game keep the first rating.
     """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratings: dict[tuple[str, str], float] = {}
+        name: tuple | None = None
+        ratings: dict[str, float] = {}
+
+        def out() -> pa.RecordBatch:
+            n = len(ratings)
+            return pa.RecordBatch.from_arrays([pa.array([name[0]] * n, pa.string()), pa.array([name[1]] * n, pa.string()), pa.array(list(ratings), pa.string()), pa.array(list(ratings.values()), pa.float64())], ["tournament", "metric", "idea", "rating"])
+
         for batch in found:
-            for metric, a, b, score in zip(*(batch.column(c).to_pylist() for c in ("metric", "idea_a", "idea_b", "score")), strict=True):
-                ra, rb = ratings.get((metric, a), start), ratings.get((metric, b), start)
+            for tournament, metric, a, b, score in zip(*(batch.column(c).to_pylist() for c in ("tournament", "metric", "idea_a", "idea_b", "score")), strict=True):
+                if name != (tournament, metric):
+                    if name:
+                        yield out()
+                    name, ratings = (tournament, metric), {}
+                ra, rb = ratings.get(a, start), ratings.get(b, start)
                 expected = 1.0 / (1.0 + 10 ** ((rb - ra) / 400.0))
-                ratings[metric, a] = ra + k_factor * (score - expected)
-                ratings[metric, b] = rb + k_factor * ((1.0 - score) - (1.0 - expected))
-        keys = list(ratings)
-        yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.string()), pa.array([ratings[k] for k in keys], pa.float64())], ["metric", "idea", "rating"])
+                ratings[a] = ra + k_factor * (score - expected)
+                ratings[b] = rb + k_factor * ((1.0 - score) - (1.0 - expected))
+        if name:
+            yield out()
 
-    games = results.select("seq", "metric", F.col("idea_a").cast("string"), F.col("idea_b").cast("string"), F.col("score").cast("double"))
-    played = games.repartition("metric").sortWithinPartitions("metric", "seq").mapInArrow(run, "metric string, idea string, rating double")
-    every = ideas.select(F.col("idea").cast("string").alias("idea")).withColumn("metric", F.explode(F.array(*map(F.lit, METRICS))))
-    return every.join(played, ["metric", "idea"], "left").withColumn("rating", F.coalesce("rating", F.lit(start)))
+    games = results.select(F.col("tournament").cast("string"), "seq", "metric", F.col("idea_a").cast("string"), F.col("idea_b").cast("string"), F.col("score").cast("double"))
+    played = games.repartition("tournament", "metric").sortWithinPartitions("tournament", "metric", "seq").mapInArrow(run, "tournament string, metric string, idea string, rating double")
+    every = ideas.select(F.col("tournament").cast("string").alias("tournament"), F.col("idea").cast("string").alias("idea")).withColumn("metric", F.explode(F.array(*map(F.lit, METRICS))))
+    return every.join(played, ["tournament", "metric", "idea"], "left").withColumn("rating", F.coalesce("rating", F.lit(start)))
 
 
 def overall(ratings: DataFrame, value: str = "rating") -> DataFrame:
     """Means over all metrics."""
-    return ratings.groupBy("idea").agg((F.sum(value) / len(METRICS)).alias("overall"))
+    return ratings.groupBy("tournament", "idea").agg((F.sum(value) / len(METRICS)).alias("overall"))
 
 
 def ranking(scores: DataFrame, ideas: DataFrame) -> DataFrame:
-    """Ranks by ``overall``; no two are the same, ties go by ``idx``.  Ideas of a tournament are some tens."""
-    order = Window.orderBy(F.desc("overall"), "idx")
-    return scores.join(ideas.select("idea", "idx"), "idea").withColumn("rank", F.row_number().over(order))
+    """Ranks by ``overall`` within a tournament, which has some tens of ideas; no two are the same, ties go by ``idx``."""
+    order = Window.partitionBy("tournament").orderBy(F.desc("overall"), "idx")
+    return scores.join(ideas.select("tournament", "idea", "idx"), ["tournament", "idea"]).withColumn("rank", F.row_number().over(order))
 
 
 def swap_bias(resolved: DataFrame) -> DataFrame:
-    """By metric: games, share of consistent ones, and share in which the first place won both times."""
+    """By tournament and metric: games, share of consistent ones, and share in which the first place won both times."""
     first = ((F.col("ab") == 0) & (F.col("ba") == 0)).cast("int")
-    return resolved.groupBy("metric").agg(F.count("*").alias("games"), F.avg(F.col("consistent").cast("int")).alias("agreement"), F.avg(first).alias("first_twice"))
+    return resolved.groupBy("tournament", "metric").agg(F.count("*").alias("games"), F.avg(F.col("consistent").cast("int")).alias("agreement"), F.avg(first).alias("first_twice"))
 
 
 def sources_of(ideas: DataFrame, sources: DataFrame, known: tuple[str, ...] = ("graph", "coi", "target_paper")) -> DataFrame:
     """Adds each idea's ``source`` by ``idx`` (unknown ones are the first of ``known``) and whether it ``is_target``."""
-    both = ideas.join(sources.select("idx", F.col("source").alias("given")), "idx", "left")
+    both = ideas.join(sources.select("tournament", "idx", F.col("source").alias("given")), ["tournament", "idx"], "left")
     source = F.when(F.col("given").isin(*known), F.col("given")).otherwise(known[0])
     return both.withColumn("source", source).withColumn("is_target", F.col("source") == "target_paper").drop("given")
 
 
 def pairwise_report(ranked: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Lines of the report's tables: section 0 ranks, section 1 metrics by idea."""
+    """Lines of each tournament's report: section 0 ranks, section 1 metrics by idea."""
     from ..functions import text as T
 
     title = F.coalesce(F.nullif("title", F.lit("")), "idea")
-    rows = ranked.select(F.lit(0).alias("section"), F.col("rank").alias("ord"), F.lit(0).alias("sub"), F.format_string("| %d | %s | %s |", "rank", title, T.fixed1(F.col("overall"))).alias("line"))
+    rows = ranked.select("tournament", F.lit(0).alias("section"), F.col("rank").alias("ord"), F.lit(0).alias("sub"), F.format_string("| %d | %s | %s |", "rank", title, T.fixed1(F.col("overall"))).alias("line"))
     number = F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric")).cast("int")
     line = F.format_string("| %s | %s |", F.initcap("metric"), T.fixed1(F.col("rating")))
-    return rows.unionAll(ranked.select("idea", "rank").join(ratings, "idea").select(F.lit(1), F.col("rank"), number, line))
+    return rows.unionAll(ranked.select("tournament", "idea", "rank").join(ratings, ["tournament", "idea"]).select("tournament", F.lit(1), F.col("rank"), number, line))
 
 
 def single_report(ranked: DataFrame, scores: DataFrame) -> DataFrame:
     """Lines of the report on absolute scores: section 0 the table of ranks, section 1 the metrics by idea."""
     from ..functions import text as T
 
-    wide = scores.groupBy("idea").pivot("metric", list(METRICS)).agg(F.first("score"))
+    wide = scores.groupBy("tournament", "idea").pivot("metric", list(METRICS)).agg(F.first("score"))
     cells = [F.coalesce(F.col(m).cast("string"), F.lit("-")) for m in METRICS]
     title = F.coalesce(F.nullif("title", F.lit("")), "idea")
-    rows = ranked.join(wide, "idea").select(F.lit(0).alias("section"), F.col("rank").alias("ord"), F.lit(0).alias("sub"), F.concat(F.format_string("| %d | %s | %s | ", "rank", title, T.fixed1(F.col("overall"))), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    rows = ranked.join(wide, ["tournament", "idea"]).select("tournament", F.lit(0).alias("section"), F.col("rank").alias("ord"), F.lit(0).alias("sub"), F.concat(F.format_string("| %d | %s | %s | ", "rank", title, T.fixed1(F.col("overall"))), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
     number = F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric")).cast("int")
     line = F.format_string("- **%s** (%d/10): %s", F.initcap("metric"), "score", "reasoning")
-    return rows.unionAll(ranked.select("idea", "rank").join(scores, "idea").select(F.lit(1), F.col("rank"), number, line))
+    return rows.unionAll(ranked.select("tournament", "idea", "rank").join(scores, ["tournament", "idea"]).select("tournament", F.lit(1), F.col("rank"), number, line))

@@ -95,11 +95,11 @@ def topn_citations(spark, d):
     return L.citations_ranked(graph_fixture.load(spark, d)).where("place <= 5")
 
 
-_SHOWN = walk() + ", shown AS (SELECT DISTINCT unnest(route) AS id FROM ranked WHERE rank <= 50)"
+_SHOWN = walk() + ", shown AS (SELECT DISTINCT unnest(route) AS id FROM ranked)"
 
 
 def _best_nodes(spark, d, g):
-    found = P.candidates(P.expand(g.edge, "P1", 3)).orderBy(*P.rank_order()).limit(50)
+    found = P.candidates(P.expand(g.edge, "P1", 3))
     return found.select(F.explode("route").alias("id")).distinct().join(L.names(g).select("id", "label", "name", "entity_type"), "id")
 
 
@@ -149,11 +149,11 @@ def future_paper_filter(spark, d):
     return kept.select(F.array_join("keys", "|").alias("path"), F.array_join("kept", ">").alias("kept"))
 
 
-#: Paths as the context shows them: the first 60, without the target and what is later, reversed.
-_KEPT = walk() + _LATE + """, best AS (SELECT rank, score, [x FOR x IN route IF NOT list_contains(ids, x)] AS nodes, keys FROM ranked, late WHERE rank <= 60),
+#: Paths as the context shows them: without the target and what is later, reversed.
+_KEPT = walk() + _LATE + """, best AS (SELECT rank, score, [x FOR x IN route IF NOT list_contains(ids, x)] AS nodes, keys FROM ranked, late),
 linear AS (SELECT rank, score, list_reverse(nodes) AS nodes, list_reverse([k FOR k IN keys IF list_contains(nodes, split_part(k, '>', 1)) AND list_contains(nodes, split_part(k, '>', 3))]) AS keys FROM best WHERE len(nodes) >= 2),
 kept AS (SELECT *, row_number() OVER (ORDER BY rank) AS idx FROM linear WHERE len(keys) = len(nodes) - 1),
-named AS (SELECT id, 'Paper' AS label, title AS name, summary, NULL AS kind FROM paper UNION ALL SELECT id, 'Entity', name, NULL, type FROM entity),
+named AS (SELECT id, 'Paper' AS label, title AS name, summary, NULL::VARCHAR AS kind FROM paper UNION ALL SELECT id, 'Entity', name, NULL::VARCHAR, type FROM entity),
 spots AS (SELECT idx, i, nodes[i] AS id, keys[i] AS key FROM kept, unnest(range(1, len(nodes) + 1)) AS t(i)),
 nodes AS (SELECT n.*, row_number() OVER (ORDER BY place) AS number FROM (SELECT id, min(idx * 100 + i) AS place FROM spots GROUP BY id) JOIN named n USING (id)),
 edges AS (SELECT e.*, row_number() OVER (ORDER BY place) AS number FROM (SELECT key, min(idx * 100 + i) AS place FROM spots WHERE key IS NOT NULL GROUP BY key) JOIN edge e USING (key))
@@ -161,7 +161,7 @@ edges AS (SELECT e.*, row_number() OVER (ORDER BY place) AS number FROM (SELECT
 
 
 def _options(name, **more):
-    return C.Options(graph_format=name, max_paths=60, **more)
+    return C.Options(graph_format=name, **more)
 
 
 @R.add("path_filter", _KEPT + "SELECT CAST(idx AS INTEGER) AS idx, array_to_string(nodes, '<') AS nodes, array_to_string(keys, '|') AS edges, score FROM kept")

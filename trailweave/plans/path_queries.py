@@ -127,11 +127,11 @@ def union_path_classes(spark, d):
 
 
 @R.add("union_scopes", walk() + f""", near AS (SELECT {_ROW} FROM found WHERE hops <= 2)
-SELECT 'path' AS part, {_ROW} FROM (SELECT * FROM ranked ORDER BY rank LIMIT 30) UNION ALL SELECT 'k_hop', * FROM (SELECT * FROM near ORDER BY hops, path LIMIT 30)""")
+SELECT 'path' AS part, {_ROW} FROM ranked UNION ALL SELECT 'k_hop', * FROM near""")
 def union_scopes(spark, d):
     edge = graph_fixture.load_for_paths(spark, d).edge
-    best = P.candidates(P.expand(edge, TARGET, K)).orderBy(*P.rank_order()).limit(30)
-    near = P.expand(edge, TARGET, 2).orderBy("hops", F.array_join("keys", "|")).limit(30)
+    best = P.candidates(P.expand(edge, TARGET, K))
+    near = P.expand(edge, TARGET, 2)
     return _flat(best).withColumn("part", F.lit("path")).unionByName(_flat(near).withColumn("part", F.lit("k_hop")))
 
 
@@ -153,19 +153,19 @@ def _firsts(best, limit):
     return P.ranked(firsts, [F.asc("first")], limit).select("id", F.col("rank").alias("position"))
 
 
-@R.add("merge_edges_first", walk() + """, best AS (SELECT * FROM ranked WHERE rank <= 50), places AS (SELECT rank, keys[i] AS key, i FROM best, unnest(range(1, len(keys) + 1)) AS t(i)),
+@R.add("merge_edges_first", walk() + """, best AS (SELECT * FROM ranked), places AS (SELECT rank, keys[i] AS key, i FROM best, unnest(range(1, len(keys) + 1)) AS t(i)),
 firsts AS (SELECT key, min(rank * 100 + i) AS place FROM places GROUP BY key) SELECT e.src AS from_id, e.dst AS to_id, e.type, e.importance_score, e.citation_type, CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS position FROM firsts JOIN edge e USING (key)""")
 def merge_edges_first(spark, d):
-    best = P.ranked(_all(spark, d), P.rank_order(), top=50)
+    best = P.ranked(_all(spark, d), P.rank_order())
     rows = best.select("rank", "route", F.posexplode("rels").alias("place", "rel")).select("rank", "place", F.get("route", F.col("place")).alias("from_id"), F.get("route", F.col("place") + 1).alias("to_id"), "rel.*")
     firsts = rows.groupBy("from_id", "to_id", "type").agg(F.min(F.struct("rank", "place", "importance", "citation")).alias("first"))
-    return P.ranked(firsts, [F.asc("first.rank"), F.asc("first.place")], 50 * K).select("from_id", "to_id", "type", F.col("first.importance").alias("importance_score"), F.col("first.citation").alias("citation_type"), F.col("rank").alias("position"))
+    return P.ranked(firsts, [F.asc("first.rank"), F.asc("first.place")]).select("from_id", "to_id", "type", F.col("first.importance").alias("importance_score"), F.col("first.citation").alias("citation_type"), F.col("rank").alias("position"))
 
 
-@R.add("graph_summary", walk() + """, best AS (SELECT * FROM ranked WHERE rank <= 50) SELECT count(*) AS paths, (SELECT count(DISTINCT id) FROM (SELECT unnest(route) AS id FROM best)) AS unique_nodes,
+@R.add("graph_summary", walk() + """, best AS (SELECT * FROM ranked) SELECT count(*) AS paths, (SELECT count(DISTINCT id) FROM (SELECT unnest(route) AS id FROM best)) AS unique_nodes,
 (SELECT count(DISTINCT key) FROM (SELECT unnest(keys) AS key FROM best)) AS unique_edges FROM best""")
 def graph_summary(spark, d):
-    best = written(P.ranked(_all(spark, d), P.rank_order(), top=50))
+    best = _once(spark, d)
     nodes = best.select(F.explode("route").alias("id")).agg(F.countDistinct("id").alias("unique_nodes"))
     edges = best.select(F.explode("keys").alias("key")).agg(F.countDistinct("key").alias("unique_edges"))
     return best.agg(F.count("*").alias("paths")).withColumns({"unique_nodes": nodes.scalar(), "unique_edges": edges.scalar()})
