@@ -205,12 +205,19 @@ def test_lm_does_not_depend_on_buckets(spark):
     assert max(abs(one[d] - many[d]) for d in one) < 1e-6
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, "a b a c", False) for i in range(30)] + [(99, "a b d", True)], "doc_id bigint, text string, held_out boolean")
-    asked = [(100 + k, w, True) for k, w in enumerate(["a", "b", "c", "unheard of"])]
-    got = {r["doc_id"]: r["score"] for r in lm_score.score(docs.unionAll(spark.createDataFrame(asked, docs.schema))).collect()}
-    assert all(math.isfinite(x) and x < 0 for x in got.values())
-    assert got[100] > got[103]
+def test_lm_probabilities_sum_to_one():
+    """After any context: those of all words, the end, and one word for the unseen."""
+    rng = np.random.default_rng(2)
+    both = rng.poisson(0.3, (50, 50))  # of pairs: contexts by words, the last of which is the end
+    own, before = both.sum(axis=0), both.sum(axis=1)
+    code = [(lm_score.context_bucket(np.array([before[i] - 1]))[0] << 20) | (lm_score.log_step(np.array([both[i, j] - 1]), np.array([before[i] - 1]))[0] << 10) | lm_score.log_step(np.array([own[j] - 1]), np.array([own.sum() - 1]))[0] for i in range(50) for j in range(50) if both[i, j]]
+    weights = lm_score.learn(np.array(code), both[both > 0].ravel(), 51)
+    words = lm_score.Vocabulary(np.arange(49, dtype=np.uint64), own[:49], int(own.sum()), 50, int(own[49]))
+    model = lm_score.Model(words, weights, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for i in range(51):  # the last context was never seen
+        n, h = (both[i], before[i]) if i < 50 else (np.zeros(50, int), 0)
+        total = (10 ** model.log10(np.append(n, 0), np.full(51, h), np.append(own, 0))).sum()
+        assert abs(total - 1) < 1e-9
 
 
 def test_lm_learns_nothing_from_held_out_texts(spark):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import InitVar, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ class Vocabulary:
     """The most frequent words, whose counts are at hand, by number; then one number for all that are looked up by hash, the end and the start of a text."""
 
     word: np.ndarray
-    n: np.ndarray
+    n: InitVar[np.ndarray]
     tokens: int  # in training texts, ends included
     types: int
     texts: int
@@ -51,10 +51,10 @@ class Vocabulary:
         total = counts.agg(F.sum("n"), F.count("*")).first()
         return cls(word, n.astype(np.int64), int(total[0] or 0) + texts, int(total[1]) + (texts > 0), texts)
 
-    def __post_init__(self):
+    def __post_init__(self, n: np.ndarray):
         k = len(self.word)
         self.other, self.end, self.start = k, k + 1, k + 2
-        self.count = np.concatenate((self.n, [0, self.texts, self.texts]))
+        self.count = np.concatenate((n, [0, self.texts, self.texts]))
 
     def classes(self, h: np.ndarray) -> np.ndarray:
         if not len(self.word):
@@ -271,6 +271,8 @@ def learn(code: np.ndarray, n: np.ndarray, classes: int, rounds: int = 100, tole
     weights[0] = np.array([0, *general[1:]]) / general[1:].sum()
     for b in np.unique(bucket):
         weights[b] = em(p[bucket == b], n[bucket == b])
+    weights[0, 0] = 0
+    weights[0] /= weights[0].sum()
     return weights
 
 
@@ -459,7 +461,8 @@ def score(documents: DataFrame, size: int = 1_000_000, frequent_pairs: int = 1_0
     maximum-likelihood estimates for its word after the one before, for the word alone, and a uniform one over all
     training words and one for the unseen, with weights for the context's
     frequency; these are learned on the training tokens, each deleted from all counts that predict it.  ``score`` sums
-    log10 of the probabilities.  ``base_score`` and ``n_known`` use the word's count alone.
+    log10 of the probabilities.  While the weights are learned, probabilities are rounded to 0.02 of their log10, so that
+    the driver gets a histogram of a size that the rounding bounds, however large the corpus.  ``base_score`` and ``n_known`` use the word's count alone.
 
     The counts of the ``size`` most frequent words are broadcast, which changes no result: pairs with other words are
     dealt by these, so that their counts are found in the same bucket.
@@ -487,6 +490,8 @@ def score(documents: DataFrame, size: int = 1_000_000, frequent_pairs: int = 1_0
     pair, times = (np.asarray(often.column(x).combine_chunks()) for x in ("code", "n"))
     order = np.argsort(pair)
     drop(statistics)
+    shared.destroy()  # the model has the words, too
+    release(spark)
     model = Model(words, learn(-1 - code, n, words.types + 1), pair[order], times[order])
     model = spark.sparkContext.broadcast(model)
     return _texts(_looked_up(_partial(given, model, buckets), model), model)
