@@ -1,8 +1,8 @@
 """Queries over the driver's tables, each beside its SQL for DuckDB."""
 
-from . import graph_queries, path_queries, state_queries, text_queries, tournament_queries, write_queries
+from . import graph_queries, idea_queries, path_queries, state_queries, text_queries, tournament_queries, write_queries
 
-_MODULES = (path_queries, graph_queries, write_queries, tournament_queries, state_queries, text_queries)
+_MODULES = (path_queries, graph_queries, write_queries, tournament_queries, state_queries, text_queries, idea_queries)
 
 
 def queries() -> dict:

@@ -10,7 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import ideas as I
 from ..functions import text as T
+from ..operators import upserts as U
+from ..operators.paths import ranked_by
+from .graph_fixture import Graph
+from .tables import written
 
 CACHE_VERSION = 2
 _EXTRACTION = (
@@ -109,3 +114,39 @@ def matched_titles(asked: DataFrame, results: DataFrame, most: int = 5) -> DataF
     key = T.title_match_key
     both = asked.join(results.where(F.col("n") <= most).withColumnRenamed("title", "found"), "query").where(key(F.col("query")) == key(F.col("found")))
     return both.groupBy("query").agg(F.min_by("found", "n").alias("title"))
+
+
+def replayed(graph: Graph, spark: SparkSession, path: str, limit: int | None = None) -> tuple[Graph, DataFrame]:
+    """The graph after cached extractions, one JSON object a file, in order of the files' names; and how many were ``processed`` and ``failed``.
+
+    With ``limit``, the first files alone.  Files that aren't an extraction are counted and left out.  Of rows of one
+    key the last file's count, so that one batch does what many in order would.
+    """
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
+    if limit is not None:
+        found = found.orderBy("file").limit(limit)
+    found = ranked_by(found, "file")
+    parsed = F.from_json("value", f"{U.EXTRACTION}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    found = written(found.select(F.col("rank").alias("seq"), parsed.dropFields("seq").alias("x")).select("seq", "x.*"))
+    good = F.col("_corrupt").isNull() & F.col("paper_id").isNotNull()
+    counts = found.agg(F.count_if(good).alias("processed"), F.count_if(~good).alias("failed"))
+    some = found.where(good).drop("_corrupt").withColumns({c: F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("claims", "entities", "relations", "cited_papers")})
+    return U.write_extracted(graph, some), counts
+
+
+def paper_texts(papers: DataFrame, latex: DataFrame, extractions: DataFrame) -> DataFrame:
+    """For each paper (paper_id), its whole ``text``: the LaTeX with its bibliography, else the text that its extraction gives, else null; and which it is."""
+    own = F.when(F.col("bbl").isNotNull(), F.concat_ws("\n\n", "latex", "bbl")).otherwise(F.col("latex"))
+    made = extractions.select("paper_id", I.extraction_text(F.col("paper_summary"), F.col("claims"), F.col("entities"), F.col("cited_papers")).alias("made"))
+    both = papers.join(latex.select("paper_id", own.alias("own")), "paper_id", "left").join(made, "paper_id", "left")
+    return both.select("paper_id", F.coalesce("own", "made").alias("text"), F.when(F.col("own").isNotNull(), "latex").when(F.col("made").isNotNull(), "extraction").alias("origin"))
+
+
+def idea_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results of idea chains, one JSON object a file: texts that are missing are empty, and lists of experiments and entities come in either form."""
+    texts = ("idea", "idea_chain", "experiment", "trend", "future", "human", "prompt")
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    raw = lambda name: F.from_json("value", "map<string, string>")[name]
+    lists = {name: F.coalesce(F.from_json(field(name), "array<string>"), F.array().cast("array<string>")).alias(name) for name in ("year", "ideas")}
+    return found.select(*(F.coalesce(field(name), F.lit("")).alias(name) for name in texts), I.related_experiments(raw("related_experiments")).alias("related_experiments"), I.entities_text(raw("entities")).alias("entities"), *lists.values())
