@@ -21,6 +21,8 @@ FORMATS = ("mermaid", "paths", "json_graph", "triples", "narrative")
 SCOPES = ("path", "k_hop", "path_plus_k_hop")
 #: What may be shown of each type of node and relationship.
 NODE_FIELDS = {"Paper": ("paper_claims", "paper_summary", "paper_title"), "Entity": ("entity_description", "entity_type")}
+#: Lines of a diagram's label, characters of a line and of a label, and the share of characters taken out beyond which a label is unsafe.
+MOST_LABEL_LINES, MOST_LINE, MOST_LABEL, UNSAFE_SHARE = 1000, 100_000, 1_000_000, 0.4
 EDGE_FIELDS = {"CITES": ("citation_type", "context", "importance_score", "type")} | dict.fromkeys(("MENTIONS", "USES", "EXTENDS", "COMPARES", "ENABLES", "IMPROVES", "ADDRESSES"), ("context", "type"))
 
 
@@ -220,15 +222,33 @@ def paths_lines(paths: DataFrame, graph: Graph, options: Options) -> DataFrame:
     return out.unionAll(_line(nodes, 3, "number", F.concat(F.lit("- "), F.col("name"), F.lit(" ("), F.col("label"), F.lit(")"), detail)))
 
 
+def _label(parts: F.Column) -> F.Column:
+    """A diagram's label of some lines, of characters without a meaning there."""
+    lines = F.filter(F.transform(F.slice(parts, 1, MOST_LABEL_LINES), T.mermaid_sanitize), lambda x: x != "")
+    return T.truncate_label(F.array_join(F.transform(lines, lambda x: T.truncate_label(x, MOST_LINE)), "<br/>"), MOST_LABEL)
+
+
+def _node_parts() -> F.Column:
+    return F.concat(F.array("name"), F.transform("details", lambda x: F.concat_ws("=", x["k"], x["v"])))
+
+
+def label_statistics(nodes: DataFrame) -> DataFrame:
+    """Of merged nodes' labels in a diagram: characters taken out of them, and ``unsafe`` ones, with a line that is empty then or has lost too many."""
+    parts = F.slice(_node_parts(), 1, MOST_LABEL_LINES)
+    lost = lambda x: (T.mermaid_sanitize(x) == "") | (T.mermaid_removed(x) / F.greatest(F.length(x), F.lit(1)) > UNSAFE_SHARE)
+    shown = F.exists(parts, lambda x: T.mermaid_sanitize(x) != "")
+    removed = F.aggregate(F.transform(parts, T.mermaid_removed), F.lit(0), lambda a, b: a + b)
+    return nodes.agg(F.coalesce(F.sum(removed), F.lit(0)).cast("bigint").alias("removed_chars"), F.count_if(shown & F.exists(parts, lost)).alias("unsafe_labels"))
+
+
 def mermaid_lines(paths: DataFrame, graph: Graph, options: Options) -> DataFrame:
     """A diagram: nodes with safe labels, then relationships."""
     nodes = written(merged_nodes(paths, graph, options))
     edges = kept_edges(merged_edges(paths, options), nodes, options.max_edges)
-    label = lambda parts: F.array_join(F.filter(F.transform(parts, T.mermaid_sanitize), lambda x: x != ""), "<br/>")
     pairs = F.transform("details", lambda x: F.concat_ws("=", x["k"], x["v"]))
-    nodes = nodes.withColumn("shown", label(F.concat(F.array("name"), pairs)))
+    nodes = nodes.withColumn("shown", _label(_node_parts()))
     kind = F.when(shows(options.edge_type_fields, F.col("type"), "type"), F.array("type")).otherwise(F.array().cast("array<string>"))
-    edges = edges.withColumn("shown", label(F.concat(kind, pairs)))
+    edges = edges.withColumn("shown", _label(F.concat(kind, pairs)))
     name = lambda c: F.concat(F.lit("N"), F.col(c).cast("string"))
     arrow = F.when(F.col("shown") != "", F.concat(F.lit(" -- "), F.col("shown"), F.lit(" --> "))).otherwise(" --> ")
     out = _texts(paths, (0, 0, "```mermaid"), (0, 1, "graph RL" if options.reverse_paths else "graph LR"), (9, 0, "```"))

@@ -208,16 +208,36 @@ def ctx_triples(spark, d):
     return C.context_lines(graph_fixture.load_for_paths(spark, d), "P1", 3, _options("triples"))
 
 
-@R.add("ctx_mermaid")
+_STRAIGHT = "kept AS (SELECT *, row_number() OVER (ORDER BY rank) AS idx FROM linear WHERE len(keys) = len(nodes) - 1)"
+#: In diagrams, paths with a gap keep their nodes.
+_DRAWN = _KEPT.replace(_STRAIGHT, "kept AS (SELECT rank, score, nodes, CASE WHEN len(keys) = len(nodes) - 1 THEN keys ELSE CAST([] AS VARCHAR[]) END AS keys, row_number() OVER (ORDER BY rank) AS idx FROM linear)")
+_ENDS = "edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst"
+
+
+@R.add("ctx_mermaid", _DRAWN + f"""SELECT 0 AS section, 0 AS ord, '```mermaid' AS line UNION ALL SELECT 0, 1, 'graph RL' UNION ALL SELECT 9, 0, '```'
+UNION ALL SELECT 1, CAST(number AS INTEGER), '  N' || number || '["' || name || '<br/>' || CASE label WHEN 'Paper' THEN 'Summary=' || summary ELSE 'Type=' || kind END || '"]' FROM nodes
+UNION ALL SELECT 2, CAST(e.number AS INTEGER), '  N' || a.number || ' -- ' || concat_ws('<br/>', e.type, 'citation_type=' || citation_type, 'importance_score=' || importance_score) || ' --> N' || b.number FROM {_ENDS}""")
 def ctx_mermaid(spark, d):
     return C.context_lines(graph_fixture.load_for_paths(spark, d), "P1", 3, _options("mermaid"))
 
 
-@R.add("ctx_narrative")
+@R.add("mermaid_statistics", G + f"SELECT CAST(sum(length(t) - length(regexp_replace(t, '[(){{}}\\[\\]|<>`:;]', '', 'g'))) AS BIGINT) AS removed_chars, count(*) FILTER (WHERE length(t) - length(regexp_replace(t, '[(){{}}\\[\\]|<>`:;]', '', 'g')) > 0.4 * length(t)) AS unsafe_labels FROM (SELECT CASE WHEN summary LIKE 'S%' THEN '((:' || summary[1:2] || '))' ELSE '[' || title || ']' END AS t FROM paper)")
+def mermaid_statistics(spark, d):
+    paper = graph_fixture.load(spark, d).paper
+    name = F.when(F.col("summary").startswith("S"), F.concat(F.lit("((:"), F.substring("summary", 1, 2), F.lit("))"))).otherwise(F.concat(F.lit("["), "title", F.lit("]")))
+    return C.label_statistics(paper.select(name.alias("name"), F.array().cast("array<struct<k: string, v: string>>").alias("details")))
+
+
+@R.add("ctx_narrative", _KEPT + """, said AS (SELECT id, CASE label WHEN 'Paper' THEN 'Paper "' || name || '" (Summary: ' || summary || ')' ELSE kind || ' "' || name || '"' END AS t FROM nodes),
+steps AS (SELECT k.idx, k.score, i, a.t AS a, b.t AS b, e.type || coalesce(' with ' || nullif(concat_ws(', ', 'importance ' || importance_score || '/5', 'type: ' || citation_type), ''), '') AS how FROM (SELECT *, unnest(range(1, len(keys) + 1)) AS i FROM kept) k JOIN said a ON a.id = k.nodes[i] JOIN said b ON b.id = k.nodes[i + 1] JOIN edge e ON e.key = k.keys[i])
+SELECT 0 AS section, CAST(idx AS INTEGER) AS ord, '### Path ' || idx || ' (relevance: ' || score || ')' || chr(10) || string_agg(CASE i WHEN 1 THEN a || ' ' ELSE '' END || how || ' ' || b, ' ' ORDER BY i) || chr(10) AS line FROM steps GROUP BY idx, score
+UNION ALL SELECT 1, 0, '### Graph Summary' UNION ALL SELECT 1, 1, (SELECT count(*) FROM kept) || ' paths, ' || (SELECT count(*) FROM nodes) || ' unique nodes, ' || (SELECT count(*) FROM edges) || ' unique edges.'""")
 def ctx_narrative(spark, d):
     return C.context_lines(graph_fixture.load_for_paths(spark, d), "P1", 3, _options("narrative"))
 
 
-@R.add("ctx_json_graph")
+@R.add("ctx_json_graph", _KEPT + f"""SELECT 0 AS section, CAST(number AS INTEGER) AS ord, '{{"id":"' || id || '","type":"' || label || '","name":"' || name || '",' || CASE label WHEN 'Paper' THEN '"summary":"' || summary ELSE '"subtype":"' || kind END || '"}}' AS line FROM nodes
+UNION ALL SELECT 1, CAST(e.number AS INTEGER), '{{"from":"' || src || '","to":"' || dst || '","relation":"' || e.type || '"' || coalesce(',"importance":"' || importance_score || '"', '') || coalesce(',"citation_type":"' || citation_type || '"', '') || '}}' FROM {_ENDS}
+UNION ALL SELECT 2, CAST(idx AS INTEGER), '{{"route":["' || array_to_string(nodes, '","') || '"],"score":' || score || '}}' FROM kept""")
 def ctx_json_graph(spark, d):
     return C.context_lines(graph_fixture.load_for_paths(spark, d), "P1", 3, _options("json_graph"))
