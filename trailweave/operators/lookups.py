@@ -91,6 +91,13 @@ def node_details(shown: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def direct_lines(entities: F.Column, claims: F.Column, most_entities: int = 20, most_claims: int = 10) -> list[F.Column]:
+    """Lists of a paper's first entities (structs of name and type) and first claims, as they are shown without paths: ``entities`` and ``claims``."""
+    said = F.transform(F.slice(entities, 1, most_entities), lambda e: F.concat(F.lit("- "), e["name"], F.lit(" ("), F.coalesce(e["type"], F.lit("Entity")), F.lit(")")))
+    told = F.transform(F.slice(claims, 1, most_claims), lambda c: F.concat(F.lit("- "), c))
+    return [F.coalesce(F.array_join(x, "\n"), F.lit("")).alias(name) for x, name in ((said, "entities"), (told, "claims"))]
+
+
 def endpoints_in(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     """Relationships of which both ends are among the nodes."""
     src = edge.join(nodes.select(F.col("id").alias("src")).distinct(), "src", "left_semi")

@@ -120,9 +120,12 @@ def published_day(spark, d):
     return _table(spark, d, "orders").select("o_orderkey", T.published_day(text).alias("day"))
 
 
-@R.add("direct_caps", "SELECT l_orderkey, count(DISTINCT l_suppkey) FILTER (WHERE place <= 3) AS kept FROM (SELECT l_orderkey, l_suppkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS place FROM lineitem) GROUP BY 1")
+@R.add("direct_caps", """SELECT l_suppkey, array_to_string(['- P' || p || CASE p % 2 WHEN 0 THEN ' (Method)' ELSE ' (Entity)' END FOR p IN list_sort(list_distinct(list(l_partkey)))[1:20]], chr(10)) AS entities,
+array_to_string(['- ' || q FOR q IN list_sort(list_distinct(list(CAST(floor(l_quantity) AS INTEGER))))[1:10]], chr(10)) AS claims FROM lineitem GROUP BY 1""")
 def direct_caps(spark, d):
-    return _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.size(F.slice(F.array_sort(F.collect_set("l_suppkey")), 1, 3)).cast("bigint").alias("kept"))
+    found = _table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"), F.array_sort(F.collect_set(F.floor("l_quantity").cast("int"))).alias("said"))
+    entities = F.transform("parts", lambda p: F.struct(F.concat(F.lit("P"), p.cast("string")).alias("name"), F.when(p % 2 == 0, "Method").alias("type")))
+    return found.select("l_suppkey", *L.direct_lines(entities, F.transform("said", lambda x: x.cast("string"))))
 
 
 @R.add("path_mermaid", "SELECT p_partkey, 'graph RL' || chr(10) || '  N0[' || CASE WHEN length(t) > 30 THEN t[1:30] || '...' ELSE t END || ']' || chr(10) || '  N1[' || p_brand || ']' || chr(10) || '  N0 --> N1' AS said FROM (SELECT *, p_name || ' ' || p_type AS t FROM part)")
