@@ -136,6 +136,9 @@ def windows(h: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A list column; one batch of it holds fewer than 2**31 values."""
+    if len(values) >= 1 << 31:
+        raise OverflowError(f"{len(values)} values in the lists of one batch; give fewer or shorter texts to a batch")
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 

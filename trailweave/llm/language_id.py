@@ -28,9 +28,9 @@ def _letters() -> np.ndarray:
 
 def _codes(text: str) -> np.ndarray:
     """Code points of the lower-cased letters, one pad for each run of others, and a pad at either end."""
-    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    code = np.array(np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32))
     code[~_letters()[code]] = _PAD
-    code = np.concatenate(([_PAD], code, [_PAD]))
+    code = np.concatenate((np.full(1, _PAD, np.uint32), code, np.full(1, _PAD, np.uint32)))
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != _PAD) | (code[:-1] != _PAD)
     return code[keep]
@@ -40,12 +40,12 @@ def ngram_counts(text: str | None, piece: int = 1 << 20) -> tuple[np.ndarray, np
     """Codes (ascending) and counts of the 1-, 2- and 3-grams of letters; words are padded at both ends.
 
     An n-gram is its code points, 21 bits each, so that codes are exact.  Long texts are counted in pieces that
-    overlap by two letters, in memory that doesn't grow with the text but for its distinct n-grams.
+    overlap by two letters, so that besides some bytes for each letter memory grows with the distinct n-grams alone.
     """
     code = _codes(text or "")
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for i in range(0, len(code), piece):
-        s = code[i : i + piece + 2]
+        s = code[i : i + piece + 2].astype(np.int64)
         one = s[:piece]
         two = ((s[:-1] << _BITS) | s[1:])[:piece]
         parts = [one[one != _PAD], two]
