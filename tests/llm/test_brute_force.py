@@ -3,11 +3,14 @@
 import hashlib
 import math
 import random
+import re
 import struct
 import time
+import unicodedata
 import zlib
 from collections import Counter
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -352,6 +355,38 @@ def test_language_on_held_out_documents(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows) / len(rows) > 0.97
 
 
+def plain_ngrams(text):
+    """Counts of 1-, 2- and 3-grams of the letters of words, as code points in one number; a 1 stands at either end of a word."""
+    letters = [c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()]
+    out = Counter()
+    for word in "".join(letters).split(" "):
+        if word:
+            code = [1, *map(ord, word), 1]
+            out.update(code[1:-1])
+            out.update(a << 21 | b for a, b in zip(code, code[1:], strict=False))
+            out.update((a << 21 | b) << 21 | c for a, b, c in zip(code, code[1:], code[2:], strict=False))
+    return out
+
+
+def best(counts):
+    return sorted(counts, key=lambda c: (-counts[c], c))[:300]
+
+
+def test_language_against_a_plain_version(spark, docs):
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in docs}
+    sums = {}
+    for d, text, lang, _ in docs:
+        if not held[d] and lang is not None:
+            sums.setdefault(lang, Counter()).update(plain_ngrams(text))
+    ranks = {lang: {c: k for k, c in enumerate(best(n))} for lang, n in sums.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["held_out"]) for r in language_id.query(spark, SF).collect()}
+    for d, text, *_ in docs:
+        own = best(plain_ngrams(text))
+        away = {lang: sum(abs(r[c] - k) if c in r else 300 for k, c in enumerate(own)) for lang, r in ranks.items()}
+        want = min(sorted(away), key=away.get) if own else "und"
+        assert got[d] == (want, pytest.approx(1 - away[want] / (300 * len(own)) if own else 0.0), held[d]), d
+
+
 def test_language_by_hand(spark):
     docs = spark.createDataFrame([(1, "aaa bbb aaa", "x"), (2, "ccc ddd", "y"), (3, "aab", None), (4, "12 !", "x"), (5, None, "x")], "doc_id bigint, text string, lang string")
     profiles = language_id.train_profiles(docs, merge_at=3)
@@ -469,6 +504,16 @@ def test_carving(spark):
         ("<head><title>t</title><style>p{}</style></head>a<script>if (a<b) {}</script>b<!-- c -->", "ab"),
         ("x<div style='display: none'>no</div><div hidden>no</div>y", "xy"),
         ("<pre>a\n  b</pre>c", "a\n  b\n\nc"),
+        ("<dialog open>hi</dialog><dialog>no</dialog>", "hi"),
+        ("<select><option>a<option selected>b</select>", "b"),
+        ("<select><option disabled>a<option>b</select>", "b"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<svg><title>t</title><text>shown</text>not</svg>", "shown"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<table><tr><td colspan=2>both<td>c<tr><td>1<td>2<td>3</table>", "both  | c\n1 | 2 | 3"),
+        ("<table><tr><td rowspan=2>r<td>a<tr><td>b<tr><td>c<td>d</table>", "r | a\n  | b\nc | d"),
+        ("<p>a<div>b</p>c", "a\n\nb\n\nc"),
+        ("<details><summary>s</summary>x</details><details open>y</details>", "s\ny"),
         ("a<br>b", "a\nb"),
         ("", ""),
     ],
@@ -477,6 +522,43 @@ def test_html(html, text):
     assert html_text.page_text(html) == text
 
 
+class Words(HTMLParser):
+    """Words outside of elements that aren't shown, for pages of simple elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "title")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "title")
+
+    def handle_data(self, data):
+        self.words += [] if self.hidden else [data]
+
+
+def test_html_of_all_pages(spark):
+    for r in html_text.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), keep=("page_id", "html")).collect():
+        page = Words()
+        page.feed(r["html"])
+        page.close()
+        lines = [re.sub(r"^\s*- ", "", line) for line in r["text"].split("\n")]
+        assert " ".join(lines).split() == " ".join(page.words).split(), r["page_id"]
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<ul><li>x" * 40_000, "<div>" * 200_000 + "x", "<table><tr><td>x" * 20_000, "<table>" + "<tr><td>a<td>b" * 9000 + "<tr><td>" + "x" * 100_000 + "<td>y</table>", "<table><tr>" + "".join(f"<td rowspan={k + 2}>a" for k in range(9000)) + "<tr><td>b" * 9000, "<table><tr><td>" + "x<br>" * 30_000 + "<td>y" * 30_000, "<table>" + "<tr><td colspan=1000>a" * 20_000],
+    ids=lambda x: x[:24],
+)
+def test_hostile_pages_take_time_and_space_in_proportion(html):
+    began = time.process_time()
+    text = html_text.page_text(html)
+    assert time.process_time() - began < 15 and len(text) < 12 * len(html)
+
+
 def plain_raking(rows, targets, rounds=2000):
     """Probabilities of rows (source, lang, topic, tokens), scaling them to one dimension's target after the other."""
     total, weight = sum(r[3] for r in rows), [1.0] * len(rows)
