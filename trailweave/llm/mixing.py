@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from ._text import TOKENS, buffers, owners, pieces, spans, word_hashes
 DIMENSIONS = ("source", "lang", "topic")
 
 #: For each dimension its target shares by value, or a power: shares go with the tokens to that power.
-TARGETS: dict[str, dict[str, float] | float] = {"source": 0.7, "lang": 0.7, "topic": 0.5}
+TARGETS: dict[str, dict[str, float] | float] = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 NO_TOPIC = "none"  # of texts without words
 WIDTH = 128  # of the vectors by which texts are clustered
 _SCALE = 1000  # of centres, which are whole numbers, so that nothing depends on the order of sums
@@ -59,6 +60,50 @@ def described(documents: DataFrame) -> DataFrame:
     return documents.select("source", "lang", "text").mapInArrow(run, f"source {kinds['source']}, lang {kinds['lang']}, tokens bigint, vector binary")
 
 
+LANGS = 64  # means that vectors are taken from: languages by hash
+
+
+def lang_means(rows: DataFrame) -> np.ndarray:
+    """The mean vector of each language's texts, as whole numbers; languages share ``LANGS`` places by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((LANGS, WIDTH + 1))
+        for batch in batches:
+            vectors, place = _vectors_of(batch.column("vector")), np.asarray(batch.column("place"))
+            some = vectors.any(axis=1)
+            for k in np.unique(place[some]):
+                own = vectors[some & (place == k)]
+                sums[k, :-1] += own.sum(axis=0)
+                sums[k, -1] += len(own)
+        number = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(sums.ravel()[number].astype(np.int64))], ["at", "n"])
+
+    found = rows.select("vector", lang_place()).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    sums = np.zeros(LANGS * (WIDTH + 1))
+    sums[[r["at"] for r in found]] = [float(r["n"]) for r in found]
+    sums = sums.reshape(LANGS, -1)
+    return np.rint(sums[:, :-1] / np.maximum(sums[:, -1:], 1))
+
+
+def lang_place() -> F.Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit(""))), F.lit(LANGS)).alias("place")
+
+
+@dataclass
+class Topics:
+    """Clusters of texts by what their words have beyond their language's: else topics would be languages, whose shares are given apart."""
+
+    means: np.ndarray
+    centres: np.ndarray
+
+    def beyond(self, vectors: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.where(vectors.any(axis=1)[:, None], vectors - self.means[place], 0.0)
+
+    def names(self, vectors: np.ndarray, place: np.ndarray) -> pa.Array:
+        at = nearest(self.beyond(vectors, place), self.centres)
+        return pa.array([f"topic {k}" if k >= 0 else NO_TOPIC for k in np.where(vectors.any(axis=1), np.maximum(at, 0), -1).tolist()], pa.string())
+
+
 def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The number of the centre with the largest product, the first if tied; -1 of vectors without words.  Products are whole numbers, so exact."""
     if not len(centres):
@@ -66,65 +111,74 @@ def nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.where(vectors.any(axis=1), np.argmax(vectors @ centres.T, axis=1), -1)
 
 
-def learn_topics(rows: DataFrame, topics: int = 8, rounds: int = 6, seeds: int = 256) -> np.ndarray:
-    """Centres of ``topics`` clusters of all vectors (spherical k-means): each round adds up, in Spark, the vectors nearest to each centre.
+def _centres(sums: np.ndarray) -> np.ndarray:
+    """Directions of some sums of vectors, as whole numbers."""
+    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return np.rint(_SCALE * np.divide(sums, length, out=np.zeros_like(sums), where=length > 0))
+
+
+def _clustered(some: np.ndarray, topics: int, starts: int = 16, rounds: int = 10) -> np.ndarray:
+    """Centres of the best of some clusterings of a few vectors, each from other ones of them."""
+    best, centres = -1.0, some[:0]
+    for k in range(starts):
+        found = _centres(some[np.random.default_rng(k).permutation(len(some))[:topics]])
+        for _ in range(rounds):
+            at = nearest(some, found)
+            found = _centres(np.stack([some[at == c].sum(axis=0) for c in range(len(found))]))
+        if (fit := float((some @ found.T).max(axis=1).sum())) > best:
+            best, centres = fit, found
+    return centres
 
-    It starts from those of ``seeds`` vectors, the ones with the least hashes, that are farthest from each other.
+
+def learn_topics(rows: DataFrame, topics: int = 8, rounds: int = 6, seeds: int = 256) -> Topics:
+    """``topics`` clusters of all vectors (spherical k-means): each round adds up, in Spark, the vectors nearest to each centre.
+
+    It starts from the best of some clusterings of ``seeds`` vectors, the ones with the least hashes.
     """
-    words = rows.where(F.col("vector") != F.lit(bytes(WIDTH)))
-    first = words.select("vector", F.xxhash64("vector").alias("place")).distinct().orderBy("place", "vector").limit(seeds).select("vector").toArrow()
+    words = rows.where(F.col("vector") != F.lit(bytes(WIDTH))).select("vector", lang_place())
+    first = words.withColumn("lot", F.xxhash64("vector", "place")).distinct().orderBy("lot", "vector", "place").limit(seeds).select("vector", "place").toArrow()
+    found = Topics(lang_means(rows), np.zeros((0, WIDTH)))
     if not first.num_rows:
-        return np.zeros((0, WIDTH))
-    some = _vectors_of(first.column("vector").combine_chunks())
-    chosen = [0]
-    near = some @ some[0]
-    while len(chosen) < min(topics, len(some)):
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, some @ some[chosen[-1]])
-    centres = some[chosen]
+        return found
+    found.centres = _clustered(found.beyond(_vectors_of(first.column("vector").combine_chunks()), np.asarray(first.column("place").combine_chunks())), topics)
     for _ in range(rounds):
-        held = rows.sparkSession.sparkContext.broadcast(centres)
+        held = rows.sparkSession.sparkContext.broadcast(found)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(held.value.shape)
+            sums = np.zeros(held.value.centres.shape)
             for batch in batches:
-                vectors = _vectors_of(batch.column("vector"))
-                at = nearest(vectors, held.value)
+                vectors = held.value.beyond(_vectors_of(batch.column("vector")), np.asarray(batch.column("place")))
+                at = nearest(vectors, held.value.centres)
                 for k in np.unique(at[at >= 0]):
                     sums[k] += vectors[at == k].sum(axis=0)
             number = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(sums.ravel()[number].astype(np.int64))], ["at", "n"])
 
-        found = rows.select("vector").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
-        sums = np.zeros(centres.size)
-        sums[[r["at"] for r in found]] = [float(r["n"]) for r in found]
-        sums = sums.reshape(centres.shape)
-        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        after = np.rint(_SCALE * np.divide(sums, length, out=np.zeros_like(sums), where=length > 0))
-        if (after == centres).all():
+        sums = np.zeros(found.centres.size)
+        for r in words.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            sums[r["at"]] = float(r["n"])
+        after = _centres(sums.reshape(found.centres.shape))
+        if (after == found.centres).all():
             break
-        centres = after
-    return centres
-
-
-def topic_names(at: np.ndarray) -> pa.Array:
-    return pa.array([NO_TOPIC if k < 0 else f"topic {k}" for k in at.tolist()], pa.string())
+        found = Topics(found.means, after)
+    return found
 
 
-def with_topics(documents: DataFrame, centres: np.ndarray, topic: str, tokens: str) -> DataFrame:
+def with_topics(documents: DataFrame, found: Topics, topic: str, tokens: str) -> DataFrame:
     """Adds to ``documents`` each text's topic and number of tokens, under these names."""
-    held = documents.sparkSession.sparkContext.broadcast(centres)
+    held = documents.sparkSession.sparkContext.broadcast(found)
     names = documents.columns
+    (place,) = free_names(documents, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in pieces(batch.column("text")):
                 part = batch.slice(i, j - i)
                 vectors, n = text_vectors(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns, topic_names(nearest(vectors.astype(np.float64), held.value)), pa.array(n)], [*names, topic, tokens])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], held.value.names(vectors.astype(np.float64), np.asarray(part.column(place))), pa.array(n)], [*names, topic, tokens])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(run, f"{schema}, `{topic}` string, `{tokens}` bigint")
+    return documents.withColumn(place, lang_place()).mapInArrow(run, f"{schema}, `{topic}` string, `{tokens}` bigint")
 
 
 def _cell(name: str) -> F.Column:
@@ -132,17 +186,17 @@ def _cell(name: str) -> F.Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
 
 
-def cells(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+def cells(rows: DataFrame, found: Topics) -> DataFrame:
     """Sums of ``tokens`` of described rows by ``DIMENSIONS`` (as keys); tasks add up before anything is shuffled."""
-    held = rows.sparkSession.sparkContext.broadcast(centres)
+    held = rows.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            topic = topic_names(nearest(_vectors_of(batch.column("vector")), held.value))
+            topic = held.value.names(_vectors_of(batch.column("vector")), np.asarray(batch.column("place")))
             yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("lang"), topic, batch.column("tokens")], [*DIMENSIONS, "tokens"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("source", "lang")}
-    named = rows.mapInArrow(run, f"source {kinds['source']}, lang {kinds['lang']}, topic string, tokens bigint")
+    named = rows.withColumn("place", lang_place()).mapInArrow(run, f"source {kinds['source']}, lang {kinds['lang']}, topic string, tokens bigint")
     return named.groupBy(*(_cell(name).alias(name) for name in DIMENSIONS)).agg(F.sum("tokens").alias("tokens"))
 
 
@@ -247,7 +301,7 @@ def weights(table: DataFrame, targets: dict, driver_cells: int = 100_000, rounds
 def calibrated(documents: DataFrame, targets: dict | None = None, seed: int = 0, topics: int = 8, **options) -> DataFrame:
     """Adds to ``documents`` its ``topic``, ``tokens``, ``probability`` to be sampled, and ``sampled``; columns of these names are replaced.
 
-    Topics are clusters of all texts by their words (see ``learn_topics``).  Cells are all combinations of ``source``, ``lang`` and topic.
+    Topics are clusters of all texts by their words, beyond what their language has (see ``Topics``).  Cells are all combinations of ``source``, ``lang`` and topic.
     Raking gives each a weight such that weighted tokens have the target shares of every dimension; the probability is the weight over the largest, so that expected
     tokens have those shares, too.  Whether a document is sampled is a hash of seed, id and text against it: it
     holds however often a task runs, and repeated rows share their fate.  Null values are a cell's value like any
