@@ -217,7 +217,10 @@ def test_files(spark, tmp_path):
     for name, body in (("a", {"paper_id": "A", "claims": ["c"]}), ("b", {"paper_id": "B", "_cache_version": 2}), ("c", {"paper_id": "C", "_cache_version": 1})):
         (tmp_path / "x" / f"{name}.json").write_text(json.dumps(body))
     (tmp_path / "x" / "d.json").write_text("{broken")
-    assert {r["paper_id"] for r in files.extractions(spark, str(tmp_path / "x")).collect()} == {"A", "B"}
+    kept = files.extractions(spark, str(tmp_path / "x"))
+    assert {r["paper_id"] for r in kept.collect()} == {"A", "B"}
+    files.write_extractions(kept.repartition(1), str(tmp_path / "y"))
+    assert files.extractions(spark, str(tmp_path / "y")).orderBy("paper_id").collect() == kept.orderBy("paper_id").collect()
     (tmp_path / "p").mkdir()
     with tarfile.open(tmp_path / "p" / "A.tar.gz", "w:gz") as tar:
         for name, body in (("long.tex", b"x" * 99), ("main.tex", b"\\bibitem{a} One"), ("r.bbl", b"\\bibitem{a} Two, \\emph{T}")):

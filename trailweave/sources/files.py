@@ -41,13 +41,15 @@ def reference_titles(find_cite: F.Column) -> F.Column:
 
 def extractions(spark: SparkSession, path: str) -> DataFrame:
     """Cached extractions of the current version, or without any; files that can't be read are left out."""
-    found = spark.read.schema(_EXTRACTION).json(path, multiLine=True, columnNameOfCorruptRecord="_corrupt")
+    found = spark.read.schema(_EXTRACTION).json(path, multiLine=True, columnNameOfCorruptRecord="_corrupt", recursiveFileLookup=True)
     kept = found.where(F.col("_corrupt").isNull() & F.col("paper_id").isNotNull() & (F.col("_cache_version").isNull() | (F.col("_cache_version") == CACHE_VERSION)))
     return kept.drop("_corrupt", "_cache_version")
 
 
 def write_extractions(found: DataFrame, path: str) -> None:
-    found.withColumn("_cache_version", F.lit(CACHE_VERSION)).write.mode("overwrite").json(path)
+    """A JSON file of the current version for each extraction, in a folder by its paper's id."""
+    rows = found.withColumn("_cache_version", F.lit(CACHE_VERSION))
+    rows.select(F.col("paper_id").alias("paper"), F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").partitionBy("paper").text(path)
 
 
 def paper_files(spark: SparkSession, path: str) -> DataFrame:
