@@ -20,6 +20,8 @@ def test_strip_latex(spark):
         r"\textbf{\emph{x}} y": "x y",
         r"see \cite[p. 3]{use}~now": "see use now",
         r"\newline its {own} \LaTeX": "its own",
+        r"\newline\section*{S}": "S",
+        r"\a\b{q}\c": "q",
         r"\section*{One} 50\% \& more": r"One 50\% \& more",
         r"\x[1] y": "y",
         "": "",
@@ -30,7 +32,9 @@ def test_strip_latex(spark):
 
 def test_numbered_references(spark):
     block = "before \\bibitem{z} no\\begin{thebibliography}{9}\n\\bibitem{a} One, \\emph{T}.\n\\bibitem[X]{b}\n Two.\n\\bibitem{c}\n \\bibitem{d} Four\\end{thebibliography} after"
-    assert values(spark, T.numbered_references, [block, "\\bibitem{a} A\\bibitem{b} B", "none"]) == [["One, T.", "Two.", "Four"], ["A", "B"], []]
+    assert values(spark, T.numbered_references, [block, "\\bibitem{a} A\\bibitem{b} B", "none"]) == [["One, T.", "Two.", "Fourthebibliography"], ["A", "B"], []]
+    ends = ["\\begin{thebibliography}\\bibitem{a} A\\bibitem{b} \n\\end{thebibliography}\\bibitem{c} C", "\\end{thebibliography}\\bibitem{a} A"]
+    assert values(spark, T.numbered_references, ends) == [["A", "thebibliography"], ["A"]]
     assert values(spark, lambda x: T.numbered_references(x, 1), ["\\bibitem{a} A\\bibitem{b} B"]) == [["A"]]
 
 

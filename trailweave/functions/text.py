@@ -69,7 +69,11 @@ def _without_command(piece: Column) -> Column:
 
 
 def strip_latex(text: Column) -> Column:
-    """Lines of comment and commands out, contents of arguments kept, braces and ties as spaces."""
+    """Lines of comment and commands out, contents of arguments kept, braces and ties as spaces.
+
+    A command's argument is kept, too, where another command comes directly before it; rules that take commands out
+    one kind after the other lose it there, as they read ``\\newline\\section{S}`` as one long name ``\\newlineS``.
+    """
     lines = F.filter(F.split(text, "\n"), lambda x: ~x.startswith("%"))
     pieces = F.split(F.array_join(lines, "\n"), r"\\")
     first, others = F.element_at(pieces, 1), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
@@ -77,10 +81,14 @@ def strip_latex(text: Column) -> Column:
 
 
 def numbered_references(latex: Column, most: int = 200) -> Column:
-    """Entries of a bibliography in order, without empty ones, stripped of commands."""
+    """Entries of a bibliography in order, without empty ones, stripped of commands.
+
+    The bibliography's closing mark belongs to its last entry, which so ends in ``thebibliography``, and is that alone
+    if nothing else is there; without both marks, the whole text is taken.
+    """
     begin, end = "\\begin{thebibliography}", "\\end{thebibliography}"
     inside = _after(latex, begin)
-    block = F.when(latex.contains(begin) & inside.contains(end), F.substring_index(inside, end, 1)).otherwise(latex)
+    block = F.when(latex.contains(begin) & inside.contains(end), F.concat(F.substring_index(inside, end, 1), F.lit(end))).otherwise(latex)
     parts = F.split(block, r"\\bibitem(?=[\[{])")
     entries = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: _after(_without_option(x), "}"))
     return F.transform(F.slice(F.filter(entries, lambda x: squeezed(x) != ""), 1, most), strip_latex)

@@ -38,9 +38,11 @@ def title_match_key(spark, d):
     return _table(spark, d, "part").select("p_partkey", T.title_match_key(F.concat_ws(" - ", "p_brand", "p_name")).alias("key"))
 
 
-@R.add("strip_latex", "SELECT p_partkey, 'On ' || p_name || ' and its use' AS title FROM part")
+@R.add("strip_latex", "SELECT p_partkey, 'On ' || p_name || ' and its use' || CASE p_size % 3 WHEN 0 THEN ' S ' || p_brand WHEN 1 THEN ' q' ELSE '' END AS title FROM part")
 def strip_latex(spark, d):
     raw = F.concat(F.lit("% note\n\\textbf{On} \\emph{"), "p_name", F.lit("}~{and}\\newline its   \\cite[p. 3]{use}"))
+    direct = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("\\newline\\section*{S} "), "p_brand")).when(F.col("p_size") % 3 == 1, "\\a\\b{q}").otherwise("\\par\\newpage")
+    raw = F.concat(raw, direct)
     return _table(spark, d, "part").select("p_partkey", T.strip_latex(raw).alias("title"))
 
 

@@ -133,11 +133,13 @@ def title_match_s2(spark, d):
     return files.matched_titles(asked, hit.unionAll(miss))
 
 
-@R.add("reference_number_join", "SELECT 'P' || p_partkey AS paper_id, CAST(1 + p_partkey % 3 AS INTEGER) AS number, CASE p_partkey % 3 WHEN 0 THEN 'A. One, ' || p_name WHEN 1 THEN 'B. Two, ' || p_brand ELSE 'thebibliography' END AS entry FROM part")
+@R.add("reference_number_join", """SELECT 'P' || p_partkey AS paper_id, CAST(1 + p_partkey % 4 AS INTEGER) AS number, CASE p_partkey % 4 WHEN 0 THEN 'A. One, ' || p_name WHEN 1 THEN 'B. Two, ' || p_brand
+WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 'thebibliography' ELSE 'C. Three, ' || p_type || '. thebibliography' END END AS entry FROM part""")
 def reference_number_join(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
-    bbl = F.concat(F.lit("\\begin{thebibliography}{9}\n\\bibitem{a} A. One, \\emph{"), "p_name", F.lit("}\n\\bibitem[x]{b} B. Two,~"), "p_brand", F.lit("\n\\bibitem{c}  \n\\end{thebibliography}"))
-    refs = part.select(F.concat(F.lit("P"), "p_partkey").alias("paper_id"), (1 + F.col("p_partkey") % 3).cast("int").alias("number"), T.numbered_references(bbl).alias("refs"))
+    last = F.when(F.col("p_size") % 2 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" C. Three, "), "p_type", F.lit(".")))
+    bbl = F.concat(F.lit("\\begin{thebibliography}{9}\n\\bibitem{a} A. One, \\emph{"), "p_name", F.lit("}\n\\bibitem[x]{b} B. Two,~"), "p_brand", F.lit("\n\\bibitem{c}"), last, F.lit("\n\\end{thebibliography} after"))
+    refs = part.select(F.concat(F.lit("P"), "p_partkey").alias("paper_id"), (1 + F.col("p_partkey") % 4).cast("int").alias("number"), T.numbered_references(bbl).alias("refs"))
     return refs.select("paper_id", "number", F.get("refs", F.col("number") - 1).alias("entry"))
 
 
