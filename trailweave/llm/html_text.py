@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 from html import unescape
 
 import pyarrow as pa
@@ -42,11 +42,10 @@ IMPLIED_END = {
 IN_HEAD = frozenset("base link meta script style template title noscript head html".split())
 SCOPE = frozenset("table td th caption html template button object".split())
 
-_TOKEN = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.DOTALL,
-)
+_ASIDE = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.DOTALL)  # comments and declarations
+_END = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)")
+_OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME_ENDS, _MARKS = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -139,25 +138,77 @@ class Open:
 UNBOUND = frozenset("table tr tbody thead tfoot html body".split())
 
 
+class Tags:
+    """Where start tags of a page end: quotes hide what is in them.  Tags without an end are told without reading on to the page's end for each."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.ends: dict[int, int | None] = {}  # by the mark that comes next, past the tag's ``>``
+        self.name = (0, -1)  # where an end of a name was looked for, and found
+
+    @cached_property
+    def marks(self) -> list[int]:
+        return [m.start() for m in _MARKS.finditer(self.html)]
+
+    @cached_property
+    def quotes(self) -> dict[str, list[int]]:
+        return {q: [p for p in self.marks if self.html[p] == q] for q in "\"'"}
+
+    def start_tag(self, at: int) -> tuple[int, int] | None:
+        """Past a start tag's name, and past its ``>``; null if it has none."""
+        if not self.name[0] <= at < self.name[1]:
+            m = _NAME_ENDS.search(self.html, at)
+            self.name = (at, m.start() if m else len(self.html))
+        name_end, passed = self.name[1], []
+        k = bisect_left(self.marks, name_end)
+        while k < len(self.marks) and k not in self.ends:
+            passed.append(k)
+            mark = self.marks[k]
+            if self.html[mark] == ">":
+                self.ends[k] = mark + 1
+                break
+            same = self.quotes[self.html[mark]]
+            other = bisect_left(same, mark + 1)
+            k = bisect_left(self.marks, same[other] + 1) if other < len(same) else len(self.marks)
+        end = self.ends.get(k)
+        for p in passed:
+            self.ends[p] = end  # tags that come to one mark end alike
+        return None if end is None else (name_end, end)
+
+
 def parse(html: str) -> Node:
-    """The page's tree.  What a start tag ends by implication is closed first; end tags without a start are ignored, but for ``br`` and ``p``, which stand for an empty element."""
+    """The page's tree.  What a start tag ends by implication is closed first; end tags without a start are ignored, but for ``br`` and ``p``, which stand for an empty element.  A start tag without ``>`` is text."""
     root = Node("html")
     tree = Open(root)
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue  # within an element whose content is raw
-        if m.start() > at:
-            text = html[at : m.start()]
+    tags = Tags(html)
+    at = here = 0  # text begins, and the next tag is looked for
+    while opened := _OPEN.search(html, here):
+        begin = opened.start()
+        start, end, attrs = "", "", ""
+        if html[begin + 1] in "!?":
+            stop = _ASIDE.match(html, begin).end()
+        elif html[begin + 1] == "/":
+            m = _END.match(html, begin)
+            stop, end = (m.end(), m[1]) if m else (None, "")
+        else:
+            found = tags.start_tag(begin)
+            stop = found and found[1]
+            if found:
+                start, attrs = html[begin + 1 : found[0]], html[found[0] : found[1] - 1]
+        if stop is None:
+            here = begin + 1
+            continue
+        if begin > at:
+            text = html[at:begin]
             if tree.places.get("head") and text.strip():
                 tree.close({"head"}, set())
             tree.stack[-1].children.append(text)
-        at = m.end()
-        if end := m["end"]:
+        at = here = stop
+        if end:
             tag = end.lower()
             if tag == "br" or not tree.end(tag) and tag == "p":
                 tree.stack[-1].children.append(Node(tag))
-        elif start := m["start"]:
+        elif start:
             tag = start.lower()
             if tree.places.get("head") and tag not in IN_HEAD:
                 tree.close({"head"}, set())
@@ -169,14 +220,14 @@ def parse(html: str) -> Node:
                 continue
             if tag in ("td", "th") and tree.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 tree.push(Node("tr"))
-            node = Node(tag, m["attrs"])
+            node = Node(tag, attrs)
             if tag in VOID:
                 tree.stack[-1].children.append(node)
             elif tag in RAW:
                 tree.stack[-1].children.append(node)
                 stop = _raw_end(tag).search(html, at)
                 node.children.append(html[at : stop.start()])
-                at = stop.end()
+                at = here = stop.end()
             else:
                 tree.push(node)
     if at < len(html):
