@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from bisect import bisect_right
@@ -52,6 +53,10 @@ class Structures:
             at = self.data.find(mark, at + 1)
         return found
 
+    @cached_property
+    def chunks(self) -> Chunks:
+        return Chunks(self.data)
+
     @cached_property
     def zip_ends(self) -> list[int]:
         return self.places(b"PK\x05\x06")
@@ -85,18 +90,51 @@ class Structures:
         return outcome
 
 
+class Chunks:
+    """Chains of RIFF chunks that may meet: for each chunk the next one, one further on (so that any later one is found in few steps), and the first ``data`` and ``fmt `` from it on."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.known: dict[int, tuple[int, int, int, float, float]] = {}  # next, how many follow, further on, data, fmt
+
+    def _walk(self, at: int) -> None:
+        passed = []
+        while at not in self.known:
+            passed.append(at)
+            if at + 8 > len(self.data):
+                self.known[at] = (at, 0, at, math.inf, math.inf)
+                break
+            size = struct.unpack_from("<I", self.data, at + 4)[0]
+            at += 8 + size + size % 2
+        for p in reversed(passed):
+            if p in self.known:
+                continue
+            size, name = struct.unpack_from("<I", self.data, p + 4)[0], self.data[p : p + 4]
+            after = p + 8 + size + size % 2
+            _, more, far, data, fmt = self.known[after]
+            _, far_more, farther, _, _ = self.known[far]
+            jump = farther if more - far_more == far_more - self.known[farther][1] else after
+            self.known[p] = (after, more + 1, jump, p if name == b"data" else data, p if name == b"fmt " else fmt)
+
+    def fills(self, at: int, end: int) -> bool:
+        """Whether the chunks from ``at`` come to ``end``, a ``fmt `` among them before the first ``data``."""
+        self._walk(at)
+        _, _, _, data, fmt = self.known[at]
+        while at < end:
+            after, more, jump, _, _ = self.known[at]
+            if not more:
+                return False
+            at = jump if jump <= end else after
+        return at == end and fmt < data < end
+
+
 def wav_length(found: Structures, at: int) -> int | None:
     """RIFF/WAVE: a format chunk before the data chunk, and chunks that fill the length the header gives."""
     data = found.data
     if len(data) < at + 12 or data[at + 8 : at + 12] != b"WAVE":
         return None
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
-    seen, p = [], at + 12
-    while p + 8 <= end <= len(data):
-        name, size = data[p : p + 4], struct.unpack_from("<I", data, p + 4)[0]
-        seen.append(name)
-        p += 8 + size + size % 2
-    return end - at if p == end and b"data" in seen and b"fmt " in seen[: seen.index(b"data")] else None
+    return end - at if end <= len(data) and found.chunks.fills(at + 12, end) else None
 
 
 def png_length(found: Structures, at: int) -> int | None:
