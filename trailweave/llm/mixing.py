@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,16 +61,25 @@ def described(documents: DataFrame) -> DataFrame:
     return documents.select("source", "lang", "text").mapInArrow(run, f"source {kinds['source']}, lang {kinds['lang']}, tokens bigint, vector binary")
 
 
-LANGS = 64  # means that vectors are taken from: languages by hash
+def _lang(column: pa.Array) -> pa.Array:
+    return pc.fill_null(column.cast(pa.string()), "")
 
 
-def lang_means(rows: DataFrame) -> np.ndarray:
-    """The mean vector of each language's texts, as whole numbers; languages share ``LANGS`` places by hash."""
+def languages_of(rows: DataFrame, most: int) -> list[str]:
+    """All languages in order, null as an empty one; more than ``most`` are an error, as each has a mean vector of its own."""
+    found = rows.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} languages")
+    return sorted(r["lang"] for r in found)
+
+
+def lang_means(rows: DataFrame, langs: list[str]) -> np.ndarray:
+    """The mean vector of each language's texts, as whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((LANGS, WIDTH + 1))
+        sums = np.zeros((len(langs), WIDTH + 1))
         for batch in batches:
-            vectors, place = _vectors_of(batch.column("vector")), np.asarray(batch.column("place"))
+            vectors, place = _vectors_of(batch.column("vector")), np.asarray(pc.index_in(_lang(batch.column("lang")), pa.array(langs, pa.string())))
             some = vectors.any(axis=1)
             for k in np.unique(place[some]):
                 own = vectors[some & (place == k)]
@@ -78,29 +88,27 @@ def lang_means(rows: DataFrame) -> np.ndarray:
         number = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(sums.ravel()[number].astype(np.int64))], ["at", "n"])
 
-    found = rows.select("vector", lang_place()).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    sums = np.zeros(LANGS * (WIDTH + 1))
+    found = rows.select("vector", "lang").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    sums = np.zeros(len(langs) * (WIDTH + 1))
     sums[[r["at"] for r in found]] = [float(r["n"]) for r in found]
-    sums = sums.reshape(LANGS, -1)
+    sums = sums.reshape(len(langs), -1)
     return np.rint(sums[:, :-1] / np.maximum(sums[:, -1:], 1))
 
 
-def lang_place() -> F.Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit(""))), F.lit(LANGS)).alias("place")
-
-
 @dataclass
 class Topics:
     """Clusters of texts by what their words have beyond their language's: else topics would be languages, whose shares are given apart."""
 
+    langs: list[str]
     means: np.ndarray
     centres: np.ndarray
 
-    def beyond(self, vectors: np.ndarray, place: np.ndarray) -> np.ndarray:
+    def beyond(self, vectors: np.ndarray, lang: pa.Array) -> np.ndarray:
+        place = np.asarray(pc.index_in(_lang(lang), pa.array(self.langs, pa.string())))
         return np.where(vectors.any(axis=1)[:, None], vectors - self.means[place], 0.0)
 
-    def names(self, vectors: np.ndarray, place: np.ndarray) -> pa.Array:
-        at = nearest(self.beyond(vectors, place), self.centres)
+    def names(self, vectors: np.ndarray, lang: pa.Array) -> pa.Array:
+        at = nearest(self.beyond(vectors, lang), self.centres)
         return pa.array([f"topic {k}" if k >= 0 else NO_TOPIC for k in np.where(vectors.any(axis=1), np.maximum(at, 0), -1).tolist()], pa.string())
 
 
@@ -130,24 +138,25 @@ def _clustered(some: np.ndarray, topics: int, starts: int = 16, rounds: int = 10
     return centres
 
 
-def learn_topics(rows: DataFrame, topics: int = 8, rounds: int = 6, seeds: int = 256) -> Topics:
+def learn_topics(rows: DataFrame, topics: int = 8, rounds: int = 6, seeds: int = 256, most_langs: int = 1000) -> Topics:
     """``topics`` clusters of all vectors (spherical k-means): each round adds up, in Spark, the vectors nearest to each centre.
 
     It starts from the best of some clusterings of ``seeds`` vectors, the ones with the least hashes.
     """
-    words = rows.where(F.col("vector") != F.lit(bytes(WIDTH))).select("vector", lang_place())
-    first = words.withColumn("lot", F.xxhash64("vector", "place")).distinct().orderBy("lot", "vector", "place").limit(seeds).select("vector", "place").toArrow()
-    found = Topics(lang_means(rows), np.zeros((0, WIDTH)))
+    words = rows.where(F.col("vector") != F.lit(bytes(WIDTH))).select("vector", "lang")
+    first = words.withColumn("lot", F.xxhash64("vector", "lang")).distinct().orderBy("lot", "vector", "lang").limit(seeds).select("vector", "lang").toArrow()
+    langs = languages_of(rows, most_langs)
+    found = Topics(langs, lang_means(rows, langs), np.zeros((0, WIDTH)))
     if not first.num_rows:
         return found
-    found.centres = _clustered(found.beyond(_vectors_of(first.column("vector").combine_chunks()), np.asarray(first.column("place").combine_chunks())), topics)
+    found.centres = _clustered(found.beyond(_vectors_of(first.column("vector").combine_chunks()), first.column("lang").combine_chunks()), topics)
     for _ in range(rounds):
         held = rows.sparkSession.sparkContext.broadcast(found)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(held.value.centres.shape)
             for batch in batches:
-                vectors = held.value.beyond(_vectors_of(batch.column("vector")), np.asarray(batch.column("place")))
+                vectors = held.value.beyond(_vectors_of(batch.column("vector")), batch.column("lang"))
                 at = nearest(vectors, held.value.centres)
                 for k in np.unique(at[at >= 0]):
                     sums[k] += vectors[at == k].sum(axis=0)
@@ -160,7 +169,7 @@ def learn_topics(rows: DataFrame, topics: int = 8, rounds: int = 6, seeds: int =
         after = _centres(sums.reshape(found.centres.shape))
         if (after == found.centres).all():
             break
-        found = Topics(found.means, after)
+        found = Topics(langs, found.means, after)
     return found
 
 
@@ -168,17 +177,17 @@ def with_topics(documents: DataFrame, found: Topics, topic: str, tokens: str) ->
     """Adds to ``documents`` each text's topic and number of tokens, under these names."""
     held = documents.sparkSession.sparkContext.broadcast(found)
     names = documents.columns
-    (place,) = free_names(documents, "place")
+    at = next(k for k, c in enumerate(names) if c.lower() == "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in pieces(batch.column("text")):
                 part = batch.slice(i, j - i)
                 vectors, n = text_vectors(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], held.value.names(vectors.astype(np.float64), np.asarray(part.column(place))), pa.array(n)], [*names, topic, tokens])
+                yield pa.RecordBatch.from_arrays([*part.columns, held.value.names(vectors.astype(np.float64), part.column(at)), pa.array(n)], [*names, topic, tokens])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.withColumn(place, lang_place()).mapInArrow(run, f"{schema}, `{topic}` string, `{tokens}` bigint")
+    return documents.mapInArrow(run, f"{schema}, `{topic}` string, `{tokens}` bigint")
 
 
 def _cell(name: str) -> F.Column:
@@ -192,11 +201,11 @@ def cells(rows: DataFrame, found: Topics) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            topic = held.value.names(_vectors_of(batch.column("vector")), np.asarray(batch.column("place")))
+            topic = held.value.names(_vectors_of(batch.column("vector")), batch.column("lang"))
             yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("lang"), topic, batch.column("tokens")], [*DIMENSIONS, "tokens"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("source", "lang")}
-    named = rows.withColumn("place", lang_place()).mapInArrow(run, f"source {kinds['source']}, lang {kinds['lang']}, topic string, tokens bigint")
+    named = rows.mapInArrow(run, f"source {kinds['source']}, lang {kinds['lang']}, topic string, tokens bigint")
     return named.groupBy(*(_cell(name).alias(name) for name in DIMENSIONS)).agg(F.sum("tokens").alias("tokens"))
 
 
@@ -301,7 +310,8 @@ def weights(table: DataFrame, targets: dict, driver_cells: int = 100_000, rounds
 def calibrated(documents: DataFrame, targets: dict | None = None, seed: int = 0, topics: int = 8, **options) -> DataFrame:
     """Adds to ``documents`` its ``topic``, ``tokens``, ``probability`` to be sampled, and ``sampled``; columns of these names are replaced.
 
-    Topics are clusters of all texts by their words, beyond what their language has (see ``Topics``).  Cells are all combinations of ``source``, ``lang`` and topic.
+    Topics are clusters of all texts by their words, beyond what their language has (see ``Topics``); more than 1000
+    languages are an error.  Cells are all combinations of ``source``, ``lang`` and topic.
     Raking gives each a weight such that weighted tokens have the target shares of every dimension; the probability is the weight over the largest, so that expected
     tokens have those shares, too.  Whether a document is sampled is a hash of seed, id and text against it: it
     holds however often a task runs, and repeated rows share their fate.  Null values are a cell's value like any
