@@ -10,7 +10,6 @@ from trailweave.functions import text as T
 from trailweave.operators import adhoc, context, crawl, documents, lookups, paths, progress, tournament, upserts
 from trailweave.sources import files
 from trailweave.sources.graph_fixture import Graph
-from trailweave.streaming import ingest
 
 EDGE = "src string, dst string, type string, src_label string, dst_label string, importance_score int, citation_type string, context string, key string"
 
@@ -236,17 +235,3 @@ def test_files(spark, tmp_path):
     assert said["A"] == "[1] Two, T\n\n\\bibitem{a} One" and said["C"] is None
     rows = spark.createDataFrame([(json.dumps({"top_references": ["a"]}),), (json.dumps({"top_references": {"title": ["b", "c"]}}),), ("{}",), (None,)], "f string")
     assert [r[0] for r in rows.select(files.reference_titles(F.col("f"))).collect()] == [["a"], ["b", "c"], [], []]
-
-
-def test_stream_restarts(spark, small, tmp_path):
-    schema = upserts.EXTRACTION
-    one = spark.createDataFrame([(1, "P1", "s", [], [("Method", "X", "d")], [], [])], schema)
-    one.write.parquet(str(tmp_path / "in"))
-    snapshots = ingest.start_snapshots(small, str(tmp_path / "tables"))
-    stream = lambda: spark.readStream.schema(one.schema).parquet(str(tmp_path / "in"))
-    ingest.ingest(stream(), snapshots, str(tmp_path / "check")).awaitTermination()
-    first = snapshots.latest(spark)
-    spark.createDataFrame([(2, "P2", "t", [], [("Method", "Y", "d")], [], [])], schema).write.mode("append").parquet(str(tmp_path / "in"))
-    ingest.ingest(stream(), snapshots, str(tmp_path / "check")).awaitTermination()
-    assert snapshots.latest(spark) > first
-    assert {r["name"] for r in snapshots.read(spark, snapshots.latest(spark), "entity").collect()} >= {"X", "Y", "Tree"}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.graph_fixture import ENTITY, PAPER, Graph, edge_key
+from ..sources.tables import written
 
 EXTRACTION = (
     "seq bigint, paper_id string, paper_summary string, claims array<string>, entities array<struct<type: string, name: string, description: string>>, "
@@ -64,9 +65,10 @@ def entities_of(extractions: DataFrame) -> DataFrame:
     return rows.withColumns({"id": T.entity_id(F.col("type"), F.col("name")), "description": F.coalesce("description", F.lit(""))})
 
 
-def resolved_relations(extractions: DataFrame) -> DataFrame:
+def resolved_relations(extractions: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """Relations with a valid type of which both ends are entities of the same extraction; of several of a name, the last."""
-    named = entities_of(extractions).groupBy("seq", "name").agg(F.max_by("id", "place").alias("id"))
+    entities = entities_of(extractions) if entities is None else entities
+    named = entities.groupBy("seq", "name").agg(F.max_by("id", "place").alias("id"))
     rows = extractions.select("seq", "paper_id", F.explode("relations").alias("r")).select("seq", "paper_id", "r.source", "r.target", T.relation_type(F.col("r.relation_type")).alias("type"))
     rows = rows.where(F.col("type").isNotNull())
     rows = rows.join(named.select("seq", F.col("name").alias("source"), F.col("id").alias("src")), ["seq", "source"])
@@ -79,38 +81,72 @@ def citations_of(extractions: DataFrame) -> DataFrame:
     return rows.withColumns({"dst": T.paper_id(F.col("title")), "context": F.coalesce("context", F.lit(""))})
 
 
+def changes(extractions: DataFrame) -> dict[str, DataFrame]:
+    """What a batch of extractions (see ``EXTRACTION``) says of each key, to be merged into what is known of it (see ``MERGES``).
+
+    ``paper``: a title, of cited papers, and ``told``, the summary and claims of the extracted ones; ``entity``; ``edge``:
+    mentions, resolved relations, and citations with their properties.  Entities and citations are written once, as
+    several parts read them.
+    """
+    order = F.struct("seq", "place")
+    entities, cites = written(entities_of(extractions)), written(citations_of(extractions))
+    told = extractions.groupBy(F.col("paper_id").alias("id")).agg(F.max_by(F.struct(F.col("paper_summary").alias("summary"), "claims"), "seq").alias("told"))
+    full = F.when(F.col("title") != "", F.col("title"))
+    cited = cites.groupBy(F.col("dst").alias("id")).agg(F.coalesce(F.min_by(full, F.when(full.isNotNull(), order)), F.max_by("title", order)).alias("title"))
+    paper = told.join(cited, "id", "full_outer").select("id", "title", "told", F.lit(None).cast("string").alias("published_date"))
+    entity = entities.groupBy("id").agg(F.max_by(F.struct("type", "name", "description"), order).alias("e")).select("id", "e.*")
+    mentions = _edge_rows(entities.select(F.col("paper_id").alias("src"), F.col("id").alias("dst")).distinct(), F.lit("MENTIONS"), PAPER, ENTITY)
+    relations = _edge_rows(resolved_relations(extractions, entities).select("src", "dst", "type").distinct(), F.col("type"), ENTITY, ENTITY)
+    props = cites.groupBy("src", "dst").agg(F.max_by(F.struct("importance_score", "citation_type", "context"), order).alias("p")).select("src", "dst", "p.*")
+    edge = mentions.unionByName(relations).unionByName(_edge_rows(props, F.lit("CITES"), PAPER, PAPER))
+    return {"paper": paper, "entity": entity, "edge": edge}
+
+
+def told_papers(paper: DataFrame) -> DataFrame:
+    """A graph's papers as ``changes`` has them: what they say counts unless something newer is told."""
+    claims = "claims" if "claims" in paper.columns else F.lit(None).cast("array<string>").alias("claims")
+    return paper.select("id", "title", F.struct("summary", claims).alias("told"), "published_date")
+
+
+def shown_papers(paper: DataFrame) -> DataFrame:
+    """The other way round: summary and claims as columns."""
+    return paper.select("id", "title", F.col("told.summary").alias("summary"), "published_date", F.col("told.claims").alias("claims"))
+
+
+def merged_papers(rows: DataFrame) -> DataFrame:
+    """The first title that isn't empty, the last summary and claims, the last date, by ``layer``."""
+    full = F.when(F.col("title") != "", F.col("layer"))
+    title = F.coalesce(F.min_by("title", full), F.max_by("title", F.when(F.col("title").isNotNull(), F.col("layer"))))
+    return rows.groupBy("id").agg(title.alias("title"), F.max_by("told", F.when(F.col("told").isNotNull(), F.col("layer"))).alias("told"), F.max_by("published_date", F.when(F.col("published_date").isNotNull(), F.col("layer"))).alias("published_date"))
+
+
+def merged_entities(rows: DataFrame) -> DataFrame:
+    """The last properties, by ``layer``."""
+    return rows.groupBy("id").agg(F.max_by(F.struct("type", "name", "description"), "layer").alias("e")).select("id", "e.*")
+
+
+def merged_edges(rows: DataFrame) -> DataFrame:
+    """Of citations the last properties, by ``layer``; of all others the first."""
+    names = [c for c in rows.columns if c not in ("key", "layer")]
+    order = F.when(F.col("type") == "CITES", F.col("layer")).otherwise(-F.col("layer"))
+    return rows.groupBy("key").agg(F.max_by(F.struct(*names), order).alias("e")).select("key", "e.*")
+
+
+MERGES = {"paper": merged_papers, "entity": merged_entities, "edge": merged_edges}
+
+
 def write_extracted(graph: Graph, extractions: DataFrame) -> Graph:
     """The graph after a batch of extractions (see ``EXTRACTION``).
 
     Papers get summary and claims, entities all properties; mentions and typed relations are added once; cited papers
-    are added, with a title where they have none; citations get the new properties.
+    are added, with a title where they have none; citations get the new properties.  The batch's changes are merged
+    into the tables as a stream's layers are (see ``changes``); some of them are written while this is called.
     """
-    order = F.struct("seq", "place")
-    paper = graph.paper if "claims" in graph.paper.columns else graph.paper.withColumn("claims", F.lit(None).cast("array<string>"))
-    told = extractions.groupBy(F.col("paper_id").alias("id")).agg(F.max_by(F.struct("paper_summary", "claims"), "seq").alias("new"))
-    cites = citations_of(extractions)
-    full = F.when(F.col("title") != "", F.col("title"))
-    cited = cites.groupBy(F.col("dst").alias("id")).agg(F.coalesce(F.min_by(full, F.when(full.isNotNull(), order)), F.max_by("title", order)).alias("cited_title"))
-    both = paper.join(told, "id", "full_outer").join(cited, "id", "full_outer")
-    new = F.col("new").isNotNull()
-    paper = both.withColumns({
-        "title": F.coalesce(F.nullif("title", F.lit("")), "cited_title", "title"),
-        "summary": F.when(new, F.col("new.paper_summary")).otherwise(F.col("summary")),
-        "claims": F.when(new, F.col("new.claims")).otherwise(F.col("claims")),
-    }).select(*paper.columns)
-
-    found = entities_of(extractions)
-    latest = found.groupBy("id").agg(F.max_by(F.struct("type", "name", "description"), order).alias("new"))
-    entity = graph.entity.join(latest, "id", "full_outer")
-    entity = entity.select("id", *(F.when(F.col("new").isNull(), F.col(c)).otherwise(F.col(f"new.{c}")).alias(c) for c in ("type", "name", "description")))
-
-    mentions = _edge_rows(found.select(F.col("paper_id").alias("src"), F.col("id").alias("dst")), F.lit("MENTIONS"), PAPER, ENTITY)
-    relations = _edge_rows(resolved_relations(extractions).select("src", "dst", "type"), F.col("type"), ENTITY, ENTITY)
-    edge = _new_edges(graph.edge, mentions.unionByName(relations))
-    props = cites.groupBy("src", "dst").agg(F.max_by(F.struct("importance_score", "citation_type", "context"), order).alias("new")).select("src", "dst", "new.*")
-    props = _edge_rows(props, F.lit("CITES"), PAPER, PAPER)
-    edge = edge.join(props.select("key"), "key", "left_anti").unionByName(props.select(*graph.edge.columns))
-    return replace(graph, paper=paper, entity=entity, edge=edge.select(*graph.edge.columns))
+    new = changes(extractions)
+    old = {"paper": told_papers(graph.paper), "entity": graph.entity, "edge": graph.edge}
+    both = {name: MERGES[name](old[name].withColumn("layer", F.lit(0)).unionByName(new[name].withColumn("layer", F.lit(1)))) for name in new}
+    paper = shown_papers(both["paper"]).select(*graph.paper.columns, *(["claims"] if "claims" not in graph.paper.columns else []))
+    return replace(graph, paper=paper, entity=both["entity"].select("id", "type", "name", "description"), edge=both["edge"].select(*graph.edge.columns))
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:

@@ -11,8 +11,8 @@ from ..operators import documents as D
 from ..operators import lookups as L
 from ..operators import progress as G
 from ..sources import graph_fixture
-from ..sources.tables import shared_dir
-from ..streaming import ingest
+from ..sources.tables import shared_dir, written
+from ..streaming import ingest, status
 from ._registry import Registry
 from .write_queries import LINES, extractions
 
@@ -49,9 +49,8 @@ def progress_stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/[e]vents.parquet")
-    snapshots = ingest.Snapshots(f"{path}/tables")
-    ingest.track_progress(ingest.updates_of(events), snapshots, f"{path}/checkpoint").awaitTermination()
-    return G.current(_registered(spark, d), snapshots.read(spark, snapshots.latest(spark), "state"))
+    status.track(ingest.updates_of(events), path).awaitTermination()
+    return G.current(_registered(spark, d), status.state(spark, path, times=schema["ts"].dataType.simpleString()))
 
 
 @R.add("progress_summary", f"""WITH {PROGRESS} SELECT source, count(*) AS total_known, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'not_found') AS not_found,
@@ -89,7 +88,7 @@ crawl AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3
 
 def _top(spark, d):
     cited = L.citations_ranked(graph_fixture.load(spark, d)).select(F.col("paper_id").alias("src"), F.col("cited_id").alias("dst"), "importance")
-    return K.top_citations(cited, 3)
+    return written(K.top_citations(cited, 3))  # each level of a crawl reads it
 
 
 @R.add("crawl_bfs", f"WITH {_TOP} SELECT id, depth, importance FROM crawl")
@@ -176,13 +175,38 @@ def export_json(spark, d):
     return found.select("id", "number", F.get_json_object("json", "$.seq").cast("bigint").alias("seq"))
 
 
+def _items(spark, d, text):
+    """A stream of files with an extraction's text for each order."""
+    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    found = extractions(spark, d).select("seq", text.alias("value"), F.lit(None).cast("string").alias("paper_id"), F.lit(None).cast("string").alias("published_date"))
+    found.write.parquet(f"{path}/items")
+    return path, spark.readStream.schema(ingest.ITEM).option("maxFilesPerTrigger", 4).parquet(f"{path}/items")
+
+
+def _ingested(spark, d, text):
+    path, stream = _items(spark, d, text)
+    layers = ingest.start_layers(graph_fixture.load(spark, d), f"{path}/tables")
+    writer = ingest.BufferedWriter(layers, extractions=20_000, seconds=60)
+    ingest.ingest(stream, writer, f"{path}/checkpoint").awaitTermination()
+    writer.close()
+    return layers
+
+
+def _text():
+    return F.to_json(F.struct("paper_id", "paper_summary", "claims", "entities", "relations", "cited_papers"))
+
+
 @R.add("ingest_pipeline", f"""WITH {GRAPH}, {LINES} SELECT key FROM edge UNION ALL SELECT DISTINCT paper_id || '>MENTIONS>' || id FROM ents UNION ALL SELECT DISTINCT src || '>USES>' || dst FROM resolved UNION ALL SELECT DISTINCT paper_id || '>CITES>' || cited FROM ents""")
 def ingest_pipeline(spark, d):
-    """Extractions as a stream of files into the graph's snapshots."""
-    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    found = extractions(spark, d)
-    found.write.parquet(f"{path}/extractions")
-    snapshots = ingest.start_snapshots(graph_fixture.load(spark, d), f"{path}/tables")
-    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/extractions")
-    ingest.ingest(stream, snapshots, f"{path}/checkpoint").awaitTermination()
-    return snapshots.read(spark, snapshots.latest(spark), "edge").select("key")
+    """Extractions as a stream of files into the graph's layers."""
+    return _ingested(spark, d, _text()).read("edge").select("key")
+
+
+@R.add("ingest_outcomes", """SELECT CASE WHEN k < 5 THEN 'failed' ELSE 'completed' END AS status, CASE k WHEN 0 THEN 'not JSON' WHEN 1 THEN 'cited_papers: a wrong value' WHEN 2 THEN 'claims: not a list' WHEN 3 THEN 'paper_summary: missing' WHEN 4 THEN 'not an object' END AS cause, count(*) AS n
+FROM (SELECT least(o_orderkey % 9, 5) AS k FROM orders SEMI JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY ALL""")
+def ingest_outcomes(spark, d):
+    """As ``ingest_pipeline``, with wrong extractions among the others: how many were ingested, and failed by cause."""
+    k, whole = F.col("seq") % 9, _text()
+    text = F.when(k == 0, F.concat(F.lit("{"), whole)).when(k == 1, F.replace(whole, F.lit('"importance_score":'), F.lit('"importance_score":7'))).when(k == 2, F.to_json(F.struct("paper_id", "paper_summary", F.lit("x").alias("claims"))))
+    text = text.when(k == 3, F.to_json(F.struct("paper_id", "claims", "entities"))).when(k == 4, F.lit("[1]")).otherwise(whole)
+    return ingest.outcomes(_ingested(spark, d, text))
