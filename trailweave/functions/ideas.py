@@ -92,7 +92,7 @@ def title_from_idea(text: Column) -> Column:
     named = lambda x: F.startswith(F.lower(x), F.lit("title:"))
     marked = F.filter(lines, lambda x: named(x) | _begins(x, ("# ", "## ")))
     first = F.get(marked, F.lit(0))
-    title = stripped(F.when(named(first), F.substring(first, 7, 10**6)).otherwise(F.ltrim(first, F.lit("#"))))
+    title = stripped(F.when(named(first), F.substring(first, F.lit(7), F.length(first))).otherwise(F.ltrim(first, F.lit("#"))))
     short = F.get(F.filter(lines, lambda x: F.length(x) < 200), F.lit(0))
     return F.coalesce(title, F.substring(short, 1, 100), F.lit(NO_TITLE))
 

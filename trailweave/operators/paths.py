@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +34,14 @@ def both_ways(edge: DataFrame) -> DataFrame:
     return edge.unionByName(back.select(*edge.columns))
 
 
-def expand(edge: DataFrame, start: str, k: int, label: str = "Paper", return_to_start: bool = False) -> DataFrame:
+def expand(edge: DataFrame, start: str, k: int, label: str = "Paper", return_to_start: bool = False, keep: Callable[[DataFrame, int], DataFrame] | None = None, store: bool = True) -> DataFrame:
     """All directed paths of 1 to ``k`` hops from ``start`` that use no relationship twice.
 
     Columns: node, node_label, hops, route (node ids), labels, keys (of relationships), rels (type, importance,
     citation type and context of each), weight (sum of ``edge_weight``).  Unless ``return_to_start``, no path comes back
     to its first node.  Each hop is an equi-join on a node id; which paths to drop is decided hop by hop, and only ids
-    and what scores need is carried along.  Paths of 2 hops and more that go on are written, so that none is found twice.
+    and what scores need is carried along.  Paths of 2 hops and more that go on are written while this is called, so that
+    none is found twice, unless ``store`` is False.  ``keep`` may drop paths of each hop, given how many hops are left.
     """
     rel = F.struct(F.col("type"), F.col("importance_score").alias("importance"), F.col("citation_type").alias("citation"), F.col("context"))
     hop = edge.select("src", "dst", "dst_label", "key", rel.alias("rel"), edge_weight(F.col("type"), F.col("importance_score"), F.col("citation_type")).alias("w"))
@@ -51,14 +54,18 @@ def expand(edge: DataFrame, start: str, k: int, label: str = "Paper", return_to_
         F.array("key").alias("keys"), F.array("rel").alias("rels"), F.col("w").alias("weight"),
     )
     levels = [level]
-    for _ in range(k - 1):
+    for left in range(k - 1, -1, -1):
+        if keep:
+            levels[-1] = keep(levels[-1], left)
+        if 2 <= len(levels) < k and store:  # read by the next hop and with the rest
+            levels[-1] = written(levels[-1])
+        if not left:
+            break
         met = levels[-1].join(hop, F.col("node") == F.col("src")).where(~F.array_contains("keys", F.col("key")))
         levels.append(met.select(
             F.col("dst").alias("node"), F.col("dst_label").alias("node_label"), (F.col("hops") + 1).alias("hops"), F.array_append("route", F.col("dst")).alias("route"), F.array_append("labels", F.col("dst_label")).alias("labels"),
             F.array_append("keys", F.col("key")).alias("keys"), F.array_append("rels", F.col("rel")).alias("rels"), (F.col("weight") + F.col("w")).alias("weight"),
         ))
-        if 2 <= len(levels) < k:  # read by the next hop and with the rest
-            levels[-1] = written(levels[-1])
     out = levels[0]
     for more in levels[1:]:
         out = out.unionAll(more)
@@ -145,6 +152,53 @@ def ranked(paths: DataFrame, order: list[F.Column], top: int | None = None) -> D
     return paths.orderBy(*order).limit(max(top, 0)).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def bounds(edge: DataFrame, k: int) -> list[DataFrame]:
+    """For 1 to ``k`` hops left, the most that they can add to the score of a path that ends in a ``node``: ``more``; 0 of nodes that aren't there.
+
+    One backward pass over the relationships for each hop, which ignores that paths use none twice; so no path gets more.
+    """
+    hop = edge.select("src", "dst", (edge_weight(F.col("type"), F.col("importance_score"), F.col("citation_type")) + PER_HOP).alias("w"))
+    out: list[DataFrame] = []
+    for _ in range(k):
+        rows = hop
+        if out:
+            rows = hop.join(out[-1].select(F.col("node").alias("dst"), "more"), "dst", "left").withColumn("w", F.col("w") + F.coalesce("more", F.lit(0.0)))
+        out.append(rows.where("w > 0").groupBy(F.col("src").alias("node")).agg(F.max("w").alias("more")))
+        if len(out) < k:
+            out[-1] = written(out[-1])
+    return out
+
+
+def best(edge: DataFrame, start: str, k: int, top: int, label: str = "Paper", keep: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """The ``top`` candidates by ``rank_order`` with their ``rank``, by branch and bound: as ranking all paths, without finding most of them.
+
+    A first search goes on with the most promising paths of each hop alone, by what they have and can get (see
+    ``bounds``); the last of its ``top`` best scores is a floor.  The whole search drops paths at each hop that can't
+    reach it.  ``keep`` is called with what is left of each hop of that search (and may count it).
+    """
+    if top < 1:
+        return ranked(candidates(expand(edge, start, k, label)), rank_order(), top)
+    more = [None, *bounds(edge, k - 1)]
+    score = BASE + F.col("weight") + PER_HOP * F.col("hops")
+
+    def hopeful(level: DataFrame, left: int) -> DataFrame:
+        found = level.join(more[left], "node", "left") if left else level.withColumn("more", F.lit(0.0))
+        return found.withColumn("hope", score + F.coalesce("more", F.lit(0.0)))
+
+    def promising(level: DataFrame, left: int) -> DataFrame:
+        return hopeful(level, left).orderBy(F.desc("hope"), F.array_join("keys", "|")).limit(2 * top).select(*level.columns)
+
+    first = candidates(expand(edge, start, k, label, keep=promising)).select("score").orderBy(F.desc("score")).limit(top)
+    floor = first.agg(F.count("*"), F.min("score")).first()
+    least = floor[1] if floor[0] == top else None
+
+    def reaching(level: DataFrame, left: int) -> DataFrame:
+        found = level if least is None else hopeful(level, left).where(F.col("hope") >= least).select(*level.columns)
+        return keep(found, left) if keep else found
+
+    return ranked(candidates(expand(edge, start, k, label, keep=reaching)), rank_order(), top)
+
+
 def totals(paths: DataFrame) -> DataFrame:
     """One row: paths of each class, distinct nodes, and edges (with repeats) of all paths."""
     nodes = paths.select(F.explode("route").alias("id")).agg(F.countDistinct("id").alias("total_nodes"))
@@ -165,5 +219,8 @@ def within_edge_budget(paths: DataFrame, order: list[F.Column], max_edges: int |
 def k_hop(edge: DataFrame, start: str, k: int, max_paths: int | None = None, max_edges: int | None = None) -> DataFrame:
     """Paths that may come back to the start, shortest first, up to ``max_paths`` (1000) and ``max_edges``; their score is 0."""
     order = [F.asc("hops"), F.asc(F.array_join("keys", "|"))]
-    found = expand(edge, start, k, return_to_start=True).orderBy(*order).limit(1000 if max_paths is None else max_paths)
-    return within_edge_budget(found.withColumn("score", F.lit(0.0)), order, max_edges)
+    found = expand(edge, start, k, return_to_start=True).orderBy(*order).limit(1000 if max_paths is None else max_paths).withColumn("score", F.lit(0.0))
+    if max_edges is None:
+        return found
+    used = F.sum("hops").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of as many rows as the limit allows
+    return found.withColumn("edges_used", used).where(F.col("edges_used") <= max_edges)

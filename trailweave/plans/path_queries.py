@@ -89,7 +89,7 @@ def path_score(spark, d):
 @R.add("path_totals", walk() + """SELECT count(*) AS total_paths, count(*) FILTER (WHERE is_paper) AS total_paper_paths, count(*) FILTER (WHERE NOT is_paper) AS total_entity_paths,
 CAST(sum(hops) AS BIGINT) AS total_edges, (SELECT count(DISTINCT id) FROM (SELECT unnest(route) AS id FROM ranked)) AS total_nodes FROM ranked""")
 def path_totals(spark, d):
-    return P.totals(_once(spark, d))
+    return P.totals(written(_all(spark, d).select("route", "hops", "is_paper")))
 
 
 @R.add("rank_candidates", walk() + f"SELECT CAST(rank AS INTEGER) AS rank, {_ROW}, score FROM ranked")
@@ -102,12 +102,12 @@ _TOP = "ORDER BY rank LIMIT 20"
 
 @R.add("flagship", walk() + f"SELECT CAST(rank AS INTEGER) AS rank, {_ROW}, score FROM ranked {_TOP}")
 def flagship(spark, d):
-    return _flat(P.ranked(_all(spark, d), P.rank_order(), top=20), "score", "rank")
+    return _flat(P.best(graph_fixture.load_for_paths(spark, d).edge, TARGET, K, 20), "score", "rank")
 
 
 @R.add("response_limit", walk() + f"SELECT CAST(rank AS INTEGER) AS rank, {_ROW}, score FROM ranked ORDER BY rank LIMIT 10")
 def response_limit(spark, d):
-    return _flat(P.ranked(_all(spark, d), P.rank_order(), top=10), "score", "rank")
+    return _flat(P.best(graph_fixture.load_for_paths(spark, d).edge, TARGET, K, 10), "score", "rank")
 
 
 @R.add("topn_paths", walk() + f"""SELECT * FROM (SELECT 'entity' AS class, {_ROW}, presort FROM found WHERE cite_count = 0 AND entity_count > 0 ORDER BY presort DESC, hops, path LIMIT 5)
@@ -140,11 +140,10 @@ def reverse_paths(spark, d):
     return _all(spark, d, 2).select(F.array_join("keys", "|").alias("path"), F.array_join(F.reverse("route"), "<").alias("reversed"), F.array_join(F.reverse("keys"), "|").alias("reversed_keys"))
 
 
-@R.add("first_appearance_dedupe", walk() + """, best AS (SELECT * FROM ranked WHERE rank <= 50), places AS (SELECT rank, route[i] AS id, i FROM best, unnest(range(1, len(route) + 1)) AS t(i)),
+@R.add("first_appearance_dedupe", walk() + """, best AS (SELECT * FROM ranked), places AS (SELECT rank, route[i] AS id, i FROM best, unnest(range(1, len(route) + 1)) AS t(i)),
 firsts AS (SELECT id, min(rank * 100 + i) AS place FROM places GROUP BY id) SELECT id, CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS position FROM firsts ORDER BY place LIMIT 40""")
 def first_appearance_dedupe(spark, d):
-    best = P.ranked(_all(spark, d), P.rank_order(), top=50)
-    return _firsts(best, 40)
+    return _firsts(P.ranked(_all(spark, d), P.rank_order()), 40)
 
 
 def _firsts(best, limit):
