@@ -44,6 +44,7 @@ SCOPE = frozenset("table td th caption html template button object".split())
 
 _ASIDE = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.DOTALL)  # comments and declarations
 _END = re.compile(r"</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)")
+_START = re.compile(r"<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 _NAME_ENDS, _MARKS = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -180,7 +181,7 @@ def parse(html: str) -> Node:
     """The page's tree.  What a start tag ends by implication is closed first; end tags without a start are ignored, but for ``br`` and ``p``, which stand for an empty element.  A start tag without ``>`` is text."""
     root = Node("html")
     tree = Open(root)
-    tags = Tags(html)
+    tags, whole = Tags(html), True
     at = here = 0  # text begins, and the next tag is looked for
     while opened := _OPEN.search(html, here):
         begin = opened.start()
@@ -190,7 +191,10 @@ def parse(html: str) -> Node:
         elif html[begin + 1] == "/":
             m = _END.match(html, begin)
             stop, end = (m.end(), m[1]) if m else (None, "")
+        elif whole and (m := _START.match(html, begin)):
+            stop, start, attrs = m.end(), m[1], m[2]
         else:
+            whole = False  # one tag has no end: others may have none
             found = tags.start_tag(begin)
             stop = found and found[1]
             if found:
