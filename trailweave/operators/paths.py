@@ -174,7 +174,8 @@ def best(edge: DataFrame, start: str, k: int, top: int, label: str = "Paper", ke
 
     A first search goes on with the most promising paths of each hop alone, by what they have and can get (see
     ``bounds``); the last of its ``top`` best scores is a floor.  The whole search drops paths at each hop that can't
-    reach it.  ``keep`` is called with what is left of each hop of that search (and may count it).
+    reach it.  It reads all relationships once for each hop, so it pays where paths are many more than relationships.
+    ``keep`` is called with what is left of each hop of the whole search (and may count it).
     """
     if top < 1:
         return ranked(candidates(expand(edge, start, k, label)), rank_order(), top)
@@ -188,7 +189,7 @@ def best(edge: DataFrame, start: str, k: int, top: int, label: str = "Paper", ke
     def promising(level: DataFrame, left: int) -> DataFrame:
         return hopeful(level, left).orderBy(F.desc("hope"), F.array_join("keys", "|")).limit(2 * top).select(*level.columns)
 
-    first = candidates(expand(edge, start, k, label, keep=promising)).select("score").orderBy(F.desc("score")).limit(top)
+    first = candidates(expand(edge, start, k, label, keep=promising, store=False)).select("score").orderBy(F.desc("score")).limit(top)
     floor = first.agg(F.count("*"), F.min("score")).first()
     least = floor[1] if floor[0] == top else None
 

@@ -118,3 +118,34 @@ def single_report(ranked: DataFrame, scores: DataFrame) -> DataFrame:
     number = F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric")).cast("int")
     line = F.format_string("- **%s** (%d/10): %s", F.initcap("metric"), "score", "reasoning")
     return rows.unionAll(ranked.select("tournament", "idea", "rank").join(scores, ["tournament", "idea"]).select("tournament", F.lit(1), F.col("rank"), number, line))
+
+
+def evaluation_documents(ranked: DataFrame, ratings: DataFrame, at: F.Column, model: str) -> DataFrame:
+    """A JSON document (key, content) of each tournament's evaluation: when, by which model, ratings by metric and overall, and the ranking.
+
+    ``ranked`` has tournament, idea, title, overall and rank, ``ratings`` tournament, idea, metric and rating.  Documents
+    are named by their time, in a folder by tournament.
+    """
+    pairs = lambda *names: F.map_from_entries(F.collect_list(F.struct(*names)))
+    by_metric = ratings.groupBy("tournament", "metric").agg(pairs("idea", "rating").alias("r")).groupBy("tournament").agg(pairs("metric", "r").alias("by_metric"))
+    scores = ratings.groupBy("tournament", "idea").agg(pairs("metric", "rating").alias("scores_by_metric"))
+    place = lambda a, b: a["rank"] - b["rank"]
+    entry = F.struct("rank", F.col("idea").alias("idea_id"), F.col("title").alias("idea_title"), F.col("overall").alias("overall_score"), "scores_by_metric")
+    rows = ranked.join(scores, ["tournament", "idea"], "left")
+    found = rows.groupBy("tournament").agg(F.array_sort(F.collect_list(entry), place).alias("ranking"), pairs("idea", "overall").alias("overall_ratings")).join(by_metric, "tournament", "left").withColumn("at", at)
+    elo = F.struct(F.col("by_metric").alias("ratings_by_metric"), "overall_ratings")
+    content = F.to_json(F.struct(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss").alias("evaluated_at"), F.lit(model).alias("model_name"), elo.alias("elo_ratings"), "ranking"))
+    return found.select(F.concat_ws("/", F.col("tournament").cast("string"), F.concat(F.lit("evaluation_"), F.date_format("at", "yyyyMMdd_HHmmss"), F.lit(".json"))).alias("key"), content.alias("content"))
+
+
+def loaded_evaluations(documents: DataFrame) -> DataFrame:
+    """The rankings of saved evaluations (key, content): key, evaluated_at, and a row for each idea with its scores by metric."""
+    kind = "evaluated_at timestamp_ntz, ranking array<struct<rank: int, idea_id: string, idea_title: string, overall_score: double, scores_by_metric: map<string, double>>>"
+    found = documents.select("key", F.from_json(F.col("content").cast("string"), kind).alias("e"))
+    return found.select("key", "e.evaluated_at", F.explode("e.ranking").alias("r")).select("key", "evaluated_at", "r.*")
+
+
+def report_documents(lines: DataFrame, name: str) -> DataFrame:
+    """A text (key, content) of each tournament's report, from its lines (see ``pairwise_report``, ``single_report``)."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "sub", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy("tournament").agg(text.alias("content")).select(F.concat_ws("/", F.col("tournament").cast("string"), F.lit(name)).alias("key"), "content")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import ideas as I
-from ..sources import files, graph_fixture
-from ..sources.tables import shared_dir
+from ..sources import files, graph_fixture, keyed_files
+from ..sources.tables import shared_dir, written
 from ._registry import Registry
 
 R = Registry()
@@ -85,16 +88,77 @@ def _files(rows, path):
     return path
 
 
-@R.add("cache_replay", "SELECT 'processed' AS name, count(*) AS n FROM nation UNION ALL SELECT 'failed', 1 UNION ALL SELECT 'entities', (SELECT count(*) FROM supplier) + 2 * count(*) + (SELECT count(*) FROM region) FROM nation UNION ALL SELECT 'limited', 7")
+@R.add("cache_replay", """SELECT 'processed' AS name, count(*) AS n FROM nation UNION ALL SELECT 'not JSON', 1 UNION ALL SELECT 'claims: missing', 1 UNION ALL SELECT 'entities: a wrong value', 1
+UNION ALL SELECT 'entities', (SELECT count(*) FROM supplier) + 2 * count(*) + (SELECT count(*) FROM region) FROM nation UNION ALL SELECT 'limited', 7 UNION ALL SELECT 'title of X3', (SELECT length('Title of ' || n_name) FROM nation WHERE n_nationkey = 3)""")
 def cache_replay(spark, d):
-    """An extraction for each nation in a file of its own, and a file that is none."""
+    """An extraction for each nation in a file of its own, and files that are none."""
     entity = F.array(F.struct(F.lit("Task").alias("type"), F.concat(F.lit("use of "), "n_name").alias("name")))
-    good = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.to_json(F.struct(F.concat(F.lit("X"), "n_nationkey").alias("paper_id"), F.col("n_name").alias("paper_summary"), entity.alias("entities"))).alias("value"))
-    path = _files(good.unionByName(spark.createDataFrame([(-1, "{bad")], "n_nationkey int, value string")), f"{shared_dir(spark)}/files/{uuid.uuid4().hex}")
-    graph, counts = files.replayed(graph_fixture.load(spark, d), spark, path)
-    some = files.replayed(graph_fixture.load(spark, d), spark, path, limit=7)[1].select(F.lit("limited").alias("name"), (F.col("processed") + F.col("failed")).alias("n"))
-    rows = counts.select(F.explode(F.create_map(F.lit("processed"), "processed", F.lit("failed"), "failed")).alias("name", "n"))
-    return rows.unionAll(graph.entity.select(F.lit("entities"), F.col("id")).groupBy("entities").count()).unionAll(some)
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    good = nation.select("n_nationkey", F.to_json(F.struct(F.concat(F.lit("X"), "n_nationkey").alias("paper_id"), F.col("n_name").alias("paper_summary"), F.array().cast("array<string>").alias("claims"), entity.alias("entities"))).alias("value"))
+    bad = [(-1, "{bad"), (-2, '{"paper_summary": "s", "entities": []}'), (-3, '{"paper_summary": "s", "claims": [], "entities": [{"type": "T", "name": 3}]}')]
+    path = _files(good.unionByName(spark.createDataFrame(bad, "n_nationkey int, value string")), f"{shared_dir(spark)}/files/{uuid.uuid4().hex}")
+    papers = nation.select(F.concat(F.lit("X"), "n_nationkey").alias("paper_id"), F.concat(F.lit("Title of "), "n_name").alias("title"))
+    graph, counts = files.replayed(graph_fixture.load(spark, d), spark, path, papers=papers)
+    some = files.replayed(graph_fixture.load(spark, d), spark, path, limit=7)[1].agg(F.lit("limited").alias("name"), F.sum("n").alias("n"))
+    rows = counts.select(F.coalesce("cause", F.lit("processed")).alias("name"), "n")
+    title = graph.paper.where("id = 'X3'").select(F.lit("title of X3"), F.length("title").cast("bigint"))
+    return rows.unionAll(graph.entity.select(F.lit("entities"), F.col("id")).groupBy("entities").count()).unionAll(some).unionAll(title)
+
+
+def _folder(spark):
+    return f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+
+
+@R.add("extraction_cache", "SELECT 'P' || s_suppkey AS paper_id, s_name AS paper_summary, CAST(1 AS INTEGER) AS entities FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey % 11 > 0")
+def extraction_cache(spark, d):
+    """Extractions written to files of their own and read again; those of an old version, and what isn't JSON, are left out."""
+    path, supplier = _folder(spark), spark.read.parquet(f"{d}/supplier.parquet")
+    entity = F.array(F.struct(F.lit("Method").alias("type"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("description")))
+    found = supplier.select(F.concat(F.lit("P"), "s_suppkey").alias("paper_id"), F.col("s_name").alias("paper_summary"), F.array().cast("array<string>").alias("claims"), entity.alias("entities"))
+    files.write_extractions(found, path)
+    broken = F.when(F.col("s_suppkey") % 7 == 0, F.to_json(F.struct(F.col("s_name").alias("paper_id"), F.lit(1).alias("_cache_version")))).otherwise("{")
+    keyed_files.write(supplier.where("s_suppkey % 7 = 0 or s_suppkey % 11 = 0").select(F.concat(F.lit("P"), "s_suppkey", F.lit(".json")).alias("key"), broken.alias("content")), path)
+    return files.extractions(spark, path).select("paper_id", "paper_summary", F.size("entities").alias("entities"))
+
+
+def _archives(rows):
+    """Archives (key, content) of the files of each paper: rows (paper_id, name, body)."""
+
+    def run(batch):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as tar:
+            for name, body in sorted(zip(batch["name"], batch["body"], strict=True)):
+                info = tarfile.TarInfo(name)
+                info.size = len(body.encode())
+                tar.addfile(info, io.BytesIO(body.encode()))
+        return pd.DataFrame({"key": [f"{batch['paper_id'].iloc[0]}.tar.gz"], "content": [out.getvalue()]})
+
+    return rows.groupBy("paper_id").applyInPandas(run, "key string, content binary")
+
+
+def _papers(spark, d):
+    """A folder with an archive for every other supplier, PDFs (some of them none), and metadata for every third."""
+    path, supplier = _folder(spark), spark.read.parquet(f"{d}/supplier.parquet").withColumn("paper_id", F.concat(F.lit("P"), "s_suppkey"))
+    body = lambda name, text: F.struct(F.lit(name).alias("name"), text.alias("body"))
+    own = F.array(body("long.tex", F.repeat(F.lit("x"), 99)), body("r.bbl", F.concat(F.lit("\\bibitem{a} By \\emph{"), "s_name", F.lit("}"))), F.when(F.col("s_suppkey") % 4 == 0, body("src/main.tex", F.concat(F.lit("tex of "), "s_name"))))
+    keyed_files.write(_archives(supplier.where("s_suppkey % 2 = 0").select("paper_id", F.explode(F.filter(own, lambda x: x.isNotNull())).alias("f")).select("paper_id", "f.*")), path)
+    pdf = F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("%PDF-1 "), "s_name")).otherwise("no document")
+    keyed_files.write(supplier.select(F.concat("paper_id", F.lit(".pdf")).alias("key"), pdf.alias("content")), path)
+    keyed_files.write(supplier.where("s_suppkey % 3 = 0").select(F.concat("paper_id", F.lit(".json")).alias("key"), F.to_json(F.struct(F.lit("2020-02-03T00:00:00").alias("published_date"))).alias("content")), path)
+    return path
+
+
+@R.add("src_paper_files", """SELECT 'P' || s_suppkey AS paper_id, CASE WHEN s_suppkey % 2 = 0 THEN 'latex' ELSE 'pdf' END AS kind, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE '%PDF-1 ' || s_name END AS pdf, CASE WHEN s_suppkey % 3 = 0 THEN '2020-02-03T00:00:00' END AS published_date
+FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 5 > 0""")
+def src_paper_files(spark, d):
+    found = files.paper_files(spark, _papers(spark, d))
+    return found.select("paper_id", "kind", F.when(F.col("kind") == "pdf", F.col("content").cast("string")).alias("pdf"), "published_date")
+
+
+@R.add("src_latex_tar", """SELECT 'P' || s_suppkey AS paper_id, CASE WHEN s_suppkey % 4 = 0 THEN 'tex of ' || s_name ELSE repeat('x', 99) END AS latex, '[1] By ' || s_name || chr(10) || chr(10) || CASE WHEN s_suppkey % 4 = 0 THEN 'tex of ' || s_name ELSE repeat('x', 99) END AS message FROM supplier WHERE s_suppkey % 2 = 0""")
+def src_latex_tar(spark, d):
+    latex = written(files.latex_sources(files.paper_files(spark, _papers(spark, d)).where("kind = 'latex'")))
+    return latex.select("paper_id", "latex").join(files.messages(latex), "paper_id")
 
 
 @R.add("idea_results", "SELECT n_name AS idea, CASE n_nationkey % 2 WHEN 0 THEN 'a|' || n_name ELSE 'x|y' END AS experiments, CASE n_nationkey % 2 WHEN 0 THEN 'e1;e2' ELSE n_name END AS entities, '' AS trend FROM nation")

@@ -102,7 +102,15 @@ _TOP = "ORDER BY rank LIMIT 20"
 
 @R.add("flagship", walk() + f"SELECT CAST(rank AS INTEGER) AS rank, {_ROW}, score FROM ranked {_TOP}")
 def flagship(spark, d):
-    return _flat(P.best(graph_fixture.load_for_paths(spark, d).edge, TARGET, K, 20), "score", "rank")
+    """Few paths begin at one paper within three hops, so all are ranked; see ``best_paths``."""
+    found = P.candidates(P.expand(graph_fixture.load_for_paths(spark, d).edge, TARGET, K, store=False))
+    return _flat(P.ranked(found, P.rank_order(), top=20), "score", "rank")
+
+
+@R.add("best_paths", walk(4) + f"SELECT CAST(rank AS INTEGER) AS rank, {_ROW}, score FROM ranked {_TOP}")
+def best_paths(spark, d):
+    """The best paths of up to four hops, by branch and bound."""
+    return _flat(P.best(graph_fixture.load_for_paths(spark, d).edge, TARGET, 4, 20), "score", "rank")
 
 
 @R.add("response_limit", walk() + f"SELECT CAST(rank AS INTEGER) AS rank, {_ROW}, score FROM ranked ORDER BY rank LIMIT 10")

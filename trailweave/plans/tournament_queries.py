@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import tournament as M
+from ..sources import keyed_files
+from ..sources.tables import shared_dir, written
 from ._registry import Registry
 
 R = Registry()
@@ -85,6 +89,23 @@ def report_pairwise(spark, d):
     return M.pairwise_report(ranked, rated)
 
 
+@R.add("saved_evaluations", ELO + """, ranked AS (SELECT tournament, idea, title, round(overall, 6) AS overall, CAST(row_number() OVER (PARTITION BY tournament ORDER BY round(overall, 6) DESC, idx) AS INTEGER) AS rank FROM overalls JOIN ideas USING (tournament, idea))
+SELECT tournament || '/evaluation_20240131_080910.json' AS key, idea AS idea_id, title AS idea_title, rank, overall AS overall_score, round(rating, 6) AS novelty FROM ranked JOIN ratings USING (tournament, idea) WHERE metric = 'novelty'
+UNION ALL SELECT tournament || '/report.md', NULL, '| 1 | ' || title || ' | ' || printf('%.1f', overall) || ' |', NULL, NULL, NULL FROM ranked WHERE rank = 1""")
+def saved_evaluations(spark, d):
+    """Evaluations and reports as files of their own, read back: rankings, and the first line of each report."""
+    ideas, rated = _ideas(spark, d), written(_rated(spark, d))
+    overall = M.overall(rated).withColumn("overall", F.round("overall", 6))
+    ranked = M.ranking(overall, ideas).join(ideas.select("idea", "title"), "idea")
+    path = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    keyed_files.write(M.evaluation_documents(ranked, rated.withColumn("rating", F.round("rating", 6)), F.lit("2024-01-31 08:09:10").cast("timestamp_ntz"), "none"), path)
+    keyed_files.write(M.report_documents(M.pairwise_report(ranked, rated), "report.md"), path)
+    found = keyed_files.read(spark, path)
+    rankings = M.loaded_evaluations(found.where(F.col("key").endswith(".json"))).select("key", "idea_id", "idea_title", "rank", "overall_score", F.col("scores_by_metric")["novelty"].alias("novelty"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return rankings.unionAll(found.where(F.col("key").endswith(".md")).select("key", none("string"), F.substring_index(F.col("content").cast("string"), "\n", 1), none("int"), none("double"), none("double")))
+
+
 _SINGLE = SQL + ", scored AS (SELECT tournament, idea, idx, title, metric, m, CAST(1 + (p_size + m * 7) % 10 AS INTEGER) AS score FROM ideas, metrics), singles AS (SELECT tournament, idea, idx, title, sum(score) / 5.0 AS overall FROM scored GROUP BY ALL)"
 
 

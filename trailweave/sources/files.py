@@ -5,15 +5,18 @@ from __future__ import annotations
 import io
 import tarfile
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ideas as I
 from ..functions import text as T
+from ..operators import extractions as X
 from ..operators import upserts as U
 from ..operators.paths import ranked_by
+from . import keyed_files
 from .graph_fixture import Graph
 from .tables import written
 
@@ -47,19 +50,25 @@ def extractions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_extractions(found: DataFrame, path: str) -> None:
-    """A JSON file of the current version for each extraction, in a folder by its paper's id."""
+    """A JSON file of the current version for each extraction, named by its paper's id; a paper's file is replaced, and all appear at once."""
     rows = found.withColumn("_cache_version", F.lit(CACHE_VERSION))
-    rows.select(F.col("paper_id").alias("paper"), F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").partitionBy("paper").text(path)
+    keyed_files.write(rows.select(F.concat(T.safe_id(F.col("paper_id")), F.lit(".json")).alias("key"), F.to_json(F.struct("*")).alias("content")), path)
 
 
 def paper_files(spark: SparkSession, path: str) -> DataFrame:
-    """The best file of each paper id (the name up to its first dot): a LaTeX archive before a PDF."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,pdf}").load(path).select("path", "length", "content")
+    """The best file of each paper id (the name up to its first dot): a LaTeX archive before a PDF; with the date of its ``.json`` metadata, if any.
+
+    The choice is made by paths and first bytes; contents are read again for the chosen files alone.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,pdf}").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    kind = F.when(F.lower(name).endswith(".tar.gz"), "latex").when(F.lower(name).endswith(".pdf") & (F.substring("content", 1, 4) == F.unhex(F.lit("25504446"))), "pdf")
-    found = files.withColumns({"paper_id": F.substring_index(name, ".", 1), "kind": kind}).where(F.col("kind").isNotNull())
-    order = Window.partitionBy("paper_id").orderBy("kind", "path")
-    return found.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    kind = F.when(F.lower(name).endswith(".tar.gz"), "latex").when(F.lower(name).endswith(".pdf") & (F.col("magic") == F.unhex(F.lit("25504446"))), "pdf")
+    found = files.select("path", F.substring("content", 1, 4).alias("magic")).withColumns({"paper_id": F.substring_index(name, ".", 1), "kind": kind}).where(F.col("kind").isNotNull())
+    best = found.groupBy("paper_id").agg(F.min(F.struct("kind", "path")).alias("b")).select("paper_id", "b.*")
+    text = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True, recursiveFileLookup=True)
+    paper = F.substring_index(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), ".", 1)
+    dates = text.groupBy(paper.alias("paper_id")).agg(F.max(F.get_json_object("value", "$.published_date")).alias("published_date"))
+    return files.select("path", "length", "content").join(best, "path").join(dates, "paper_id", "left")
 
 
 def _sources(content: bytes) -> tuple[str | None, str | None]:
@@ -118,22 +127,20 @@ def matched_titles(asked: DataFrame, results: DataFrame, most: int = 5) -> DataF
     return both.groupBy("query").agg(F.min_by("found", "n").alias("title"))
 
 
-def replayed(graph: Graph, spark: SparkSession, path: str, limit: int | None = None) -> tuple[Graph, DataFrame]:
-    """The graph after cached extractions, one JSON object a file, in order of the files' names; and how many were ``processed`` and ``failed``.
+def replayed(graph: Graph, spark: SparkSession, path: str, limit: int | None = None, papers: DataFrame | None = None) -> tuple[Graph, DataFrame]:
+    """The graph after cached extractions, one JSON object a file, in order of the files' names; and how many files there are by ``cause``, null if they were processed.
 
-    With ``limit``, the first files alone.  Files that aren't an extraction are counted and left out.  Of rows of one
-    key the last file's count, so that one batch does what many in order would.
+    With ``limit``, the first files alone.  Files that aren't an extraction are counted by what is wrong with them (see
+    ``extractions.cause``) and left out.  Of rows of one key the last file's count, so that one batch does what many in
+    order would.  ``papers`` (see ``dataset_papers``) are written first, so that titles are known.
     """
     found = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"))
     if limit is not None:
         found = found.orderBy("file").limit(limit)
-    found = ranked_by(found, "file")
-    parsed = F.from_json("value", f"{U.EXTRACTION}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    found = written(found.select(F.col("rank").alias("seq"), parsed.dropFields("seq").alias("x")).select("seq", "x.*"))
-    good = F.col("_corrupt").isNull() & F.col("paper_id").isNotNull()
-    counts = found.agg(F.count_if(good).alias("processed"), F.count_if(~good).alias("failed"))
-    some = found.where(good).drop("_corrupt").withColumns({c: F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("claims", "entities", "relations", "cited_papers")})
-    return U.write_extracted(graph, some), counts
+    found = written(X.parsed(ranked_by(found, "file").select(F.col("rank").cast("bigint").alias("seq"), "value")).drop("value"))
+    if papers is not None:
+        graph = replace(graph, paper=U.upsert_papers(graph.paper, papers.select(F.col("paper_id").alias("id"), "title", F.lit(0).alias("seq"))))
+    return U.write_extracted(graph, found.where("cause is null").drop("cause")), found.groupBy("cause").agg(F.count("*").alias("n"))
 
 
 def paper_texts(papers: DataFrame, latex: DataFrame, extractions: DataFrame) -> DataFrame:
