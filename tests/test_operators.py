@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import text as T
 from trailweave.operators import adhoc, context, crawl, documents, lookups, paths, progress, tournament, upserts
+from trailweave.operators.substrings import NameIndex
 from trailweave.sources import files
 from trailweave.sources.graph_fixture import Graph
 
@@ -84,8 +85,9 @@ def test_options_are_checked(bad):
         context.Options(**bad)
 
 
-def test_keyword_search_and_names(small):
-    assert {r["id"] for r in lookups.keyword_search(small, "LEA").collect()} == {"E2"}
+def test_keyword_search_and_names(small, tmp_path):
+    index = NameIndex.write(lookups.names(small).select("id", "name"), str(tmp_path))
+    assert {r["id"] for r in lookups.keyword_search(small, "LEA", index).collect()} == {"E2"}
     assert {r["id"]: r["shown"] for r in lookups.display_names(lookups.names(small)).collect()}["P3"] == "P3"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.graph_fixture import Graph
 from .paths import both_ways
+from .substrings import NameIndex
 
 DEFAULT_IMPORTANCE = 3
 
@@ -44,11 +45,15 @@ def names(graph: Graph) -> DataFrame:
     return paper.unionAll(graph.entity.select("id", text("Entity"), "name", "type", text(), "description", text()))
 
 
-def keyword_search(graph: Graph, keyword: str) -> DataFrame:
-    """Nodes whose title or name contains a keyword in any case, with each neighbour over either direction, if any."""
-    hit = names(graph).where(F.contains(F.lower("name"), F.lit(keyword.lower()))).select("id", "label", "name")
+def keyword_search(graph: Graph, keyword: str, index: NameIndex) -> DataFrame:
+    """Nodes whose title or name contains a keyword in any case, with each neighbour over either direction, if any.
+
+    ``index`` has the nodes' names (see ``names``): what is read of it are the lists of the keyword's rarest trigram.
+    """
+    hit = index.containing([keyword]).select("id")
+    found = names(graph).select("id", "label", "name").join(hit, "id", "left_semi")
     around = both_ways(graph.edge).select(F.col("src").alias("id"), F.col("type").alias("rel"), F.col("dst").alias("neighbour"), "key")
-    return hit.join(around, "id", "left")
+    return found.join(around, "id", "left")
 
 
 def display_names(nodes: DataFrame) -> DataFrame:
@@ -104,17 +109,18 @@ def endpoints_in(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     return src.join(nodes.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
 
 
-def highlight(nodes: DataFrame, path: DataFrame, most: int = 1000) -> DataFrame:
+def highlight(nodes: DataFrame, path: DataFrame, index: NameIndex, most: int = 1000) -> DataFrame:
     """Nodes (id, name) that a path's nodes (id, name) match by id, or by lower-cased name as a part of the other.
 
-    The path's side is a list of some tens of names that goes to every task; more than ``most`` are an error.
+    ``index`` has the nodes' names.  The path's side is a list of some tens of names; more than ``most`` are an error.
     """
-    found = path.select(F.col("id").alias("p_id"), F.lower("name").alias("p_name")).limit(most + 1).toArrow()
-    if found.num_rows > most:
+    found = path.select("id", "name").limit(most + 1).collect()
+    if len(found) > most:
         raise ValueError(f"a path of more than {most} nodes")
-    few = F.broadcast(nodes.sparkSession.createDataFrame(found))
-    name = F.lower("name")
-    return nodes.join(few, (F.col("id") == F.col("p_id")) | F.contains(name, F.col("p_name")) | F.contains(F.col("p_name"), name), "left_semi")
+    shown = [r["name"] for r in found if r["name"] is not None]
+    own = nodes.sparkSession.createDataFrame([(r["id"],) for r in found], f"id {nodes.schema['id'].dataType.simpleString()}")
+    ids = own.unionAll(index.containing(shown).select("id")).unionAll(index.within(shown).select("id")).distinct()
+    return nodes.join(ids, "id", "left_semi")
 
 
 def label_counts(graph: Graph) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import context as C
 from ..operators import lookups as L
 from ..operators import paths as P
+from ..operators.substrings import NameIndex
 from ..sources import graph_fixture
+from ..sources.tables import shared_dir
 from ._registry import Registry
 from .path_queries import walk
 
@@ -60,9 +64,14 @@ def filter_label_prop(spark, d):
     return out
 
 
+def _name_index(spark, graph):
+    return NameIndex.write(L.names(graph).select("id", "name"), f"{shared_dir(spark)}/index/{uuid.uuid4().hex}")
+
+
 @R.add("keyword_search", G + f"SELECT n.id, n.label, n.name, e.type AS rel, e.dst AS neighbour, e.key FROM {NAMES} n LEFT JOIN {BOTH} e ON e.src = n.id WHERE contains(lower(n.name), 'brand#2') ORDER BY n.id, e.key, e.dst LIMIT 50")
 def keyword_search(spark, d):
-    found = L.keyword_search(graph_fixture.load(spark, d), "BRAND#2")
+    g = graph_fixture.load(spark, d)
+    found = L.keyword_search(g, "BRAND#2", _name_index(spark, g))
     return found.orderBy(F.asc("id"), F.asc_nulls_last("key"), F.asc_nulls_last("neighbour")).limit(50)
 
 
@@ -121,7 +130,7 @@ def path_highlight_match(spark, d):
     g = graph_fixture.load_for_paths(spark, d)
     best = P.candidates(P.expand(g.edge, "P1", 3)).orderBy(*P.rank_order()).limit(3)
     hit = best.select(F.explode("route").alias("id")).distinct().join(L.names(g), "id")
-    return L.highlight(L.names(g).select("id", "name"), hit)
+    return L.highlight(L.names(g).select("id", "name"), hit, _name_index(spark, g))
 
 
 @R.add("node_counts", G + f"SELECT label, count(*) AS n FROM {NAMES} GROUP BY label")
