@@ -1,4 +1,4 @@
-"""Crawls of citations from seed papers: by levels over any graph, and best-first over a bounded one."""
+"""Crawls of citations from seed papers: by levels, and best-first."""
 
 from __future__ import annotations
 
@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from .paths import ranked_by
+
+
+class TooManyCitations(ValueError):
+    """More than the driver's queue may hold."""
 
 
 def top_citations(cited: DataFrame, n: int) -> DataFrame:
@@ -46,7 +51,7 @@ def best_first(seeds: list[str], top: DataFrame, depth: int, limit: int | None =
     ids = spark.createDataFrame([(s,) for s in seeds], "src string").unionAll(reach.select("id")).distinct()
     rows = top.join(ids, "src", "left_semi").select("src", "dst", "importance", "place").limit(max_edges + 1).collect()
     if len(rows) > max_edges:
-        raise ValueError(f"more than {max_edges} citations can be reached; by_levels has no such bound")
+        raise TooManyCitations(f"more than {max_edges} citations can be reached; best_first_table has no such bound")
     cited: dict[str, list[tuple[int, str, int]]] = {}
     for row in rows:
         cited.setdefault(row["src"], []).append((row["place"], row["dst"], row["importance"]))
@@ -76,6 +81,79 @@ def best_first(seeds: list[str], top: DataFrame, depth: int, limit: int | None =
     return out
 
 
+_ORDER = "place int, id string, depth int, importance int, status string"
+
+
+def best_first_table(seeds: list[str], top: DataFrame, depth: int, limit: int | None = None, completed: frozenset[str] = frozenset(), max_edges: int = 1_000_000) -> DataFrame:
+    """The order of ``best_first`` as a table (place, id, depth, importance, status), over any number of citations.
+
+    Up to ``max_edges`` reachable citations go through the driver's queue; more are settled by ``best_first_rounds``, with the same rows.
+    """
+    spark = top.sparkSession
+    try:
+        found = best_first(seeds, top, depth, limit, completed, max_edges)
+    except TooManyCitations:
+        return best_first_rounds(seeds, top, depth, limit, completed)
+    return spark.createDataFrame([(n, *row) for n, row in enumerate(found)], _ORDER)
+
+
+def best_first_rounds(seeds: list[str], top: DataFrame, depth: int, limit: int | None = None, completed: frozenset[str] = frozenset()) -> DataFrame:
+    """As ``best_first``, with the queue as a table: no step brings papers to the driver.
+
+    Papers of one importance and depth are one bucket, in the order in which they were queued.  A round takes the best
+    bucket and settles at once its papers up to the first one that queues something more important, which goes before
+    the rest; a paper that several of them cite is queued by the first.  So there is a round for each bucket, and one for
+    each paper that another one goes before.
+    """
+    spark = top.sparkSession
+    ids = lambda rows, kind="id string": spark.createDataFrame(rows, kind)
+    first = ids([(s, n) for n, s in reversed(list(enumerate(seeds)))], "seed string, parent bigint").groupBy("seed").agg(F.min("parent").alias("parent"))
+    cited = top.select("src", "dst", "importance", "place")
+    known, parts, done, base, phase = ids([(s,) for s in sorted(set(seeds))]), [], 0, 0, 0
+    children = first.join(cited, F.col("seed") == F.col("src"))
+    children = children.join(first.select(F.col("seed").alias("dst"), F.col("parent").alias("own")), "dst", "left").where("own is null or own > parent")
+
+    def claimed(rows: DataFrame, at: int) -> DataFrame:
+        """The papers that are queued: by the first citation of each."""
+        by = rows.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("parent", "place", "importance")).alias("c"))
+        return by.select("id", F.col("c.importance").alias("importance"), F.lit(at).alias("depth"), F.col("c.parent").alias("parent"), F.col("c.place").alias("place"))
+
+    def queued(claims: DataFrame) -> DataFrame:
+        return ranked_by(claims, "parent", "place", "id").select("id", "importance", "depth", (F.col("rank") + base).cast("bigint").alias("number"))
+
+    queue = written(queued(claimed(children, 1)))
+    base, known = queue.count(), known.unionAll(queue.select("id")).distinct()
+    if depth < 1:
+        queue = queue.limit(0)
+    while (head := queue.orderBy(F.desc("importance"), "depth").first()) is not None:
+        bucket = queue.where((F.col("importance") == head["importance"]) & (F.col("depth") == head["depth"]))
+        claims, stop = None, None
+        if head["depth"] < depth:
+            met = bucket.select(F.col("id").alias("src"), F.col("number").alias("parent")).join(cited, "src").join(known.select(F.col("id").alias("dst")), "dst", "left_anti")
+            claims = written(claimed(met, head["depth"] + 1))
+            stop = claims.where(F.col("importance") > head["importance"]).agg(F.min("parent")).first()[0]
+        settled = bucket if stop is None else bucket.where(F.col("number") <= stop)
+        status = F.when(F.col("id").isin(*completed), "skipped").otherwise("crawled") if completed else F.lit("crawled")
+        settled = written(settled.withColumns({"status": status, "phase": F.lit(phase)}))
+        counted = settled.where("status = 'crawled'")
+        n = counted.count()
+        if limit and done + n >= limit:
+            last = counted.orderBy("number").limit(limit - done).agg(F.max("number")).first()[0]
+            parts.append(settled.where(F.col("number") <= last))
+            break
+        done, phase = done + n, phase + 1
+        parts.append(settled)
+        queue = queue.join(settled.select("id"), "id", "left_anti")
+        if claims is not None:
+            new = written(queued(claims if stop is None else claims.where(F.col("parent") <= stop)))
+            base, queue, known = base + new.count(), queue.unionByName(new), known.unionAll(new.select("id"))
+        queue, known = written(queue), written(known)
+    out = ids([], "id string, importance int, depth int, number bigint, status string, phase int")
+    for part in parts:
+        out = out.unionByName(part)
+    return ranked_by(out, "phase", "number").select((F.col("rank") - 1).cast("int").alias("place"), "id", "depth", "importance", "status")
+
+
 def planned_total(seeds: F.Column, top: int, depth: int, limit: int | None = None) -> F.Column:
     """The most papers that a crawl can take up."""
     if limit is not None:
@@ -87,3 +165,10 @@ def planned_total(seeds: F.Column, top: int, depth: int, limit: int | None = Non
 
 def statistics(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def queue_statistics(order: DataFrame, reached: DataFrame) -> DataFrame:
+    """One row on a crawl (see ``best_first_table``) among what it could reach (see ``by_levels``): papers ``visited``, ``crawled``, ``skipped``, and ``waiting``."""
+    counts = order.agg(F.count("*").alias("visited"), F.count_if(F.col("status") == "crawled").alias("crawled"), F.count_if(F.col("status") == "skipped").alias("skipped"))
+    waiting = reached.join(order.select("id"), "id", "left_anti").agg(F.count("*").alias("waiting"))
+    return counts.withColumn("waiting", waiting.scalar())

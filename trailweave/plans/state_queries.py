@@ -102,11 +102,20 @@ def visited_difference(spark, d):
     return graph_fixture.load(spark, d).paper.select("id").join(seen, "id", "left_anti")
 
 
+def _crawl(spark, d):
+    return K.best_first_table(["P1", "P2", "P3"], _top(spark, d), 3, limit=100, completed=frozenset({"P7"}))
+
+
 @R.add("crawl_priority")
 def crawl_priority(spark, d):
-    """The best-first order of a crawl: every step depends on those before, so SQL can't express it; a test holds it against brute force."""
-    found = K.best_first(["P1", "P2", "P3"], _top(spark, d), 3, limit=100, completed=frozenset({"P7"}))
-    return spark.createDataFrame([(n, *row) for n, row in enumerate(found)], "place int, id string, depth int, importance int, status string")
+    """The best-first order of a crawl: every step depends on those before, so SQL can't express it; tests hold it against brute force."""
+    return _crawl(spark, d)
+
+
+@R.add("crawl_queue", f"WITH {_TOP} SELECT least(n, 100 + c) AS visited, least(n - c, 100) AS crawled, least(c, n) AS skipped, n - least(n, 100 + c) AS waiting FROM (SELECT count(*) AS n, count(*) FILTER (WHERE id = 'P7') AS c FROM crawl)")
+def crawl_queue(spark, d):
+    """How many papers a crawl of up to 100 has visited, and how many it leaves waiting."""
+    return K.queue_statistics(_crawl(spark, d), crawl_bfs(spark, d))
 
 
 @R.add("crawl_stats", f"WITH {_TOP} SELECT CASE WHEN importance >= 5 THEN 'crawled' ELSE 'skipped' END AS status, count(*) AS n FROM crawl GROUP BY 1")
