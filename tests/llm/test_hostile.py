@@ -70,3 +70,34 @@ def test_each_language_has_a_mean_of_its_own(spark):
     assert mixing.languages_of(described, 100) == sorted(f"lang{k}" for k in range(100))
     with pytest.raises(ValueError, match="more than 99 languages"):
         mixing.languages_of(described, 99)
+
+
+def test_cells_by_another_layout():
+    rng = random.Random(1)
+    for _ in range(3000):
+        given = [[(rng.choice([1, 1, 1, 2, 3, 5]), rng.choice([1, 1, 2, 3, 4, 0])) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(1, 9))]
+        # cells of one row don't hold each other back by what they take in later rows
+        rows = [[html_text.Cell("", c, n) for c, n in row] for row in given]
+        html_text.place(rows)
+        want, above = [], []
+        for r, row in enumerate(given):
+            above, column, new = [x for x in above if x[2] > r], 0, []
+            for columns, n in row:
+                while any(a <= column < b for a, b, _ in above):
+                    column += 1
+                want.append(column)
+                new.append((column, column + columns, r + n if n else len(rows)))
+                column += columns
+            above += [x for x in new if x[2] > r + 1]
+        assert [c.at for row in rows for c in row] == want
+
+
+@pytest.mark.parametrize("cell", [lambda k, n: (1, 0), lambda k, n: (1, n - k), lambda k, n: (1, 2 + k * 7919 % 5000), lambda k, n: (1000, 2 + k % 3), lambda k, n: (1000, 2 + n - k)])
+def test_tables_of_cells_that_reach_down(cell):
+    n = 14_000
+    rows = [[html_text.Cell("x", *cell(k, n)), html_text.Cell("y")] for k in range(n)]
+    began = time.process_time()
+    html_text.place(rows)
+    assert time.process_time() - began < 8
+    if cell(0, n) == (1, 0):
+        assert [row[1].at for row in rows] == list(range(1, n + 1))

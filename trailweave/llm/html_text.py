@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, cached_property
+from heapq import heappop, heappush
 from html import unescape
 
 import pyarrow as pa
@@ -55,7 +56,6 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 MOST_INDENT = 80  # characters; what is nested deeper begins there, too
 MOST_TABLES = 8  # within one another that are aligned; those within are blocks like others
 MOST_WIDTH = 100  # of a column that others are aligned by
-MOST_SPANS = 1_000_000  # steps to lay out cells that reach into later rows; after that, they don't
 
 
 class Node:
@@ -320,23 +320,90 @@ class Cell:
         return cls("", min(max(columns, 1), 1000), min(rows, 65534))
 
 
+class Taken:
+    """Columns that cells of rows above reach into: regions side by side, each until some row, and the runs that they make up."""
+
+    def __init__(self):
+        self.regions: dict[int, tuple[int, int]] = {}  # by first column: past the last one, and until which row
+        self.firsts: list[int] = []
+        self.starts: list[int] = []  # of runs without a gap
+        self.ends: list[int] = []
+        self.expiring: list[tuple[int, int, int]] = []
+
+    def free(self, column: int) -> int:
+        """The first column from here on that isn't taken."""
+        k = bisect_right(self.starts, column) - 1
+        return self.ends[k] if k >= 0 and self.ends[k] > column else column
+
+    def _put(self, first: int, last: int, until: int) -> None:
+        self.regions[first] = (last, until)
+        insort(self.firsts, first)
+        heappush(self.expiring, (until, first, last))
+
+    def _cover(self, first: int, last: int) -> None:
+        """Joins free columns to the runs beside them."""
+        k = bisect_left(self.starts, first)
+        if k and self.ends[k - 1] == first:
+            self.ends[k - 1] = last
+            k -= 1
+        else:
+            self.starts.insert(k, first)
+            self.ends.insert(k, last)
+        if k + 1 < len(self.starts) and self.starts[k + 1] == last:
+            self.ends[k] = self.ends[k + 1]
+            del self.starts[k + 1], self.ends[k + 1]
+
+    def add(self, first: int, last: int, until: int) -> None:
+        """Takes columns until a row; those that are taken already stay so until the later of both rows."""
+        k = bisect_right(self.firsts, first) - 1
+        k = k if k >= 0 and self.regions[self.firsts[k]][0] > first else k + 1
+        at = first
+        while at < last:
+            start = self.firsts[k] if k < len(self.firsts) else last
+            if at < start:  # free up to the next region
+                stop = min(start, last)
+                self._cover(at, stop)
+                self._put(at, stop, until)
+                k, at = k + 1, stop
+                continue
+            end, before = self.regions[start]
+            stop = min(end, last)
+            if before < until:
+                del self.firsts[k], self.regions[start]
+                parts = [(start, at, before), (at, stop, until), (stop, end, before)]
+                for a, b, u in parts:
+                    if a < b:
+                        self._put(a, b, u)
+                        k += 1
+            else:
+                k += 1
+            at = stop
+
+    def expire(self, row: int) -> None:
+        """Gives back what is taken until this row."""
+        while self.expiring and self.expiring[0][0] <= row:
+            until, first, last = heappop(self.expiring)
+            if self.regions.get(first) != (last, until):
+                continue  # it was taken anew since
+            del self.regions[first], self.firsts[bisect_left(self.firsts, first)]
+            k = bisect_right(self.starts, first) - 1
+            start, end = self.starts[k], self.ends[k]
+            self.starts[k : k + 1], self.ends[k : k + 1] = [a for a, b in ((start, first), (last, end)) if a < b], [b for a, b in ((start, first), (last, end)) if a < b]
+
+
 def place(rows: list[list[Cell]]) -> None:
     """Gives each cell its first column: the next one that no cell to its left, and none from a row above, takes."""
-    above: list[tuple[int, int, int]] = []  # first column, past the last one, past the last row
-    steps = 0
+    taken = Taken()
     for r, row in enumerate(rows):
-        above = sorted(x for x in above if x[2] > r)
-        steps += len(above)
-        if steps > MOST_SPANS:
-            above = []
-        k = column = 0
+        taken.expire(r)
+        column = 0
         for cell in row:
-            while k < len(above) and above[k][0] < column + 1:
-                column = max(column, above[k][1])
-                k += 1
-            cell.at = column
-            column += cell.columns
-        above += [(c.at, c.at + c.columns, r + c.rows if c.rows else len(rows)) for c in row if c.rows != 1]
+            cell.at = taken.free(column)
+            column = cell.at + cell.columns
+        for cell in row:
+            until = min(r + cell.rows, len(rows)) if cell.rows else len(rows)
+            if until > r + 1:
+                taken.add(cell.at, cell.at + cell.columns, until)
 
 
 def aligned(rows: list[list[Cell]]) -> list[str]:
