@@ -26,3 +26,12 @@ def test_same_order(spark, seed, depth, limit):
 def test_more_citations_than_the_queue_may_hold(spark):
     with pytest.raises(crawl.TooManyCitations):
         crawl.best_first(["P0"], graph(spark, 1), 3, max_edges=2)
+
+
+def test_queue_statistics(spark):
+    top = graph(spark, 6)
+    order = crawl.best_first(["P0"], top, 3, 5, frozenset({"P3"}))
+    reached = crawl.by_levels(spark.createDataFrame([("P0",)], "id string"), top, 3)
+    found = crawl.queue_statistics(crawl.best_first_table(["P0"], top, 3, 5, frozenset({"P3"})), reached).first()
+    visited = {r[0] for r in order}
+    assert tuple(found) == (len(order), 5, len(order) - 5, len({r["id"] for r in reached.collect()} - visited))

@@ -168,7 +168,10 @@ def statistics(results: DataFrame) -> DataFrame:
 
 
 def queue_statistics(order: DataFrame, reached: DataFrame) -> DataFrame:
-    """One row on a crawl (see ``best_first_table``) among what it could reach (see ``by_levels``): papers ``visited``, ``crawled``, ``skipped``, and ``waiting``."""
+    """One row on a crawl (see ``best_first_table``) among what levels reach (see ``by_levels``): papers ``visited``, ``crawled``, ``skipped``, and ``waiting``, those not visited.
+
+    Some may be out of a crawl's reach though not of the levels': it counts the depth of who queues a paper first.
+    """
     counts = order.agg(F.count("*").alias("visited"), F.count_if(F.col("status") == "crawled").alias("crawled"), F.count_if(F.col("status") == "skipped").alias("skipped"))
     waiting = reached.join(order.select("id"), "id", "left_anti").agg(F.count("*").alias("waiting"))
     return counts.withColumn("waiting", waiting.scalar())
