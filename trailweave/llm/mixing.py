@@ -91,7 +91,7 @@ def lang_means(rows: DataFrame, langs: list[str]) -> np.ndarray:
     found = rows.select("vector", "lang").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
     sums = np.zeros(len(langs) * (WIDTH + 1))
     sums[[r["at"] for r in found]] = [float(r["n"]) for r in found]
-    sums = sums.reshape(len(langs), -1)
+    sums = sums.reshape(len(langs), WIDTH + 1)
     return np.rint(sums[:, :-1] / np.maximum(sums[:, -1:], 1))
 
 
