@@ -38,6 +38,20 @@ def swap_resolved(raw: DataFrame) -> DataFrame:
     return out
 
 
+#: What plans of experiments are compared by.
+EXPERIMENT_METRICS = ("feasibility", "quality", "clarity")
+
+
+def experiments_resolved(answers: DataFrame) -> DataFrame:
+    """The outcome of comparing two plans of experiments: a row for each metric of ``answers`` (tournament, seq, and ``ab_feasibility_score``, ``ab_feasibility_reasoning``, ``ba_...``).
+
+    As ``swap_resolved``; answers that disagree have one fixed reasoning.
+    """
+    each = [F.struct(F.lit(m).alias("metric"), F.col(f"ab_{m}_score").alias("ab"), F.col(f"ba_{m}_score").alias("ba"), F.col(f"ab_{m}_reasoning").alias("said")) for m in EXPERIMENT_METRICS]
+    rows = answers.select("tournament", "seq", F.explode(F.array(*each)).alias("x")).select("tournament", "seq", "x.*")
+    return swap_resolved(rows).withColumn("reasoning", F.when(F.col("consistent"), F.col("said")).otherwise("Inconsistent results")).drop("said")
+
+
 def elo_ratings(ideas: DataFrame, results: DataFrame, start: float = START, k_factor: float = K_FACTOR) -> DataFrame:
     """Ratings by tournament and metric after all games (tournament, seq, metric, idea_a, idea_b, score), one after the other.
 

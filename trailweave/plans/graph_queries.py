@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import context as C
@@ -11,7 +9,7 @@ from ..operators import lookups as L
 from ..operators import paths as P
 from ..operators.substrings import NameIndex
 from ..sources import graph_fixture
-from ..sources.tables import shared_dir
+from ..sources.tables import scratch
 from ._registry import Registry
 from .path_queries import walk
 
@@ -65,7 +63,7 @@ def filter_label_prop(spark, d):
 
 
 def _name_index(spark, graph):
-    return NameIndex.write(L.names(graph).select("id", "name"), f"{shared_dir(spark)}/index/{uuid.uuid4().hex}")
+    return NameIndex.write(L.names(graph).select("id", "name"), scratch(spark, "index"))
 
 
 @R.add("keyword_search", G + f"SELECT n.id, n.label, n.name, e.type AS rel, e.dst AS neighbour, e.key FROM {NAMES} n LEFT JOIN {BOTH} e ON e.src = n.id WHERE contains(lower(n.name), 'brand#2') ORDER BY n.id, e.key, e.dst LIMIT 50")

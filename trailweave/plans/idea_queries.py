@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import io
 import tarfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import ideas as I
 from ..sources import files, graph_fixture, keyed_files
-from ..sources.tables import shared_dir, written
+from ..sources.tables import scratch, written
 from ._registry import Registry
 
 R = Registry()
@@ -96,7 +95,7 @@ def cache_replay(spark, d):
     nation = spark.read.parquet(f"{d}/nation.parquet")
     good = nation.select("n_nationkey", F.to_json(F.struct(F.concat(F.lit("X"), "n_nationkey").alias("paper_id"), F.col("n_name").alias("paper_summary"), F.array().cast("array<string>").alias("claims"), entity.alias("entities"))).alias("value"))
     bad = [(-1, "{bad"), (-2, '{"paper_summary": "s", "entities": []}'), (-3, '{"paper_summary": "s", "claims": [], "entities": [{"type": "T", "name": 3}]}')]
-    path = _files(good.unionByName(spark.createDataFrame(bad, "n_nationkey int, value string")), f"{shared_dir(spark)}/files/{uuid.uuid4().hex}")
+    path = _files(good.unionByName(spark.createDataFrame(bad, "n_nationkey int, value string")), scratch(spark, "files"))
     papers = nation.select(F.concat(F.lit("X"), "n_nationkey").alias("paper_id"), F.concat(F.lit("Title of "), "n_name").alias("title"))
     graph, counts = files.replayed(graph_fixture.load(spark, d), spark, path, papers=papers)
     some = files.replayed(graph_fixture.load(spark, d), spark, path, limit=7)[1].agg(F.lit("limited").alias("name"), F.sum("n").alias("n"))
@@ -106,7 +105,7 @@ def cache_replay(spark, d):
 
 
 def _folder(spark):
-    return f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    return scratch(spark, "files")
 
 
 @R.add("extraction_cache", "SELECT 'P' || s_suppkey AS paper_id, s_name AS paper_summary, CAST(1 AS INTEGER) AS entities FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey % 11 > 0")
@@ -165,5 +164,5 @@ def src_latex_tar(spark, d):
 def idea_results(spark, d):
     value = F.when(F.col("n_nationkey") % 2 == 0, F.to_json(F.struct(F.col("n_name").alias("idea"), F.array(F.lit("a"), F.col("n_name")).alias("related_experiments"), F.array(F.lit("e1"), F.lit("e2")).alias("entities"))))
     value = value.otherwise(F.to_json(F.struct(F.col("n_name").alias("idea"), F.lit("x\n\n y").alias("related_experiments"), F.col("n_name").alias("entities"))))
-    path = _files(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", value.alias("value")), f"{shared_dir(spark)}/files/{uuid.uuid4().hex}")
+    path = _files(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", value.alias("value")), scratch(spark, "files"))
     return files.idea_results(spark, path).select("idea", F.array_join("related_experiments", "|").alias("experiments"), F.replace("entities", F.lit("\n"), F.lit(";")).alias("entities"), "trend")

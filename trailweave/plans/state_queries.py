@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import crawl as K
@@ -11,7 +9,7 @@ from ..operators import documents as D
 from ..operators import lookups as L
 from ..operators import progress as G
 from ..sources import graph_fixture
-from ..sources.tables import shared_dir, written
+from ..sources.tables import scratch, written
 from ..streaming import ingest, status
 from ._registry import Registry
 from .write_queries import LINES, extractions
@@ -47,7 +45,7 @@ def progress_state(spark, d):
 def progress_stream(spark, d):
     """As ``progress_state``, from a stream of the events' files."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    path = scratch(spark, "streams")
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/[e]vents.parquet")
     status.track(ingest.updates_of(events), path).awaitTermination()
     return G.current(_registered(spark, d), status.state(spark, path, times=schema["ts"].dataType.simpleString()))
@@ -186,7 +184,7 @@ def export_json(spark, d):
 
 def _items(spark, d, text):
     """A stream of files with an extraction's text for each order."""
-    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    path = scratch(spark, "streams")
     found = extractions(spark, d).select("seq", text.alias("value"), F.lit(None).cast("string").alias("paper_id"), F.lit(None).cast("string").alias("published_date"))
     found.write.parquet(f"{path}/items")
     return path, spark.readStream.schema(ingest.ITEM).option("maxFilesPerTrigger", 4).parquet(f"{path}/items")

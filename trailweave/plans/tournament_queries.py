@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import tournament as M
 from ..sources import keyed_files
-from ..sources.tables import shared_dir, written
+from ..sources.tables import scratch, written
 from ._registry import Registry
 
 R = Registry()
@@ -37,11 +35,15 @@ def _ideas(spark, d):
     return part.select(F.concat(F.lit("T"), F.col("t").cast("string")).alias("tournament"), place.alias("idx"), F.concat(F.lit("P"), "p_partkey").alias("idea"), F.col("p_name").alias("title"), F.col("p_size").alias("size"))
 
 
-def _resolved(spark, d):
+def _asked(spark, d):
+    """All pairs with both ideas' sizes, of which answers are made."""
     ideas = _ideas(spark, d)
     size = lambda name: ideas.select("tournament", F.col("idea").alias(f"idea_{name}"), F.col("size").alias(f"size_{name}"))
-    raw = M.all_pairs(ideas).join(size("a"), ["tournament", "idea_a"]).join(size("b"), ["tournament", "idea_b"])
-    raw = raw.select("*", F.posexplode(F.array(*map(F.lit, M.METRICS))).alias("m", "metric"))
+    return M.all_pairs(ideas).join(size("a"), ["tournament", "idea_a"]).join(size("b"), ["tournament", "idea_b"])
+
+
+def _resolved(spark, d):
+    raw = _asked(spark, d).select("*", F.posexplode(F.array(*map(F.lit, M.METRICS))).alias("m", "metric"))
     answers = {k: (F.col(f"size_{x}") + F.col("seq") + F.col("m")) % 3 for k, x in (("ab", "a"), ("ba", "b"))}
     return M.swap_resolved(raw.withColumns(answers))
 
@@ -60,6 +62,17 @@ def swap_resolve(spark, d):
     return _resolved(spark, d).select("tournament", "seq", "metric", "winner", "score", "consistent")
 
 
+@R.add("swap_experiments", f"""WITH {SQL}, kinds(k, metric) AS (VALUES (0, 'feasibility'), (1, 'quality'), (2, 'clarity')), asked AS (SELECT tournament, seq, metric, (sa + seq + k) % 3 AS ab, (sb + seq + k) % 3 AS ba, idea_a || k AS said FROM pairs, kinds),
+told AS (SELECT *, ab = CASE ba WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS consistent FROM asked)
+SELECT tournament, seq, metric, CASE WHEN consistent AND ab = 0 THEN 'a' WHEN consistent AND ab = 1 THEN 'b' ELSE 'tie' END AS winner, CASE WHEN consistent THEN said ELSE 'Inconsistent results' END AS reasoning FROM told""")
+def swap_experiments(spark, d):
+    answers = _asked(spark, d)
+    for k, m in enumerate(M.EXPERIMENT_METRICS):
+        score = {x: (F.col(f"size_{y}") + F.col("seq") + k) % 3 for x, y in (("ab", "a"), ("ba", "b"))}
+        answers = answers.withColumns({f"{x}_{m}_{what}": value for x in ("ab", "ba") for what, value in (("score", score[x]), ("reasoning", F.concat("idea_a", F.lit(str(k)))))})
+    return M.experiments_resolved(answers).select("tournament", "seq", "metric", "winner", "reasoning")
+
+
 @R.add("swap_bias", f"WITH {SQL} SELECT tournament, metric, count(*) AS games, avg(consistent::INT) AS agreement, avg((ab = 0 AND ba = 0)::INT) AS first_twice FROM games GROUP BY ALL")
 def swap_bias(spark, d):
     return M.swap_bias(_resolved(spark, d))
@@ -97,7 +110,7 @@ def saved_evaluations(spark, d):
     ideas, rated = _ideas(spark, d), written(_rated(spark, d))
     overall = M.overall(rated).withColumn("overall", F.round("overall", 6))
     ranked = M.ranking(overall, ideas).join(ideas.select("idea", "title"), "idea")
-    path = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    path = scratch(spark, "files")
     keyed_files.write(M.evaluation_documents(ranked, rated.withColumn("rating", F.round("rating", 6)), F.lit("2024-01-31 08:09:10").cast("timestamp_ntz"), "none"), path)
     keyed_files.write(M.report_documents(M.pairwise_report(ranked, rated), "report.md"), path)
     found = keyed_files.read(spark, path)

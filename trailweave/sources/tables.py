@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_seen: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,17 +27,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    """The application's own folder; what is in it goes when the process ends in good order."""
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if path not in _seen:
+        _seen.add(path)
+        atexit.register(_clear_at_exit, spark, path)
+    return path
+
+
+def _clear_at_exit(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder for what a query writes on its way: files, streams, indexes."""
+    return f"{_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what reads it recomputes nothing, even if executors are lost."""
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all tables that this application has written; results that read them can't be computed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes all that this application has written so far; results that read it can't be computed any more."""
+    _delete(spark, _folder(spark))
