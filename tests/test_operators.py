@@ -74,6 +74,21 @@ def test_mermaid_text(small):
     assert text == "\n".join(["```mermaid", "graph LR", '  N1["One<br/>Summary=s1"]', '  N2["Two 2<br/>Summary=s2"]', "  N1 -- CITES<br/>citation_type=EXTENDS<br/>importance_score=5<br/>context=c --> N2", "```"])
 
 
+@pytest.mark.parametrize("name", context.LINES)
+def test_written_contexts(small, tmp_path, name):
+    import json
+
+    for target, folder in (("P1", "a"), ("P99", "b")):
+        lines = context.context_lines(small, target, 2, context.Options(graph_format=name, include_target_paper=True))
+        context.write_context(lines, name, str(tmp_path / folder))
+        text = "".join(p.read_text() for p in sorted((tmp_path / folder).glob("part-*.txt")))
+        if name == "json_graph":
+            found = [json.loads(x) for x in text.splitlines()]
+            lists = {k: [x[k] for x in found if k in x] for k in ("nodes", "edges", "paths")}
+            text = json.dumps(lists, indent=2, ensure_ascii=False) if found else ""
+        assert text.strip() == context.render(lines, name) and bool(text) == (target == "P1" or name in ("paths", "triples") and bool(text))
+
+
 def test_no_paths_render_nothing(small):
     for name in ("mermaid", "json_graph"):
         assert context.render(context.context_lines(small, "P99", 2, context.Options(graph_format=name)), name) == ""

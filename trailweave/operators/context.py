@@ -313,19 +313,31 @@ def context_lines(graph: Graph, target: str, k: int, options: Options | None = N
     return LINES[options.graph_format](written(prepared(graph, target, k, options)), graph, options)
 
 
+def shown_lines(lines: DataFrame, graph_format: str) -> DataFrame:
+    """The lines of ``context_lines`` that are shown: headings of sections without lines go, and so do formats without what they are for."""
+    sections = {r["section"] for r in lines.select("section").distinct().collect()}  # a handful of numbers
+    if graph_format in ("paths", "triples"):
+        return lines.where((F.col("section") % 2 == 1) | (F.col("section") + 1).isin(sorted(sections)))
+    needed = {"mermaid": 1, "narrative": 0, "json_graph": 2}[graph_format]
+    return lines if needed in sections else lines.limit(0)
+
+
 def render(lines: DataFrame, graph_format: str) -> str:
-    """The text of ``context_lines``; the options bound how many lines there are."""
-    rows = lines.orderBy("section", "ord").collect()
+    """The text of ``context_lines`` on the driver, for contexts that options bound (a prompt's); see ``write_context`` for others."""
+    rows = shown_lines(lines, graph_format).orderBy("section", "ord").collect()
     if graph_format == "json_graph":
         found = {name: [json.loads(r["line"]) for r in rows if r["section"] == k] for k, name in enumerate(("nodes", "edges", "paths"))}
-        if not found["paths"]:
-            return ""
-        return json.dumps(found, indent=2, ensure_ascii=False)
-    sections = {r["section"] for r in rows}
-    if graph_format in ("paths", "triples"):  # headings of sections without lines go
-        rows = [r for r in rows if r["section"] % 2 or r["section"] + 1 in sections]
-    elif graph_format == "mermaid" and 1 not in sections:
-        return ""
-    elif graph_format == "narrative" and 0 not in sections:
-        return ""
+        return json.dumps(found, indent=2, ensure_ascii=False) if rows else ""
     return "\n".join(r["line"] for r in rows).strip()
+
+
+def write_context(lines: DataFrame, graph_format: str, path: str) -> None:
+    """The lines as text files, which tasks sort and write by ranges: one after the other, by name, they are the text of ``render``.
+
+    Of ``json_graph`` each line is an object of its own, with the name of its list.
+    """
+    rows = shown_lines(lines, graph_format)
+    if graph_format == "json_graph":
+        name = F.element_at(F.array(F.lit("nodes"), F.lit("edges"), F.lit("paths")), F.col("section") + 1)
+        rows = rows.withColumn("line", F.concat(F.lit('{"'), name, F.lit('":'), F.col("line"), F.lit("}")))
+    rows.orderBy("section", "ord").select("line").write.text(path)
