@@ -142,7 +142,7 @@ def write_extracted(graph: Graph, extractions: DataFrame) -> Graph:
     are added, with a title where they have none; citations get the new properties.  The batch's changes are merged
     into the tables as a stream's layers are (see ``changes``); some of them are written while this is called.
     """
-    new = changes(extractions)
+    new = changes(written(extractions))
     old = {"paper": told_papers(graph.paper), "entity": graph.entity, "edge": graph.edge}
     both = {name: MERGES[name](old[name].withColumn("layer", F.lit(0)).unionByName(new[name].withColumn("layer", F.lit(1)))) for name in new}
     paper = shown_papers(both["paper"]).select(*graph.paper.columns, *(["claims"] if "claims" not in graph.paper.columns else []))
