@@ -1,5 +1,7 @@
 """Files by key: all of a write or none, and reading only what is asked for."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In, StringStartsWith
@@ -51,3 +53,24 @@ def test_a_write_that_fails_leaves_nothing(spark, tmp_path, bad):
     with pytest.raises(Exception, match="can't be the name|two rows"):
         keyed_files.write(spark.createDataFrame(rows, "key string, content string"), str(tmp_path))
     assert names(tmp_path) == ["kept"]
+
+
+def test_many_folders_are_listed_by_tasks(spark, tmp_path):
+    rows = [(f"T{k}/{name}", f"{k} {name}") for k in range(30) for name in ("a.json", "in/b.md")] + [("top", "t")]
+    keyed_files.write(spark.createDataFrame(rows, "key string, content string"), str(tmp_path))
+    parts = keyed_files.KeyedReader({"path": str(tmp_path), "files": "7"}).partitions()
+    assert [p.keys for p in parts if p.keys] == [["top"]] and max(len(p.folders) for p in parts) == 7 and sum(len(p.folders) for p in parts) == 30
+    found = spark.read.format(keyed_files.NAME).option("files", "7").load(str(tmp_path))
+    assert rows_of(found) == sorted((k, c.encode()) for k, c in rows)
+
+
+def test_tasks_move_what_is_written(spark, tmp_path):
+    """The driver gets the folders' names alone, and a move that runs again changes nothing."""
+    spark.dataSource.register(keyed_files.KeyedFiles)
+    rows = spark.createDataFrame([(f"T{k}/x", str(k)) for k in range(9)], "key string, content string")
+    rows.select("key", F.col("content").cast("binary").alias("content")).write.format(keyed_files.NAME).options(job="j", move="false").mode("append").save(str(tmp_path))
+    assert [n for n in names(tmp_path) if not n.startswith("_staging/j/")] == []
+    folders = json.loads((tmp_path / "_staging/j/_folders").read_text())
+    for folder in folders + folders:
+        keyed_files._move(str(tmp_path), folder)
+    assert [n for n in names(tmp_path) if not n.startswith("_")] == sorted(f"T{k}/x" for k in range(9))
