@@ -30,3 +30,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 20
+
+
+def test_report_single_ranks_once(spark):
+    """Ranks are written, so that no task sorts for ranks and for the report's lines at once."""
+    plan = plans.queries()["report_single"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "DESC NULLS LAST" not in plan and "pivotfirst" not in plan.lower()

@@ -125,7 +125,7 @@ def single_report(ranked: DataFrame, scores: DataFrame) -> DataFrame:
     """Lines of the report on absolute scores: section 0 the table of ranks, section 1 the metrics by idea."""
     from ..functions import text as T
 
-    wide = scores.groupBy("tournament", "idea").pivot("metric", list(METRICS)).agg(F.first("score"))
+    wide = scores.groupBy("tournament", "idea").agg(*(F.max(F.when(F.col("metric") == m, F.col("score"))).alias(m) for m in METRICS))
     cells = [F.coalesce(F.col(m).cast("string"), F.lit("-")) for m in METRICS]
     title = F.coalesce(F.nullif("title", F.lit("")), "idea")
     rows = ranked.join(wide, ["tournament", "idea"]).select("tournament", F.lit(0).alias("section"), F.col("rank").alias("ord"), F.lit(0).alias("sub"), F.concat(F.format_string("| %d | %s | %s | ", "rank", title, T.fixed1(F.col("overall"))), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

@@ -142,7 +142,7 @@ UNION ALL SELECT tournament, 1, rank, CAST(m + 1 AS INTEGER), '- **' || upper(me
 def report_single(spark, d):
     ideas, scored = _ideas(spark, d), _scored(spark, d).withColumn("reasoning", F.lit("because"))
     ranked = M.ranking(M.overall(scored, "score"), ideas).join(ideas.select("idea", "title"), "idea")
-    return M.single_report(ranked, scored)
+    return M.single_report(written(ranked.select("tournament", "idea", "title", "overall", "rank")), scored)
 
 
 @R.add("proposal_source_map", f"WITH {SQL} SELECT tournament, idx, idea, CASE WHEN p_size % 4 = 1 THEN 'coi' WHEN p_size % 4 = 2 THEN 'target_paper' ELSE 'graph' END AS source, p_size % 4 = 2 AS is_target FROM ideas")
