@@ -43,3 +43,16 @@ def test_extraction_text(spark):
     got = [r[0] for r in spark.createDataFrame(rows, schema).select(I.extraction_text(F.col("s"), F.col("c"), F.col("e"), F.col("p"))).collect()]
     want = [I.NOTE, "Paper summary:\nSum", "Claims:\n- c1\n- c2", "Key methods/approaches:\n- A\n- B", "Datasets/benchmarks:\n- D", "Comparison baselines (from citations):\n- Reference #3\n- T", "Key entities:\n- B (Method)\n- A (Method): d\n- D (Dataset)"]
     assert got == ["\n\n".join(want), I.NOTE]
+
+
+def test_archives_are_made_without_a_group_for_each(spark):
+    import io
+    import tarfile
+
+    from trailweave.plans.idea_queries import _archives
+
+    rows = spark.createDataFrame([("P1", [("b.tex", "ä"), ("a.bbl", "")]), ("P2", [])], "paper_id string, files array<struct<name: string, body: string>>")
+    made = _archives(rows)
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    found = {r["key"]: [(m.name, m.size) for m in tarfile.open(fileobj=io.BytesIO(bytes(r["content"]))).getmembers()] for r in made.collect()}
+    assert found == {"P1.tar.gz": [("a.bbl", 0), ("b.tex", 2)], "P2.tar.gz": []}

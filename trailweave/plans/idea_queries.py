@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import ideas as I
@@ -121,18 +121,23 @@ def extraction_cache(spark, d):
 
 
 def _archives(rows):
-    """Archives (key, content) of the files of each paper: rows (paper_id, name, body)."""
+    """Archives (key, content) of the files of each paper: rows (paper_id, files), each a list of name and body."""
 
-    def run(batch):
+    def archive(files):
         out = io.BytesIO()
         with tarfile.open(fileobj=out, mode="w:gz") as tar:
-            for name, body in sorted(zip(batch["name"], batch["body"], strict=True)):
-                info = tarfile.TarInfo(name)
-                info.size = len(body.encode())
-                tar.addfile(info, io.BytesIO(body.encode()))
-        return pd.DataFrame({"key": [f"{batch['paper_id'].iloc[0]}.tar.gz"], "content": [out.getvalue()]})
+            for f in sorted(files, key=lambda f: f["name"]):
+                body = f["body"].encode()
+                info = tarfile.TarInfo(f["name"])
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body))
+        return out.getvalue()
 
-    return rows.groupBy("paper_id").applyInPandas(run, "key string, content binary")
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{p}.tar.gz" for p in batch.column("paper_id").to_pylist()], pa.string()), pa.array(map(archive, batch.column("files").to_pylist()), pa.binary())], ["key", "content"])
+
+    return rows.repartition("paper_id").mapInArrow(run, "key string, content binary")
 
 
 def _papers(spark, d):
@@ -140,7 +145,7 @@ def _papers(spark, d):
     path, supplier = _folder(spark), spark.read.parquet(f"{d}/supplier.parquet").withColumn("paper_id", F.concat(F.lit("P"), "s_suppkey"))
     body = lambda name, text: F.struct(F.lit(name).alias("name"), text.alias("body"))
     own = F.array(body("long.tex", F.repeat(F.lit("x"), 99)), body("r.bbl", F.concat(F.lit("\\bibitem{a} By \\emph{"), "s_name", F.lit("}"))), F.when(F.col("s_suppkey") % 4 == 0, body("src/main.tex", F.concat(F.lit("tex of "), "s_name"))))
-    keyed_files.write(_archives(supplier.where("s_suppkey % 2 = 0").select("paper_id", F.explode(F.filter(own, lambda x: x.isNotNull())).alias("f")).select("paper_id", "f.*")), path)
+    keyed_files.write(_archives(supplier.where("s_suppkey % 2 = 0").select("paper_id", F.filter(own, lambda x: x.isNotNull()).alias("files"))), path)
     pdf = F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("%PDF-1 "), "s_name")).otherwise("no document")
     keyed_files.write(supplier.select(F.concat("paper_id", F.lit(".pdf")).alias("key"), pdf.alias("content")), path)
     keyed_files.write(supplier.where("s_suppkey % 3 = 0").select(F.concat("paper_id", F.lit(".json")).alias("key"), F.to_json(F.struct(F.lit("2020-02-03T00:00:00").alias("published_date"))).alias("content")), path)
