@@ -56,3 +56,19 @@ def test_a_search_reads_its_lists_alone(index):
     assert not any(x in plan for x in ("NestedLoop", "Cartesian"))
     assert "NestedLoop" not in index.within(["same name"])._jdf.queryExecution().executedPlan().toString()
     assert index.rarest(["same name", "abc"])["same name"] in {"sam", "ame", "me ", "e n", " na", "nam"} and index.rarest(["zzzz"]) == {"zzzz": None}
+
+
+def test_a_search_with_a_limit_has_the_first_rows(spark, tmp_path):
+    """Neighbours are looked up for the first nodes alone, and relationships are computed once for both directions."""
+    from trailweave.operators import paths
+    from trailweave.sources import graph_fixture
+
+    sf = "/root/testdata/sf0.001"
+    g = graph_fixture.load(spark, sf, dates=False)
+    index = NameIndex.write(lookups.names(g).select("id", "name"), str(tmp_path))
+    every = sorted(((r["id"], r["key"] is None, r["key"] or "", r["neighbour"] or "") for r in lookups.keyword_search(g, "brand#2", index).collect()))
+    for limit in (1, 7, 60):
+        some = [(r["id"], r["key"] is None, r["key"] or "", r["neighbour"] or "") for r in lookups.keyword_search(g, "brand#2", index, limit=limit).collect()]
+        assert sorted(some) == every[:limit]
+    assert "Union" not in paths.both_ways(spark.createDataFrame([("a", "b", "X", "Y", "k")], "src string, dst string, src_label string, dst_label string, key string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in lookups.names(g).select("id", "name")._jdf.queryExecution().optimizedPlan().toString()

@@ -45,15 +45,22 @@ def names(graph: Graph) -> DataFrame:
     return paper.unionAll(graph.entity.select("id", text("Entity"), "name", "type", text(), "description", text()))
 
 
-def keyword_search(graph: Graph, keyword: str, index: NameIndex) -> DataFrame:
+def keyword_search(graph: Graph, keyword: str, index: NameIndex, limit: int | None = None) -> DataFrame:
     """Nodes whose title or name contains a keyword in any case, with each neighbour over either direction, if any.
 
     ``index`` has the nodes' names (see ``names``): what is read of it are the lists of the keyword's rarest trigram.
+    With ``limit``, the first rows by id, key and neighbour, in that order: as each node gives a row at least, they are
+    those of as many first ids, and neighbours are looked up for these alone.
     """
     hit = index.containing([keyword]).select("id")
+    if limit is not None:
+        hit = F.broadcast(hit.distinct().orderBy("id").limit(limit))
     found = names(graph).select("id", "label", "name").join(hit, "id", "left_semi")
     around = both_ways(graph.edge).select(F.col("src").alias("id"), F.col("type").alias("rel"), F.col("dst").alias("neighbour"), "key")
-    return found.join(around, "id", "left")
+    if limit is None:
+        return found.join(around, "id", "left")
+    around = around.join(hit, "id", "left_semi")
+    return found.join(around, "id", "left").orderBy(F.asc("id"), F.asc_nulls_last("key"), F.asc_nulls_last("neighbour")).limit(limit)
 
 
 def display_names(nodes: DataFrame) -> DataFrame:

@@ -29,9 +29,11 @@ def edge_weight(kind: F.Column, importance: F.Column, citation: F.Column) -> F.C
 
 
 def both_ways(edge: DataFrame) -> DataFrame:
-    """Each relationship in both directions, under its one key."""
-    back = edge.withColumns({"src": F.col("dst"), "dst": F.col("src"), "src_label": F.col("dst_label"), "dst_label": F.col("src_label")})
-    return edge.unionByName(back.select(*edge.columns))
+    """Each relationship in both directions, under its one key; the relationships are computed once."""
+    rest = [F.col(c) for c in edge.columns if c not in ("src", "dst", "src_label", "dst_label")]
+    there = F.struct("src", "dst", "src_label", "dst_label")
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_label").alias("src_label"), F.col("src_label").alias("dst_label"))
+    return edge.select(F.explode(F.array(there, back)).alias("way"), *rest).select("way.*", *rest).select(*edge.columns)
 
 
 def expand(edge: DataFrame, start: str, k: int, label: str = "Paper", return_to_start: bool = False, keep: Callable[[DataFrame, int], DataFrame] | None = None, store: bool = True) -> DataFrame:

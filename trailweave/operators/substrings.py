@@ -23,9 +23,9 @@ def grams(text: Column) -> Column:
 
 @dataclass
 class NameIndex:
-    """Lists of names by trigram, in a folder: ``postings`` (gram, id, name, whether it begins the name), sorted by gram, and ``counts`` (gram, n).
+    """Lists of names by trigram, in a folder: ``postings`` (gram, id, name, whether it begins the name), each file sorted by gram, and ``counts`` (gram, n).
 
-    Names are in lower case.  A search reads the row groups of its own grams' lists alone, and verifies what it finds.
+    Lists are dealt out over all files, so that no file has a frequent one alone and nothing is read before to find ranges.  Names are in lower case.  A search reads the row groups of its own grams' lists alone, and verifies what it finds.
     """
 
     spark: SparkSession
@@ -36,7 +36,7 @@ class NameIndex:
         """Index of names (id, name); null names are on no list, repeated rows on theirs as often."""
         lower = names.where("name is not null").select("id", F.lower("name").alias("name"))
         rows = lower.select("id", "name", F.explode(grams(F.col("name"))).alias("gram")).withColumn("head", F.startswith("name", "gram"))
-        rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        rows.repartition("gram", "id").sortWithinPartitions("gram").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
         found = cls(names.sparkSession, path)
         found.postings.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{path}/counts")
         return found

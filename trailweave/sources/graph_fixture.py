@@ -29,11 +29,12 @@ def edge_key(src: str = "src", kind: str = "type", dst: str = "dst") -> F.Column
     return F.concat_ws(">", src, kind, dst)
 
 
-def load(spark: SparkSession, sf_dir: str) -> Graph:
+def load(spark: SparkSession, sf_dir: str, dates: bool = True) -> Graph:
+    """The graph; without ``dates`` those of papers are null, and what reads papers alone reads no lines."""
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     part, line = table("part"), table("lineitem")
-    dates = line.groupBy("l_partkey").agg(F.min("l_shipdate").alias("day"))
-    paper = part.join(dates, part.p_partkey == dates.l_partkey, "left").select(
+    first = line.groupBy("l_partkey").agg(F.min("l_shipdate").alias("day"))
+    paper = (part.join(first, part.p_partkey == first.l_partkey, "left") if dates else part.withColumn("day", F.lit(None).cast("timestamp"))).select(
         F.concat(F.lit("P"), "p_partkey").alias("id"),
         F.concat_ws(" ", "p_name", "p_brand").alias("title"),
         F.col("p_type").alias("summary"),
@@ -62,9 +63,9 @@ def load(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(paper, entity, edge)
 
 
-def load_for_paths(spark: SparkSession, sf_dir: str) -> Graph:
+def load_for_paths(spark: SparkSession, sf_dir: str, dates: bool = True) -> Graph:
     """As ``load``, with the edges written once, as each hop of a path reads them."""
-    graph = load(spark, sf_dir)
+    graph = load(spark, sf_dir, dates)
     return replace(graph, edge=written(graph.edge))
 
 
