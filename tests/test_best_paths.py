@@ -53,3 +53,12 @@ def test_bounds_are_never_too_low(spark):
     more = [{r["node"]: r["more"] for r in b.collect()} for b in paths.bounds(edge, 3)]
     for row in paths.expand(edge, "N2", 3, return_to_start=True).select("weight", "hops").withColumn("gain", F.col("weight") - 2 * F.col("hops")).collect():
         assert row["gain"] <= more[row["hops"] - 1].get("N2", 0.0)
+
+
+def test_paths_that_go_on_are_written(spark):
+    """The next hop's join so knows that they are few, and doesn't deal out all relationships."""
+    from trailweave.operators import paths
+
+    edge = spark.createDataFrame([("A", "B", "CITES", "Paper", "Paper", 1, "USES", None, "A>CITES>B"), ("B", "C", "CITES", "Paper", "Paper", 1, "USES", None, "B>CITES>C")], "src string, dst string, type string, src_label string, dst_label string, importance_score int, citation_type string, context string, key string")
+    found = paths.expand(edge, "A", 2)
+    assert any("/table-" in f for f in found.inputFiles()) and sorted(r["node"] for r in found.collect()) == ["B", "C"]

@@ -42,8 +42,8 @@ def expand(edge: DataFrame, start: str, k: int, label: str = "Paper", return_to_
     Columns: node, node_label, hops, route (node ids), labels, keys (of relationships), rels (type, importance,
     citation type and context of each), weight (sum of ``edge_weight``).  Unless ``return_to_start``, no path comes back
     to its first node.  Each hop is an equi-join on a node id; which paths to drop is decided hop by hop, and only ids
-    and what scores need is carried along.  Paths of 2 hops and more that go on are written while this is called, so that
-    none is found twice, unless ``store`` is False.  ``keep`` may drop paths of each hop, given how many hops are left.
+    and what scores need is carried along.  Paths that go on are written while this is called, so that none is found twice
+    and the next hop's join knows how few they are, unless ``store`` is False.  ``keep`` may drop paths of each hop, given how many hops are left.
     """
     rel = F.struct(F.col("type"), F.col("importance_score").alias("importance"), F.col("citation_type").alias("citation"), F.col("context"))
     hop = edge.select("src", "dst", "dst_label", "key", rel.alias("rel"), edge_weight(F.col("type"), F.col("importance_score"), F.col("citation_type")).alias("w"))
@@ -59,7 +59,7 @@ def expand(edge: DataFrame, start: str, k: int, label: str = "Paper", return_to_
     for left in range(k - 1, -1, -1):
         if keep:
             levels[-1] = keep(levels[-1], left)
-        if 2 <= len(levels) < k and store:  # read by the next hop and with the rest
+        if len(levels) < k and store:  # read by the next hop and with the rest
             levels[-1] = written(levels[-1])
         if not left:
             break

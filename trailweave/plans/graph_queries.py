@@ -124,7 +124,7 @@ def edge_endpoint_check(spark, d):
 @R.add("path_highlight_match", walk() + f""", names AS (SELECT * FROM {NAMES}), hit AS (SELECT n.id, n.name FROM names n JOIN (SELECT DISTINCT unnest(route) AS id FROM ranked WHERE rank <= 3) USING (id))
 SELECT n.id, n.name FROM names n WHERE EXISTS (SELECT 1 FROM hit h WHERE h.id = n.id OR contains(lower(n.name), lower(h.name)) OR contains(lower(h.name), lower(n.name)))""")
 def path_highlight_match(spark, d):
-    g = graph_fixture.load_for_paths(spark, d)
+    g = graph_fixture.load_for_paths(spark, d, dates=False)
     best = P.candidates(P.expand(g.edge, "P1", 3)).orderBy(*P.rank_order()).limit(3)
     hit = best.select(F.explode("route").alias("id")).distinct().join(L.names(g), "id")
     return L.highlight(L.names(g).select("id", "name"), hit, _name_index(spark, g))
