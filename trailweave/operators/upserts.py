@@ -77,8 +77,10 @@ def resolved_relations(extractions: DataFrame, entities: DataFrame | None = None
 
 
 def citations_of(extractions: DataFrame) -> DataFrame:
-    rows = extractions.select("seq", F.col("paper_id").alias("src"), F.posexplode("cited_papers").alias("place", "c")).select("seq", "place", "src", "c.*")
-    return rows.withColumns({"dst": T.paper_id(F.col("title")), "context": F.coalesce("context", F.lit(""))})
+    """A row for each cited paper of each extraction; only titles beyond ASCII, which may have to be composed, go through Python."""
+    rows = extractions.select("seq", F.col("paper_id").alias("src"), F.posexplode("cited_papers").alias("place", "c")).select("seq", "place", "src", "c.*").withColumn("context", F.coalesce("context", F.lit("")))
+    beyond = F.coalesce(F.col("title").rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return rows.where(~beyond).withColumn("dst", T.paper_id(F.col("title"), compose=False)).unionAll(rows.where(beyond).withColumn("dst", T.paper_id(F.col("title"))))
 
 
 def changes(extractions: DataFrame) -> dict[str, DataFrame]:

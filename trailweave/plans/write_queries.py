@@ -15,17 +15,21 @@ _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_ret
 
 
 def extractions(spark, d):
-    """An extraction for each order with lines: lines are entities, relations to the next line's, and cited papers."""
+    """An extraction for each order with lines: lines are entities, relations to the next line's, and cited papers.
+
+    Lines are dealt out by order before they are gathered (an order's few lines gain nothing from lists made earlier), and each name is made once.
+    """
     table = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
-    lines = table("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_ORDER.split(", ")))).alias("lines"))
+    lines = table("lineitem").repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*_ORDER.split(", ")))).alias("lines"))
     found = table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    name = lambda x: F.concat(F.lit("Thing "), (x["l_suppkey"] % 40).cast("string"))
-    entity = lambda x: F.struct(F.when(x["l_returnflag"] == "A", "Method").when(x["l_returnflag"] == "N", "Dataset").otherwise("Task").alias("type"), name(x).alias("name"), x["l_linestatus"].alias("description"))
-    relation = lambda x, i: F.struct(name(x).alias("source"), F.concat(name(F.get("lines", i + 1)), F.when(x["l_quantity"] > 25, "?").otherwise("")).alias("target"), F.when(x["l_linestatus"] == "F", " uses ").otherwise("1 bad").alias("relation_type"))
+    found = found.withColumn("names", F.transform("lines", lambda x: F.concat(F.lit("Thing "), (x["l_suppkey"] % 40).cast("string"))))
+    entity = lambda x, name: F.struct(F.when(x["l_returnflag"] == "A", "Method").when(x["l_returnflag"] == "N", "Dataset").otherwise("Task").alias("type"), name.alias("name"), x["l_linestatus"].alias("description"))
+    relation = lambda x, i: F.struct(F.get("names", i).alias("source"), F.concat(F.get("names", i + 1), F.when(x["l_quantity"] > 25, "?").otherwise("")).alias("target"), F.when(x["l_linestatus"] == "F", " uses ").otherwise("1 bad").alias("relation_type"))
     cited = lambda x: F.struct(F.concat(F.lit("Title  Nr "), x["l_partkey"].cast("string")).alias("title"), (1 + x["l_partkey"] % 5).cast("int").alias("importance_score"), x["l_returnflag"].alias("citation_type"), F.lit(None).cast("string").alias("context"))
+    related = F.transform(F.slice("lines", 1, F.size("lines") - 1), relation)  # the last line has no next one
     return found.select(
         F.col("o_orderkey").alias("seq"), F.concat(F.lit("P"), "o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("paper_summary"), F.array("o_orderstatus", "o_orderpriority").alias("claims"),
-        F.transform("lines", entity).alias("entities"), F.filter(F.transform("lines", relation), lambda r: r["target"].isNotNull()).alias("relations"), F.transform("lines", cited).alias("cited_papers"),
+        F.zip_with("lines", "names", entity).alias("entities"), F.filter(related, lambda r: r["target"].isNotNull()).alias("relations"), F.transform("lines", cited).alias("cited_papers"),
     )
 
 
