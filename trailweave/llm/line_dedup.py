@@ -8,12 +8,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._columns import free_names
 from ._store import drop, release, stored
-from ._text import WORDS, _power, buffers, hashes, mix, owners, pieces, spans, word_hashes
+from ._text import WORDS, _power, buffers, flat, hashes, mix, owners, pieces, spans, word_hashes
 
 _LAST = np.iinfo(np.int64).max
 _BITS = 27  # of the bitmap of classes that are candidates: 16 MB
@@ -125,11 +126,14 @@ class Lines:
 
     def sets(self, rarity: Rarity | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Distinct words of each line, rarest first, and the lines' offsets among them."""
-        words, which = np.unique(self.hash, return_inverse=True)
+        told = pa.array(self.hash).dictionary_encode()  # by hash; a sort that keeps places takes several times as long
+        words, which = np.asarray(told.dictionary), np.asarray(told.indices)
+        by_hash = np.argsort(words)  # sorted ones are found faster
+        words = words[by_hash]
         keys = rarity.keys(words) if rarity else words
         order = np.argsort(keys)
         place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place[by_hash[order]] = np.arange(len(order))
         both = np.sort((owners(self.ends) << 32) | place[which])
         both = both[np.diff(both, prepend=-1) != 0]
         return keys[order][both & 0xFFFFFFFF], np.searchsorted(both >> 32, np.arange(len(self.ends)))
@@ -140,11 +144,12 @@ def _order(batch: pa.RecordBatch) -> np.ndarray:
     return np.asarray(batch.column("doc_id").cast(pa.int64()).fill_null(_LAST))
 
 
-def _firsts(lines: Lines, doc: np.ndarray) -> Lines:
-    """The first line of each class among some lines."""
+def _firsts(lines: Lines, doc: np.ndarray) -> tuple[Lines, np.ndarray]:
+    """The first line of each class among some lines, and whether there are more of it."""
     order = np.lexsort((lines.number, doc[lines.row]))
-    _, at = np.unique((lines.cls ^ mix(lines.sub))[order], return_index=True)
-    return lines.take(np.sort(order[at]))
+    _, at, n = np.unique((lines.cls ^ mix(lines.sub))[order], return_index=True, return_counts=True)
+    at, by_line = order[at], np.argsort(order[at])
+    return lines.take(at[by_line]), n[by_line] > 1
 
 
 @dataclass
@@ -166,8 +171,21 @@ class Threshold:
         return self.least(total, self.t / (1 + self.t))
 
 
-#: Columns of what prefixes emit, each an array's bytes: one value for each row.
-ROW = {"word": np.int64, "salt": np.int64, "place": np.int32, "size": np.int32, "cls": np.int64, "doc": np.int64, "line": np.int32, "bits0": np.uint64, "bits1": np.uint64}
+#: Columns of what prefixes emit, each an array's bytes: one value for each row.  ``again``: the piece has more lines of the class.
+ROW = {"word": np.int64, "salt": np.int64, "place": np.int32, "size": np.int32, "cls": np.int64, "doc": np.int64, "line": np.int32, "bits0": np.uint64, "bits1": np.uint64, "again": np.int8}
+_WIDTH = sum(np.dtype(kind).itemsize for kind in ROW.values())
+
+
+def _pack(rows: dict[str, np.ndarray]) -> bytes:
+    return b"".join(np.ascontiguousarray(rows[c], kind).tobytes() for c, kind in ROW.items())
+
+
+def _unpack(data: pa.Buffer) -> dict[str, np.ndarray]:
+    n, at, rows = len(data) // _WIDTH, 0, {}
+    for c, kind in ROW.items():
+        rows[c] = np.frombuffer(data, kind, n, at)
+        at += rows[c].nbytes
+    return rows
 
 
 def _groups(word: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -195,7 +213,7 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, g
                 if wanted is not None and len(lines.cls):  # keys end with the same bits
                     hit = in_bitmap(wanted.value, (lines.hash >> np.uint64(8)).view(np.int64))
                     lines = lines.take(np.flatnonzero(np.logical_or.reduceat(hit, lines.ends[:-1])))
-                lines = _firsts(lines, doc)
+                lines, again = _firsts(lines, doc)
                 if not len(lines.cls):
                     continue
                 words, ends = lines.sets(order)
@@ -228,7 +246,7 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, g
                 some_buckets, starts = np.unique(bucket[sort], return_index=True)
                 starts = np.append(starts, len(sort))
                 at = at[sort]
-                columns = [word[sort], salt[sort], place[some][sort], size[at], lines.cls[at].view(np.int64), doc[lines.row[at]], lines.number[at], bits[0][at], bits[1][at]]
+                columns = [word[sort], salt[sort], place[some][sort], size[at], lines.cls[at].view(np.int64), doc[lines.row[at]], lines.number[at], bits[0][at], bits[1][at], again[at]]
                 kinds, cuts = list(ROW.values()), [starts] * len(ROW)
                 if wanted is not None:
                     n_words = size[at]
@@ -375,15 +393,74 @@ def _by_task(packed: DataFrame, buckets: int, most_tasks: int = 20_000) -> DataF
     return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket")
 
 
+def _repeated(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Classes that have several lines, and maybe a few others; all lines of a class meet under their rarest word, or are the only ones with it."""
+    some = rows["place"] == 0
+    cls, n = np.unique(rows["cls"][some], return_counts=True)
+    return np.union1d(cls[n > 1], rows["cls"][some & (rows["again"] != 0)])
+
+
+def _whole_groups(rows: dict[str, np.ndarray], some: np.ndarray, most: int = 1 << 17) -> Iterator[bytes]:
+    """All rows of the groups of ``some`` rows, packed, about ``most`` at a time."""
+    key = _groups(rows["word"], rows["salt"])
+    at = np.flatnonzero(np.isin(key, np.unique(key[some])))
+    at = at[np.argsort(key[at], kind="stable")]
+    fresh = np.flatnonzero(np.diff(key[at], prepend=key[at][:1] + np.uint64(1))) if len(at) else at
+    i = 0
+    while i < len(at):
+        stops = fresh[np.searchsorted(fresh, i + most) :]
+        j = int(stops[0]) if len(stops) else len(at)
+        yield _pack({c: rows[c][at[i:j]] for c in ROW})
+        i = j
+
+
 def candidates(packed: DataFrame, threshold: Threshold, limit: int, buckets: int) -> DataFrame:
-    """Pairs (``later``, ``earlier``) of classes that pass all filters in the group of some ``word``; ``cut``: there may be more."""
+    """Pairs (``later``, ``earlier``) of classes that pass all filters in the group of some ``word``; ``cut``: there may be more.
+
+    Other rows have no ``earlier``: those of classes ``later`` with several lines, and those of ``rows``, all rows of
+    the groups where pairs were cut.
+    """
+    names = ["later", "earlier", "cut", "word", "rows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_bucket(batches, ROW):
             x, y, cut = pair_up(rows, threshold, limit)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["cls"][x]), pa.array(rows["cls"][y]), pa.array(cut), pa.array(rows["word"][x])], ["later", "earlier", "cut", "word"])
+            none = pa.nulls(len(x), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(rows["cls"][x]), pa.array(rows["cls"][y]), pa.array(cut), pa.array(rows["word"][x]), none], names)
+            several = pa.array(_repeated(rows))
+            yield pa.RecordBatch.from_arrays([several, *(pa.nulls(len(several), kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names)
+            for data in _whole_groups(rows, x[cut]):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, kind) for kind in (pa.int64(), pa.int64(), pa.bool_(), pa.int64())), pa.array([data], pa.binary())], names)
+
+    return _by_task(packed, buckets).mapInArrow(run, "later bigint, earlier bigint, cut boolean, word bigint, rows binary")
 
-    return _by_task(packed, buckets).mapInArrow(run, "later bigint, earlier bigint, cut boolean, word bigint")
+
+def _held(asked: DataFrame, most: int):
+    """The classes ``asked``, broadcast; nothing if there are more than ``most``."""
+    if asked.count() > most:
+        return None
+    return asked.sparkSession.sparkContext.broadcast(np.asarray(asked.select("cls").toArrow().column("cls").combine_chunks()).view(np.uint64))
+
+
+def meeting(groups: DataFrame, threshold: Threshold, asked: DataFrame, wanted, most_asked: int = 2_000_000) -> DataFrame:
+    """The documents (``doc``) of those classes ``asked`` and those earlier ones that pass the filters in the groups of ``wanted`` words.
+
+    ``groups`` has whole groups as ``rows``.  A class stands for its first line.
+    """
+    held = _held(asked, most_asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("rows"):
+                rows = _unpack(data.as_buffer())
+                some = in_bitmap(wanted.value, rows["word"])
+                if not some.any():
+                    continue
+                rows = {c: x[some] for c, x in rows.items()}
+                x, y, _ = pair_up(rows, threshold, None, None if held is None else held.value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(rows["doc"][np.concatenate((x, y))]))], ["doc"])
+
+    return groups.select("rows").mapInArrow(run, "doc bigint").distinct()
 
 
 def settled(packed: DataFrame, threshold: Threshold, asked: DataFrame, buckets: int, most_asked: int = 2_000_000) -> DataFrame:
@@ -392,9 +469,7 @@ def settled(packed: DataFrame, threshold: Threshold, asked: DataFrame, buckets:
     The rows have whole sets, so that pairs are verified where they meet.  Up to ``most_asked`` classes go to all tasks;
     of more, every line looks for earlier ones, and a join keeps those asked for.
     """
-    held = None
-    if asked.count() <= most_asked:
-        held = packed.sparkSession.sparkContext.broadcast(np.asarray(asked.select("cls").toArrow().column("cls").combine_chunks()).view(np.uint64))
+    held = _held(asked, most_asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_bucket(batches, ROW | {"sub": np.int64, "sets": np.int64}):
@@ -422,20 +497,22 @@ def in_bitmap(bitmap: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return (bitmap[low // 32768, at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1
 
 
-def described(documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """All lines with words: ``doc`` to order by, the text's ``hash``, the line's number ``line``, its class (``cls``, ``sub``).
+def described(documents: DataFrame, classes: DataFrame, several: DataFrame) -> DataFrame:
+    """All lines of the ``classes`` asked for and of those with ``several`` lines: ``doc`` to order by, the text's ``hash``, the line's number ``line``, its class (``cls``, ``sub``).
 
-    Lines of the ``classes`` asked for also have their distinct ``words``, once for each piece of texts; so have a few others, as
-    these are told by a bitmap of fixed size.
+    Those of the ``classes`` asked for also have their distinct ``words``, once for each piece of texts.  There are a few other
+    lines, as classes are told by bitmaps of fixed size.
     """
-    held = documents.sparkSession.sparkContext.broadcast(class_bitmap(classes))
+    asked = class_bitmap(classes)
+    held = documents.sparkSession.sparkContext.broadcast((asked, asked | class_bitmap(several)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = held.value
+        bitmap, either = held.value
         for batch in batches:
             for i, j in pieces(batch.column("text")):
                 part = batch.slice(i, j - i)
                 lines = Lines.of(part.column("text"))
+                lines = lines.take(np.flatnonzero(in_bitmap(either, lines.cls.view(np.int64))))
                 _, at = np.unique(lines.cls ^ mix(lines.sub), return_index=True)
                 at = np.sort(at[in_bitmap(bitmap, lines.cls[at].view(np.int64))])
                 words, ends = lines.take(at).sets()
@@ -451,13 +528,21 @@ def described(documents: DataFrame, classes: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "doc bigint, hash bigint, line int, cls bigint, sub bigint, words array<bigint>")
 
 
+def _of(documents: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """Those ``documents`` whose order (see ``_order``) is some ``doc`` of ``ids``; up to ``most`` go to all tasks, so that no text is shuffled."""
+    (doc,) = free_names(documents, "doc")
+    ids = ids.toDF(doc)
+    given = documents.withColumn(doc, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)))
+    return given.join(F.broadcast(ids) if ids.count() <= most else ids, doc, "left_semi").drop(doc)
+
+
 def similar_classes(documents: DataFrame, threshold: float = 0.8, table_words: int = 2_000_000, group: int = 200_000, bucket_words: int = 1_000_000, limit: int = 2) -> tuple[DataFrame, DataFrame]:
-    """All lines (see ``described``), and the classes of which an earlier line of another class has a Jaccard similarity of ``threshold`` or more.
+    """Lines of all classes that have several or meet others (see ``described``), and the classes of which an earlier line of another class has a Jaccard similarity of ``threshold`` or more.
 
     A class is the lines with the same words in the same order (a 128-bit hash of the words' 64-bit ones); its place is
     that of its first line.  At first each line has up to ``limit`` candidates in each group, and their sets are compared.
-    For the few lines whose candidates all fail where there may be more, the groups in which that was so are read
-    again, with whole sets and no limit.
+    For the few lines whose candidates all fail where there may be more, the groups in which that was so are searched
+    again without a limit, and the documents of the lines that meet there are read again for whole sets.
     """
     spark = documents.sparkSession
     limits = Threshold(Fraction(str(threshold)))
@@ -469,26 +554,32 @@ def similar_classes(documents: DataFrame, threshold: float = 0.8, table_words: i
     release(spark)
     raw = stored(candidates(prefixes(documents, rarity, limits, buckets, group), limits, limit, buckets))
     release(spark)
-    asked = stored(raw.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct())
-    lines = stored(described(documents, asked))
+    pairs = raw.where("earlier is not null").select("later", "earlier", "cut", "word")
+    asked = stored(pairs.select(F.explode(F.array("later", "earlier")).alias("cls")).distinct())
+    lines = stored(described(documents, asked, raw.where("later is not null and earlier is null").select(F.col("later").alias("cls"))))
     sets = lines.where("words is not null").select("cls", "sub", "words").join(asked, "cls", "left_semi")
     sets = stored(sets.groupBy("cls", "sub").agg(F.first("words").alias("words")))
     a, b = sets.toDF("later", "sub", "a"), sets.select(F.col("cls").alias("earlier"), F.col("words").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
     part, whole = limits.t.numerator, limits.t.denominator
     true = (whole * common >= part * (F.size("a") + F.size("b") - common)).alias("similar")
-    seen = raw.select("later", "earlier").distinct().join(a, "later").join(b, "earlier").select(F.col("later").alias("cls"), "sub", true)
+    seen = pairs.select("later", "earlier").distinct().join(a, "later").join(b, "earlier").select(F.col("later").alias("cls"), "sub", true)
     seen = stored(seen.groupBy("cls", "sub").agg(F.max("similar").alias("similar")))
     found = seen.where("similar").select("cls", "sub")
-    left = raw.where("cut").select(F.col("later").alias("cls"), "word").distinct().join(seen.where("not similar").select("cls", "sub"), "cls")
+    left = pairs.where("cut").select(F.col("later").alias("cls"), "word").distinct().join(seen.where("not similar").select("cls", "sub"), "cls")
     left = stored(left)
-    drop(raw, sets, asked)
+    drop(sets, asked)
     release(spark)
     if not left.isEmpty():
         wanted = spark.sparkContext.broadcast(class_bitmap(left.select(F.col("word").alias("cls"))))
-        more = prefixes(documents, rarity, limits, buckets, group, wanted)
-        found = found.unionAll(stored(settled(more, limits, left.select("cls", "sub").distinct(), buckets)))
+        open_classes = left.select("cls", "sub").distinct()
+        met = stored(meeting(raw.where("rows is not null"), limits, open_classes, wanted))
+        drop(raw)
+        more = prefixes(_of(documents, met), rarity, limits, buckets, group, wanted)
+        found = found.unionAll(stored(settled(more, limits, open_classes, buckets)))
         release(spark)
+    else:
+        drop(raw)
     return lines, found
 
 
@@ -533,18 +624,17 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8, **options) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n, out = [], [], []
-            for text, lines in zip(batch.column("text").to_pylist(), batch.column(numbers), strict=True):
-                all_lines = text.split("\n") if text is not None else []
-                n.append(len(all_lines))
-                gone = np.asarray(lines.values) if lines.is_valid else ()
-                out.append(len(gone))
-                if len(gone):
-                    stays = np.ones(len(all_lines), bool)
-                    stays[gone] = False
-                    text = "\n".join([all_lines[k] for k in np.flatnonzero(stays)])
-                texts.append(text)
-            columns = {name: batch.column(name) for name in names} | {"text": pa.array(texts, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(out, pa.int64())}
+            text, given = batch.column("text"), batch.column(numbers)
+            some, out = given.is_valid(), []
+            lines, ends = flat(given.filter(some))
+            for k, old in enumerate(text.filter(some).to_pylist()):
+                all_lines = old.split("\n")
+                stays = np.ones(len(all_lines), bool)
+                stays[lines[ends[k] : ends[k + 1]]] = False
+                out.append("\n".join([all_lines[at] for at in np.flatnonzero(stays)]))
+            n = pc.add(pc.count_substring(text, "\n"), 1).fill_null(0).cast(pa.int64())
+            left = pc.replace_with_mask(text, some, pa.array(out, text.type))
+            columns = {name: batch.column(name) for name in names} | {"text": left, "n_lines": n, "n_removed": pc.list_value_length(given).fill_null(0).cast(pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
