@@ -20,7 +20,7 @@ WORDS = _table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *ran
 #: Lower-cases A-Z; white space alone separates words ``[^\x20\x09-\x0D]+``.
 TOKENS = _table([0x20, *range(0x09, 0x0E)])
 
-_STEP = 1 << 20
+_STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 

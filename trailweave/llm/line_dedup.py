@@ -73,7 +73,7 @@ class Rarity:
     @classmethod
     def of(cls, counts: DataFrame, size: int) -> Rarity:
         word, n, above = most_frequent(counts, size)
-        return cls(word, np.minimum(1 + np.floor(6 * np.log2(n)), 255).astype(np.uint64), above)
+        return cls(word, np.minimum(1 + np.floor(6 * np.log2(n)), 255).astype(np.uint8), above)
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         step = np.zeros(len(h), np.uint64)
@@ -100,7 +100,15 @@ class Lines:
     hash: np.ndarray
 
     @classmethod
-    def of(cls, column: pa.Array) -> Lines:
+    def of(cls, column: pa.Array, size: int = 1 << 20) -> Lines:
+        """All lines of a column; ``size`` bytes of text are looked at together."""
+        found = [cls._some(column.slice(i, j - i), i) for i, j in list(pieces(column, size)) or [(0, 0)]]
+        n = np.cumsum([0, *(len(x.hash) for x in found)])
+        ends = np.concatenate([x.ends[:-1] + k for x, k in zip(found, n, strict=False)] + [n[-1:]])
+        return cls(*(np.concatenate([getattr(x, c) for x in found]) for c in ("row", "number", "cls", "sub")), ends, np.concatenate([x.hash for x in found]))
+
+    @classmethod
+    def _some(cls, column: pa.Array, start: int) -> Lines:
         data, offsets = buffers(column)
         breaks = np.flatnonzero(data == 10)
         folded = WORDS[data]
@@ -116,7 +124,7 @@ class Lines:
         place = np.arange(len(h)) - np.repeat(begin, counts)
         powers = _power(int(counts.max(initial=0)) + 1)
         both = [mix(np.add.reduceat(x * power[place], begin) + counts.astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64) for x, power in zip((h, mix(h)), powers, strict=True)]
-        return cls(row, number, *both, ends, h)
+        return cls(start + row, number, *both, ends, h)
 
     def take(self, lines: np.ndarray) -> Lines:
         counts = np.diff(self.ends)[lines]
@@ -193,6 +201,43 @@ def _groups(word: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return mix(word.view(np.uint64) + mix(salt.view(np.uint64)))
 
 
+def _runs(ends: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Lines (from, to) of about ``most`` words together."""
+    i = 0
+    while i < len(ends) - 1:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def _prefix_of(lines: Lines, start: int, order: Rarity, threshold: Threshold, group: int, wanted=None) -> tuple[np.ndarray, ...]:
+    """Of some lines: sizes and signatures; of each word in their prefixes: the line's number (from ``start``), the word, its place and salt; if words are ``wanted``, all words."""
+    words, ends = lines.sets(order)
+    size = np.diff(ends)
+    bit = np.uint64(1) << (words & np.uint64(63))
+    low = (words & np.uint64(64)) == 0
+    bits = [np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), ends[:-1]) for x in (low, ~low)]
+    of = owners(ends)
+    place = np.arange(len(words)) - ends[of]
+    some = place < threshold.probe(size)[of]
+    if wanted is not None:
+        some &= in_bitmap(wanted.value, words.view(np.int64))
+    some = np.flatnonzero(some)
+    often = order.at_most(words[some])
+    some, often = some[often > 1], often[often > 1]
+    n = -(-often // group)
+    salt = np.zeros(len(some), np.int64)
+    if (n > 1).any():
+        block = (lines.cls[of[some]] % n.astype(np.uint64)).astype(np.int64)
+        times = n.astype(np.int64)
+        rows = np.repeat(np.arange(len(some)), times)
+        other = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+        own = block[rows]
+        salt = np.minimum(own, other) * times[rows] + np.maximum(own, other)
+        some = some[rows]
+    return size, *bits, start + of[some], words[some].view(np.int64), place[some], salt, words if wanted is not None else words[:0]
+
+
 def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, group: int, wanted=None) -> DataFrame:
     """Rows (see ``ROW``) for each word in the prefix of each distinct line, with a 128-bit parity signature of its words.
 
@@ -203,62 +248,41 @@ def prefixes(documents: DataFrame, rarity, threshold: Threshold, buckets: int, g
     """
     names = ["bucket", *ROW, *(("sub", "sets") if wanted is not None else ())]
 
+    def of_piece(part: pa.RecordBatch, order: Rarity) -> Iterator[pa.RecordBatch]:
+        doc = _order(part)
+        lines = Lines.of(part.column("text"))
+        if wanted is not None and len(lines.cls):  # keys end with the same bits
+            hit = in_bitmap(wanted.value, (lines.hash >> np.uint64(8)).view(np.int64))
+            lines = lines.take(np.flatnonzero(np.logical_or.reduceat(hit, lines.ends[:-1])))
+        lines, again = _firsts(lines, doc)
+        if not len(lines.cls):
+            return
+        found = [_prefix_of(lines.take(np.arange(i, j)), i, order, threshold, group, wanted) for i, j in _runs(lines.ends)]
+        size, bits0, bits1, at, word, place, salt, sets = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        bucket = (_groups(word, salt) % np.uint64(buckets)).astype(np.int32)
+        sort = np.argsort(bucket, kind="stable")
+        some_buckets, starts = np.unique(bucket[sort], return_index=True)
+        starts = np.append(starts, len(sort))
+        at = at[sort]
+        columns = [word[sort], salt[sort], place[sort], size[at], lines.cls[at].view(np.int64), doc[lines.row[at]], lines.number[at], bits0[at], bits1[at], again[at]]
+        kinds, cuts = list(ROW.values()), [starts] * len(ROW)
+        if wanted is not None:
+            n_words, ends = size[at], np.concatenate(([0], np.cumsum(size)))
+            which = np.arange(n_words.sum()) + np.repeat(ends[at] - np.cumsum(n_words) + n_words, n_words)
+            columns += [lines.sub[at].view(np.int64), sets[which].view(np.int64)]
+            kinds += [np.int64, np.int64]
+            cuts = [*cuts, starts, np.concatenate(([0], np.cumsum(n_words)))[starts]]
+        packed = [pa.array(some_buckets)]
+        for values, kind, cut in zip(columns, kinds, cuts, strict=True):
+            data = np.ascontiguousarray(values, kind)
+            packed.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some_buckets), [None, pa.py_buffer((cut * data.itemsize).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary()))
+        yield pa.RecordBatch.from_arrays(packed, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = rarity.value
         for batch in batches:
-            for i, j in pieces(batch.column("text")):
-                part = batch.slice(i, j - i)
-                doc = _order(part)
-                lines = Lines.of(part.column("text"))
-                if wanted is not None and len(lines.cls):  # keys end with the same bits
-                    hit = in_bitmap(wanted.value, (lines.hash >> np.uint64(8)).view(np.int64))
-                    lines = lines.take(np.flatnonzero(np.logical_or.reduceat(hit, lines.ends[:-1])))
-                lines, again = _firsts(lines, doc)
-                if not len(lines.cls):
-                    continue
-                words, ends = lines.sets(order)
-                size = np.diff(ends)
-                bit = np.uint64(1) << (words & np.uint64(63))
-                low = (words & np.uint64(64)) == 0
-                bits = [np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), ends[:-1]) for x in (low, ~low)]
-                of = owners(ends)
-                place = np.arange(len(words)) - ends[of]
-                some = place < threshold.probe(size)[of]
-                if wanted is not None:
-                    some &= in_bitmap(wanted.value, words.view(np.int64))
-                some = np.flatnonzero(some)
-                often = order.at_most(words[some])
-                some, often = some[often > 1], often[often > 1]
-                n = -(-often // group)
-                salt = np.zeros(len(some), np.int64)
-                if (n > 1).any():
-                    block = (lines.cls[of[some]] % n.astype(np.uint64)).astype(np.int64)
-                    times = n.astype(np.int64)
-                    rows = np.repeat(np.arange(len(some)), times)
-                    other = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
-                    own = block[rows]
-                    salt = np.minimum(own, other) * times[rows] + np.maximum(own, other)
-                    some = some[rows]
-                at = of[some]
-                word = words[some].view(np.int64)
-                bucket = (_groups(word, salt) % np.uint64(buckets)).astype(np.int32)
-                sort = np.argsort(bucket, kind="stable")
-                some_buckets, starts = np.unique(bucket[sort], return_index=True)
-                starts = np.append(starts, len(sort))
-                at = at[sort]
-                columns = [word[sort], salt[sort], place[some][sort], size[at], lines.cls[at].view(np.int64), doc[lines.row[at]], lines.number[at], bits[0][at], bits[1][at], again[at]]
-                kinds, cuts = list(ROW.values()), [starts] * len(ROW)
-                if wanted is not None:
-                    n_words = size[at]
-                    which = np.arange(n_words.sum()) + np.repeat(ends[at] - np.cumsum(n_words) + n_words, n_words)
-                    columns += [lines.sub[at].view(np.int64), words[which].view(np.int64)]
-                    kinds += [np.int64, np.int64]
-                    cuts = [*cuts, starts, np.concatenate(([0], np.cumsum(n_words)))[starts]]
-                packed = [pa.array(some_buckets)]
-                for values, kind, cut in zip(columns, kinds, cuts, strict=True):
-                    data = np.ascontiguousarray(values, kind)
-                    packed.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some_buckets), [None, pa.py_buffer((cut * data.itemsize).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary()))
-                yield pa.RecordBatch.from_arrays(packed, names)
+            for i, j in pieces(batch.column("text")):  # a call for each, so that no piece's arrays outlive it
+                yield from of_piece(batch.slice(i, j - i), rarity.value)
 
     return documents.select("doc_id", "text").mapInArrow(run, "bucket int, " + ", ".join(f"{name} binary" for name in names[1:]))
 
@@ -400,7 +424,7 @@ def _repeated(rows: dict[str, np.ndarray]) -> np.ndarray:
     return np.union1d(cls[n > 1], rows["cls"][some & (rows["again"] != 0)])
 
 
-def _whole_groups(rows: dict[str, np.ndarray], some: np.ndarray, most: int = 1 << 17) -> Iterator[bytes]:
+def _whole_groups(rows: dict[str, np.ndarray], some: np.ndarray, most: int = 1 << 15) -> Iterator[bytes]:
     """All rows of the groups of ``some`` rows, packed, about ``most`` at a time."""
     key = _groups(rows["word"], rows["salt"])
     at = np.flatnonzero(np.isin(key, np.unique(key[some])))
@@ -506,23 +530,27 @@ def described(documents: DataFrame, classes: DataFrame, several: DataFrame) -> D
     asked = class_bitmap(classes)
     held = documents.sparkSession.sparkContext.broadcast((asked, asked | class_bitmap(several)))
 
+    def of_piece(part: pa.RecordBatch, bitmap: np.ndarray, either: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lines = Lines.of(part.column("text"))
+        lines = lines.take(np.flatnonzero(in_bitmap(either, lines.cls.view(np.int64))))
+        _, at = np.unique(lines.cls ^ mix(lines.sub), return_index=True)
+        at = np.sort(at[in_bitmap(bitmap, lines.cls[at].view(np.int64))])
+        few = lines.take(at)
+        sets = [few.take(np.arange(i, j)).sets() for i, j in _runs(few.ends)]
+        words = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in sets)])
+        ends = np.cumsum(np.concatenate([[0], *(np.diff(e) for _, e in sets)]))
+        has = np.zeros(len(lines.cls), bool)
+        has[at] = True
+        sets = pa.ListArray.from_arrays(pa.array(np.append(ends[np.cumsum(has) - has], ends[-1]).astype(np.int32), mask=np.append(~has, False)), pa.array(words.view(np.int64)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(_order(part)[lines.row]), part.column("hash").take(pa.array(lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(lines.cls.view(np.int64)), pa.array(lines.sub.view(np.int64)), sets],
+            ["doc", "hash", "line", "cls", "sub", "words"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, either = held.value
         for batch in batches:
             for i, j in pieces(batch.column("text")):
-                part = batch.slice(i, j - i)
-                lines = Lines.of(part.column("text"))
-                lines = lines.take(np.flatnonzero(in_bitmap(either, lines.cls.view(np.int64))))
-                _, at = np.unique(lines.cls ^ mix(lines.sub), return_index=True)
-                at = np.sort(at[in_bitmap(bitmap, lines.cls[at].view(np.int64))])
-                words, ends = lines.take(at).sets()
-                has = np.zeros(len(lines.cls), bool)
-                has[at] = True
-                sets = pa.ListArray.from_arrays(pa.array(np.append(ends[np.cumsum(has) - has], ends[-1]).astype(np.int32), mask=np.append(~has, False)), pa.array(words.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_order(part)[lines.row]), part.column("hash").take(pa.array(lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(lines.cls.view(np.int64)), pa.array(lines.sub.view(np.int64)), sets],
-                    ["doc", "hash", "line", "cls", "sub", "words"],
-                )
+                yield from of_piece(batch.slice(i, j - i), *held.value)
 
     given = documents.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     return given.mapInArrow(run, "doc bigint, hash bigint, line int, cls bigint, sub bigint, words array<bigint>")
