@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,6 +20,21 @@ EXTRACTION = (
     "relations array<struct<source: string, target: string, relation_type: string>>, cited_papers array<struct<title: string, importance_score: int, citation_type: string, context: string>>"
 )
 
+CITED = ("importance_score", "citation_type", "context")
+BEYOND_ASCII = r"[^\x00-\x7F]"
+#: An extraction with more pairs of an entity and a relation than this resolves its relations by joins.
+LOOKUPS = 1_000_000
+
+
+def newest(rows: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
+    """The first row of each key by an order.
+
+    For keys that seldom occur twice: rows are dealt out before they are sorted, so each is sorted once, and columns that
+    nobody reads are left out.
+    """
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.repartition(*keys).withColumn("own number", number).where(F.col("own number") == 1).drop("own number")
+
 
 def _last(rows: DataFrame, key, seq, *names: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*names), seq).alias("new"))
@@ -76,32 +91,89 @@ def resolved_relations(extractions: DataFrame, entities: DataFrame | None = None
     return rows.select("seq", "paper_id", "src", "dst", "type")
 
 
+def _cited(extractions: DataFrame) -> DataFrame:
+    rows = extractions.select("seq", F.col("paper_id").alias("src"), F.posexplode("cited_papers").alias("place", "c")).select("seq", "place", "src", "c.*")
+    return rows.withColumn("context", F.coalesce("context", F.lit("")))
+
+
 def citations_of(extractions: DataFrame) -> DataFrame:
     """A row for each cited paper of each extraction; only titles beyond ASCII, which may have to be composed, go through Python."""
-    rows = extractions.select("seq", F.col("paper_id").alias("src"), F.posexplode("cited_papers").alias("place", "c")).select("seq", "place", "src", "c.*").withColumn("context", F.coalesce("context", F.lit("")))
-    beyond = F.coalesce(F.col("title").rlike(r"[^\x00-\x7F]"), F.lit(False))
+    rows = _cited(extractions)
+    beyond = F.coalesce(F.col("title").rlike(BEYOND_ASCII), F.lit(False))
     return rows.where(~beyond).withColumn("dst", T.paper_id(F.col("title"), compose=False)).unionAll(rows.where(beyond).withColumn("dst", T.paper_id(F.col("title"))))
 
 
+def usual() -> F.Column:
+    """Whether an extraction needs neither Python, as its titles are in ASCII, nor joins, as its names are few enough to be looked up one by one."""
+    ascii_only = F.coalesce(~F.array_join("cited_papers.title", "").rlike(BEYOND_ASCII), F.lit(True))
+    size = lambda name: F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)).cast("bigint")
+    return ascii_only & (size("entities") * size("relations") <= LOOKUPS)
+
+
+def _looked_up_relations(extractions: DataFrame) -> DataFrame:
+    """As ``resolved_relations``, within each row: the last entity of a name is the first from behind."""
+    behind = {name: F.reverse(F.col(f"entities.{name}")) for name in ("name", "type")}
+    rows = extractions.select(behind["name"].alias("names"), behind["type"].alias("types"), F.explode("relations").alias("r")).select("names", "types", "r.*")
+    rows = rows.withColumns({end: F.array_position("names", F.col(name)) for end, name in (("a", "source"), ("b", "target"))}).where("a > 0 and b > 0")
+    kind = lambda at: F.get("types", (F.col(at) - 1).cast("int"))
+    equal = rows.select("source", "target", "relation_type", kind("a").alias("a"), kind("b").alias("b")).distinct()  # before ids are made
+    return equal.select(T.entity_id(F.col("a"), F.col("source")).alias("src"), T.entity_id(F.col("b"), F.col("target")).alias("dst"), T.relation_type(F.col("relation_type")).alias("type")).where("type is not null")
+
+
+def _at() -> F.Column:
+    """The order of rows by seq and place as one number, which sums of hashed groups can hold."""
+    return F.coalesce("seq", F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("place").cast("decimal(10,0)")
+
+
+def _said(extractions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Mentions (src, dst), distinct relations (src, dst, type) and citations (src, dst, properties, seq, place) of extractions, and cited titles (dst, title, first and last place).
+
+    Each reads the extractions by itself.  Whether some are not ``usual`` is looked up at once.
+    """
+    rows = extractions if "usual" in extractions.columns else extractions.withColumn("usual", usual())
+    plain, odd = rows.where("usual"), rows.where("not usual")
+    entities = entities_of(rows)
+    relations, cites = _looked_up_relations(plain), _cited(plain)
+    titles = cites.withColumn("at", _at()).groupBy("title").agg(F.min("at").alias("first"), F.max("at").alias("last")).withColumn("dst", T.paper_id(F.col("title"), compose=False))
+    cites = cites.withColumn("dst", T.paper_id(F.col("title"), compose=False))
+    if not odd.isEmpty():
+        relations = relations.unionByName(resolved_relations(odd).select("src", "dst", "type"))
+        more = citations_of(odd)
+        cites = cites.unionByName(more)
+        titles = titles.unionByName(more.withColumn("at", _at()).groupBy("title", "dst").agg(F.min("at").alias("first"), F.max("at").alias("last")))
+    mentions = entities.select(F.col("paper_id").alias("src"), F.col("id").alias("dst"))
+    return mentions, relations.distinct(), cites.select("src", "dst", *CITED, "seq", "place"), titles
+
+
+def _new_papers(extractions: DataFrame, titles: DataFrame) -> DataFrame:
+    told = newest(extractions.select(F.col("paper_id").alias("id"), F.struct(F.col("paper_summary").alias("summary"), "claims").alias("told"), "seq"), ("id",), F.desc("seq")).drop("seq")
+    full = F.when(F.col("title") != "", F.col("title"))
+    cited = titles.groupBy(F.col("dst").alias("id")).agg(F.coalesce(F.min_by(full, F.when(full.isNotNull(), F.col("first"))), F.max_by("title", "last")).alias("title"))
+    return told.join(cited, "id", "full_outer").select("id", "title", "told", F.lit(None).cast("string").alias("published_date"))
+
+
+def _new_entities(extractions: DataFrame) -> DataFrame:
+    """Equal entities are counted as one before their ids are made and the last of each is taken."""
+    equal = extractions.select("seq", F.posexplode("entities").alias("place", "e")).select("seq", "place", "e.*").groupBy("type", "name", "description").agg(F.max(_at()).alias("at"))
+    named = equal.withColumns({"id": T.entity_id(F.col("type"), F.col("name")), "description": F.coalesce("description", F.lit(""))})
+    return named.groupBy("id").agg(F.max_by(F.struct("type", "name", "description"), "at").alias("e")).select("id", "e.*")
+
+
+def _edges(mentions: DataFrame, relations: DataFrame, cites: DataFrame) -> DataFrame:
+    mentions, relations = _edge_rows(mentions, F.lit("MENTIONS"), PAPER, ENTITY), _edge_rows(relations, F.col("type"), ENTITY, ENTITY)
+    return mentions.unionByName(relations).unionByName(_edge_rows(cites, F.lit("CITES"), PAPER, PAPER), allowMissingColumns=True)
+
+
 def changes(extractions: DataFrame) -> dict[str, DataFrame]:
     """What a batch of extractions (see ``EXTRACTION``) says of each key, to be merged into what is known of it (see ``MERGES``).
 
     ``paper``: a title, of cited papers, and ``told``, the summary and claims of the extracted ones; ``entity``; ``edge``:
-    mentions, resolved relations, and citations with their properties.  Entities and citations are written once, as
-    several parts read them.
+    mentions, resolved relations, and citations with their properties.  The extractions are read several times, and should
+    be written before, best with ``usual``.
     """
-    order = F.struct("seq", "place")
-    entities, cites = written(entities_of(extractions)), written(citations_of(extractions))
-    told = extractions.groupBy(F.col("paper_id").alias("id")).agg(F.max_by(F.struct(F.col("paper_summary").alias("summary"), "claims"), "seq").alias("told"))
-    full = F.when(F.col("title") != "", F.col("title"))
-    cited = cites.groupBy(F.col("dst").alias("id")).agg(F.coalesce(F.min_by(full, F.when(full.isNotNull(), order)), F.max_by("title", order)).alias("title"))
-    paper = told.join(cited, "id", "full_outer").select("id", "title", "told", F.lit(None).cast("string").alias("published_date"))
-    entity = entities.groupBy("id").agg(F.max_by(F.struct("type", "name", "description"), order).alias("e")).select("id", "e.*")
-    mentions = _edge_rows(entities.select(F.col("paper_id").alias("src"), F.col("id").alias("dst")).distinct(), F.lit("MENTIONS"), PAPER, ENTITY)
-    relations = _edge_rows(resolved_relations(extractions, entities).select("src", "dst", "type").distinct(), F.col("type"), ENTITY, ENTITY)
-    props = cites.groupBy("src", "dst").agg(F.max_by(F.struct("importance_score", "citation_type", "context"), order).alias("p")).select("src", "dst", "p.*")
-    edge = mentions.unionByName(relations).unionByName(_edge_rows(props, F.lit("CITES"), PAPER, PAPER))
-    return {"paper": paper, "entity": entity, "edge": edge}
+    mentions, relations, cites, titles = _said(extractions)
+    props = newest(cites, ("src", "dst"), F.desc("seq"), F.desc("place")).drop("seq", "place")
+    return {"paper": _new_papers(extractions, titles), "entity": _new_entities(extractions), "edge": _edges(mentions.distinct(), relations, props)}
 
 
 def told_papers(paper: DataFrame) -> DataFrame:
@@ -119,19 +191,18 @@ def merged_papers(rows: DataFrame) -> DataFrame:
     """The first title that isn't empty, the last summary and claims, the last date, by ``layer``."""
     full = F.when(F.col("title") != "", F.col("layer"))
     title = F.coalesce(F.min_by("title", full), F.max_by("title", F.when(F.col("title").isNotNull(), F.col("layer"))))
-    return rows.groupBy("id").agg(title.alias("title"), F.max_by("told", F.when(F.col("told").isNotNull(), F.col("layer"))).alias("told"), F.max_by("published_date", F.when(F.col("published_date").isNotNull(), F.col("layer"))).alias("published_date"))
+    return rows.repartition("id").groupBy("id").agg(title.alias("title"), F.max_by("told", F.when(F.col("told").isNotNull(), F.col("layer"))).alias("told"), F.max_by("published_date", F.when(F.col("published_date").isNotNull(), F.col("layer"))).alias("published_date"))
 
 
 def merged_entities(rows: DataFrame) -> DataFrame:
     """The last properties, by ``layer``."""
-    return rows.groupBy("id").agg(F.max_by(F.struct("type", "name", "description"), "layer").alias("e")).select("id", "e.*")
+    return newest(rows, ("id",), F.desc("layer")).drop("layer")
 
 
-def merged_edges(rows: DataFrame) -> DataFrame:
-    """Of citations the last properties, by ``layer``; of all others the first."""
-    names = [c for c in rows.columns if c not in ("key", "layer")]
+def merged_edges(rows: DataFrame, *then: str) -> DataFrame:
+    """Of citations the last properties, by ``layer`` and ``then`` by other columns; of all others the first."""
     order = F.when(F.col("type") == "CITES", F.col("layer")).otherwise(-F.col("layer"))
-    return rows.groupBy("key").agg(F.max_by(F.struct(*names), order).alias("e")).select("key", "e.*")
+    return newest(rows, ("key",), order.desc(), *map(F.desc, then)).drop("layer", *then)
 
 
 MERGES = {"paper": merged_papers, "entity": merged_entities, "edge": merged_edges}
@@ -141,14 +212,19 @@ def write_extracted(graph: Graph, extractions: DataFrame) -> Graph:
     """The graph after a batch of extractions (see ``EXTRACTION``).
 
     Papers get summary and claims, entities all properties; mentions and typed relations are added once; cited papers
-    are added, with a title where they have none; citations get the new properties.  The batch's changes are merged
-    into the tables as a stream's layers are (see ``changes``); some of them are written while this is called.
+    are added, with a title where they have none; citations get the new properties.  The batch is written while this is
+    called, and merged into the tables as a stream's layers are (see ``changes``); what it says of edges is so in one
+    step with those that are there.
     """
-    new = changes(written(extractions))
-    old = {"paper": told_papers(graph.paper), "entity": graph.entity, "edge": graph.edge}
+    rows = written(extractions.withColumn("usual", usual()))
+    mentions, relations, cites, titles = _said(rows)
+    new = {"paper": _new_papers(rows, titles), "entity": _new_entities(rows)}
+    old = {"paper": told_papers(graph.paper), "entity": graph.entity}
     both = {name: MERGES[name](old[name].withColumn("layer", F.lit(0)).unionByName(new[name].withColumn("layer", F.lit(1)))) for name in new}
+    said = _edges(mentions, relations, cites).withColumn("layer", F.lit(1))
+    edge = merged_edges(graph.edge.withColumn("layer", F.lit(0)).unionByName(said, allowMissingColumns=True), "seq", "place")
     paper = shown_papers(both["paper"]).select(*graph.paper.columns, *(["claims"] if "claims" not in graph.paper.columns else []))
-    return replace(graph, paper=paper, entity=both["entity"].select("id", "type", "name", "description"), edge=both["edge"].select(*graph.edge.columns))
+    return replace(graph, paper=paper, entity=both["entity"].select("id", "type", "name", "description"), edge=edge.select(*graph.edge.columns))
 
 
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:

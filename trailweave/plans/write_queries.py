@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,19 +18,21 @@ _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_ret
 def extractions(spark, d):
     """An extraction for each order with lines: lines are entities, relations to the next line's, and cited papers.
 
-    Lines are dealt out by order before they are gathered (an order's few lines gain nothing from lists made earlier), and each name is made once.
+    What a line says is made while lines are columns, before an order's are gathered.
     """
     table = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
-    lines = table("lineitem").repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*_ORDER.split(", ")))).alias("lines"))
-    found = table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    found = found.withColumn("names", F.transform("lines", lambda x: F.concat(F.lit("Thing "), (x["l_suppkey"] % 40).cast("string"))))
-    entity = lambda x, name: F.struct(F.when(x["l_returnflag"] == "A", "Method").when(x["l_returnflag"] == "N", "Dataset").otherwise("Task").alias("type"), name.alias("name"), x["l_linestatus"].alias("description"))
-    relation = lambda x, i: F.struct(F.get("names", i).alias("source"), F.concat(F.get("names", i + 1), F.when(x["l_quantity"] > 25, "?").otherwise("")).alias("target"), F.when(x["l_linestatus"] == "F", " uses ").otherwise("1 bad").alias("relation_type"))
-    cited = lambda x: F.struct(F.concat(F.lit("Title  Nr "), x["l_partkey"].cast("string")).alias("title"), (1 + x["l_partkey"] % 5).cast("int").alias("importance_score"), x["l_returnflag"].alias("citation_type"), F.lit(None).cast("string").alias("context"))
-    related = F.transform(F.slice("lines", 1, F.size("lines") - 1), relation)  # the last line has no next one
-    return found.select(
+    in_order = Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", "))
+    lines = table("lineitem").withColumns({"place": F.row_number().over(in_order), "next": F.lead("l_suppkey").over(in_order)})
+    lines = lines.withColumns({name: F.concat(F.lit("Thing "), (F.col(key) % 40).cast("string")) for name, key in (("name", "l_suppkey"), ("next", "next"))})
+    kind = F.when(F.col("l_returnflag") == "A", "Method").when(F.col("l_returnflag") == "N", "Dataset").otherwise("Task")
+    entity = F.struct(kind.alias("type"), "name", F.col("l_linestatus").alias("description"))
+    relation = F.struct(F.col("name").alias("source"), F.concat("next", F.when(F.col("l_quantity") > 25, "?").otherwise("")).alias("target"), F.when(F.col("l_linestatus") == "F", " uses ").otherwise("1 bad").alias("relation_type"))
+    cited = F.struct(F.concat(F.lit("Title  Nr "), F.col("l_partkey").cast("string")).alias("title"), (1 + F.col("l_partkey") % 5).cast("int").alias("importance_score"), F.col("l_returnflag").alias("citation_type"), F.lit(None).cast("string").alias("context"))
+    lines = lines.select("l_orderkey", F.struct("place", entity.alias("entity"), cited.alias("cited")).alias("said"), F.when(F.col("next").isNotNull(), F.struct("place", relation.alias("relation"))).alias("related"))  # the last line has no next one
+    told = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("said")).alias("said"), F.sort_array(F.collect_list("related")).alias("related"))
+    return table("orders").join(told, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_orderkey").alias("seq"), F.concat(F.lit("P"), "o_custkey").alias("paper_id"), F.col("o_orderpriority").alias("paper_summary"), F.array("o_orderstatus", "o_orderpriority").alias("claims"),
-        F.zip_with("lines", "names", entity).alias("entities"), F.filter(related, lambda r: r["target"].isNotNull()).alias("relations"), F.transform("lines", cited).alias("cited_papers"),
+        F.col("said.entity").alias("entities"), F.col("related.relation").alias("relations"), F.col("said.cited").alias("cited_papers"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import written
@@ -47,10 +47,11 @@ def load(spark: SparkSession, sf_dir: str, dates: bool = True) -> Graph:
         .unionAll(region.select(F.concat(F.lit("R"), "r_regionkey"), F.lit("Benchmark"), "r_name"))
         .withColumn("description", F.lit(""))
     )
-    a = line.select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("s"))
-    b = line.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("d"), (1 + F.floor("l_quantity") % 5).cast("int").alias("imp"), F.concat("l_returnflag", "l_linestatus").alias("flag"))
     kind = F.create_map(*(F.lit(x) for pair in CITATION_TYPES.items() for x in pair))
-    cites = a.join(b, ["l_orderkey", "l_linenumber"]).where("s <> d").groupBy("s", "d").agg(F.max("imp").alias("importance_score"), F.max("flag").alias("flag"))
+    numbered = line.where("l_orderkey is not null and l_linenumber is not null").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("n"), F.col("l_partkey").alias("d"), (1 + F.floor("l_quantity") % 5).cast("int").alias("imp"), F.concat("l_returnflag", "l_linestatus").alias("flag"))
+    following = F.collect_list(F.struct("d", "imp", "flag")).over(Window.partitionBy("l_orderkey").orderBy("n").rangeBetween(1, 1))
+    pairs = numbered.select(F.col("d").alias("s"), following.alias("next")).select("s", F.explode("next").alias("b")).select("s", "b.*").where("s <> d")
+    cites = pairs.repartition("s", "d").groupBy("s", "d").agg(F.max("imp").alias("importance_score"), F.max("flag").alias("flag"))
     none = F.lit(None)
     edge = (
         cites.select(F.concat(F.lit("P"), "s").alias("src"), F.concat(F.lit("P"), "d").alias("dst"), F.lit("CITES").alias("type"), F.lit(PAPER).alias("src_label"), F.lit(PAPER).alias("dst_label"), "importance_score", kind[F.col("flag")].alias("citation_type"))
